@@ -47,5 +47,4 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate: the file sizes for a pruned scan; no job is run."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size.toString()))
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
