@@ -44,3 +44,40 @@ SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
   CAST(coalesce(sum(length(body)) FILTER (WHERE own = 1), 0) AS BIGINT) AS loss_chars
 FROM s GROUP BY conv_id, perspective, part
 """
+
+
+def op2() -> str:
+    """Quality rules: each n-gram length has its own window pass."""
+    from .quality import MAX_DUP_LINE_PERCENT, MAX_GRAM_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS
+
+    parts, columns, tests = [], [], [f"100 * coalesce(l.dup_line_chars, 0) <= {MAX_DUP_LINE_PERCENT} * coalesce(b.word_chars, 0)"]
+    for n in (3, *MAX_GRAM_PERCENT):
+        gram = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER d" for k in range(1, n))])
+        value = "count(*)" if n == 3 else "sum(length(w))"
+        parts.append(f"""
+g{n} AS (SELECT rid, i, w, {gram} AS g FROM words WINDOW d AS (PARTITION BY rid ORDER BY i)),
+h{n} AS (SELECT rid, i, w, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 THEN 1 ELSE 0 END AS dup FROM g{n}),
+c{n} AS (SELECT rid, w, max(dup) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS hit FROM h{n}),
+s{n} AS (SELECT rid, {value} AS v FROM c{n} WHERE hit = 1 GROUP BY rid)""")
+        if n > 3:
+            columns.append(f"CAST(coalesce(s{n}.v, 0) AS BIGINT) AS dup_chars_{n}")
+            tests.append(f"100 * coalesce(s{n}.v, 0) <= {MAX_GRAM_PERCENT[n]} * coalesce(b.word_chars, 0)")
+    failed = f"(coalesce(b.n_words, 0) < {MIN_WORDS} OR 100 * coalesce(s3.v, 0) > {MAX_REPEAT_PERCENT} * b.n_words)"
+    joins = " ".join(f"LEFT JOIN s{n} ON s{n}.rid = d.rid" for n in (3, *MAX_GRAM_PERCENT))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),
+b AS (SELECT rid, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM words GROUP BY rid),
+ls AS (SELECT rid, string_split(text, chr(10)) AS xs FROM d),
+li AS (SELECT rid, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM ls),
+ln AS (SELECT rid, x, row_number() OVER (PARTITION BY rid, x ORDER BY i) AS k FROM li WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+l AS (SELECT rid, count(*) AS n, CAST(sum(length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g'))) AS BIGINT) AS dup_line_chars FROM ln WHERE k > 1 GROUP BY rid),
+{",".join(parts)}
+SELECT d.doc_id, coalesce(b.n_words, 0) AS n_words, coalesce(b.word_chars, 0) AS word_chars,
+  CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, CAST(coalesce(s3.v, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(l.dup_line_chars, 0) AS dup_line_chars, {", ".join(columns)},
+  {failed} AS base_failed, (NOT {failed} AND {" AND ".join(tests)}) AS kept
+FROM d LEFT JOIN b ON b.rid = d.rid LEFT JOIN l ON l.rid = d.rid {joins}
+"""
