@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, media, packing, quality, sql, urls
+from . import bpe, chat, langid, media, packing, quality, sql, substring, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_substring, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat)}
 ORACLE_SQL = {"op2_quality": sql.op2(), "op5_url_filters": sql.OP5, "op8_chat": sql.OP8}
