@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, media, packing, quality, sql, substring, suffix, urls
+from . import bpe, chat, jaccard, langid, media, packing, quality, sql, substring, suffix, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_substring, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_substring, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat, op9_jaccard, op10_suffix)}
 ORACLE_SQL = {"op2_quality": sql.op2(), "op5_url_filters": sql.OP5, "op8_chat": sql.OP8}
