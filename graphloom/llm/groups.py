@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import column_bytes
-from .store import plan_bytes
+from .store import plan_bytes, whole_row
 
 GROUP_BYTES = 1 << 19  # by Catalyst's estimate for (doc_id, text); a few MB of text
 BUCKET_BYTES = 2 << 20
@@ -32,13 +32,14 @@ MESSAGE_SCHEMA = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("b", pa.in
 COPIES = 0  # the kind of message that lists a group's later copies
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, carry: bool = False) -> DataFrame:
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]
+    return docs.select(*own, *([whole_row(docs, without=("text",))] if carry else []))
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, g) and the number of buckets that suits the input."""
-    texts = texts_of(docs)
+def grouped(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text[, row], g) and the number of buckets that suits the input; row: all columns but the text."""
+    texts = texts_of(docs, carry)
     size = plan_bytes(texts)
     groups = max(1, -(-size // GROUP_BYTES))
     return texts.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")), max(1, -(-size // BUCKET_BYTES))
@@ -58,7 +59,7 @@ class Texts:
     """The texts of a group in ascending order of ids, and which are later copies."""
 
     def __init__(self, table: pa.Table, messages: pa.Table):
-        table = table.sort_by("doc_id") if table.num_rows else table
+        self.table = table = table.sort_by("doc_id") if table.num_rows else table
         self.ids = table.column("doc_id").to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64)
         self.g = int(table.column("g")[0].as_py()) if table.num_rows else -1
         self.buf, self.offsets = column_bytes(table.column("text"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import column_bytes, pieces
+from .store import carried_schema, whole_row
 
 BLOCK = 512
 #: Bounds of the labelled sample: rows of a language, symbols of a row, symbols of a language.
@@ -135,9 +136,10 @@ def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def lowered(docs: DataFrame) -> DataFrame:
+def lowered(docs: DataFrame, carry: bool = False) -> DataFrame:
     text = F.lower("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")]
+    return docs.select(*own, *([whole_row(docs)] if carry else []))
 
 
 def train(docs: DataFrame, eligible: Column) -> Model:
@@ -164,11 +166,12 @@ def train(docs: DataFrame, eligible: Column) -> Model:
 SCHEMA = "doc_id long, lang_pred string, score double, n_symbols long, n_phrases long"
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, n_symbols, n_phrases) from the text alone; a map without a shuffle.
 
     score: by how much the winner undercuts the next language, 1 - fewest / next fewest
-    phrases; with one language, 1 - phrases / symbols.
+    phrases; with one language, 1 - phrases / symbols.  With ``carry`` the whole input row
+    comes along as a struct ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
 
@@ -190,12 +193,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score = np.where(known, 1 - least / np.maximum(other, 1), 0.0)
                 else:
                     best, least, score = np.zeros(hi - lo, int), np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(names[np.where(known, best, len(own.languages))], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size), pa.array(np.where(known, least, 0))],
-                    ["doc_id", "lang_pred", "score", "n_symbols", "n_phrases"],
-                )
-
-    return lowered(docs).mapInArrow(run, SCHEMA)
+                columns = [
+                    batch.column(0).slice(lo, hi - lo), pa.array(names[np.where(known, best, len(own.languages))], pa.string()),
+                    pa.array(np.clip(score, 0, 1)), pa.array(size), pa.array(np.where(known, least, 0)),
+                ]
+                made = ["doc_id", "lang_pred", "score", "n_symbols", "n_phrases"]
+                if carry:
+                    columns.append(batch.column(3).slice(lo, hi - lo))
+                    made.append("row")
+                yield pa.RecordBatch.from_arrays(columns, made)
+
+    source = lowered(docs, carry)
+    return source.mapInArrow(run, carried_schema(SCHEMA, source) if carry else SCHEMA)
 
 
 def fold() -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WORD_POWERS, Words, column_bytes, mix, ngrams, pieces, prefix_sums, slice_hashes, slices, within
+from .store import carried_schema, whole_row
 
 BASE_GRAM = 3
 MIN_WORDS = 50
@@ -104,18 +105,23 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each row; columns after the text are passed on."""
     for batch in batches:
         buf, offsets = column_bytes(batch.column(1))
         for lo, hi in pieces(offsets):
             found = measure(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), *(pa.array(np.asarray(found[c], np.int64)) for c in COUNTS)], ["doc_id", *COUNTS]
-            )
+            rest = [batch.column(k).slice(lo, hi - lo) for k in range(2, batch.num_columns)]
+            columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(np.asarray(found[c], np.int64)) for c in COUNTS), *rest]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, *batch.schema.names[2:]])
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts, base_failed, kept) for each text; a map without a shuffle."""
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, SCHEMA)
+def quality_rules(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, counts, base_failed, kept) for each text; a map without a shuffle.
+
+    With ``carry`` the whole input row comes along as a struct ``row``.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([whole_row(docs)] if carry else []))
+    counts = source.mapInArrow(_measured, carried_schema(SCHEMA, source) if carry else SCHEMA)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within_limits = 100 * F.col("dup_line_chars") <= MAX_DUP_LINE_PERCENT * F.col("word_chars")
     for n, most in MAX_GRAM_PERCENT.items():

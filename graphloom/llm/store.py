@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _private: dict[int, str] = {}
 
@@ -48,3 +50,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate: the file sizes for a pruned scan; no job is run."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns as one struct named ``row``, so that none can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without)).alias("row")
+
+
+def carried_schema(schema: str, source: DataFrame) -> T.StructType:
+    """An operator's schema with the ``row`` of its source."""
+    return T.StructType([*T._parse_datatype_string(schema).fields, source.schema["row"]])
