@@ -4,9 +4,10 @@ A document's set is its distinct SHINGLE-word shingles (A-Z lower-cased), hashed
 Two documents link when 100 * |intersection| >= PERCENT * |union|.
 
 1. Exact copies of a text are set aside; each stands for its first copy.
-2. Whatever order is put on all shingles, linked sets share one of their first
-   n - ceil(PERCENT% n) + 1.  With the order of the hashes, groups ask which of these
-   prefix shingles occur in several documents; documents without one have no link.
+2. Whatever order is put on all shingles, linked sets share k of their first
+   n - ceil(PERCENT% n) + k.  With the order of the hashes and k a tenth of the set, groups
+   ask which of these shingles occur in several documents; a document with fewer than k such
+   has no link.
 3. Among the rest, equal sets are set aside in the same way, shingles are counted, and sets
    are put in the order (frequency class, hash): rare first.  Sets whose prefix consists of
    shingles of their own have no link.
@@ -49,6 +50,11 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def met_length(n, percent: int):
+    """How many shared shingles the first stage asks for: a tenth of the set, one at least."""
+    return np.minimum(1 + n // 10, (percent * n + 99) // 100)
+
+
 def required_overlap(n: int, m: int, percent: int) -> int:
     """Least intersection of linked sets of sizes n and m."""
     return -(-percent * (n + m) // (100 + percent))
@@ -78,7 +84,7 @@ class _Group(G.Texts):
     def prefixes(self, percent: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """(keys, owner) of the prefix shingles, in the order of the hashes."""
         live = np.flatnonzero(~self.copy & (self.n > 0))
-        take = prefix_length(self.n[live], percent)
+        take = prefix_length(self.n[live], percent) + met_length(self.n[live], percent) - 1
         hashes = np.concatenate([np.empty(0, np.uint64), *(self.sets[d][:k] for d, k in zip(live, take, strict=True))])
         return G.packed_keys(hashes, buckets), np.repeat(live, take)
 
@@ -96,16 +102,6 @@ def _send_prefixes(size: int, percent: int, buckets: int):
     return run
 
 
-def _answer_shared(table: pa.Table) -> pa.Table:
-    b = table.column("b")[0].as_py()
-    rows = [(g, n, *G.unpack(payload, n, "<u4")) for g, n, payload in G.packed_rows(table)]
-    prints = np.concatenate([r[2] for r in rows])
-    many = np.concatenate([np.unpackbits(bits, count=n).astype(bool) for _, n, _, bits in rows])
-    ordered = np.sort(prints)
-    repeated = np.union1d(ordered[1:][ordered[1:] == ordered[:-1]], prints[many])
-    return G.answer_table(SHARED, [(g, b, n, np.packbits(np.isin(p, repeated)).tobytes()) for g, n, p, _ in rows])
-
-
 BASE = "doc_id long, g int, n long, tokens binary"
 
 
@@ -121,8 +117,8 @@ def _keep_sets(size: int, percent: int, buckets: int):
         for b, at in G.by_bucket(distinct >> np.uint64(32)):
             n, payload = found[b]
             repeated.append(distinct[at][np.unpackbits(np.frombuffer(payload, np.uint8), count=n).astype(bool)])
-        hit = np.zeros(len(own), bool)
-        hit[owner[np.isin(keys, np.concatenate(repeated))]] = True
+        met = np.bincount(owner[np.isin(keys, np.concatenate(repeated))], minlength=len(own))
+        hit = (own.n > 0) & (met >= met_length(own.n, percent))
         tokens = [own.sets[d].tobytes() if hit[d] else None for d in range(len(own))]
         return pa.table({"doc_id": own.ids, "g": pa.array([own.g] * len(own), pa.int32()), "n": own.n, "tokens": pa.array(tokens, pa.binary())})
 
@@ -448,7 +444,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     """(doc_id, n_shingles, component_id) for each document."""
     texts, buckets = G.grouped(docs)
     copies = G.copies(texts)
-    shared = G.ask(texts, copies, _send_prefixes(size, percent, buckets), _answer_shared)
+    shared = G.ask(texts, copies, _send_prefixes(size, percent, buckets), G.answer_repeated(SHARED))
     base = materialize(G.conclude(texts, copies.unionByName(shared), _keep_sets(size, percent, buckets), BASE), "sets")
 
     held = base.where("tokens IS NOT NULL").select("doc_id", "g", "n", "tokens").withColumn("digest", F.md5("tokens"))
