@@ -23,7 +23,7 @@ from .hashing import column_bytes
 from .store import plan_bytes, whole_row
 
 GROUP_BYTES = 1 << 19  # by Catalyst's estimate for (doc_id, text); a few MB of text
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 19
 NULL_ID = np.iinfo(np.int64).min  # a null id comes before all others
 MESSAGE = "g int, kind int, b int, n long, payload binary, ids array<long>"
 PACKED = "b int, g int, n long, payload binary"
@@ -124,6 +124,34 @@ def packed_rows(table: pa.Table) -> list[tuple[int, int, bytes]]:
     return sorted(zip(table.column("g").to_pylist(), table.column("n").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda r: r[0])
 
 
+def same_prints(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first entries in it) of classes of equal fingerprints."""
+    order = np.argsort(prints, kind="stable")
+    ordered = prints[order]
+    return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+
+def answer_repeated(kind: int):
+    """Answers whether each key of a group occurs again: in another group, or flagged in its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = table.column("b")[0].as_py()
+        rows = [(g, n, *unpack(payload, n, "<u4")) for g, n, payload in packed_rows(table)]
+        prints = np.concatenate([r[2] for r in rows])
+        weight = np.concatenate([np.unpackbits(bits, count=n) for _, n, _, bits in rows]) + 1
+        order, begin = same_prints(prints)
+        total = np.add.reduceat(weight[order], begin, dtype=np.int64)
+        repeated = np.empty(len(prints), bool)
+        repeated[order] = np.repeat(total > 1, np.diff(np.append(begin, len(prints))))
+        out, at = [], 0
+        for g, n, *_ in rows:
+            out.append((g, b, n, np.packbits(repeated[at : at + n]).tobytes()))
+            at += n
+        return answer_table(kind, out)
+
+    return run
+
+
 def answers(messages: pa.Table, kind: int) -> dict[int, tuple[int, bytes]]:
     """bucket -> (entries, payload) of the answers of one kind."""
     return {

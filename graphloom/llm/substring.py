@@ -85,16 +85,6 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
-    b = table.column("b")[0].as_py()
-    rows = [(g, n, *G.unpack(payload, n, "<u4")) for g, n, payload in G.packed_rows(table)]
-    prints = np.concatenate([r[2] for r in rows])
-    many = np.concatenate([np.unpackbits(bits, count=n).astype(bool) for _, n, _, bits in rows])
-    ordered = np.sort(prints)
-    repeated = np.union1d(ordered[1:][ordered[1:] == ordered[:-1]], prints[many])
-    return G.answer_table(ANCHORS, [(g, b, n, np.packbits(np.isin(p, repeated)).tobytes()) for g, n, p, _ in rows])
-
-
 def _send_windows(buckets: int):
     def run(table: pa.Table, messages: pa.Table) -> pa.Table:
         own = _Group(table, messages, buckets)
@@ -169,7 +159,7 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for each text."""
     texts, buckets = G.grouped(docs)
     copies = G.copies(texts)
-    anchors = G.ask(texts, copies, _send_anchors(buckets), _answer_anchors)
+    anchors = G.ask(texts, copies, _send_anchors(buckets), G.answer_repeated(ANCHORS))
     known = copies.unionByName(anchors)
     firsts = G.ask(texts, known, _send_windows(buckets), _answer_windows)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
