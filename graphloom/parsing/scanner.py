@@ -143,6 +143,7 @@ class Scanner:
         self.source, self.language = source, language
         self.tokens, self.comments, errors = tokenize(source)
         self.closes, unmatched = match_brackets(self.tokens)
+        self.opens = {b: a for a, b in self.closes.items()}
         self.errors = errors + unmatched
         self.imports: list[dict[str, Any]] = []
         self.exports: list[dict[str, Any]] = []
@@ -201,7 +202,7 @@ class Scanner:
         first = i
         while True:  # decorators stand before it: @name, @name.name, @name(...)
             j = first - 1
-            if self.text(j) == ")" and (opens := next((a for a, b in self.closes.items() if b == j), None)) is not None:
+            if self.text(j) == ")" and (opens := self.opens.get(j)) is not None:
                 j = opens - 1
             while self.is_name(j) and self.text(j - 1) == ".":
                 j -= 2
@@ -632,23 +633,44 @@ class Scanner:
             close = self.closes.get(after, last)
             if self.text(close + 1) == "{" and self.text(i - 1) in ("{", ",", "}", ";", "get", "set", "async", "static", "*"):
                 continue  # a method of an object literal or class
-            receiver = None
-            if self.text(i - 1) in (".", "?."):
-                k = i - 1
-                parts: list[str] = []
-                while self.text(k) in (".", "?.") and self.is_name(k - 1):
-                    parts.append(self.text(k - 1))
-                    k -= 2
-                if self.text(k) not in (".", "?.") and self.text(k) not in (")", "]"):
-                    receiver = ".".join(reversed(parts)) or None
-                elif self.text(k) == "]":
-                    receiver = None
+            receiver = self.receiver(i - 2) if self.text(i - 1) in (".", "?.") else None
             name = self.text(i)
             if (name, receiver) not in seen:
                 seen.add((name, receiver))
                 out.append({"name": name, "receiver": receiver, "line": self.tokens[i].line})
         return out
 
+    def receiver(self, k: int) -> str | None:
+        """Source of the expression that ends at k and that a member is called on; None if it is itself a call."""
+        last = k
+        while True:
+            if self.text(k) in (")", "]"):
+                opens = self.opens.get(k)
+                if opens is None:
+                    return None
+                before = self.tokens[opens - 1] if opens else None
+                applied = before is not None and (before.kind == "name" and before.text not in NOT_A_CALL or before.text in (")", "]"))
+                if self.text(k) == ")" and applied:
+                    j = opens - 1
+                    while self.is_name(j) and self.text(j - 1) == ".":
+                        j -= 2
+                    if self.text(j - 1) != "new":
+                        return None
+                    return self.spelled(j - 1, last)
+                k = opens - 1 if applied else opens
+                if not applied:
+                    return self.spelled(opens, last)
+                continue
+            if self.is_name(k) and self.text(k - 1) in (".", "?."):
+                k -= 2
+                continue
+            if self.tokens[k].kind in ("name", "string"):
+                return self.spelled(k, last)
+            return None
+
+    def spelled(self, begin: int, last: int) -> str:
+        return " ".join(self.source[self.tokens[begin].start : self.tokens[last].end].replace("?.", ".").split())
+
     def branches(self, begin: int, last: int) -> int:
         count, i = 0, begin
         body = self.text(begin) == "("

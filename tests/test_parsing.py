@@ -114,9 +114,9 @@ def test_complexity():
 
 
 def test_calls():
-    found = facts("function outer() { foo(); obj.method(); obj.nested.deep(); a.b().c(); log.i(); log.i(); function inner() { bar<string>() } inner(); new Thing(); const r = require('./m'); this.go(); s?.t?.() } foo();")
+    found = facts("function outer() { foo(); obj.method(); obj.nested.deep(); a.b().c(); log.i(); log.i(); function inner() { bar<string>() } inner(); new Thing(); const r = require('./m'); this.go(); s?.t?.(); new K(1).m(); xs[0].n(); } foo();")
     calls = [(c["name"], c["receiver"]) for c in symbol(found, "outer")["calls"]]
-    assert calls == [("foo", None), ("method", "obj"), ("deep", "obj.nested"), ("b", "a"), ("c", None), ("i", "log"), ("bar", None), ("inner", None), ("go", "this"), ("t", "s")]
+    assert calls == [("foo", None), ("method", "obj"), ("deep", "obj.nested"), ("b", "a"), ("c", None), ("i", "log"), ("bar", None), ("inner", None), ("go", "this"), ("t", "s"), ("m", "new K(1)"), ("n", "xs[0]")]
 
 
 def test_heritage():
