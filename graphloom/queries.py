@@ -387,3 +387,141 @@ def sweep_pending(spark, sf_dir):
 @query(f"WITH {REPOSITORIES_SQL} SELECT id FROM repositories WHERE indexStatus = 'PENDING' AND updatedAt < TIMESTAMP '1996-06-01 00:00:00' - INTERVAL 15 MINUTE")
 def stale_index(spark, sf_dir):
     return ledger.stale_repositories(repositories(spark, sf_dir), F.to_timestamp_ntz(F.lit("1996-06-01 00:00:00"))).select("id")
+
+
+# Resolution and the index
+
+SITES_SQL = """
+symbols AS (SELECT p_partkey AS id, p_partkey AS ordinal, 'f' || (p_partkey % 600) AS name, CASE WHEN p_partkey % 5 = 0 THEN 'METHOD' ELSE 'FUNCTION' END AS kind,
+  'd' || (p_partkey % 7) || '/f' || (p_partkey % 400) || '.ts' AS filePath, 'pk' || (p_partkey % 3) AS packageName FROM part),
+sites AS (SELECT l_orderkey AS siteId, l_orderkey AS fromSymbolId, 'd' || (l_orderkey % 7) || '/f' || (l_orderkey % 400) || '.ts' AS filePath, 'pk' || (l_orderkey % 3) AS packageName,
+  'f' || (l_partkey % 600) AS name FROM lineitem WHERE l_linenumber = 1),
+imports AS (SELECT 'd' || (o_orderkey % 7) || '/f' || (o_orderkey % 400) || '.ts' AS filePath, o_orderkey AS ordinal, 'f' || (o_custkey % 600) AS name, o_orderkey % 5 = 0 AS isTypeOnly,
+  'd' || (o_custkey % 7) || '/f' || (o_custkey % 400) || '.ts' AS targetFilePath FROM orders)"""
+
+
+@query(f"""WITH {SITES_SQL}, callable AS (SELECT * FROM symbols WHERE kind = 'FUNCTION'),
+near AS (SELECT s.siteId, arg_min(c.id, c.ordinal) AS toSymbolId FROM sites s JOIN callable c ON c.filePath = s.filePath AND c.name = s.name GROUP BY s.siteId),
+r1 AS (SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.siteId = s.siteId)),
+b AS (SELECT s.siteId, any_value(s.name) AS name, arg_min(i.targetFilePath, i.ordinal) AS target FROM r1 s JOIN imports i ON i.filePath = s.filePath AND i.name = s.name AND NOT i.isTypeOnly GROUP BY s.siteId),
+named AS (SELECT b.siteId, arg_min(c.id, c.ordinal) AS toSymbolId FROM b JOIN symbols c ON c.filePath = b.target AND c.name = b.name GROUP BY b.siteId),
+r2 AS (SELECT * FROM r1 s WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.siteId = s.siteId)),
+p AS (SELECT s.siteId, c.id, count(*) OVER w AS n, c.packageName = s.packageName AS sp, split_part(c.filePath, '/', 1) = split_part(s.filePath, '/', 1) AS st,
+  bool_or(c.packageName = s.packageName) OVER w AS anyp, bool_or(split_part(c.filePath, '/', 1) = split_part(s.filePath, '/', 1)) OVER w AS anyt
+  FROM r2 s JOIN callable c ON c.name = s.name WINDOW w AS (PARTITION BY s.siteId)),
+q AS (SELECT *, count(*) OVER (PARTITION BY siteId) AS k FROM p WHERE n = 1 OR CASE WHEN anyp THEN sp WHEN anyt THEN st ELSE true END)
+SELECT siteId AS "siteId", CAST(toSymbolId AS VARCHAR) AS "toSymbolId", 'SAME_FILE' AS rule, 0.95 AS confidence FROM near UNION ALL SELECT siteId, CAST(toSymbolId AS VARCHAR), 'NAMED_IMPORT', 0.9 FROM named
+UNION ALL SELECT siteId, CAST(id AS VARCHAR), CASE WHEN n = 1 THEN 'UNIQUE_REPO_MATCH' ELSE 'AMBIGUOUS_TIEBREAK' END, CASE WHEN n = 1 THEN 0.7 ELSE 0.4 / k END FROM q WHERE n = 1 OR k <= 3
+UNION ALL SELECT DISTINCT siteId, NULL, 'SKIPPED', CAST(NULL AS DOUBLE) FROM q WHERE n > 1 AND k > 3""")
+def call_ladder(spark, sf_dir):
+    from .operators.resolve import resolve_names
+
+    views = [_view(spark, sf_dir, SITES_SQL, name, ("part", "lineitem", "orders")).withColumn("repositoryId", F.lit("r")) for name in ("symbols", "sites", "imports")]
+    none = F.lit(None).cast("string")
+    symbols = views[0].withColumn("parentSymbol", none)
+    sites = views[1].withColumns({"receiver": none, "callerClass": none})
+    imports = views[2].withColumns({"named": F.array("name"), "default": none, "namespace": none})
+    mode = spark.range(1).select(F.lit("r").alias("repositoryId"), F.lit(False).alias("perPackage"))
+    return resolve_names(sites, symbols, imports, mode).select("siteId", F.col("toSymbolId").cast("string").alias("toSymbolId"), "rule", "confidence")
+
+
+@query("""WITH f AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'm' || (doc_id // 4) || '.ts' WHEN 1 THEN 'm' || (doc_id // 4) || '.js' WHEN 2 THEN 'm' || (doc_id // 4) || '/index.tsx' ELSE 'n' || (doc_id // 4) || '.mts' END AS path FROM documents),
+s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'm' || (doc_id // 4) WHEN 1 THEN 'm' || (doc_id // 4) || '.js' ELSE 'n' || (doc_id // 4) || '.mjs' END AS base FROM documents),
+c AS (SELECT doc_id, 0 AS pos, CASE WHEN base LIKE '%.js' THEN replace(base, '.js', '.ts') WHEN base LIKE '%.mjs' THEN replace(base, '.mjs', '.mts') END AS path FROM s
+  UNION ALL SELECT doc_id, 1, base FROM s
+  UNION ALL SELECT doc_id, 1 + i, base || ['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'][i] FROM s, range(1, 7) t(i) WHERE base NOT LIKE '%.%'
+  UNION ALL SELECT doc_id, 10 + i, base || '/index' || ['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'][i] FROM s, range(1, 7) t(i)),
+h AS (SELECT c.doc_id, arg_min(c.path, c.pos) AS target FROM c JOIN f ON f.path = c.path GROUP BY c.doc_id)
+SELECT s.doc_id, h.target FROM s LEFT JOIN h ON h.doc_id = s.doc_id""")
+def import_probes(spark, sf_dir):
+    from .operators.resolve import probe
+
+    i = F.col("doc_id")
+    docs, k = table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / 4).cast("string")
+    name = F.when(i % 4 == 0, F.concat(F.lit("m"), k, F.lit(".ts"))).when(i % 4 == 1, F.concat(F.lit("m"), k, F.lit(".js"))).when(i % 4 == 2, F.concat(F.lit("m"), k, F.lit("/index.tsx"))).otherwise(F.concat(F.lit("n"), k, F.lit(".mts")))
+    base = F.when(i % 3 == 0, F.concat(F.lit("m"), k)).when(i % 3 == 1, F.concat(F.lit("m"), k, F.lit(".js"))).otherwise(F.concat(F.lit("n"), k, F.lit(".mjs")))
+    files = docs.select(F.lit("r").alias("repositoryId"), name.alias("path")).distinct()
+    return probe(docs.select(F.lit("r").alias("repositoryId"), "doc_id", F.array(base).alias("bases")), files, ["doc_id"]).select("doc_id", F.col("targetFilePath").alias("target"))
+
+
+def generated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TypeScript file a document: an import, two functions, two calls, and a manifest."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.agg(F.max("doc_id")).first()[0] + 1
+    i, j = F.col("doc_id"), (F.col("doc_id") * 7 + 1) % n
+    place = lambda x: F.concat(F.lit("d"), F.floor(x / 100).cast("string"), F.lit("/f"), x.cast("string"))
+    text = F.concat(
+        F.lit("import { fn"), j, F.lit(' } from "../'), place(j), F.lit('";\n\n/** Step '), i, F.lit(". */\nexport function fn"), i, F.lit("(): number {\n  return fn"), j, F.lit("();\n}\n\nexport function local"), i, F.lit("(): number {\n  return fn"), i, F.lit("();\n}\n"),
+    )
+    rows = docs.select("doc_id", F.concat(place(i), F.lit(".ts")).alias("path"), text.cast("binary").alias("content"))
+    root = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("package.json").alias("path"), F.lit('{"name": "generated"}').cast("binary").alias("content"))
+    return rows.unionByName(root).select(F.lit("r1").alias("repositoryId"), "path", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER ((doc_id * 7 + 1) % (SELECT max(doc_id) + 1 FROM documents) = doc_id) AS own FROM documents)
+SELECT 'CONTAINS' AS kind, 'RESOLVED' AS resolution, 2 * n AS edges FROM n UNION ALL SELECT 'EXPORTS', 'RESOLVED', 2 * n FROM n UNION ALL SELECT 'IMPORTS', 'RESOLVED', n FROM n
+UNION ALL SELECT 'CALLS', 'RESOLVED', 2 * n FROM n""")
+def index_generated(spark, sf_dir):
+    from .plans.index import build_index
+
+    return build_index(generated_entries(spark, sf_dir), "sha", cut=_cut).edges.groupBy("kind", "resolution").agg(F.count("*").alias("edges"))
+
+
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back in the shared folder; a private one only where the session names none."""
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    path = f"{folder.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query(None)
+def archive_entries(spark, sf_dir):
+    """Tars of generated sources, written and exploded again."""
+    import io
+    import tarfile
+
+    from .sources.archives import explode_archives
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode="w:gz") as tar:
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    info = tarfile.TarInfo(f"top/{path}")
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{batch.num_rows}.tar.gz"]), pa.array([out.getvalue()], pa.binary())], ["path", "content"])
+
+    packed = generated_entries(spark, sf_dir).select("path", "content").mapInArrow(pack, "path string, content binary")
+    return explode_archives(packed).select("path", "kind", "size", F.sha2("content", 256).alias("contentHash"), "skipReason")
+
+
+@query("""WITH d AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN 'installation' WHEN 1 THEN 'repository' WHEN 2 THEN 'installation_repositories' ELSE 'push' END AS e,
+  CASE event_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'renamed' WHEN 2 THEN 'removed' WHEN 3 THEN 'suspend' ELSE 'unarchived' END AS a FROM events)
+SELECT event_id AS "deliveryId", CASE WHEN (e = 'installation' AND a IN ('deleted', 'suspend')) OR (e = 'repository' AND a = 'deleted') OR (e = 'installation_repositories' AND a = 'removed') THEN 'ACCESS_LOST'
+  WHEN e = 'repository' AND a = 'renamed' THEN 'RENAME' WHEN e = 'repository' AND a = 'unarchived' THEN 'RESTORE' ELSE 'NONE' END AS effect FROM d""")
+def sync_effects(spark, sf_dir):
+    i = F.col("event_id")
+    event = F.when(i % 4 == 0, "installation").when(i % 4 == 1, "repository").when(i % 4 == 2, "installation_repositories").otherwise("push")
+    action = F.when(i % 5 == 0, "deleted").when(i % 5 == 1, "renamed").when(i % 5 == 2, "removed").when(i % 5 == 3, "suspend").otherwise("unarchived")
+    rows = table(spark, sf_dir, "events").select(i.alias("deliveryId"), event.alias("eventType"), action.alias("action"))
+    return ledger.sync_effects(rows).select("deliveryId", "effect")
+
+
+@query("""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://github.com/o' || page_id || '/r.git' WHEN 1 THEN 'http://github.com/o/r' WHEN 2 THEN url WHEN 3 THEN 'https://github.com/only' ELSE '' END AS url FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'o' || page_id END AS owner, CASE WHEN page_id % 5 = 0 THEN 'r' END AS name,
+  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'NOT_HTTPS' WHEN 2 THEN CASE WHEN starts_with(url, 'https://') THEN 'WRONG_HOST' ELSE 'NOT_HTTPS' END WHEN 3 THEN 'BAD_PATH' ELSE 'EMPTY' END AS error FROM u""")
+def repository_urls(spark, sf_dir):
+    i = F.col("page_id")
+    url = F.when(i % 5 == 0, F.concat(F.lit("https://github.com/o"), i, F.lit("/r.git"))).when(i % 5 == 1, "http://github.com/o/r").when(i % 5 == 2, F.col("url")).when(i % 5 == 3, "https://github.com/only").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", S.parse_repository_url(url).alias("u")).select("page_id", "u.*")
