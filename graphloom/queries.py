@@ -396,8 +396,8 @@ symbols AS (SELECT p_partkey AS id, p_partkey AS ordinal, 'f' || (p_partkey % 60
   'd' || (p_partkey % 7) || '/f' || (p_partkey % 400) || '.ts' AS filePath, 'pk' || (p_partkey % 3) AS packageName FROM part),
 sites AS (SELECT o_orderkey AS siteId, o_orderkey AS fromSymbolId, 'd' || (o_orderkey % 7) || '/f' || (o_orderkey % 400) || '.ts' AS filePath, 'pk' || (o_orderkey % 3) AS packageName,
   'f' || (o_custkey * 13 % 600) AS name FROM orders),
-imports AS (SELECT 'd' || (c_custkey % 7) || '/f' || (c_custkey % 400) || '.ts' AS filePath, c_custkey AS ordinal, 'f' || (c_custkey * 7 % 600) AS name, c_custkey % 5 = 0 AS isTypeOnly,
-  'd' || (c_custkey * 3 % 7) || '/f' || (c_custkey * 3 % 400) || '.ts' AS targetFilePath FROM customer)"""
+imports AS (SELECT 'd' || (o_orderkey % 7) || '/f' || (o_orderkey % 400) || '.ts' AS filePath, o_orderkey AS ordinal, 'f' || (o_custkey * 13 % 600) AS name, o_orderkey % 5 = 0 AS isTypeOnly,
+  'd' || (o_custkey * 13 % 600 % 7) || '/f' || (o_custkey * 13 % 600 % 400) || '.ts' AS targetFilePath FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
 @query(f"""WITH {SITES_SQL}, callable AS (SELECT * FROM symbols WHERE kind = 'FUNCTION'),
@@ -416,7 +416,7 @@ UNION ALL SELECT DISTINCT siteId, NULL, 'SKIPPED', CAST(NULL AS DOUBLE) FROM q W
 def call_ladder(spark, sf_dir):
     from .operators.resolve import resolve_names
 
-    views = [_view(spark, sf_dir, SITES_SQL, name, ("part", "customer", "orders")).withColumn("repositoryId", F.lit("r")) for name in ("symbols", "sites", "imports")]
+    views = [_view(spark, sf_dir, SITES_SQL, name, ("part", "orders")).withColumn("repositoryId", F.lit("r")) for name in ("symbols", "sites", "imports")]
     none = F.lit(None).cast("string")
     symbols = views[0].withColumn("parentSymbol", none)
     sites = views[1].withColumns({"receiver": none, "callerClass": none})
