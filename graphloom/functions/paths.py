@@ -94,10 +94,9 @@ def is_hard_ignored_directory(path: Column) -> Column:
 
 
 def _lookup(key: Column, groups: dict[str, tuple[str, ...]]) -> Column:
-    found = F.lit(None).cast("string")
-    for name, members in groups.items():
-        found = F.when(key.isin(*members), F.lit(name)).otherwise(found)
-    return found
+    """One map literal, folded once, instead of a branch for each member."""
+    pairs = [F.lit(x) for name, members in groups.items() for member in members for x in (member, name)]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def language(path: Column) -> Column:
