@@ -246,3 +246,18 @@ def ingest_stream(stream: DataFrame, targets: DataFrame, secret: str, folder: st
     """Run ``ingest_batch`` on each micro-batch of a streaming frame of deliveries."""
     writer = stream.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, targets, secret, folder)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def apply_connection_effects(repositories: DataFrame, effects: DataFrame) -> DataFrame:
+    """Next snapshot of the connection status after effects on installations or single repositories.
+
+    effects: installationId or githubRepoId (the other null), effect, receivedAt, deliveryId.
+    Losing and regaining access only move ACTIVE and ACCESS_LOST into each other, so the last
+    effect that meets a repository decides, and a DISCONNECTED one stays as it is.
+    """
+    moved = effects.where(F.col("effect").isin("ACCESS_LOST", "RESTORE"))
+    last = lambda key: moved.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("receivedAt", "deliveryId", "effect")).alias(f"_{key}"))
+    rows = repositories.join(last("installationId"), "installationId", "left").join(last("githubRepoId"), "githubRepoId", "left")
+    effect = F.greatest("_installationId", "_githubRepoId").getField("effect")
+    status = F.when(F.col("connectionStatus") == "DISCONNECTED", F.col("connectionStatus")).when(effect == "ACCESS_LOST", "ACCESS_LOST").when(effect == "RESTORE", "ACTIVE").otherwise(F.col("connectionStatus"))
+    return rows.withColumn("connectionStatus", status).select(*repositories.columns)
