@@ -33,7 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
     kept = materialize(kept, "kept")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(kept.where("copies = 1").select("kept_id"), same, "left_semi")
+    # the kept ids grow with the corpus, so they are never broadcast, however small they are here
+    once = docs.join(kept.where("copies = 1").select("kept_id").hint("merge"), same, "left_semi")
     again = kept.where("copies > 1").select("kept_id")
     if again.isEmpty():
         return once

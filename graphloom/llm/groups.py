@@ -12,6 +12,7 @@ Messages are packed arrays: (g, kind, b, n, payload, ids), one row a group and b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .hashing import column_bytes
 from .store import plan_bytes, whole_row
 
-GROUP_BYTES = 1 << 19  # by Catalyst's estimate for (doc_id, text); a few MB of text
-BUCKET_BYTES = 1 << 19
+GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20  # of the input's files
+MESSAGE_BYTES = 1 << 10  # of the input for each message; beyond it, groups and buckets grow
 NULL_ID = np.iinfo(np.int64).min  # a null id comes before all others
 MESSAGE = "g int, kind int, b int, n long, payload binary, ids array<long>"
 PACKED = "b int, g int, n long, payload binary"
@@ -39,10 +40,19 @@ def texts_of(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 def grouped(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, int]:
     """(doc_id, text[, row], g) and the number of buckets that suits the input; row: all columns but the text."""
-    texts = texts_of(docs, carry)
-    size = plan_bytes(texts)
-    groups = max(1, -(-size // GROUP_BYTES))
-    return texts.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")), max(1, -(-size // BUCKET_BYTES))
+    groups, buckets = layout(plan_bytes(docs))
+    return texts_of(docs, carry).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")), buckets
+
+
+def layout(size: int) -> tuple[int, int]:
+    """Numbers of groups and buckets for an input of so many bytes.
+
+    Every group may send a message to every bucket.  Past a certain input both grow with its
+    square root, so that there is one message for each MESSAGE_BYTES of input at most: 5 MB a
+    group at 30 GB, some 300 MB at 100 TB.
+    """
+    least = math.isqrt(size * MESSAGE_BYTES)
+    return tuple(max(1, -(-size // max(base, least))) for base in (GROUP_BYTES, BUCKET_BYTES))
 
 
 def copies(texts: DataFrame) -> DataFrame:

@@ -16,6 +16,13 @@ EMPTY = []
 def sizes(request, monkeypatch):
     monkeypatch.setattr(groups, "GROUP_BYTES", request.param[0])
     monkeypatch.setattr(groups, "BUCKET_BYTES", request.param[1])
+    monkeypatch.setattr(groups, "MESSAGE_BYTES", 1)
+
+
+def test_messages_grow_with_the_input():
+    for size in (10**9, 10**11, 10**13, 10**14):
+        n, b = groups.layout(size)
+        assert n * b <= 1.1 * size / groups.MESSAGE_BYTES + 1 and size / n < 4e8
 
 
 def stored(spark, tmp_path, data):
