@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE_COLUMNS = ("commitSha", "language", "contentHash", "sizeBytes", "lineCount", "packageName", "classification", "indexState", "skipReason", "isTest", "isGenerated", "updatedAt")
+PULL_REQUEST_COLUMNS = ("githubPrId", "headSha", "state", "isDraft")
+INSTALLATION_COLUMNS = ("accountLogin", "accountType", "userId", "suspendedAt")
 LOCKABLE = ("PENDING", "FAILED", "INDEXED")
 
 
@@ -37,6 +39,26 @@ def upsert_files(current: DataFrame, files: DataFrame) -> DataFrame:
     return upsert(current, files, ["repositoryId", "path"], FILE_COLUMNS)
 
 
+def upsert_pull_requests(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """By (repositoryId, number); ``changes`` has one row a key, the latest."""
+    return upsert(current, changes, ["repositoryId", "number"], PULL_REQUEST_COLUMNS)
+
+
+def upsert_installations(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """By installationId; the row goes to the user who synced it last."""
+    return upsert(current, changes, ["installationId"], INSTALLATION_COLUMNS)
+
+
+def update_installations(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot, changes without a row); never creates, never moves a row to another user."""
+    return update_if_exists(current, changes, ["installationId"], [c for c in INSTALLATION_COLUMNS if c != "userId"])
+
+
+def set_suspended(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """The suspension time alone, null to lift it."""
+    return update_from(current, changes, "installationId", ["suspendedAt"])
+
+
 def sweep_stale_files(files: DataFrame, repository_id: str, sha: str) -> tuple[DataFrame, DataFrame]:
     """(what stays, one row with the count of dropped rows)."""
     stale = (F.col("repositoryId") == repository_id) & (F.col("commitSha") != sha)

@@ -525,3 +525,238 @@ def repository_urls(spark, sf_dir):
     i = F.col("page_id")
     url = F.when(i % 5 == 0, F.concat(F.lit("https://github.com/o"), i, F.lit("/r.git"))).when(i % 5 == 1, "http://github.com/o/r").when(i % 5 == 2, F.col("url")).when(i % 5 == 3, "https://github.com/only").otherwise("")
     return table(spark, sf_dir, "pages").select("page_id", S.parse_repository_url(url).alias("u")).select("page_id", "u.*")
+
+
+# Views, jobs and accounts
+
+
+@query(f"""WITH {FILES_SQL}, {SYMBOLS_SQL}, {EDGES_SQL}, own AS (SELECT * FROM edges WHERE repositoryId = 'r1'),
+t AS (SELECT path, inboundEdgeCount FROM files WHERE repositoryId = 'r1' ORDER BY inboundEdgeCount DESC, path LIMIT 10),
+s AS (SELECT parseState, count(*) AS n FROM files WHERE repositoryId = 'r1' GROUP BY parseState), k AS (SELECT kind, count(*) AS n FROM own GROUP BY kind),
+u AS (SELECT rawSpecifier, count(*) AS n FROM own WHERE resolution = 'UNRESOLVED' GROUP BY rawSpecifier ORDER BY n DESC, rawSpecifier NULLS FIRST LIMIT 20)
+SELECT (SELECT count(*) FROM files WHERE repositoryId = 'r1') AS files, (SELECT count(*) FROM symbols WHERE repositoryId = 'r1') AS symbols, (SELECT count(*) FROM own) AS edges,
+  (SELECT string_agg(path || '=' || inboundEdgeCount, ';' ORDER BY inboundEdgeCount DESC, path) FROM t) AS "topFiles",
+  (SELECT string_agg(parseState || '=' || n, ';' ORDER BY parseState) FROM s) AS "parseStates", (SELECT string_agg(kind || '=' || n, ';' ORDER BY kind) FROM k) AS "edgesByKind",
+  (SELECT string_agg(rawSpecifier || '=' || n, ';' ORDER BY n DESC, rawSpecifier) FROM u) AS "topUnresolved" """)
+def knowledge_aggregates(spark, sf_dir):
+    found = graph.knowledge_aggregates(files(spark, sf_dir), symbols(spark, sf_dir), edges(spark, sf_dir), "r1")
+    pairs = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x[a], x[b].cast("string"))), ";")
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    return found.select(
+        "files", "symbols", "edges", pairs("topFiles", "path", "inboundEdgeCount").alias("topFiles"), pairs(entries("parseStates"), "key", "value").alias("parseStates"),
+        pairs(entries("edgesByKind"), "key", "value").alias("edgesByKind"), pairs("topUnresolved", "specifier", "count").alias("topUnresolved"),
+    )
+
+
+_HARD = "|".join(P.glob_regex(g) for g in P.HARD_IGNORE)
+ENTRIES_SQL = f"""{PATHS_SQL}, e AS (SELECT d.doc_id, 'r' || (d.doc_id % 2) AS repositoryId, p.path, d.text, regexp_matches(p.path, '{_HARD}') AS hard,
+  length(replace(d.text, chr(10), '')) AS plain, length(d.text) - length(replace(d.text, chr(10), '')) + CASE WHEN ends_with(d.text, chr(10)) THEN 0 ELSE 1 END AS lines
+  FROM documents d JOIN paths p ON p.doc_id = d.doc_id),
+i AS (SELECT repositoryId, hard, CASE WHEN strlen(text) > 524288 THEN 'SKIPPED_TOO_LARGE' WHEN length(text) > 0 AND plain > 500 * greatest(lines, 1) THEN 'SKIPPED_MINIFIED' END AS reason FROM e)"""
+
+
+def _entries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    rows = docs.join(_paths(spark, sf_dir), "doc_id")
+    return rows.select(F.concat(F.lit("r"), F.col("doc_id") % 2).alias("repositoryId"), "path", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+@query(f"""WITH {ENTRIES_SQL} SELECT repositoryId AS "repositoryId", count(*) AS "pathsConsidered", count(*) FILTER (hard) AS "hardIgnored", count(*) FILTER (NOT hard) AS "filesTotal",
+  count(*) FILTER (NOT hard AND reason IS NULL) AS "filesProcessed", count(*) FILTER (NOT hard AND reason IS NOT NULL) AS "filesSkipped", count(*) FILTER (hard) / count(*) AS "hardIgnoreRatio",
+  count(*) FILTER (hard) / count(*) > 0.5 AND count(*) > 100 AS "mostlyIgnored" FROM i GROUP BY repositoryId""")
+def inventory_summary(spark, sf_dir):
+    from .operators import inventory
+
+    rows = _entries(spark, sf_dir)
+    found = inventory.summary(rows, inventory.inventory(rows))
+    flags = graph.health_flags(F.col("hardIgnoreRatio"), F.col("pathsConsidered"), F.lit(0.0), F.lit(0))
+    return found.select("repositoryId", "pathsConsidered", "hardIgnored", "filesTotal", "filesProcessed", "filesSkipped", "hardIgnoreRatio", flags["mostlyIgnored"].alias("mostlyIgnored"))
+
+
+@query(f"""WITH {ENTRIES_SQL} SELECT repositoryId AS "repositoryId", reason AS "skipReason", count(*) AS files FROM i WHERE NOT hard AND reason IS NOT NULL GROUP BY ALL""")
+def skip_reasons(spark, sf_dir):
+    from .operators import inventory
+
+    return inventory.skip_reasons(inventory.inventory(_entries(spark, sf_dir)))
+
+
+@query(ORACLE_SQL["call_ladder"].replace("'METHOD'", "'INTERFACE'").replace("'FUNCTION'", "'CLASS'").replace("WHERE kind = 'CLASS'", "WHERE kind IN ('CLASS', 'INTERFACE')"))
+def heritage_ladder(spark, sf_dir):
+    from .operators.resolve import HERITAGE_KINDS, resolve_names
+
+    views = [_view(spark, sf_dir, SITES_SQL, name, ("part", "orders")).withColumn("repositoryId", F.lit("r")) for name in ("symbols", "sites", "imports")]
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("kind") == "METHOD", "INTERFACE").otherwise("CLASS")
+    symbols = views[0].withColumns({"parentSymbol": none, "kind": kind})
+    sites = views[1].withColumns({"receiver": none, "callerClass": none})
+    imports = views[2].withColumns({"named": F.array("name"), "default": none, "namespace": none})
+    mode = spark.range(1).select(F.lit("r").alias("repositoryId"), F.lit(False).alias("perPackage"))
+    return resolve_names(sites, symbols, imports, mode, HERITAGE_KINDS, HERITAGE_KINDS).select("siteId", F.col("toSymbolId").cast("string").alias("toSymbolId"), "rule", "confidence")
+
+
+JOB_EVENTS_SQL = """
+jobEvents AS (SELECT o_orderkey AS jobId, l_linenumber AS seq, l_shipdate AS "at", CASE WHEN l_linenumber = 1 THEN 'CREATED' WHEN l_linenumber = 2 THEN 'RETRIED' WHEN l_linenumber < 6 THEN 'PROGRESS'
+    WHEN o_orderkey % 3 = 0 THEN 'SUCCEEDED' WHEN o_orderkey % 3 = 1 THEN 'UNCHANGED' ELSE 'FAILED' END AS event,
+  'r' || o_custkey AS repositoryId, 'FULL' AS mode, 'run' || o_orderkey AS runId, CASE WHEN l_linenumber BETWEEN 3 AND 5 THEN 'step' || l_linenumber END AS step,
+  CASE WHEN l_linenumber BETWEEN 3 AND 5 THEN CAST(10 * l_linenumber AS INTEGER) END AS progressPercent, CASE WHEN l_linenumber = 3 THEN 'sha' || o_custkey END AS targetCommitSha,
+  CAST(NULL AS VARCHAR(9)) AS previousCommitSha, CASE WHEN l_linenumber >= 6 THEN 'REPO_TOO_LARGE' END AS code, CASE WHEN l_linenumber >= 6 THEN 'm' || l_linenumber END AS message,
+  CASE WHEN l_linenumber IN (4, 6) THEN l_partkey END AS filesTotal, CASE WHEN l_linenumber = 4 THEN l_suppkey END AS filesProcessed, CASE WHEN l_linenumber = 5 THEN l_suppkey END AS filesSkipped,
+  CASE WHEN l_linenumber = 6 AND o_orderkey % 3 = 0 THEN l_partkey END AS symbolsCreated, CASE WHEN l_linenumber = 6 AND o_orderkey % 3 = 0 THEN l_suppkey END AS edgesCreated
+  FROM (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+@query(f"""WITH {JOB_EVENTS_SQL}
+SELECT jobId AS "jobId", min(repositoryId) AS "repositoryId", CASE WHEN max(seq) < 6 THEN 'RUNNING' WHEN min(jobId) % 3 = 2 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+  max(targetCommitSha) AS "targetCommitSha", CAST(coalesce(arg_max(filesTotal, seq) FILTER (filesTotal IS NOT NULL), 0) AS BIGINT) AS "filesTotal", CAST(coalesce(max(filesProcessed), 0) AS BIGINT) AS "filesProcessed",
+  CAST(coalesce(max(symbolsCreated), 0) AS BIGINT) AS "symbolsCreated",
+  CASE WHEN max(seq) < 3 THEN 'acquire-lock' WHEN max(seq) < 6 THEN 'step' || max(seq) WHEN min(jobId) % 3 = 0 THEN 'completed' WHEN min(jobId) % 3 = 1 THEN 'no-op-already-indexed' ELSE 'failed' END AS "currentStep",
+  CAST(CASE WHEN max(seq) < 3 THEN 0 WHEN max(seq) < 6 THEN 10 * max(seq) WHEN min(jobId) % 3 = 2 THEN coalesce(max(progressPercent), 0) ELSE 100 END AS INTEGER) AS "progressPercent",
+  CASE WHEN max(seq) >= 6 AND min(jobId) % 3 = 2 THEN 'REPO_TOO_LARGE' END AS code, CAST(1 + count(*) FILTER (event = 'RETRIED') AS INTEGER) AS attempts, min("at") FILTER (seq = 1) AS "startedAt", arg_max("at", seq) FILTER (seq >= 6) AS "completedAt"
+FROM jobEvents GROUP BY jobId HAVING min(seq) = 1""")
+def job_lifecycle(spark, sf_dir):
+    from .operators.jobs import fold_jobs
+
+    sql = JOB_EVENTS_SQL.replace("VARCHAR(9)", "STRING").replace('"at"', "`at`").replace("JOIN orders", "JOIN {t_orders}")
+    found = fold_jobs(_view(spark, sf_dir, sql, "jobEvents", ("lineitem", "orders")))
+    return found.select(
+        "jobId", "repositoryId", "status", "targetCommitSha", F.col("filesTotal").cast("long").alias("filesTotal"), F.col("filesProcessed").cast("long").alias("filesProcessed"), F.col("symbolsCreated").cast("long").alias("symbolsCreated"),
+        "currentStep", "progressPercent", F.get_json_object("error", "$.code").alias("code"), F.col("attempts").cast("int").alias("attempts"), "startedAt", "completedAt",
+    )
+
+
+@query("""WITH t AS (SELECT event_id % 3000 AS d, event_id, ts, CASE event_id % 4 WHEN 0 THEN 'PAYLOAD' WHEN 1 THEN 'DISPATCHED' WHEN 2 THEN 'IGNORED' ELSE 'FAILED' END AS k FROM events WHERE event_id % 5 <> 0),
+l AS (SELECT DISTINCT event_id % 3000 AS d FROM events),
+a AS (SELECT d, arg_max(k, event_id) FILTER (k <> 'PAYLOAD') AS s, arg_max(ts, event_id) FILTER (k = 'DISPATCHED') AS "at", arg_max('p' || event_id, event_id) FILTER (k IN ('DISPATCHED', 'PAYLOAD')) AS p,
+  arg_max(CASE k WHEN 'IGNORED' THEN 'R' || event_id ELSE 'C' || event_id END, event_id) FILTER (k IN ('IGNORED', 'FAILED')) AS e FROM t GROUP BY d)
+SELECT l.d AS "deliveryId", coalesce(a.s, 'PENDING') AS status, a."at" AS "dispatchedAt", a.p AS "dispatchPayload", a.e AS error FROM l LEFT JOIN a ON a.d = l.d""")
+def ledger_transitions(spark, sf_dir):
+    i = F.col("event_id")
+    events = table(spark, sf_dir, "events")
+    to = F.when(i % 4 == 0, "PAYLOAD").when(i % 4 == 1, "DISPATCHED").when(i % 4 == 2, "IGNORED").otherwise("FAILED")
+    moves = events.where(i % 5 != 0).select(
+        (i % 3000).alias("deliveryId"), i.alias("seq"), F.col("ts").alias("at"), to.alias("to"), F.concat(F.lit("p"), i).alias("payload"), F.concat(F.lit("R"), i).alias("reason"), F.concat(F.lit("C"), i).alias("code"), F.lit("m").alias("message")
+    )
+    none = F.lit(None).cast("string")
+    rows = events.select((i % 3000).alias("deliveryId")).distinct().withColumns({"status": F.lit("PENDING"), "dispatchedAt": F.lit(None).cast(events.schema["ts"].dataType), "dispatchPayload": none, "error": none})
+    return ledger.apply_transitions(rows, moves).withColumn("error", F.coalesce(F.get_json_object("error", "$.reason"), F.get_json_object("error", "$.code")))
+
+
+@query(f"""WITH {REPOSITORIES_SQL}, {DELIVERIES_SQL}, t AS (SELECT r.id, r.githubRepoId FROM repositories r JOIN projects p ON p.id = r.projectId WHERE r.connectionStatus <> 'DISCONNECTED' AND p.deletedAt IS NULL),
+c AS (SELECT t.id AS repositoryId, d.deliveryId % 50 AS number, arg_max(d.deliveryId, (d.receivedAt, d.deliveryId)) AS last FROM deliveries d JOIN t ON t.githubRepoId = d.repo GROUP BY ALL),
+o AS (SELECT id AS repositoryId, 7 AS number FROM repositories WHERE id % 3 = 0)
+SELECT coalesce(c.repositoryId, o.repositoryId) AS "repositoryId", CAST(coalesce(c.number, o.number) AS BIGINT) AS number, coalesce(c.last, -1) AS "githubPrId",
+  coalesce('h' || (c.last % 11), 'old') AS "headSha", coalesce(c.last % 5 = 0, false) AS "isDraft" FROM c FULL JOIN o ON o.repositoryId = c.repositoryId AND o.number = c.number""")
+def pull_request_upsert(spark, sf_dir):
+    repos = repositories(spark, sf_dir)
+    deliveries = _deliveries(spark, sf_dir)
+    routed = ledger.route_pull_requests(deliveries, ledger.tenants(repos, projects(spark, sf_dir)))
+    current = repos.where("id % 3 = 0").select(F.col("id").alias("repositoryId"), F.lit(7).cast("long").alias("number"), F.lit(-1).cast("long").alias("githubPrId"), F.lit("old").alias("headSha"), F.lit("open").alias("state"), F.lit(False).alias("isDraft"))
+    return state.upsert_pull_requests(current, ledger.latest_pull_requests(routed, deliveries)).select("repositoryId", "number", "githubPrId", "headSha", "isDraft")
+
+
+ACCOUNTS_SQL = """
+installations AS (SELECT c_custkey AS installationId, 'Owner' || (c_custkey % 40) AS accountLogin, 'User' AS accountType, 'u' || (c_custkey % 5) AS userId, CAST(NULL AS DATE) AS suspendedAt FROM customer),
+changes AS (SELECT s_suppkey * 3 AS installationId, 'owner-new' || s_suppkey AS accountLogin, 'Organization' AS accountType, 'u9' AS userId, CASE WHEN s_suppkey % 2 = 0 THEN DATE '2024-01-02' END AS suspendedAt FROM supplier)"""
+
+
+def _accounts(spark, sf_dir, name):
+    return _view(spark, sf_dir, ACCOUNTS_SQL, name, ("customer", "supplier"))
+
+
+@query(f"""WITH {ACCOUNTS_SQL}, u AS (SELECT coalesce(c.installationId, i.installationId) AS id, coalesce(c.accountLogin, i.accountLogin) AS login, coalesce(c.userId, i.userId) AS usr, CASE WHEN c.installationId IS NULL THEN i.suspendedAt ELSE c.suspendedAt END AS s
+  FROM installations i FULL JOIN changes c ON c.installationId = i.installationId),
+m AS (SELECT i.installationId AS id, coalesce(c.accountLogin, i.accountLogin) AS login, i.userId AS usr, CASE WHEN c.installationId IS NULL THEN i.suspendedAt ELSE c.suspendedAt END AS s FROM installations i LEFT JOIN changes c ON c.installationId = i.installationId)
+SELECT 'UPSERT' AS how, CAST(id AS VARCHAR) AS "installationId", login AS "accountLogin", usr AS "userId", s IS NOT NULL AS suspended FROM u UNION ALL SELECT 'UPDATE', CAST(id AS VARCHAR), login, usr, s IS NOT NULL FROM m
+UNION ALL SELECT 'NOT_FOUND', CAST(installationId AS VARCHAR), accountLogin, userId, suspendedAt IS NOT NULL FROM changes WHERE installationId NOT IN (SELECT installationId FROM installations)""")
+def installation_changes(spark, sf_dir):
+    current, changes = _accounts(spark, sf_dir, "installations"), _accounts(spark, sf_dir, "changes")
+    updated, missing = state.update_installations(current, changes)
+    parts = (("UPSERT", state.upsert_installations(current, changes)), ("UPDATE", updated), ("NOT_FOUND", missing))
+    shown = [rows.select(F.lit(how).alias("how"), F.col("installationId").cast("string").alias("installationId"), "accountLogin", "userId", F.col("suspendedAt").isNotNull().alias("suspended")) for how, rows in parts]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
+@query(f"""WITH {ACCOUNTS_SQL}, q AS (SELECT o_orderkey AS id, 'u' || (o_custkey % 6) AS userId, CASE WHEN o_orderkey % 4 IN (0, 2) THEN CASE WHEN o_orderkey % 16 = 0 THEN 'ftp://x' ELSE 'https://github.com/OWNER' || (o_orderkey % 45) || '/repo' END END AS url,
+  CASE WHEN o_orderkey % 4 IN (1, 2) THEN o_custkey END AS repo FROM orders),
+v AS (SELECT c_custkey % 300 AS installationId, c_custkey AS githubRepoId, 'o' || c_custkey AS owner FROM customer),
+h AS (SELECT q.id, i.accountLogin, i.installationId, 'OWNER' || (q.id % 45) AS owner, 'repo' AS name FROM q JOIN installations i ON i.userId = q.userId AND lower(i.accountLogin) = 'owner' || (q.id % 45) WHERE q.url LIKE 'https%' AND q.repo IS NULL
+  UNION ALL SELECT q.id, i.accountLogin, i.installationId, v.owner, 'n' FROM q JOIN installations i ON i.userId = q.userId JOIN v ON v.installationId = i.installationId AND v.githubRepoId = q.repo WHERE q.url IS NULL),
+m AS (SELECT id, min((accountLogin, installationId, owner, name)) AS x FROM h GROUP BY id)
+SELECT q.id AS "requestId", x[2] AS "installationId", x[3] AS owner, x[4] AS name, CASE WHEN (q.url IS NULL) = (q.repo IS NULL) THEN 'EXACTLY_ONE_TARGET' WHEN q.url LIKE 'ftp%' THEN 'INVALID_URL' WHEN x IS NULL THEN 'NO_ACCESS' END AS error
+FROM q LEFT JOIN m ON m.id = q.id""")
+def connect_targets(spark, sf_dir):
+    from .operators import listing
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    url = F.when(k % 16 == 0, "ftp://x").otherwise(F.concat(F.lit("https://github.com/OWNER"), k % 45, F.lit("/repo")))
+    asked = table(spark, sf_dir, "orders").select(k.alias("requestId"), F.concat(F.lit("u"), c % 6).alias("userId"), F.when((k % 4).isin(0, 2), url).alias("repoUrl"), F.when((k % 4).isin(1, 2), c).alias("githubRepoId"))
+    c = F.col("c_custkey")
+    visible = table(spark, sf_dir, "customer").select((c % 300).alias("installationId"), c.alias("githubRepoId"), F.concat(F.lit("o"), c).alias("owner"), F.lit("n").alias("name"))
+    return listing.connect_targets(asked, _accounts(spark, sf_dir, "installations"), visible)
+
+
+@query("""SELECT event_id AS "deliveryId", ts AS "createdAt" FROM events WHERE 'o/r' || (user_id % 20) = 'o/r3' ORDER BY ts DESC, event_id DESC LIMIT 15""")
+def recent_deliveries(spark, sf_dir):
+    from .operators import listing
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("deliveryId"), F.col("ts").alias("createdAt"), F.concat(F.lit("o/r"), F.col("user_id") % 20).alias("repositoryFullName"))
+    return listing.recent_deliveries(rows, "o/r3").select("deliveryId", "createdAt")
+
+
+@query(f"""WITH {REPOSITORIES_SQL} SELECT id, CAST(installationId AS VARCHAR) AS "installationId", CAST(githubRepoId AS VARCHAR) AS "githubRepoId", connectionStatus AS "connectionStatus", strftime(updatedAt, '%Y-%m-%dT%H:%M:%S.000Z') AS "createdAt"
+FROM repositories WHERE projectId = 11 AND connectionStatus <> 'DISCONNECTED' ORDER BY updatedAt DESC, id DESC""")
+def repository_list(spark, sf_dir):
+    from .operators import listing
+
+    rows = repositories(spark, sf_dir).withColumnRenamed("updatedAt", "createdAt")
+    return listing.repository_view(listing.repositories_of(rows, 11)).select("id", "installationId", "githubRepoId", "connectionStatus", "createdAt")
+
+
+@query(f"""WITH {ACCOUNTS_SQL} SELECT CAST(installationId AS VARCHAR) AS "installationId", accountLogin AS "accountLogin", suspendedAt IS NOT NULL AS suspended FROM changes WHERE userId = 'u9' ORDER BY accountLogin, changes.installationId""")
+def installation_list(spark, sf_dir):
+    from .operators import listing
+
+    return listing.installation_view(listing.installations_of(_accounts(spark, sf_dir, "changes"), "u9")).select("installationId", "accountLogin", "suspended")
+
+
+@query("""WITH t AS (SELECT 'u' || (o_orderkey % 3) AS userId, CASE WHEN o_orderkey % 2 = 0 THEN 'app' || (o_custkey % 50) ELSE 'app' || (o_custkey % 50) || '-' || (o_orderkey % 60) END AS slug FROM orders),
+w AS (SELECT c_custkey AS key, 'u' || (c_custkey % 4) AS userId, 'app' || (c_custkey % 60) AS base FROM customer),
+n AS (SELECT userId, regexp_replace(slug, '-[0-9]+$', '') AS base, max(TRY_CAST(regexp_extract(slug, '-([0-9]+)$', 1) AS INTEGER)) AS n, count(*) FILTER (slug NOT LIKE '%-%') AS same FROM t GROUP BY ALL)
+SELECT w.key, CASE WHEN coalesce(n.same, 0) = 0 THEN w.base ELSE w.base || '-' || (greatest(coalesce(n.n, 1), 1) + 1) END AS slug FROM w LEFT JOIN n ON n.userId = w.userId AND n.base = w.base""")
+def free_slugs(spark, sf_dir):
+    from .operators import listing
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 50
+    slug = F.when(k % 2 == 0, F.concat(F.lit("app"), c)).otherwise(F.concat(F.lit("app"), c, F.lit("-"), k % 60))
+    taken = table(spark, sf_dir, "orders").select(F.concat(F.lit("u"), k % 3).alias("userId"), slug.alias("slug"))
+    c = F.col("c_custkey")
+    wanted = table(spark, sf_dir, "customer").select(c.alias("key"), F.concat(F.lit("u"), c % 4).alias("userId"), F.concat(F.lit("app"), c % 60).alias("base"))
+    return listing.free_slugs(wanted, taken)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'UNSUPPORTED_MODE' WHEN o_orderkey % 5 = 0 THEN 'RATE_LIMITED' WHEN o_orderkey % 3 = 0 THEN 'ALREADY_INDEXING' END AS refusal,
+  CASE WHEN o_custkey % 4 = 0 THEN 'EMPTY_REPOSITORY' WHEN o_custkey * 1000 > 512000 THEN 'REPOSITORY_TOO_LARGE' WHEN o_custkey % 4 = 1 THEN 'DEFAULT_BRANCH_UNRESOLVABLE' END AS unusable,
+  CASE o_orderkey % 6 WHEN 0 THEN 'UNAUTHENTICATED' WHEN 1 THEN 'NOT_ACCESSIBLE' WHEN 2 THEN 'NOT_ACCESSIBLE' ELSE 'UNAVAILABLE' END AS failure FROM orders""")
+def connect_policies(spark, sf_dir):
+    from .functions import policy
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    refusal = policy.index_refusal(F.when(k % 7 == 0, "INCREMENTAL").otherwise("FULL"), k % 5 != 0, F.when(k % 3 == 0, "INDEXING").otherwise("INDEXED"))
+    unusable = policy.unusable_reason(F.when(c % 4 == 0, 0).otherwise(c * 1000), F.when(c % 4 != 1, "main"), F.lit("EMPTY"))
+    failure = policy.failure_reason(F.when(k % 6 == 0, 401).when(k % 6 == 1, 404).when(k % 6 < 4, 403).otherwise(500), k % 6 == 3)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), refusal.alias("refusal"), unusable.alias("unusable"), failure.alias("failure"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'REPO_TOO_LARGE: big: ' || event_id WHEN 1 THEN 'ODD: x' WHEN 2 THEN 'no code' WHEN 3 THEN 'UNSAFE_ARCHIVE: ' ELSE 'UNKNOWN: ' || event_type END AS m FROM events)
+SELECT event_id, CASE WHEN event_id % 5 IN (1, 2) THEN 'UNKNOWN' ELSE split_part(m, ': ', 1) END AS code, CASE event_id % 5 WHEN 0 THEN 'big: ' || event_id WHEN 1 THEN m WHEN 2 THEN m WHEN 3 THEN '' ELSE split_part(m, ': ', 2) END AS message,
+  CASE event_id % 5 WHEN 0 THEN '@s/p' WHEN 1 THEN NULL WHEN 2 THEN 'lib' ELSE 'lib' || (event_id % 7) END AS package, CASE event_id % 5 WHEN 0 THEN 'a/b' WHEN 1 THEN NULL WHEN 2 THEN '' ELSE 'x' END AS subpath,
+  CASE event_id % 5 WHEN 0 THEN 'PATH_CONVENTION' WHEN 2 THEN 'FRAMEWORK_IMPORT' WHEN 3 THEN 'FRAMEWORK_IMPORT' END AS test FROM e""")
+def specifier_and_error_codes(spark, sf_dir):
+    i = F.col("event_id")
+    nth = lambda *values: F.when(i % 5 == 0, values[0]).when(i % 5 == 1, values[1]).when(i % 5 == 2, values[2]).when(i % 5 == 3, values[3]).otherwise(values[4])
+    message = nth(F.concat(F.lit("REPO_TOO_LARGE: big: "), i), F.lit("ODD: x"), F.lit("no code"), F.lit("UNSAFE_ARCHIVE: "), F.concat(F.lit("UNKNOWN: "), F.col("event_type")))
+    numbered = F.concat(F.lit("lib"), i % 7, F.lit("/x"))
+    bare = S.split_bare_specifier(nth(F.lit("@s/p/a/b"), F.lit("@s"), F.lit("lib"), numbered, numbered))
+    signal = P.test_signal(nth(F.lit("a/x.test.ts"), *[F.lit("a/x.ts")] * 4), nth(F.array(F.lit("react")), F.array(F.lit("react")), F.array(F.lit("a"), F.lit("vitest")), F.array(F.lit("@testing-library/dom")), F.array(F.lit("x"))))
+    error = S.parse_error(message)
+    return table(spark, sf_dir, "events").select("event_id", error["code"].alias("code"), error["message"].alias("message"), bare["packageName"].alias("package"), bare["subpath"].alias("subpath"), signal.alias("test"))

@@ -68,6 +68,7 @@ DOMAINS: dict[str, tuple[str, ...]] = {
     "SymbolKind": ("FUNCTION", "ARROW_FUNCTION", "CLASS", "METHOD", "INTERFACE", "TYPE_ALIAS", "ENUM", "REACT_COMPONENT", "HOOK", "VARIABLE"),
     "WebhookEventStatus": ("PENDING", "DISPATCHED", "IGNORED", "FAILED"),
     "PullRequestState": ("open", "closed"),
+    "ConnectionStatus": ("ACTIVE", "ACCESS_LOST", "DISCONNECTED"),
 }
 
 

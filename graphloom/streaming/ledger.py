@@ -210,6 +210,30 @@ def stale_repositories(repositories: DataFrame, now: Column) -> DataFrame:
     return repositories.where((F.col("indexStatus") == "PENDING") & (F.col("updatedAt") < now - F.make_dt_interval(secs=F.lit(float(STALE_INDEX_AGE)))))
 
 
+def apply_transitions(ledger: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Next snapshot of the ledger after (deliveryId, seq, at, to, payload, reason, code, message).
+
+    to: DISPATCHED, IGNORED or FAILED, or PAYLOAD, which only keeps what is to be sent.  What a
+    transition does not set stays as it is; the last by seq decides.
+    """
+    to, seq = F.col("to"), F.col("seq")
+    moved = F.when(to != "PAYLOAD", seq)
+    error = F.when(to == "IGNORED", F.to_json(F.struct("reason"))).when(to == "FAILED", F.to_json(F.struct("code", "message")))
+    last = transitions.groupBy("deliveryId").agg(
+        F.max_by(to, moved).alias("_status"), F.max_by("at", F.when(to == "DISPATCHED", seq)).alias("_at"),
+        F.max_by("payload", F.when(to.isin("DISPATCHED", "PAYLOAD"), seq)).alias("_payload"), F.max_by(error, F.when(to.isin("IGNORED", "FAILED"), seq)).alias("_error"),
+    )
+    new = {"status": "_status", "dispatchedAt": "_at", "dispatchPayload": "_payload", "error": "_error"}
+    rows = ledger.join(last, "deliveryId", "left").withColumns({c: F.coalesce(n, c) for c, n in new.items()})
+    return rows.select(*ledger.columns)
+
+
+def new_events(events: DataFrame, outbox: DataFrame | None) -> DataFrame:
+    """Events that were not sent yet, one of each prKey: sending them again is harmless."""
+    once = events.groupBy("prKey").agg(F.min(F.struct(*(c for c in events.columns if c != "prKey"))).alias("e")).select("prKey", "e.*").select(*events.columns)
+    return once if outbox is None else once.join(outbox.select("prKey"), "prKey", "left_anti").select(*events.columns)
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
