@@ -129,3 +129,14 @@ def skip_histogram(entries: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
+
+
+def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """Regular files below a folder as (path, size[, content]), paths relative to it.
+
+    Without ``content`` only the listing is read, which is enough to count what is ignored.
+    """
+    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    at = F.instr("path", place) + len(place)
+    return rows.select(F.substring(F.col("path"), at, F.length("path")).alias("path"), F.col("length").alias("size"), *(["content"] if content else []))
