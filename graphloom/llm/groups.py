@@ -12,6 +12,7 @@ Messages are packed arrays: (g, kind, b, n, payload, ids), one row a group and b
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,7 @@ MESSAGE = "g int, kind int, b int, n long, payload binary, ids array<long>"
 PACKED = "b int, g int, n long, payload binary"
 PACKED_SCHEMA = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
 MESSAGE_SCHEMA = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64()))])
-COPIES = 0  # the kind of message that lists a group's later copies
+COPIES = 0  # the kind of message that lists a group's repeated texts
 
 
 def texts_of(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -56,27 +57,38 @@ def layout(size: int) -> tuple[int, int]:
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """Messages with the ids of texts that equal a text of smaller id, by 128-bit digests."""
-    digests = texts.select("doc_id", "g", F.md5(F.col("text").cast("binary")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    later = digests.withColumnRenamed("g", "to").join(first, "digest").where("doc_id > rep")
-    return later.groupBy("to").agg(F.collect_list("doc_id").alias("ids")).select(  # a group's own ids: bounded
-        F.col("to").alias("g"), F.lit(COPIES).alias("kind"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("payload"), "ids"
+    """Messages with the 128-bit digests of a group's texts that occur again anywhere, and the least id of each.
+
+    Rows are counted by digest and group before they meet by digest: a text in a third of all
+    rows is one row a group there.
+    """
+    own = texts.select("g", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).groupBy("digest", "g").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    again = own.groupBy("digest").agg(F.min("least").alias("rep"), F.sum("n").alias("n")).where("n > 1").select("digest", "rep")
+    known = own.select("digest", F.col("g").alias("to")).join(again, "digest")
+    return known.groupBy("to").agg(F.collect_list(F.struct("digest", "rep")).alias("c")).select(  # a group's own digests: bounded
+        F.col("to").alias("g"), F.lit(COPIES).alias("kind"), F.lit(0).alias("b"), F.size("c").cast("long").alias("n"), F.unhex(F.array_join("c.digest", "")).alias("payload"), F.col("c.rep").alias("ids")
     )
 
 
 class Texts:
-    """The texts of a group in ascending order of ids, and which are later copies."""
+    """The texts of a group in ascending order of ids; the least id with each text, and which are later copies."""
 
     def __init__(self, table: pa.Table, messages: pa.Table):
         self.table = table = table.sort_by("doc_id") if table.num_rows else table
         self.ids = table.column("doc_id").to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64)
         self.g = int(table.column("g")[0].as_py()) if table.num_rows else -1
         self.buf, self.offsets = column_bytes(table.column("text"))
-        self.copy = np.zeros(len(self.ids), bool)
-        for kind, ids in zip(messages.column("kind").to_pylist(), messages.column("ids"), strict=True):
+        known: dict[bytes, int] = {}
+        for kind, payload, ids in zip(messages.column("kind").to_pylist(), messages.column("payload"), messages.column("ids"), strict=True):
             if kind == COPIES:
-                self.copy |= np.isin(self.ids, np.asarray(ids.as_py(), np.int64))
+                digests = payload.as_py()
+                known |= {digests[16 * k : 16 * k + 16]: rep for k, rep in enumerate(ids.as_py())}
+        self.least = self.ids.copy()
+        if known:
+            for d in range(len(self.ids)):
+                text = self.buf[self.offsets[d] : self.offsets[d + 1]]
+                self.least[d] = known.get(hashlib.md5(text, usedforsecurity=False).digest(), self.ids[d])
+        self.copy = self.ids > self.least
 
     def __len__(self) -> int:
         return len(self.ids)

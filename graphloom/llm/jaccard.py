@@ -102,7 +102,7 @@ def _send_prefixes(size: int, percent: int, buckets: int):
     return run
 
 
-BASE = "doc_id long, g int, n long, tokens binary"
+BASE = "doc_id long, g int, n long, first long, tokens binary"
 
 
 def _keep_sets(size: int, percent: int, buckets: int):
@@ -120,7 +120,7 @@ def _keep_sets(size: int, percent: int, buckets: int):
         met = np.bincount(owner[np.isin(keys, np.concatenate(repeated))], minlength=len(own))
         hit = (own.n > 0) & (met >= met_length(own.n, percent))
         tokens = [own.sets[d].tobytes() if hit[d] else None for d in range(len(own))]
-        return pa.table({"doc_id": own.ids, "g": pa.array([own.g] * len(own), pa.int32()), "n": own.n, "tokens": pa.array(tokens, pa.binary())})
+        return pa.table({"doc_id": own.ids, "g": pa.array([own.g] * len(own), pa.int32()), "n": own.n, "first": own.least, "tokens": pa.array(tokens, pa.binary())})
 
     return run
 
@@ -458,13 +458,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     labels = _links(suspects, coarse, percent, block_sets)
 
     # a document stands for its text's first copy, that for its set's first document, that for its component
-    digests = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
-    copied = digests.join(firsts, "digest").where("doc_id > first").select("doc_id", "first").distinct()
     alike = held.join(same.where("k > 1"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("first"), "rep").distinct()
     named = (
-        base.select("doc_id", "n").join(copied, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
-        .join(alike, "first", "left").withColumn("rep", F.coalesce("rep", "first"))
+        base.select("doc_id", "n", "first").join(alike, "first", "left").withColumn("rep", F.coalesce("rep", "first"))
         .join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
         .withColumn("component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep")))
     )
