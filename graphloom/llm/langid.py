@@ -155,7 +155,8 @@ def train(docs: DataFrame, eligible: Column) -> Model:
     if not chosen:
         return build({})
     most = 16 * ROW_SYMBOLS  # enough raw text for a row's symbols; it bounds what the driver gets
-    rows = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring(F.lower("text"), 1, most).alias("t")).collect()
+    # one text an id, the least: rows that repeat an id add nothing to what the driver gets
+    rows = labelled.where(F.col("doc_id").isin(chosen)).groupBy("lang", "doc_id", F.xxhash64("doc_id").alias("h")).agg(F.min(F.substring(F.lower("text"), 1, most)).alias("t")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.t)):
         raw = np.frombuffer(r.t.encode(), np.uint8)
