@@ -19,6 +19,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+STRETCH = 1024  # turn numbers that are put in order together
+
+
+def numbered(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, seq): turns numbered from 1 in each conversation.
+
+    A stretch of turn numbers is sorted by itself, and its turns count on from those of the
+    stretches before it, so the longest conversation is dealt over as many tasks as it has
+    stretches.  A struct key makes nulls equal, for the join as for the grouping.
+    """
+    key = F.struct("conv_id", F.floor(F.col("turn") / STRETCH).alias("stretch"))
+    turns = conversations.select("conv_id", "turn", "role", "text", key.alias("key"))
+    earlier = Window.partitionBy("key.conv_id").orderBy(F.col("key.stretch").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = turns.groupBy("key").agg(F.count("*").alias("n")).select("key", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    nth = turns.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+    return nth.join(counts, "key").select("conv_id", "turn", "role", "text", (F.col("nth") + F.col("before")).alias("seq"))
 
 
 def rotate_perspectives(conversations: DataFrame, max_turns: int = 4096, context_roles: Sequence[str] = ("system",)) -> DataFrame:
@@ -27,11 +44,9 @@ def rotate_perspectives(conversations: DataFrame, max_turns: int = 4096, context
     ``mask`` has one 0 or 1 a turn; ``spans`` lists the masked code-point ranges of
     ``rendered`` as ``start-end`` joined by commas.  A conversation of more than
     ``max_turns`` turns is rendered in consecutive parts, so no row or aggregation buffer
-    grows with the longest conversation; the numbering itself is a spilling sort.
+    grows with the longest conversation, and no task sorts a whole one.
     """
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
-    turns = turns.select(
+    turns = numbered(conversations).select(
         "conv_id", "seq", F.floor((F.col("seq") - 1) / max_turns).cast("long").alias("part"),
         F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("said"),
     )

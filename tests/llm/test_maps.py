@@ -275,7 +275,9 @@ def test_media_damage_is_noticed():
 # Chat
 
 
-def test_chat_equals_sql(spark):
+@pytest.mark.parametrize("stretch", [1024, 2])
+def test_chat_equals_sql(spark, monkeypatch, stretch):
+    monkeypatch.setattr(chat, "STRETCH", stretch)
     data = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes?\nno"), (1, 2, "user", None), (1, 2, "user", "tie"), (1, 2, "user", "tie"), (2, 0, "system", "only"),
         (3, None, None, "é日"), (3, 1, "bob", ""), (None, 0, "ann", "x"), (None, 1, "system", "rules"), (4, 0, "system", "s"), (4, 1, "cat", "c"),
