@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with a prefix tree.
+"""N-gram Jaccard join: components and numbers of links.
 
 A document's set is its distinct SHINGLE-word shingles (A-Z lower-cased), hashed to 64 bits.
 Two documents link when 100 * |intersection| >= PERCENT * |union|.
@@ -13,21 +13,23 @@ Two documents link when 100 * |intersection| >= PERCENT * |union|.
    shingles of their own have no link.
 4. Sets that share a prefix shingle lie in one coarse component, which therefore holds
    all links of its members.
-5. In each coarse component, sets go into a prefix tree in the global order; a new set is
-   compared by walking the tree once: the overlap of a path is shared by all sets below,
-   and a subtree is left when its remaining lengths cannot reach the required overlap, or
-   when all its sets are already in the component of the new one.  A coarse component of over
-   BLOCK_SETS sets is dealt into blocks; every block also gets the component's first PIVOTS
-   sets, and the sets that are then not in its largest part are compared with every block.
+5. In each coarse component, all pairs of sets that are near enough in length are compared:
+   overlaps come from the posting lists of rare shingles and a matrix product over common
+   ones.  A coarse component of over BLOCK_SETS sets is dealt into length classes and blocks,
+   and every two blocks of the same or adjoining classes meet in a task of their own.
+6. A set's links are counted by the rows that have each set, copies included.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of
-fewer than SHINGLE words has one shingle, the whole sequence; rows with equal id are one
-document's if their texts agree; a null id comes first; an empty table gives an empty
-result; other columns are ignored.
+fewer than SHINGLE words has one shingle, the whole sequence; every row is a vertex of its
+own, also where ids are null or repeated, and ``n_links`` counts the other rows that it links
+with; a component's id is the least of its rows', a null id first; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,9 @@ from .hashing import Words, ngrams, within
 from .store import materialize
 
 SHINGLE, PERCENT = 5, 75
-BLOCK_SETS, PIVOTS = 2048, 4
+BLOCK_SETS = 2048
 SHARED, CLASSES = 1, 2  # kinds of answers
+DENSE, COLUMNS, CHUNK = 100, 1024, 1 << 22  # pairs a token to be a matrix column: one in DENSE; columns and counted pairs at a time
 
 
 def prefix_length(n, percent: int):
@@ -55,11 +58,6 @@ def met_length(n, percent: int):
     return np.minimum(1 + n // 10, (percent * n + 99) // 100)
 
 
-def required_overlap(n: int, m: int, percent: int) -> int:
-    """Least intersection of linked sets of sizes n and m."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 class _Group(G.Texts):
     """sets: the sorted distinct shingles of each text."""
 
@@ -102,11 +100,11 @@ def _send_prefixes(size: int, percent: int, buckets: int):
     return run
 
 
-BASE = "doc_id long, g int, n long, first long, tokens binary"
+BASE = "row_id long, doc_id long, text_md5 string, g int, n long, digest binary, tokens binary"
 
 
 def _keep_sets(size: int, percent: int, buckets: int):
-    """All documents with their set sizes; the sets of those that may have a link."""
+    """All rows with a number of their own and their set's size and digest; the sets of those that may have a link."""
 
     def run(table: pa.Table, messages: pa.Table) -> pa.Table:
         own = _Group(table, messages, size)
@@ -120,7 +118,11 @@ def _keep_sets(size: int, percent: int, buckets: int):
         met = np.bincount(owner[np.isin(keys, np.concatenate(repeated))], minlength=len(own))
         hit = (own.n > 0) & (met >= met_length(own.n, percent))
         tokens = [own.sets[d].tobytes() if hit[d] else None for d in range(len(own))]
-        return pa.table({"doc_id": own.ids, "g": pa.array([own.g] * len(own), pa.int32()), "n": own.n, "first": own.least, "tokens": pa.array(tokens, pa.binary())})
+        md5 = lambda raw: hashlib.md5(raw, usedforsecurity=False)
+        digests = [md5(own.sets[d].tobytes()).digest() if own.n[d] else None for d in range(len(own))]
+        texts = [md5(own.text(d)).hexdigest() for d in range(len(own))]
+        columns = {"row_id": (np.int64(own.g) << np.int64(32)) + np.arange(len(own)), "doc_id": own.ids, "text_md5": pa.array(texts, pa.string()), "g": pa.array([own.g] * len(own), pa.int32())}
+        return pa.table(columns | {"n": own.n, "digest": pa.array(digests, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
     return run
 
@@ -157,7 +159,7 @@ def _answer_classes(table: pa.Table) -> pa.Table:
     return G.answer_table(CLASSES, out)
 
 
-SUSPECTS = "doc_id long, n long, prefix int, tokens binary, grades binary"
+SUSPECTS = "doc_id long, n long, k long, prefix int, tokens binary"
 
 
 def _order_sets(percent: int, buckets: int):
@@ -175,17 +177,17 @@ def _order_sets(percent: int, buckets: int):
             grade[at] = np.frombuffer(payload, np.uint8, n)
         grade = grade[np.searchsorted(distinct, keys)]
         rows, at = [], 0
-        for doc, n, k in zip(table.column("doc_id").to_pylist(), table.column("n").to_pylist(), size, strict=True):
-            own, cls = tokens[at : at + k], grade[at : at + k]
-            at += k
+        for doc, n, k, count in zip(*(table.column(c).to_pylist() for c in ("doc_id", "n", "k")), size, strict=True):
+            own, cls = tokens[at : at + count], grade[at : at + count]
+            at += count
             prefix = int(prefix_length(n, percent)) - int((cls == 0).sum())
             if prefix > 0:
                 order = np.lexsort((own, cls))[int((cls == 0).sum()) :]
                 if len(order):
-                    rows.append((doc, n, min(prefix, len(order)), own[order].tobytes(), cls[order].tobytes()))
+                    rows.append((doc, n, k, min(prefix, len(order)), own[order].tobytes()))
         columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "prefix", "tokens", "grades"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "k", "prefix", "tokens"])
 
     return run
 
@@ -256,147 +258,107 @@ def _coarse_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-class _Node:
-    """An edge of tokens and what lies below it: ends here, children by first token, bounds."""
-
-    __slots__ = ("edge", "ends", "children", "least_n", "most_rest", "one")
-
-    def __init__(self, edge: np.ndarray, ends: list[int], children: dict, least_n: int, most_rest: int, one: int | None):
-        self.edge, self.ends, self.children = edge, ends, children
-        self.least_n, self.most_rest, self.one = least_n, most_rest, one  # one: a set below, if all are in its component
-
-
-class PrefixTree:
-    """Sets of ranks in ascending order; ``n`` counts a set's members, shared ones or not."""
-
-    def __init__(self, sets: list[np.ndarray], n: list[int], universe: int, percent: int):
-        self.sets, self.n, self.percent = sets, n, percent
-        self.parent = list(range(len(sets)))
-        self.mark = np.zeros(universe + 1, bool)
-        self.root = _Node(np.empty(0, np.int64), [], {}, 1 << 60, 0, None)
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def insert(self, x: int) -> None:
-        node, rest, n = self.root, self.sets[x], self.n[x]
-        while True:
-            if node is self.root and not (node.ends or node.children):
-                node.one = x
-            elif node.one is not None and self.find(node.one) != self.find(x):
-                node.one = None
-            node.least_n = min(node.least_n, n)
-            node.most_rest = max(node.most_rest, len(rest))
-            if not len(rest):
-                node.ends.append(x)
-                return
-            child = node.children.get(int(rest[0]))
-            if child is None:
-                node.children[int(rest[0])] = _Node(rest, [x], {}, n, 0, x)
-                return
-            k = min(len(child.edge), len(rest))
-            differ = np.flatnonzero(child.edge[:k] != rest[:k])
-            k = int(differ[0]) if len(differ) else k
-            if k < len(child.edge):
-                lower = _Node(child.edge[k:], child.ends, child.children, child.least_n, child.most_rest, child.one)
-                child.ends, child.children = [], {int(lower.edge[0]): lower}
-                child.most_rest += len(lower.edge)
-                child.edge = child.edge[:k]
-            node, rest = child, rest[k:]
-
-    def link(self, x: int) -> None:
-        """Join x with the component of every set in the tree that it links with."""
-        own, n = self.sets[x], self.n[x]
-        if not len(own):
-            return
-        self.mark[own] = True
-        self._visit(self.root, 0, x, own, n)
-        self.mark[own] = False
-
-    def _visit(self, top: _Node, shared: int, x: int, own: np.ndarray, n: int) -> None:
-        stack = [(top, shared, iter(top.children.values()), False)]
-        for y in top.ends:
-            self._compare(x, y, shared, n)
-        while stack:
-            node, shared, children, _ = stack[-1]
-            if node.one is not None and self.find(node.one) == self.find(x):
-                stack.pop()
-                continue
-            child = next(children, None)
-            if child is None:
-                stack.pop()
-                self._settle(node)
-                continue
-            if child.one is not None and self.find(child.one) == self.find(x):
-                continue
-            overlap = shared + int(np.count_nonzero(self.mark[child.edge]))
-            ahead = len(own) - int(np.searchsorted(own, child.edge[-1], "right"))
-            if overlap + min(ahead, child.most_rest) < required_overlap(n, child.least_n, self.percent):
-                continue
-            for y in child.ends:
-                self._compare(x, y, overlap, n)
-            stack.append((child, overlap, iter(child.children.values()), True))
-
-    def _compare(self, x: int, y: int, overlap: int, n: int) -> None:
-        if 100 * overlap >= self.percent * (n + self.n[y] - overlap):
-            self.union(x, y)
-
-    def _settle(self, node: _Node) -> None:
-        """Note when all sets below a node have come into one component."""
-        if node.one is not None:
-            return
-        found = None
-        for y in node.ends:
-            r = self.find(y)
-            if found is not None and r != found:
-                return
-            found = r
-        for child in node.children.values():
-            if child.one is None:
-                return
-            r = self.find(child.one)
-            if found is not None and r != found:
-                return
-            found = r
-        node.one = found
-
-
-def _tree_links(percent: int):
-    """(a, b) links that span the components among a block's sets; queries are not compared with each other."""
+class _Sets:
+    """Some of a table's sets: their tokens as ranks, ordered by rank, and the row of each."""
+
+    def __init__(self, table: pa.Table, rank: np.ndarray, owner: np.ndarray, at: np.ndarray):
+        self.ids, self.n, self.k = (table.column(c).to_numpy()[at] for c in ("doc_id", "n", "k"))
+        place = np.full(table.num_rows, -1)
+        place[at] = np.arange(len(at))
+        mine = place[owner] >= 0
+        self.rank, self.row = rank[mine], place[owner[mine]]
+        order = np.argsort(self.rank, kind="stable")
+        self.rank, self.row = self.rank[order], self.row[order]
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def overlaps(one: _Sets, two: _Sets, universe: int) -> np.ndarray:
+    """How many shared tokens each set of ``one`` has with each of ``two``.
+
+    Tokens of many pairs are columns of a matrix product, the pairs of all others are counted.
+    """
+    out = np.zeros((len(one), len(two)), np.float32 if max(one.n.max(), two.n.max()) < 1 << 24 else np.float64)
+    f, g = np.bincount(one.rank, minlength=universe), np.bincount(two.rank, minlength=universe)
+    pairs = f * g
+    useful = pairs > (1 if one is two else 0)  # a token of one set alone is on the diagonal only
+    common = useful & (pairs > len(one) * len(two) // DENSE)
+    column = np.cumsum(common) - 1
+    total = int(common.sum())
+    for lo in range(0, total, COLUMNS):
+        sides = []
+        for s in (one, two):
+            at = np.flatnonzero(common[s.rank] & (column[s.rank] >= lo) & (column[s.rank] < lo + COLUMNS))
+            m = np.zeros((len(s), min(COLUMNS, total - lo)), out.dtype)
+            m[s.row[at], column[s.rank[at]] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    rare = np.flatnonzero((useful & ~common)[one.rank])
+    start = (np.cumsum(g) - g)[one.rank[rare]]
+    times, row = g[one.rank[rare]], one.row[rare]
+    ends = np.cumsum(times)
+    lo = 0
+    while lo < len(rare):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
+        t = times[lo:hi]
+        nth = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        flat = np.repeat(row[lo:hi], t) * len(two) + two.row[np.repeat(start[lo:hi], t) + nth]
+        out += np.bincount(flat, minlength=out.size).reshape(out.shape)
+        lo = hi
+    return out
+
+
+def joined(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links the least row of their component, -1 for none."""
+    rows, columns = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    for r in range(len(rows)):
+        front = np.array([r])
+        while len(front) and (front[0] != r or rows[r] < 0):
+            rows[front] = r
+            met = np.flatnonzero(linked[front].any(axis=0) & (columns < 0))
+            columns[met] = r
+            front = np.flatnonzero(linked[:, met].any(axis=1) & (rows < 0))
+    return rows, columns
+
+
+LINKS = "a long, b long, links long"
+
+
+def _pair_links(percent: int):
+    """(a, b, links): for each set b that has a link here, a set of its component and the rows it links with.
+
+    Sets of side 0 are compared with those of side 1, or with each other where there is no side 1.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        query = np.asarray(table.column("query").to_numpy(zero_copy_only=False), bool)
-        ids = table.column("doc_id").to_numpy()
-        n = table.column("n").to_numpy()
-        order = np.lexsort((ids, n, query))
-        raw = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-        grades = [np.frombuffer(t, np.uint8) for t in table.column("grades").to_pylist()]
-        size = [len(raw[i]) for i in order]
-        tokens = np.concatenate([raw[i] for i in order])
-        grade = np.concatenate([grades[i] for i in order])
-        by = np.lexsort((tokens, grade))
-        new = np.append(False, (tokens[by][1:] != tokens[by][:-1]) | (grade[by][1:] != grade[by][:-1]))
-        rank = np.empty(len(tokens), np.int64)
-        rank[by] = np.cumsum(new)
-        sets = np.split(rank, np.cumsum(size)[:-1])
-        tree = PrefixTree(sets, [int(n[i]) for i in order], int(rank.max(initial=0)) + 1, percent)
-        for x, i in enumerate(order):
-            tree.link(x)
-            if not query[i]:
-                tree.insert(x)
-        root = np.array([tree.find(x) for x in range(len(order))], np.int64)
-        ids = ids[order]
-        other = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": ids[root[other]], "b": ids[other]})
+        table = table.sort_by("doc_id")
+        tokens, size = _joined(table)
+        _, rank = np.unique(tokens, return_inverse=True)
+        owner = np.repeat(np.arange(len(size)), size)
+        side = table.column("side").to_numpy()
+        universe = int(rank.max(initial=-1)) + 1
+        one = _Sets(table, rank, owner, np.flatnonzero(side == 0))
+        two = _Sets(table, rank, owner, np.flatnonzero(side == 1)) if side.any() else one
+        if table.column("paired")[0].as_py() and two is one or not len(one):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "links")})
+        shared = overlaps(one, two, universe)
+        linked = np.empty(shared.shape, bool)
+        for lo in range(0, len(one), 256):
+            linked[lo : lo + 256] = (100 + percent) * shared[lo : lo + 256].astype(np.int64) >= percent * (one.n[lo : lo + 256, None] + two.n)
+        if two is one:
+            np.fill_diagonal(linked, False)
+        links = [linked.astype(np.int64) @ two.k, one.k @ linked]
+        if two is one:
+            np.fill_diagonal(linked, True)
+        roots = joined(linked)
+        out = []
+        for s, root, count in zip((one, two), roots, links, strict=True):
+            at = np.flatnonzero(count)
+            out.append((one.ids[root[at]], s.ids[at], count[at]))
+            if two is one:
+                break
+        return pa.table(dict(zip(("a", "b", "links"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -405,64 +367,72 @@ EDGES = "a long, b long"
 
 
 def _links(suspects: DataFrame, coarse: DataFrame, percent: int, block_sets: int) -> DataFrame:
-    """(id, label) of all sets that have a link."""
+    """(a, b, links) of all sets that have a link, a row for each task that found some."""
     placed = suspects.join(coarse.select(F.col("id").alias("doc_id"), F.col("label").alias("part")), "doc_id")
-    sizes = coarse.groupBy("label").agg(F.count("*").alias("size")).select(F.col("label").alias("part"), F.ceil(F.col("size") / block_sets).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = materialize(placed, "placed")
-    columns = ("part", "block", "doc_id", "n", "tokens", "grades", "query")
-    inside = placed.withColumn("query", F.lit(False))
-    large = inside.where("blocks > 1")
-    first = coarse.select(F.col("label").alias("part"), F.col("id").alias("doc_id")).join(sizes.where("blocks > 1"), "part")
-    # the pivots are the first sets of a part: the least id of each of its first hash slots
-    slots = first.groupBy("part", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("slot")).agg(F.min("doc_id").alias("doc_id"))
-    pivots = large.join(slots.select("part", "doc_id"), ["part", "doc_id"])
-    pivots = pivots.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
-    work = inside.select(*columns).unionByName(pivots.select(*columns))
-    found = materialize(work.groupBy("part", "block").applyInArrow(_tree_links(percent), EDGES), "links")
-    labels = components(found)
-    if large.isEmpty():
-        return labels
-    # what is not in the largest component of its part is compared with every block of the part
-    named = large.select("part", "doc_id", "blocks").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("part", "doc_id", "blocks", F.coalesce("label", "doc_id").alias("label"))
-    counts = named.groupBy("part", "label").agg(F.count("*").alias("k"))
-    largest = counts.groupBy("part").agg(F.max(F.struct("k", "label")).alias("top")).select("part", F.col("top.label").alias("largest"))
-    rest = named.join(largest, "part").where("label <> largest").select("part", "doc_id")
-    shares = rest.groupBy("part").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("shares"))
-    queries = (
-        large.join(rest, ["part", "doc_id"], "left_semi").join(shares, "part")
-        .withColumn("query", F.lit(True)).withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    held = large.join(shares, "part").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    again = held.select(*columns, "share").unionByName(queries.select(*columns, "share"))
-    more = again.groupBy("part", "block", "share").applyInArrow(_tree_links(percent), EDGES)
-    return components(found.unionByName(more))
-
-
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
+    sizes = coarse.groupBy("label").agg(F.count("*").alias("size")).select(F.col("label").alias("part"), "size")
+    # linked sets' lengths differ by a factor of 100 / percent at most, so by one class at most
+    width = max(-math.log(percent / 100), 0.01) + 1e-9
+    large = F.col("size") > block_sets
+    placed = placed.join(sizes, "part").withColumn("c", F.when(large, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("int"))
+    placed = materialize(placed.withColumn("large", large).select("part", "c", "large", "doc_id", "n", "k", "tokens"), "placed")
+    columns = ("part", "c", "i", "c2", "j", "side", "paired", "doc_id", "n", "k", "tokens")
+    alone = {"i": F.lit(0), "c2": F.lit(0), "j": F.lit(0), "side": F.lit(0), "paired": F.lit(False)}
+    work = placed.where("NOT large").withColumns(alone).select(*columns)
+    dealt = placed.where("large")
+    if not dealt.isEmpty():
+        cells = dealt.groupBy("part", "c").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
+        dealt = dealt.join(cells, ["part", "c"]).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
+        one = cells.select("part", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+        two = one.select("part", F.col("c").alias("c2"), F.col("i").alias("j"))
+        pairs = materialize(one.join(two, "part").where("(c2 = c AND i <= j) OR c2 = c + 1").withColumn("paired", F.expr("c2 <> c OR i <> j")), "pairs")
+        left = dealt.join(pairs, ["part", "c", "i"]).withColumn("side", F.lit(0))
+        onward = pairs.where("paired").select("part", F.col("c").alias("c1"), F.col("i").alias("i1"), F.col("c2").alias("c"), F.col("j").alias("i"), "paired")
+        right = dealt.join(onward, ["part", "c", "i"]).withColumn("side", F.lit(1)).withColumn("c2", F.col("c")).withColumn("j", F.col("i")).withColumn("c", F.col("c1")).withColumn("i", F.col("i1"))
+        work = work.unionByName(left.select(*columns)).unionByName(right.select(*columns))
+    return materialize(work.groupBy("part", "c", "i", "c2", "j").applyInArrow(_pair_links(percent), LINKS), "links")
+
+
+def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(id, text_md5, n, vertex, component, links) of each row.
+
+    ``id`` is NULL_ID where the input has none, ``vertex`` the same number for all rows of a
+    component and for no others, ``component`` the least id of these.
+    """
     texts, buckets = G.grouped(docs)
     copies = G.copies(texts)
     shared = G.ask(texts, copies, _send_prefixes(size, percent, buckets), G.answer_repeated(SHARED))
     base = materialize(G.conclude(texts, copies.unionByName(shared), _keep_sets(size, percent, buckets), BASE), "sets")
 
-    held = base.where("tokens IS NOT NULL").select("doc_id", "g", "n", "tokens").withColumn("digest", F.md5("tokens"))
-    same = materialize(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")), "classes")
-    sets = held.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "g", "n", "tokens")
+    # rows of equal sets are one vertex, named by the first that has the set with it
+    held = F.min(F.when(F.col("tokens").isNotNull(), F.col("row_id")))
+    same = base.where("n > 0").groupBy("digest").agg(F.coalesce(held, F.min("row_id")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("k"))
+    same = materialize(same, "classes")
+    own = base.where("tokens IS NOT NULL").select(F.col("row_id").alias("doc_id"), "g", "n", "tokens")
+    sets = own.join(same.select(F.col("rep").alias("doc_id"), "k"), "doc_id")
     sent = sets.groupBy("g").applyInArrow(_send_tokens(buckets), G.PACKED)
     classes = sent.groupBy("b").applyInArrow(_answer_classes, G.MESSAGE)
     suspects = materialize(G.conclude(sets, classes, _order_sets(percent, buckets), SUSPECTS), "suspects")
     postings = suspects.mapInArrow(_send_postings(buckets), G.PACKED)
     coarse = components(postings.groupBy("b").applyInArrow(_coarse_edges, EDGES))
-    labels = _links(suspects, coarse, percent, block_sets)
-
-    # a document stands for its text's first copy, that for its set's first document, that for its component
-    alike = held.join(same.where("k > 1"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("first"), "rep").distinct()
-    named = (
-        base.select("doc_id", "n", "first").join(alike, "first", "left").withColumn("rep", F.coalesce("rep", "first"))
-        .join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-        .withColumn("component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep")))
-    )
+    found = _links(suspects, coarse, percent, block_sets)
+
+    counts = found.groupBy(F.col("b").alias("rep")).agg(F.sum("links").alias("links"))
+    linked = same.select("rep", "least").join(components(found).select(F.col("id").alias("rep"), "label"), "rep").join(counts, "rep")
+    leasts = linked.groupBy("label").agg(F.min("least").alias("component"))
+    known = same.select("digest", "rep", "least", "k").join(linked.join(leasts, "label").select("rep", "label", "component", "links"), "rep", "left")
+    known = known.select("digest", F.coalesce("label", "rep").alias("vertex"), F.coalesce("component", "least").alias("component"), (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return base.select("row_id", "doc_id", "text_md5", "n", "digest").join(known, "digest", "left").select(
+        F.col("doc_id").alias("id"), "text_md5", "n", F.coalesce("vertex", "row_id").alias("vertex"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
+    )
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each document."""
     real = lambda c: F.when(F.col(c) != F.lit(int(G.NULL_ID)), F.col(c))
-    return named.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    found = linked_rows(docs, size, percent, block_sets)
+    return found.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), F.col("links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document."""
+    return jaccard_links(docs, size, percent, block_sets).drop("n_links")

@@ -58,7 +58,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard.jaccard_links(read(spark, sf_dir, "documents"))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
