@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import jaccard, langid, packing, quality, suffix
+from graphloom.llm import groups, jaccard, langid, packing, quality, suffix
 from graphloom.llm.store import materialize
 
 
@@ -28,17 +28,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of linked documents, one row of it."""
-    groups = jaccard.jaccard_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    kept = materialize(kept, "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    """Keep the document of least id of each group of linked documents, one row of it.
+
+    A document is an id with a text: rows of a null or repeated id stay if their texts are not linked.
+    """
+    rows = jaccard.linked_rows(docs).groupBy("id", "text_md5").agg(F.count("*").alias("copies"), F.min("vertex").alias("vertex"))
+    kept = rows.groupBy("vertex").agg(F.min(F.struct("id", "text_md5", "copies")).alias("least")).select("least.*")
+    kept = materialize(kept.select(F.col("id").alias("kept_id"), F.col("text_md5").alias("kept_md5"), "copies"), "kept")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(int(groups.NULL_ID))), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
+    same = (own[0] == F.col("kept_id")) & (own[1] == F.col("kept_md5"))
     # the kept ids grow with the corpus, so they are never broadcast, however small they are here
-    once = docs.join(kept.where("copies = 1").select("kept_id").hint("merge"), same, "left_semi")
-    again = kept.where("copies > 1").select("kept_id")
+    once = docs.join(kept.where("copies = 1").hint("merge"), same, "left_semi")
+    again = kept.where("copies > 1")
     if again.isEmpty():
         return once
-    return once.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    several = docs.join(again, same, "left_semi").withColumn("kept_md5", own[1]).dropDuplicates(["doc_id", "kept_md5"])
+    return once.unionByName(several.select(*docs.columns))
 
 
 def shared_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

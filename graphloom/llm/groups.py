@@ -1,6 +1,6 @@
 """Document groups that talk through hash buckets.
 
-Texts are dealt into groups by a hash of their id, about GROUP_BYTES each.  A group sends
+Texts are dealt into groups by a hash of their id (of the text where it is null), about GROUP_BYTES each.  A group sends
 every distinct key that it has once (however often it occurs in the group) to the bucket of
 that key; a bucket answers each group about its own keys; the group then works on its texts
 with the answers.  A key that occurs in a third of all rows thus costs one entry a group, and
@@ -42,7 +42,8 @@ def texts_of(docs: DataFrame, carry: bool = False) -> DataFrame:
 def grouped(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, int]:
     """(doc_id, text[, row], g) and the number of buckets that suits the input; row: all columns but the text."""
     groups, buckets = layout(plan_bytes(docs))
-    return texts_of(docs, carry).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")), buckets
+    unnamed = F.when(F.col("doc_id") == F.lit(int(NULL_ID)), F.col("text"))  # rows without an id are dealt by their text
+    return texts_of(docs, carry).withColumn("g", F.pmod(F.xxhash64("doc_id", unnamed), F.lit(groups)).cast("int")), buckets
 
 
 def layout(size: int) -> tuple[int, int]:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import jaccard
+from graphloom.llm import groups, jaccard, substring, suffix
 
 from . import corpus
 
@@ -72,3 +72,30 @@ def test_null_and_repeated_ids_link_by_text_alone(spark):
     prose = ["".join(f"{rng.choice('abc')}{rng.randrange(10**6)} " for _ in range(30)) for _ in range(8)]
     data = [(None, prose[0]), (None, prose[1]), (5, prose[1]), (7, prose[2]), (7, prose[3]), (3, prose[2]), (9, prose[4]), (None, prose[5])]
     assert corpus.same(jaccard.jaccard_links(corpus.frame(spark, data)).collect(), links(data))
+
+
+def test_near_duplicate_stage_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    x, y, z, v, w, u = ("".join(f"{rng.choice('abc')}{rng.randrange(10**6)} " for _ in range(60)) for _ in range(6))
+    near = z + "more"
+    data = [(None, x), (None, y), (5, y), (None, w), (None, w), (3, z), (7, near), (7, v), (7, v), (8, u), (8, u + "tail")]
+    found = P.near_duplicate_stage(spark, corpus.frame(spark, data), "")
+    assert found.columns == corpus.frame(spark, data).columns
+    kept = [(r.doc_id, r.text) for r in found.collect()]
+    assert len(kept) == 6 and set(kept) <= set(data)
+    assert {(None, x), (None, y), (None, w), (3, z), (7, v)} <= set(kept)
+
+
+def test_null_ids_are_dealt_over_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(groups, "GROUP_BYTES", 400)
+    monkeypatch.setattr(groups, "BUCKET_BYTES", 600)
+    monkeypatch.setattr(groups, "MESSAGE_BYTES", 1)
+    data = [(None if i is not None and i % 3 == 0 else i, t) for i, t in corpus.rows()]
+    corpus.frame(spark, data).write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    assert groups.grouped(docs)[0].where("doc_id < 0").select("g").distinct().count() > 3
+    assert corpus.same(suffix.dedup_bytes(docs).collect(), corpus.suffix(data))
+    assert corpus.same(substring.dedup_substrings(docs).collect(), corpus.substring(data))
+    assert corpus.same(jaccard.jaccard_links(docs).collect(), links(data))
