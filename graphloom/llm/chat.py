@@ -73,3 +73,15 @@ def rotate_perspectives(conversations: DataFrame, max_turns: int = 4096, context
         F.array_join(F.transform(masked, lambda x: F.concat_ws("-", x.start.cast("string"), x.end.cast("string"))), ",").alias("spans"),
         F.aggregate(masked, F.lit(0).cast("long"), lambda a, x: a + x.end - x.start).alias("loss_chars"),
     )
+
+
+def part_offsets(parts: DataFrame) -> DataFrame:
+    """(conv_id, perspective, part, first_turn, offset): where each part of ``rotate_perspectives`` lies in the whole dialogue.
+
+    The parts of a dialogue joined in order are its whole rendering: a span of a part plus
+    ``offset`` code points is the span there, and its first turn is the ``first_turn``-th.
+    """
+    earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    sizes = parts.select("conv_id", "perspective", "part", "n_turns", F.length("rendered").alias("size"))
+    return sizes.select("conv_id", "perspective", "part", (before("n_turns") + 1).alias("first_turn"), before("size").alias("offset"))
