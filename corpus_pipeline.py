@@ -15,10 +15,10 @@ from graphloom.llm.store import materialize
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found (no text, or no letter)."""
+    """Drop documents in which no language is found (no text, or no letter), also where no label can be learned from."""
     model = langid.train(docs, F.coalesce(langid.fold() != 0, F.lit(False)))
     if not model.languages:
-        return docs
+        return docs.where(langid.lettered())
     return langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 

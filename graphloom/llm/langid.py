@@ -136,9 +136,13 @@ def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def lettered() -> Column:
+    """Whether the text has a letter; a null text has none."""
+    return F.coalesce(F.lower("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def lowered(docs: DataFrame, carry: bool = False) -> DataFrame:
-    text = F.lower("text")
-    own = [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")]
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), lettered().alias("letters")]
     return docs.select(*own, *([whole_row(docs)] if carry else []))
 
 
