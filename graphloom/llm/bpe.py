@@ -7,7 +7,8 @@ their ancestors: a logarithmic number of nodes.  Short pre-tokens are merged in
 one tree a row of a matrix; a long one has a tree of its own.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are encoded as
-rows of their own; an empty table gives an empty result; other columns are ignored.
+rows of their own; a text of any length is encoded whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,17 @@ from pyspark.sql import functions as F
 NONE = np.int32(2**31 - 1)
 LOCKSTEP_BYTES = 64  # longer pre-tokens get a tree of their own
 LOCKSTEP_ROWS = 1 << 15
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1 << 19  # distinct pre-tokens that a worker remembers before it starts anew
 BATCH_CHARS = 2 << 20
 
 
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    """Path and split pattern of a public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
@@ -89,7 +97,22 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.digits = [str(i) for i in range(size)]
-        self.cache: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: ``index`` numbers known pre-tokens, whose tokens lie one after another in ``pool``."""
+        self.index: dict[str, int] = {}
+        self.pool, self.begin = np.empty(1 << 12, np.int32), np.zeros(1 << 10, np.int64)
+
+    def remember(self, pieces: Sequence[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        known, at = len(self.index), int(self.begin[len(self.index)])
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.empty(at + 2 * len(ids), np.int32)])
+        if known + len(pieces) >= len(self.begin):
+            self.begin = np.concatenate([self.begin[: known + 1], np.zeros(known + 2 * len(pieces), np.int64)])
+        self.pool[at : at + len(ids)] = ids
+        self.begin[known + 1 : known + 1 + len(pieces)] = at + np.cumsum(counts)
+        self.index.update(zip(pieces, range(known, known + len(pieces)), strict=True))
 
     def merge_one(self, piece: bytes) -> list[int]:
         """Merges with a segment tree in plain Python, for a long pre-token."""
@@ -136,8 +159,8 @@ class Codec:
             i = after[i]
         return out
 
-    def merge_rows(self, words: Sequence[bytes], width: int) -> list[list[int]]:
-        """Merges of pre-tokens of at most ``width`` bytes (a power of two), all at once."""
+    def merge_rows(self, words: Sequence[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, number for each) of pre-tokens of at most ``width`` bytes (a power of two), merged all at once."""
         rows = len(words)
         length = np.fromiter(map(len, words), np.int64, rows)
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -184,34 +207,40 @@ class Codec:
             while kk[0] > 1:
                 kk = kk >> 1
                 tree[rr, kk] = np.minimum(tree[rr, 2 * kk], tree[rr, 2 * kk + 1])
-        flat = ids[live].tolist()
-        ends = np.cumsum(live.sum(axis=1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return ids[live], live.sum(axis=1)
 
-    def learn(self, found: set[str]) -> None:
+    def learn(self, found: Sequence[str]) -> None:
         """Put the tokens of pre-tokens that are not yet known into the cache."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for text in found:
-            piece = text.encode()
-            rank = self.ranks.get(piece)
-            if rank is not None:
-                self.cache[text] = [rank]
-            elif len(piece) > LOCKSTEP_BYTES:
-                self.cache[text] = self.merge_one(piece)
-            else:
-                by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append((text, piece))
-        for width, items in by_width.items():
-            for lo in range(0, len(items), LOCKSTEP_ROWS):
-                part = items[lo : lo + LOCKSTEP_ROWS]
-                self.cache.update(zip((t for t, _ in part), self.merge_rows([p for _, p in part], width), strict=True))
-
-    def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
+        raw = [text.encode() for text in found]
+        ranks = np.fromiter((-1 if (r := self.ranks.get(x)) is None else r for x in raw), np.int64, len(raw))
+        whole = np.flatnonzero(ranks >= 0)
+        self.remember([found[k] for k in whole], ranks[whole].astype(np.int32), np.ones(len(whole), np.int64))
+        rest = np.flatnonzero(ranks < 0)
+        size = np.fromiter((len(raw[k]) for k in rest), np.int64, len(rest))
+        for k in rest[size > LOCKSTEP_BYTES]:
+            ids = self.merge_one(raw[k])
+            self.remember([found[k]], np.array(ids, np.int32), np.array([len(ids)]))
+        width = 1
+        while width <= LOCKSTEP_BYTES:
+            mine = rest[(size > width // 2) & (size <= width)]
+            for lo in range(0, len(mine), LOCKSTEP_ROWS):
+                part = mine[lo : lo + LOCKSTEP_ROWS]
+                self.remember([found[k] for k in part], *self.merge_rows([raw[k] for k in part], width))
+            width *= 2
+
+    def encode_batch(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all texts, offsets of each text's)."""
         split = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        self.learn(set(chain.from_iterable(split)).difference(self.cache))
-        get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in split]
+        if len(self.index) > CACHE_PIECES:
+            self.forget()
+        self.learn(list(set(chain.from_iterable(split)).difference(self.index)))
+        pieces = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(pieces.sum()))
+        begin = self.begin[at]
+        count = self.begin[at + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(begin - ends[:-1], count) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(pieces)])]
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -228,7 +257,7 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def text_batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     lo, size, part = 0, 0, []
     for i, text in enumerate(column):
         part.append(text.as_py() or "")
@@ -255,17 +284,19 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            for lo, texts in _batches(batch.column(1)):
-                encoded = own.encode_batch(texts)
+            for lo, texts in text_batches(batch.column(1)):
+                flat, offsets = own.encode_batch(texts)
+                tokens, cuts = flat.tolist(), offsets.tolist()
+                rows = [tokens[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
                 columns = [
                     batch.column(0).slice(lo, len(texts)),
-                    pa.array([len(ids) for ids in encoded], pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest() for ids in encoded]),
-                    pa.array([hashlib.sha256(own.decode(ids)).hexdigest() for ids in encoded]),
+                    pa.array(np.diff(offsets)),
+                    pa.array([hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest() for ids in rows], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(ids)).hexdigest() for ids in rows], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.array(encoded, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -2,14 +2,17 @@
 
 A suffix automaton is built for each language from labelled text.  A text is parsed greedily
 into the longest phrases that occur in a language's sample; the language that needs the
-fewest phrases a symbol wins.  All blocks of a batch walk all automata in lockstep.
+fewest phrases a symbol wins.
 
 Text is lower-cased; runs of ASCII non-letters become one blank; other scripts are compared
-as UTF-8 bytes.  Parsing restarts at every BLOCK symbols, which adds at most one phrase a
-block for every language alike.
+as UTF-8 bytes.  All blocks of BLOCK symbols of a batch walk all automata in lockstep, each
+from the root; then each block is walked again from the state in which the one before it
+ended, beside its first walk, until both are in one state (a few phrases), which gives the
+counts of one unbroken parse of the whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
-every text when no labelled row exists; ties go to the language that sorts first; repeated
+every text when no labelled row exists; more than MOST_LANGUAGES labels raise an error, as the
+broadcast model must stay bounded; a text of any length is parsed whole; ties go to the language that sorts first; repeated
 rows are judged one by one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,10 +30,13 @@ from .hashing import column_bytes, pieces
 from .store import carried_schema, whole_row
 
 BLOCK = 512
-#: Bounds of the labelled sample: rows of a language, symbols of a row, symbols of a language.
+#: Bounds of the labelled sample: rows of a language, symbols of a row, symbols of a language,
+#: rows and symbols of all languages together (shared alike once there are many), languages.
 SAMPLE_ROWS, ROW_SYMBOLS, SAMPLE_SYMBOLS = 64, 1024, 20_000
+ALL_ROWS, ALL_SYMBOLS, MOST_LANGUAGES = 2048, 160_000, 1024
 UNKNOWN = "und"
-FLAG = np.int64(1) << np.int64(40)
+FLAG_BIT = 30
+FLAG = np.int32(1 << FLAG_BIT)
 
 KEEP = np.zeros(256, bool)
 KEEP[ord("a") : ord("z") + 1] = True
@@ -99,7 +105,7 @@ def build(samples: Mapping[str, bytes]) -> Model:
         state = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
         sym = np.fromiter((c for s in steps for c in s), np.int64, len(state))
         to = np.fromiter((t for s in steps for t in s.values()), np.int64, len(state))
-        first = np.full(width, base * width, np.int64)  # an unknown symbol is a phrase, and the root is next
+        first = np.full(width, base * width, np.int32)  # an unknown symbol is a phrase, and the root is next
         first[sym[state == 0]] = (base + to[state == 0]) * width
         table = np.tile(first | FLAG, (len(steps), 1))
         inner = state != 0
@@ -107,7 +113,7 @@ def build(samples: Mapping[str, bytes]) -> Model:
         parts.append(table.ravel())
         roots.append(base * width)
         base += len(steps)
-    return Model(languages, symbol, np.concatenate(parts) if parts else np.empty(0, np.int64), np.array(roots, np.int64))
+    return Model(languages, symbol, np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(roots, np.int32))
 
 
 def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -120,22 +126,59 @@ def phrases(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start = offsets[doc] + nth * BLOCK
     length = np.minimum(size[doc] - nth * BLOCK, BLOCK)
     order = np.argsort(-length, kind="stable")
-    doc, start, length = doc[order], start[order], length[order]
     counts = np.zeros((len(model.languages), len(doc)), np.int64)
     state = np.broadcast_to(model.roots[:, None], counts.shape).copy()
-    lanes = np.searchsorted(-length, -np.arange(BLOCK), "left") if len(doc) else np.zeros(BLOCK, int)  # blocks longer than t
-    for t in range(int(length[0]) if len(doc) else 0):
+    lanes = np.searchsorted(-length[order], -np.arange(BLOCK), "left") if len(doc) else np.zeros(BLOCK, int)  # blocks longer than t
+    first = start[order]
+    for t in range(int(length.max(initial=0))):
         n = lanes[t]
-        at = state[:, :n] + symbols[start[:n] + t]
-        got = model.table.take(at, mode="clip")
-        counts[:, :n] += got >> 40
+        got = model.table.take(state[:, :n] + symbols[first[:n] + t], mode="clip")
+        counts[:, :n] += got >> FLAG_BIT
         state[:, :n] = got & (FLAG - 1)
+    by_first = np.empty_like(state)
+    by_first[:, order] = state
+    ends = by_first.copy()
     out = np.zeros((len(model.languages), len(size)), np.int64)
     for k in range(len(model.languages)):
-        out[k] = np.bincount(doc, weights=counts[k], minlength=len(size))
+        out[k] = np.bincount(doc[order], weights=counts[k], minlength=len(size))
+    # blocks after a text's first go on where the one before ended
+    change = np.zeros(counts.shape, np.int64)
+    after = np.flatnonzero(nth > 0)
+    k, j = (x.ravel() for x in np.meshgrid(np.arange(len(model.languages)), after, indexing="ij"))
+    while len(j):
+        change[k, j], end = _rejoin(model, symbols, start[j], length[j], model.roots[k], ends[k, j - 1], by_first[k, j])
+        moved = (end != ends[k, j]) & (j + 1 < len(doc))
+        ends[k, j] = end
+        k, j = k[moved], j[moved] + 1
+        inner = nth[j] > 0
+        k, j = k[inner], j[inner]
+    for k in range(len(model.languages)):
+        out[k] += np.bincount(doc, weights=change[k], minlength=len(size)).astype(np.int64)
     return out
 
 
+def _rejoin(model: Model, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, root: np.ndarray, state: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By how many phrases blocks differ when they begin in ``state`` and not at the root, and how they end."""
+    change, end = np.zeros(len(start), np.int64), end.copy()
+    lane = np.flatnonzero(state != root)
+    one, two = state[lane], root[lane]
+    for t in range(BLOCK):
+        over = length[lane] <= t
+        if over.any():
+            end[lane[over]] = one[over]
+            lane, one, two = lane[~over], one[~over], two[~over]
+        if not len(lane):
+            break
+        symbol = symbols[start[lane] + t]
+        a, b = model.table.take(one + symbol, mode="clip"), model.table.take(two + symbol, mode="clip")
+        change[lane] += (a >> FLAG_BIT) - (b >> FLAG_BIT)
+        one, two = a & (FLAG - 1), b & (FLAG - 1)
+        apart = one != two
+        lane, one, two = lane[apart], one[apart], two[apart]
+    end[lane] = one
+    return change, end
+
+
 def lettered() -> Column:
     """Whether the text has a letter; a null text has none."""
     return F.coalesce(F.lower("text").rlike(r"\p{L}"), F.lit(False))
@@ -149,15 +192,20 @@ def lowered(docs: DataFrame, carry: bool = False) -> DataFrame:
 def train(docs: DataFrame, eligible: Column) -> Model:
     """A model from at most SAMPLE_ROWS rows of each language, the first by a hash of the id.
 
-    Only ids and labels are ranked, and the ranking keeps SAMPLE_ROWS rows a task and language
-    before it shuffles; texts are read for the chosen ids alone.
+    Only ids and labels are ranked, and the ranking keeps its rows of a task and language
+    before it shuffles; texts are read for the chosen ids alone.  With many labels each has an
+    equal share of ALL_ROWS and ALL_SYMBOLS, so neither what the driver gets nor the model grows.
     """
     labelled = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labels = len(labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if labels > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    if not labels:
+        return build({})
+    share = min(SAMPLE_ROWS, ALL_ROWS // labels)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_ROWS)
+    ids = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= share)
     chosen = sorted({r.doc_id for r in ids.select("doc_id").collect()})
-    if not chosen:
-        return build({})
     most = 16 * ROW_SYMBOLS  # enough raw text for a row's symbols; it bounds what the driver gets
     # one text an id, the least: rows that repeat an id add nothing to what the driver gets
     rows = labelled.where(F.col("doc_id").isin(chosen)).groupBy("lang", "doc_id", F.xxhash64("doc_id").alias("h")).agg(F.min(F.substring(F.lower("text"), 1, most)).alias("t")).collect()
@@ -165,7 +213,7 @@ def train(docs: DataFrame, eligible: Column) -> Model:
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.t)):
         raw = np.frombuffer(r.t.encode(), np.uint8)
         samples.setdefault(r.lang, []).append(normalise(raw, np.array([0, len(raw)]))[0][:ROW_SYMBOLS].tobytes())
-    return build({k: b" ".join(v)[:SAMPLE_SYMBOLS] for k, v in samples.items()})
+    return build({k: b" ".join(v)[: min(SAMPLE_SYMBOLS, ALL_SYMBOLS // labels)] for k, v in samples.items()})
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, n_symbols long, n_phrases long"

@@ -1,64 +1,79 @@
-"""Best-fit packing into sequences of several permitted lengths.
-
-Texts are measured in words, cut into pieces no longer than the largest permitted length,
-dealt into shards by a hash of their id, and packed shard by shard: pieces in descending
-length each go to the open bin with the least room that still fits; where none fits, a bin
-is opened at the capacity of least cost for the pieces still to come; finally every bin is
-downsized to the smallest permitted length that holds its contents.
-
-Defined results: a null, empty or blank text has no pieces and yields no row; a long text
-yields several pieces with their word offsets; ties are broken by id and offset; repeated
-rows are packed as rows of their own; an empty table gives an empty result; other columns
-are ignored.
+"""Best-fit packing of token sequences into bins of several permitted lengths.
+
+Texts are encoded by byte-level BPE, each followed by a separator, and cut into pieces no
+longer than the largest permitted length.  Pieces are dealt into shards of bounded size and
+packed shard by shard: in descending length each goes to the open bin with the least room that
+still fits.  Where none fits, a bin is opened at the length of least cost a token, all
+permitted lengths weighed against each other: what a length costs (a step's overhead, its
+positions, attention over them) after downsizing, over what the pieces still to come can fill
+of it, longest first.  Finally every bin is downsized to the shortest permitted length that
+holds its contents.  The result is one row a bin, with its tokens.
+
+Defined results: a null or empty text has no tokens and is in no bin; a text of over the
+largest length yields several pieces with their token offsets, the separator after its last;
+ties are broken by id, piece and token order; repeated rows are packed as rows of their own;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import SPACE, column_bytes, pieces
+from .bpe import codec, text_batches
 from .store import plan_bytes
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Cost of a sequence besides its length: what opening one more bin is worth in words.
-BIN_OVERHEAD = 16
+SEPARATOR = 50256  # the end-of-text id that the public 50k vocabularies leave free
+#: Cost of a bin of length n: OVERHEAD + n + n * n / ATTENTION, in tokens.
+OVERHEAD, ATTENTION = 16, 1 << 16
 SHARD_BYTES = 4 << 20
 
 
-def opening_capacity(length: int, shorter: np.ndarray, sums: np.ndarray, capacities: Sequence[int]) -> int:
-    """The capacity of least cost a word for a bin that starts with ``length``.
+def cost(capacity: int) -> float:
+    return OVERHEAD + capacity + capacity * capacity / ATTENTION
 
-    shorter: the lengths yet to be packed, ascending; sums: their running totals.  What
-    a capacity can hold besides the first piece is bounded by what is left to pack, smallest
-    first, so a large bin is only worth opening while enough remains to fill it.
+
+def planned_fill(room: int, ascending: Sequence[int], sums: Sequence[int], rest: int) -> int:
+    """What ascending[:rest] fills of ``room`` if the longest piece that fits is always next.
+
+    sums: running totals of ``ascending``, from 0; whole runs of pieces are taken at once.
     """
-    best, least = None, None
-    for cap in capacities:
-        if cap < length:
-            continue
-        room = cap - length
-        k = int(np.searchsorted(sums, room, "right"))
-        filled = length + (room if k < len(shorter) else int(sums[-1]) if len(sums) else 0)
-        cost = (cap + BIN_OVERHEAD) / filled
-        if least is None or cost < least - 1e-12:
-            best, least = cap, cost
+    filled, hi = 0, rest
+    while hi:
+        hi = bisect_right(ascending, room, 0, hi)
+        lo = bisect_left(sums, sums[hi] - room, 0, hi + 1)
+        filled += sums[hi] - sums[lo]
+        room -= sums[hi] - sums[lo]
+        hi = lo
+    return filled
+
+
+def opening_capacity(length: int, ascending: Sequence[int], sums: Sequence[int], rest: int, capacities: Sequence[int]) -> int:
+    """The permitted length of least cost a token for a bin that starts with ``length``; of equal ones the shortest."""
+    best, least = capacities[-1], float("inf")
+    for cap in capacities[bisect_left(capacities, length) :]:
+        filled = length + planned_fill(cap - length, ascending, sums, rest)
+        each = cost(capacities[bisect_left(capacities, filled)]) / filled
+        if each < least:
+            best, least = cap, each
     return best
 
 
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
-    """Bin number and offset of each piece, and the final capacity of each bin.
+    """Bin number and offset of each piece, and the final length of each bin.
 
-    ``lengths`` must be in descending order and not above the largest capacity.
+    ``lengths`` must be positive, in descending order and not above the largest capacity.
     """
     capacities = sorted(capacities)
-    ascending = np.sort(np.asarray(lengths, np.int64))
-    sums = np.cumsum(ascending)
+    ascending = list(reversed(lengths))
+    sums = list(accumulate(ascending, initial=0))
     open_bins: list[tuple[int, int]] = []  # (room, bin), ascending
     used: list[int] = []
     bins, offsets = [], []
@@ -67,8 +82,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tupl
         if at < len(open_bins):
             room, b = open_bins.pop(at)
         else:
-            rest = len(lengths) - i - 1
-            room, b = opening_capacity(n, ascending[:rest], sums[:rest], capacities), len(used)
+            room, b = opening_capacity(n, ascending, sums, len(lengths) - i - 1, capacities), len(used)
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
@@ -78,34 +92,44 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tupl
     return bins, offsets, [capacities[bisect_left(capacities, u)] for u in used]
 
 
-SCHEMA = "doc_id long, piece int, word_offset long, n_words long, bin_id string, bin_offset long, bin_words long, capacity long"
+PIECES = "doc_id long, salt int, piece int, token_offset long, n_tokens int, ids array<int>"
+SCHEMA = (
+    "bin_id string, capacity int, n_tokens int, doc_ids array<long>, "
+    "pieces array<struct<doc_id:long,piece:int,token_offset:long,n_tokens:int,bin_offset:int>>, input_ids array<int>"
+)
+_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("token_offset", pa.int64()), ("n_tokens", pa.int32()), ("bin_offset", pa.int32())])
+
+
+def repeats(ids: np.ndarray) -> np.ndarray:
+    """How many earlier rows have the same id."""
+    order = np.argsort(ids, kind="stable")
+    begins = np.append(True, ids[order][1:] != ids[order][:-1])[: len(ids)]
+    first = np.flatnonzero(begins)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+    return out
 
 
-def _measure(capacity: int):
+def _tokenise(shared, pattern: str, capacity: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shared.value, pattern)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            buf, offsets = column_bytes(batch.column(1))
-            counts = np.zeros(batch.num_rows, np.int64)
-            for lo, hi in pieces(offsets):
-                part = buf[offsets[lo] : offsets[hi]]
-                word = ~SPACE[part]
-                begins = word.copy()
-                begins[1:] &= ~word[:-1]
-                first = (offsets[lo + 1 : hi] - offsets[lo])[: hi - lo - 1]
-                first = first[first < len(part)]
-                begins[first] |= word[first]
-                total = np.concatenate([[0], np.cumsum(begins)])
-                counts[lo:hi] = np.diff(total[offsets[lo : hi + 1] - offsets[lo]])
-            n = -(-counts // capacity)
-            at = np.repeat(np.arange(len(counts)), n)
-            k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            size = np.minimum(counts[at] - k * capacity, capacity)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(k.astype(np.int32)), pa.array(k * capacity), pa.array(size)],
-                ["doc_id", "piece", "word_offset", "n_words"],
-            )
+            for lo, texts in text_batches(batch.column(1)):
+                ids, offsets = own.encode_batch(texts)
+                count = np.diff(offsets)
+                size = count + (count > 0)
+                flat = np.insert(ids, offsets[1:][count > 0], np.int32(separator))
+                n = -(-size // capacity)
+                at = np.repeat(np.arange(len(size)), n)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                begin = (np.cumsum(size) - size)[at] + nth * capacity
+                part = batch.column(0).slice(lo, len(texts))
+                salt = repeats(part.fill_null(0).to_numpy(zero_copy_only=False))[at]
+                length = np.minimum(size[at] - nth * capacity, capacity)
+                numbers = ((salt, np.int32), (nth, np.int32), (nth * capacity, np.int64), (length, np.int32))
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, len(flat)).astype(np.int32)), pa.array(flat))
+                columns = [part.take(pa.array(at)), *(pa.array(x.astype(k)) for x, k in numbers), tokens]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
 
     return run
 
@@ -113,28 +137,53 @@ def _measure(capacity: int):
 def _pack_shard(capacities: Sequence[int]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        lengths = table.column("n_words").to_numpy()
-        bins, offsets, final = pack(lengths.tolist(), capacities)
-        bins = np.array(bins, np.int64)
-        words = np.bincount(bins, weights=lengths, minlength=len(final)).astype(np.int64)
+        ids = table.column("ids").combine_chunks()
+        start = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[:-1]
+        values = ids.values.to_numpy()
+        size = table.column("n_tokens").to_numpy().astype(np.int64)
+        doc, piece = table.column("doc_id"), table.column("piece").to_numpy()
+        known, number = doc.is_valid().to_numpy(), doc.fill_null(0).to_numpy()
+        order = np.lexsort((start, piece, number, known, -size))
+        # pieces of one id, number and length come in the order of their tokens
+        same = [tuple(x[order[1:]] == x[order[:-1]]) for x in (size, number, known, piece)]
+        tied = np.append(False, np.logical_and.reduce(np.array(same, bool).reshape(4, -1)))
+        if tied.any():
+            run_of = np.cumsum(~tied)
+            content = [values[s : s + n].tobytes() if t else b"" for s, n, t in zip(start[order], size[order], tied | np.append(tied[1:], False), strict=True)]
+            order = order[sorted(range(len(order)), key=lambda i: (run_of[i], content[i]))]
+        bins, offsets, final = pack(size[order].tolist(), capacities)
+        bins, offsets = np.array(bins, np.int64), np.array(offsets, np.int64)
+        by_bin = np.lexsort((offsets, bins))
+        order, bins, offsets = order[by_bin], bins[by_bin], offsets[by_bin]
+        length = size[order]
+        ends = np.cumsum(length)
+        joined = values[np.arange(ends[-1]) + np.repeat(start[order] - (ends - length), length)]
+        edge = np.searchsorted(bins, np.arange(len(final) + 1))
+        tokens = np.concatenate([[0], ends])[edge]
+        parts = [table.column(c).combine_chunks().take(pa.array(order)) for c in ("doc_id", "piece", "token_offset", "n_tokens")]
+        parts.append(pa.array(offsets.astype(np.int32)))
+        lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
         return pa.table({
-            "doc_id": table.column("doc_id"), "piece": table.column("piece"), "word_offset": table.column("word_offset"), "n_words": table.column("n_words"),
-            "bin_id": pa.array([f"{shard}-{b}" for b in bins], pa.string()), "bin_offset": pa.array(offsets, pa.int64()),
-            "bin_words": pa.array(words[bins]), "capacity": pa.array(np.array(final, np.int64)[bins]),
+            "bin_id": pa.array([f"{shard}-{b}" for b in range(len(final))], pa.string()), "capacity": pa.array(final, pa.int32()), "n_tokens": pa.array(np.diff(tokens).astype(np.int32)),
+            "doc_ids": lists(parts[0], edge), "pieces": lists(pa.StructArray.from_arrays(parts, fields=list(_PIECE)), edge), "input_ids": lists(pa.array(joined), tokens),
         })
 
     return run
 
 
-def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each piece of a text: where it lies in the text and in which bin.
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacities: Sequence[int] = CAPACITIES, separator: int = SEPARATOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(bin_id, capacity, n_tokens, doc_ids, pieces, input_ids): one row a packed sequence.
 
-    A shard holds about ``shard_bytes`` of input, so packing memory is bounded and the
-    share of half-filled bins (a few a shard) does not grow with the data.  Pieces are
-    dealt by a hash of (doc_id, piece): the pieces of one very long text spread as well.
+    ``pieces`` tells where each piece lies in its text's tokens and in the bin; ``input_ids``
+    are the bin's tokens, n_tokens of them, to be padded to ``capacity``.  A shard holds about
+    ``shard_bytes`` of input, so packing memory is bounded and the share of half-filled bins (a
+    few a shard) does not grow with the data.  Pieces are dealt by a hash of id, piece and the
+    number of earlier rows of that id in the batch: pieces of one very long text, and rows of a
+    null or repeated id, spread as well.
     """
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, -(-plan_bytes(source) // shard_bytes))
-    sizes = source.mapInArrow(_measure(max(capacities)), "doc_id long, piece int, word_offset long, n_words long")
-    return sizes.groupBy(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard")).applyInArrow(_pack_shard(tuple(capacities)), SCHEMA)
+    sizes = source.mapInArrow(_tokenise(shared, pattern, max(capacities), separator), PIECES)
+    return sizes.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)).alias("shard")).applyInArrow(_pack_shard(tuple(sorted(capacities))), SCHEMA)

@@ -18,15 +18,8 @@ URL_RULES = tuple(
 )
 
 
-def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """Path and split pattern of a public vocabulary."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(read(spark, sf_dir, "documents"), *vocabulary())
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), *bpe.vocabulary())
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +31,7 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), *bpe.vocabulary())
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ j AS (
     t.said || '<|im_end|>' || chr(10) AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 s AS (
-  SELECT *, sum(length(lead) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY seq) AS e FROM j)
-SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+  SELECT *, sum(length(lead) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY seq) AS e FROM j)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, min(seq) AS first_turn, CAST(min(e - length(lead) - length(body)) AS BIGINT) AS "offset", count(*) AS n_turns,
   string_agg(lead || body, '' ORDER BY seq) AS rendered,
   string_agg(CAST(own AS VARCHAR), '' ORDER BY seq) AS mask,
   coalesce(string_agg(CAST(e - length(body) AS VARCHAR) || '-' || CAST(e AS VARCHAR), ',' ORDER BY seq) FILTER (WHERE own = 1), '') AS spans,

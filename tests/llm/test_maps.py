@@ -5,8 +5,9 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, langid, media, packing, quality, queries, sql, urls
+from graphloom.llm import bpe, chat, langid, media, quality, queries, sql, urls
 
 from . import corpus
 
@@ -23,32 +24,45 @@ def oracle(name_to_frame, text):
 
 @pytest.fixture(scope="module")
 def codec():
-    path, pattern = queries.vocabulary()
+    path, pattern = bpe.vocabulary()
     with open(path, "rb") as f:
         return bpe.Codec(f.read(), pattern)
 
 
 def test_bpe_equals_tiktoken(codec):
     tiktoken = pytest.importorskip("tiktoken")
-    _, pattern = queries.vocabulary()
+    _, pattern = bpe.vocabulary()
     theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(1)
     texts = ["", "a" * 1000, "thethethe" * 30, " " * 300 + "a", "日本語テスト" * 40, *(t or "" for _, t in corpus.rows())]
     texts += ["".join(chr(rng.choice([rng.randint(0, 127), rng.randint(0, 0x3100), rng.randint(0x10000, 0x1F9FF)])) for _ in range(60)) for _ in range(200)]
-    for text, ids in zip(texts, codec.encode_batch(texts), strict=True):
-        assert ids == theirs.encode_ordinary(text)
-        assert codec.decode(ids).decode() == text
+    ids, offsets = codec.encode_batch(texts)
+    for k, text in enumerate(texts):
+        mine = ids[offsets[k] : offsets[k + 1]].tolist()
+        assert mine == theirs.encode_ordinary(text)
+        assert codec.decode(mine).decode() == text
 
 
 def test_bpe_lockstep_and_single_trees_agree(codec):
     rng = random.Random(2)
     pieces = [bytes(rng.choice(b"theraning ") for _ in range(rng.randint(1, 64))) for _ in range(300)]
-    assert codec.merge_rows(pieces, 64) == [codec.merge_one(p) for p in pieces]
+    ids, counts = codec.merge_rows(pieces, 64)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [codec.merge_one(p) for p in pieces]
+
+
+def test_bpe_cache_starts_anew(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    texts = [t or "" for _, t in corpus.rows()]
+    whole, cuts = codec.encode_batch(texts)
+    for k, text in enumerate(texts):
+        assert codec.encode_batch([text])[0].tolist() == whole[cuts[k] : cuts[k + 1]].tolist()
+        assert len(codec.index) < 20 + len(codec.split(text)) + 1 or k == 0
+    assert codec.encode_batch([])[0].tolist() == [] and codec.encode_batch(["", ""])[1].tolist() == [0, 0, 0]
 
 
 def test_bpe_query_columns(spark, codec):
     docs = corpus.frame(spark)
-    found = bpe.encode_documents(docs, *queries.vocabulary(), keep_ids=True).collect()
+    found = bpe.encode_documents(docs, *bpe.vocabulary(), keep_ids=True).collect()
     assert len(found) == docs.count()
     texts = {}
     for i, t in corpus.rows():
@@ -57,7 +71,7 @@ def test_bpe_query_columns(spark, codec):
         assert r.n_tokens == len(r.ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id]).hexdigest()
-    assert bpe.encode_documents(corpus.frame(spark, []), *queries.vocabulary()).collect() == []
+    assert bpe.encode_documents(corpus.frame(spark, []), *bpe.vocabulary()).collect() == []
 
 
 # Quality
@@ -85,39 +99,17 @@ def test_quality_verdicts(spark):
     assert found[4].base_failed and not found[4].kept
 
 
-# Packing
-
-
-def test_pack_never_overfills_and_downsizes():
-    rng = random.Random(4)
-    lengths = sorted((rng.randint(1, 4096) for _ in range(500)), reverse=True)
-    bins, offsets, capacity = packing.pack(lengths)
-    used = np.bincount(bins, weights=lengths)
-    for b, c in enumerate(capacity):
-        assert used[b] <= c and not any(used[b] <= small < c for small in packing.CAPACITIES)
-    spans = sorted((b, o, o + n) for b, o, n in zip(bins, offsets, lengths, strict=True))
-    assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(spans, spans[1:], strict=False))
-    assert sum(lengths) / sum(capacity) > 0.97
-
+# Media features
 
-def test_pack_takes_the_tightest_bin():
-    bins, _, capacity = packing.pack([60, 45, 40, 30, 10], capacities=[100])
-    assert bins == [0, 1, 0, 1, 1] and capacity == [100, 100]
-    assert packing.pack([], [8]) == ([], [], [])
 
-
-def test_packed_documents_cover_every_word(spark):
-    docs = corpus.frame(spark)
-    found = packing.pack_documents(docs, capacities=(64, 128, 512), shard_bytes=200).collect()
-    pieces = {}
-    for r in found:
-        pieces.setdefault((r.doc_id, r.piece), []).append((r.word_offset, r.n_words))
-        assert r.bin_offset + r.n_words <= r.bin_words <= r.capacity
-    total = sum(len(corpus.words(t)) for _, t in corpus.rows())
-    assert sum(r.n_words for r in found) == total
-    bins = {r.bin_id: r.bin_words for r in found}
-    assert sum(bins.values()) == total
-    assert packing.pack_documents(corpus.frame(spark, [(1, None), (2, " ")])).collect() == []
+def test_media_feature_is_exact():
+    rng = np.random.default_rng(1)
+    for size in (192, 192 * 300, 192 * 400):
+        payload = rng.integers(0, 256, size, np.uint8).tobytes()
+        total, squares = sum(payload), sum(x * x for x in payload)
+        cuts = [k * size // 64 for k in range(65)]
+        bits = [int(sum(payload[a:b]) * size > total * (b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert media.feature_of(payload) == f"m{100 * total // size}-v{squares // size}-h{int(''.join(map(str, bits)), 2):016x}"
 
 
 # URLs
@@ -190,26 +182,34 @@ def test_automaton_holds_all_substrings():
         assert inside(part) == (part in have)
 
 
-def test_phrases_equal_greedy_parse():
+@pytest.mark.parametrize("block", [512, 7, 2])
+def test_phrases_equal_one_unbroken_greedy_parse(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(8)
-    samples = {"x": bytes(rng.choice(b"abc ") for _ in range(80)), "y": bytes(rng.choice(b"bcd ") for _ in range(80))}
+    samples = {"x": bytes(rng.choice(b"abc ") for _ in range(80)) + b"abab" * 400, "y": bytes(rng.choice(b"bcd ") for _ in range(80))}
     model = langid.build(samples)
-    texts = [bytes(rng.choice(b"abcdz ") for _ in range(rng.randint(0, 1300))) for _ in range(12)]
+    texts = [bytes(rng.choice(b"abcdz ") for _ in range(rng.randint(0, 1300))) for _ in range(12)] + [b"c" + b"abab" * 380]
     found = langid.phrases(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     for k, name in enumerate(model.languages):
         for d, text in enumerate(texts):
-            n = 0
-            for at in range(0, len(text), langid.BLOCK):
-                block = text[at : at + langid.BLOCK]
-                i = 0
-                while i < len(block):
-                    j = i + 1
-                    while j < len(block) and block[i:j] in samples[name] and block[i : j + 1] in samples[name]:
-                        j += 1
-                    n, i = n + 1, j
+            n = i = 0
+            while i < len(text):
+                j = i + 1
+                while j < len(text) and text[i:j] in samples[name] and text[i : j + 1] in samples[name]:
+                    j += 1
+                n, i = n + 1, j
             assert found[k][d] == n
 
 
+def test_many_languages_share_one_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} of many words", f"l{i % 6}") for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "ALL_SYMBOLS", 60)
+    assert len(langid.train(docs, F.lit(True)).table) <= 2 * 60 * 30
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.train(docs, F.lit(True))
+
+
 # Media
 
 
@@ -290,7 +290,7 @@ def test_chat_equals_sql(spark, monkeypatch, stretch):
 
 def test_chat_masks_cover_the_speaker(spark):
     talks = spark.createDataFrame([(1, k, "ab"[k % 2], f"t{k}") for k in range(7)], "conv_id long, turn long, role string, text string")
-    for r in chat.rotate_perspectives(talks, max_turns=3).collect():
-        shown = [r.rendered[int(a) : int(b)] for a, b in (s.split("-") for s in r.spans.split(",") if s)]
+    for r in chat.rotate_perspectives(talks, part_turns=3).collect():
+        shown = [r.rendered[int(a) - r.offset : int(b) - r.offset] for a, b in (s.split("-") for s in r.spans.split(",") if s)]
         mine = [f"t{k}<|im_end|>\n" for k in range(7) if k // 3 == r.part and "ab"[k % 2] == r.perspective]
         assert shown == mine and r.loss_chars == sum(map(len, mine))
