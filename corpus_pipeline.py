@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import groups, jaccard, langid, packing, quality, suffix
+from graphloom.llm import bpe, groups, jaccard, langid, packing, quality, suffix
 from graphloom.llm.store import materialize
 
 
@@ -54,8 +54,11 @@ def shared_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
-    return packing.pack_documents(docs)
+    """Encode what is left and pack the tokens into sequences.
+
+    Texts without a token are in no sequence; rows of null or repeated ids are packed one by one.
+    """
+    return packing.pack_documents(docs, *bpe.vocabulary())
 
 
 STAGES = [
