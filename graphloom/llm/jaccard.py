@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: components and numbers of links.
+"""N-gram Jaccard join with a prefix tree: components and numbers of links.
 
 A document's set is its distinct SHINGLE-word shingles (A-Z lower-cased), hashed to 64 bits.
 Two documents link when 100 * |intersection| >= PERCENT * |union|.
@@ -13,10 +13,12 @@ Two documents link when 100 * |intersection| >= PERCENT * |union|.
    shingles of their own have no link.
 4. Sets that share a prefix shingle lie in one coarse component, which therefore holds
    all links of its members.
-5. In each coarse component, all pairs of sets that are near enough in length are compared:
-   overlaps come from the posting lists of rare shingles and a matrix product over common
-   ones.  A coarse component of over BLOCK_SETS sets is dealt into length classes and blocks,
-   and every two blocks of the same or adjoining classes meet in a task of their own.
+5. In each coarse component, sets go into a prefix tree in the global order (``trie``), which
+   all of them walk as queries: overlaps of common beginnings are counted once, subtrees are
+   left by length bounds, and every link of every set is found.  A coarse component of over
+   BLOCK_SETS sets is dealt into length classes and, by the rarest shingle, into blocks; every
+   two blocks of the same or adjoining classes that have a prefix shingle in common meet in a
+   task of their own, one as the tree and one as queries.
 6. A set's links are counted by the rows that have each set, copies included.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of
@@ -41,11 +43,11 @@ from . import groups as G
 from .components import components
 from .hashing import Words, ngrams, within
 from .store import materialize
+from .trie import PrefixTree, Sets, spread
 
 SHINGLE, PERCENT = 5, 75
-BLOCK_SETS = 2048
+BLOCK_SETS = 512
 SHARED, CLASSES = 1, 2  # kinds of answers
-DENSE, COLUMNS, CHUNK = 100, 1024, 1 << 22  # pairs a token to be a matrix column: one in DENSE; columns and counted pairs at a time
 
 
 def prefix_length(n, percent: int):
@@ -159,7 +161,7 @@ def _answer_classes(table: pa.Table) -> pa.Table:
     return G.answer_table(CLASSES, out)
 
 
-SUSPECTS = "doc_id long, n long, k long, prefix int, tokens binary"
+SUSPECTS = "doc_id long, n long, k long, prefix int, tokens binary, grades binary"
 
 
 def _order_sets(percent: int, buckets: int):
@@ -184,10 +186,10 @@ def _order_sets(percent: int, buckets: int):
             if prefix > 0:
                 order = np.lexsort((own, cls))[int((cls == 0).sum()) :]
                 if len(order):
-                    rows.append((doc, n, k, min(prefix, len(order)), own[order].tobytes()))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "k", "prefix", "tokens"])
+                    rows.append((doc, n, k, min(prefix, len(order)), own[order].tobytes(), cls[order].tobytes()))
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "k", "prefix", "tokens", "grades"])
 
     return run
 
@@ -258,57 +260,6 @@ def _coarse_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-class _Sets:
-    """Some of a table's sets: their tokens as ranks, ordered by rank, and the row of each."""
-
-    def __init__(self, table: pa.Table, rank: np.ndarray, owner: np.ndarray, at: np.ndarray):
-        self.ids, self.n, self.k = (table.column(c).to_numpy()[at] for c in ("doc_id", "n", "k"))
-        place = np.full(table.num_rows, -1)
-        place[at] = np.arange(len(at))
-        mine = place[owner] >= 0
-        self.rank, self.row = rank[mine], place[owner[mine]]
-        order = np.argsort(self.rank, kind="stable")
-        self.rank, self.row = self.rank[order], self.row[order]
-
-    def __len__(self) -> int:
-        return len(self.ids)
-
-
-def overlaps(one: _Sets, two: _Sets, universe: int) -> np.ndarray:
-    """How many shared tokens each set of ``one`` has with each of ``two``.
-
-    Tokens of many pairs are columns of a matrix product, the pairs of all others are counted.
-    """
-    out = np.zeros((len(one), len(two)), np.float32 if max(one.n.max(), two.n.max()) < 1 << 24 else np.float64)
-    f, g = np.bincount(one.rank, minlength=universe), np.bincount(two.rank, minlength=universe)
-    pairs = f * g
-    useful = pairs > (1 if one is two else 0)  # a token of one set alone is on the diagonal only
-    common = useful & (pairs > len(one) * len(two) // DENSE)
-    column = np.cumsum(common) - 1
-    total = int(common.sum())
-    for lo in range(0, total, COLUMNS):
-        sides = []
-        for s in (one, two):
-            at = np.flatnonzero(common[s.rank] & (column[s.rank] >= lo) & (column[s.rank] < lo + COLUMNS))
-            m = np.zeros((len(s), min(COLUMNS, total - lo)), out.dtype)
-            m[s.row[at], column[s.rank[at]] - lo] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
-    rare = np.flatnonzero((useful & ~common)[one.rank])
-    start = (np.cumsum(g) - g)[one.rank[rare]]
-    times, row = g[one.rank[rare]], one.row[rare]
-    ends = np.cumsum(times)
-    lo = 0
-    while lo < len(rare):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
-        t = times[lo:hi]
-        nth = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-        flat = np.repeat(row[lo:hi], t) * len(two) + two.row[np.repeat(start[lo:hi], t) + nth]
-        out += np.bincount(flat, minlength=out.size).reshape(out.shape)
-        lo = hi
-    return out
-
-
 def joined(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows and columns of a matrix of links the least row of their component, -1 for none."""
     rows, columns = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
@@ -332,20 +283,25 @@ def _pair_links(percent: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
         tokens, size = _joined(table)
-        _, rank = np.unique(tokens, return_inverse=True)
-        owner = np.repeat(np.arange(len(size)), size)
-        side = table.column("side").to_numpy()
+        # ranks in the global order: a token's class and hash
+        grades = np.frombuffer(b"".join(table.column("grades").to_pylist()), np.uint8)
+        order = np.lexsort((tokens, grades))
+        rank = np.empty(len(tokens), np.int64)
+        rank[order] = np.cumsum(np.append(False, tokens[order][1:] != tokens[order][:-1]))
         universe = int(rank.max(initial=-1)) + 1
-        one = _Sets(table, rank, owner, np.flatnonzero(side == 0))
-        two = _Sets(table, rank, owner, np.flatnonzero(side == 1)) if side.any() else one
+        ids, n, k, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "k", "side"))
+
+        def sets(of: int) -> Sets:
+            at = np.flatnonzero(side == of)
+            at = at[np.argsort(ids[at])]
+            return Sets(ids[at], n[at], k[at], rank[spread((np.cumsum(size) - size)[at], size[at])], size[at])
+
+        one = sets(0)
+        two = sets(1) if side.any() else one
         if table.column("paired")[0].as_py() and two is one or not len(one):
             return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "links")})
-        shared = overlaps(one, two, universe)
-        linked = np.empty(shared.shape, bool)
-        for lo in range(0, len(one), 256):
-            linked[lo : lo + 256] = (100 + percent) * shared[lo : lo + 256].astype(np.int64) >= percent * (one.n[lo : lo + 256, None] + two.n)
+        linked = PrefixTree(two).linked(one, universe, percent)
         if two is one:
             np.fill_diagonal(linked, False)
         links = [linked.astype(np.int64) @ two.k, one.k @ linked]
@@ -366,6 +322,15 @@ def _pair_links(percent: int):
 EDGES = "a long, b long"
 
 
+def _dealt(sets: DataFrame, block_sets: int) -> DataFrame:
+    """Adds the block ``i`` of each set: by its rarest shingle, and where too many have that, by its number too."""
+    cells = sets.groupBy("part", "c").agg(F.ceil(F.count("*") / block_sets).alias("cells"))
+    celled = sets.join(cells, ["part", "c"]).withColumn("cell", F.pmod(F.xxhash64(F.substring("tokens", 1, 8)), F.col("cells"))).drop("cells")
+    shares = celled.groupBy("part", "c", "cell").agg(F.ceil(F.count("*") / block_sets).alias("shares"))
+    share = F.pmod(F.xxhash64("doc_id"), F.col("shares"))
+    return celled.join(shares, ["part", "c", "cell"]).withColumn("i", F.shiftleft("cell", 31) + share).drop("cell", "shares")
+
+
 def _links(suspects: DataFrame, coarse: DataFrame, percent: int, block_sets: int) -> DataFrame:
     """(a, b, links) of all sets that have a link, a row for each task that found some."""
     placed = suspects.join(coarse.select(F.col("id").alias("doc_id"), F.col("label").alias("part")), "doc_id")
@@ -374,17 +339,19 @@ def _links(suspects: DataFrame, coarse: DataFrame, percent: int, block_sets: int
     width = max(-math.log(percent / 100), 0.01) + 1e-9
     large = F.col("size") > block_sets
     placed = placed.join(sizes, "part").withColumn("c", F.when(large, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("int"))
-    placed = materialize(placed.withColumn("large", large).select("part", "c", "large", "doc_id", "n", "k", "tokens"), "placed")
-    columns = ("part", "c", "i", "c2", "j", "side", "paired", "doc_id", "n", "k", "tokens")
-    alone = {"i": F.lit(0), "c2": F.lit(0), "j": F.lit(0), "side": F.lit(0), "paired": F.lit(False)}
-    work = placed.where("NOT large").withColumns(alone).select(*columns)
+    held = ("doc_id", "n", "k", "tokens", "grades")
+    placed = materialize(placed.withColumn("large", large).select("part", "c", "large", "prefix", *held), "placed")
+    columns = ("part", "c", "i", "c2", "j", "side", "paired", *held)
+    none = F.lit(0).cast("long")
+    work = placed.where("NOT large").withColumns({"i": none, "c2": F.lit(0), "j": none, "side": F.lit(0), "paired": F.lit(False)}).select(*columns)
     dealt = placed.where("large")
     if not dealt.isEmpty():
-        cells = dealt.groupBy("part", "c").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
-        dealt = dealt.join(cells, ["part", "c"]).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
-        one = cells.select("part", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-        two = one.select("part", F.col("c").alias("c2"), F.col("i").alias("j"))
-        pairs = materialize(one.join(two, "part").where("(c2 = c AND i <= j) OR c2 = c + 1").withColumn("paired", F.expr("c2 <> c OR i <> j")), "pairs")
+        dealt = materialize(_dealt(dealt, block_sets), "dealt")
+        # blocks that have a prefix shingle in common; others have no link
+        met = dealt.select("part", "c", "i", F.explode(F.expr("transform(sequence(0, prefix - 1), x -> substring(tokens, 8 * x + 1, 8))")).alias("token")).distinct()
+        two = met.select("part", "token", F.col("c").alias("c2"), F.col("i").alias("j"))
+        pairs = met.join(two, ["part", "token"]).where("(c2 = c AND i <= j) OR c2 = c + 1").select("part", "c", "i", "c2", "j").distinct()
+        pairs = materialize(pairs.withColumn("paired", F.expr("c2 <> c OR i <> j")), "pairs")
         left = dealt.join(pairs, ["part", "c", "i"]).withColumn("side", F.lit(0))
         onward = pairs.where("paired").select("part", F.col("c").alias("c1"), F.col("i").alias("i1"), F.col("c2").alias("c"), F.col("j").alias("i"), "paired")
         right = dealt.join(onward, ["part", "c", "i"]).withColumn("side", F.lit(1)).withColumn("c2", F.col("c")).withColumn("j", F.col("i")).withColumn("c", F.col("c1")).withColumn("i", F.col("i1"))

@@ -4,10 +4,9 @@ import collections
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from graphloom.llm import groups, jaccard, substring, suffix
+from graphloom.llm import groups, jaccard, substring, suffix, trie
 
 from . import corpus
 
@@ -33,19 +32,30 @@ def near_copies(rng, n, tag, words=60):
         yield " ".join(text[: rng.randint(words - 8, words)])
 
 
-@pytest.mark.parametrize("dense", [100, 1, 10**9], ids=["mixed", "counted", "product"])
-def test_overlaps_equal_brute_force(monkeypatch, dense):
-    monkeypatch.setattr(jaccard, "DENSE", dense)
-    monkeypatch.setattr(jaccard, "COLUMNS", 7)
-    monkeypatch.setattr(jaccard, "CHUNK", 50)
-    rng = random.Random(dense)
-    sets = [sorted(rng.sample(range(40), rng.randint(1, 12))) + [40] for _ in range(30)]
-    table = pa.table({"doc_id": range(30), "n": [len(s) for s in sets], "k": [1] * 30})
-    rank, owner = np.concatenate(sets), np.repeat(np.arange(30), [len(s) for s in sets])
-    one, two = (jaccard._Sets(table, rank, owner, np.arange(lo, hi)) for lo, hi in ((0, 11), (11, 30)))
-    assert jaccard.overlaps(one, two, 41).tolist() == [[len({*a} & {*b}) for b in sets[11:]] for a in sets[:11]]
-    own = jaccard.overlaps(two, two, 41)
-    assert all(own[a, b] == len({*sets[11 + a]} & {*sets[11 + b]}) for a in range(19) for b in range(19) if a != b)
+@pytest.mark.parametrize("seed", range(6))
+def test_tree_links_equal_brute_force(monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(trie, "EDGE", rng.choice([1, 3, 32]))
+    monkeypatch.setattr(trie, "LOOKUPS", 64)
+    monkeypatch.setattr(trie, "MARKS", rng.choice([100, 1 << 20]))
+    percent = rng.choice([40, 75])
+    bases = [rng.sample(range(90), 30) for _ in range(3)]
+    made = [sorted({x for x in rng.choice(bases) if rng.random() < 0.9} | {rng.randrange(90)}) for _ in range(60)]
+    made += made[:3] + [made[4][:2]]
+    extra = [rng.randint(0, 4) for _ in made]  # members that no other set has
+
+    def sets(at):
+        size = np.array([len(made[x]) for x in at])
+        return trie.Sets(np.array(at), size + np.array([extra[x] for x in at]), np.ones(len(at), int), np.concatenate([made[x] for x in at]), size)
+
+    def linked(a, b):
+        both = len({*made[a]} & {*made[b]})
+        return 100 * both >= percent * (len(made[a]) + extra[a] + len(made[b]) + extra[b] - both)
+
+    one, two = list(range(25)), list(range(25, len(made)))
+    for left, right in ((one, two), (two, two)):
+        found = trie.PrefixTree(sets(right)).linked(sets(left), 90, percent)
+        assert found.tolist() == [[linked(a, b) for b in right] for a in left] and found.any()
 
 
 @pytest.mark.parametrize("block_sets", [2048, 7])
