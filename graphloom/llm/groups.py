@@ -1,20 +1,24 @@
 """Document groups that talk through hash buckets.
 
-Texts are dealt into groups by a hash of their id (of the text where it is null), about GROUP_BYTES each.  A group sends
+Texts are dealt into groups by a hash of id and text, about GROUP_BYTES each.  A group sends
 every distinct key that it has once (however often it occurs in the group) to the bucket of
 that key; a bucket answers each group about its own keys; the group then works on its texts
-with the answers.  A key that occurs in a third of all rows thus costs one entry a group, and
-neither groups nor buckets grow with the input.  Both sides of every step share one exchange
-of the texts.
-
-Messages are packed arrays: (g, kind, b, n, payload, ids), one row a group and bucket.
+with the answers.  A key that occurs in a third of all rows thus costs one entry a group.  Both
+sides of every step share one exchange of the texts.
+
+Messages are packed arrays: (g, kind, b, n, payload, ids), one row a group and bucket.  Where so
+many groups and buckets would exchange messages of a few bytes, these travel in two steps: a
+group's messages to FAN neighbouring buckets are one row, which meets those of FAN neighbouring
+groups and is turned into one row a bucket; answers come back the same way.  Groups and buckets
+therefore keep their bounds at any size of the input.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +29,14 @@ from .hashing import column_bytes
 from .store import plan_bytes, whole_row
 
 GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20  # of the input's files
-MESSAGE_BYTES = 1 << 10  # of the input for each message; beyond it, groups and buckets grow
+MOST_BYTES = 8 << 20  # of the input's files, to which groups and buckets may grow
+MESSAGE_BYTES = 1 << 10  # of the input for each message: what groups and buckets grow for, and beyond it messages are relayed
 NULL_ID = np.iinfo(np.int64).min  # a null id comes before all others
 MESSAGE = "g int, kind int, b int, n long, payload binary, ids array<long>"
 PACKED = "b int, g int, n long, payload binary"
 PACKED_SCHEMA = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
 MESSAGE_SCHEMA = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64()))])
-COPIES = 0  # the kind of message that lists a group's repeated texts
+COPIES, RELAYED = 0, -1  # the kinds of message that list a group's repeated texts, and that hold other messages
 
 
 def texts_of(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -39,22 +44,31 @@ def texts_of(docs: DataFrame, carry: bool = False) -> DataFrame:
     return docs.select(*own, *([whole_row(docs, without=("text",))] if carry else []))
 
 
-def grouped(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, int]:
-    """(doc_id, text[, row], g) and the number of buckets that suits the input; row: all columns but the text."""
-    groups, buckets = layout(plan_bytes(docs))
-    unnamed = F.when(F.col("doc_id") == F.lit(int(NULL_ID)), F.col("text"))  # rows without an id are dealt by their text
-    return texts_of(docs, carry).withColumn("g", F.pmod(F.xxhash64("doc_id", unnamed), F.lit(groups)).cast("int")), buckets
+class Layout(NamedTuple):
+    """Numbers of groups and buckets; how many neighbours share a relay, 1 for none."""
+
+    groups: int
+    buckets: int
+    fan: int
+
+
+def grouped(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, Layout]:
+    """(doc_id, text[, row], g) and the layout that suits the input; row: all columns but the text."""
+    plan = layout(plan_bytes(docs))
+    return texts_of(docs, carry).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.groups)).cast("int")), plan
 
 
-def layout(size: int) -> tuple[int, int]:
-    """Numbers of groups and buckets for an input of so many bytes.
+def layout(size: int) -> Layout:
+    """For an input of so many bytes.
 
     Every group may send a message to every bucket.  Past a certain input both grow with its
-    square root, so that there is one message for each MESSAGE_BYTES of input at most: 5 MB a
-    group at 30 GB, some 300 MB at 100 TB.
+    square root, so that there is one message for each MESSAGE_BYTES of input at most, up to
+    MOST_BYTES (some 60 GB); from there on their size is fixed and messages are relayed.
     """
-    least = math.isqrt(size * MESSAGE_BYTES)
-    return tuple(max(1, -(-size // max(base, least))) for base in (GROUP_BYTES, BUCKET_BYTES))
+    least = min(math.isqrt(size * MESSAGE_BYTES), MOST_BYTES)
+    groups, buckets = (max(1, -(-size // max(base, least))) for base in (GROUP_BYTES, BUCKET_BYTES))
+    fan = 1 if groups * buckets * MESSAGE_BYTES <= 2 * size + MESSAGE_BYTES else math.isqrt(buckets) + 1
+    return Layout(groups, buckets, fan)
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -184,15 +198,99 @@ def answers(messages: pa.Table, kind: int) -> dict[int, tuple[int, bytes]]:
     }
 
 
+def enclose(rows: list[tuple]) -> bytes:
+    """Rows of some integers and a payload, as one payload."""
+    numbers = np.array([(*r[:-1], len(r[-1])) for r in rows], np.int64)
+    return np.int64([len(rows), numbers.shape[1]]).tobytes() + numbers.tobytes() + b"".join(r[-1] for r in rows)
+
+
+def disclose(payload: bytes) -> Iterator[tuple]:
+    count, width = np.frombuffer(payload, np.int64, 2).tolist()
+    numbers = np.frombuffer(payload, np.int64, count * width, 16).reshape(count, width).tolist()
+    at = 16 + 8 * count * width
+    for *row, size in numbers:
+        yield (*row, payload[at : at + size])
+        at += size
+
+
+def _sorted_out(rows: Iterable[tuple], key: Callable[[tuple], tuple]) -> dict[tuple, list[tuple]]:
+    out: dict[tuple, list[tuple]] = {}
+    for r in rows:
+        out.setdefault(key(r), []).append(r)
+    return out
+
+
+def _routed(parts: dict[tuple, list[tuple]]) -> pa.Table:
+    """A row for each (to, by) of rows that travel together."""
+    keys = list(zip(*parts, strict=True)) if parts else [(), ()]
+    return pa.table({"x": pa.array(keys[0], pa.int32()), "y": pa.array(keys[1], pa.int32()), "payload": pa.array([enclose(r) for r in parts.values()], pa.binary())})
+
+
+def _disclosed(table: pa.Table) -> Iterator[tuple]:
+    for payload in table.column("payload").to_pylist():
+        yield from disclose(payload)
+
+
+ROUTED = "x int, y int, payload binary"
+
+
+def route(sent: pa.Table, fan: int) -> pa.Table:
+    """What a group sends, one row for each FAN buckets."""
+    rows = zip(*(sent.column(c).to_pylist() for c in ("b", "g", "n", "payload")), strict=True)
+    return _routed(_sorted_out(rows, lambda r: (r[0] // fan, r[1] // fan)))
+
+
+def exchange(sent: DataFrame, answer: Callable[[pa.Table], pa.Table], fan: int) -> DataFrame:
+    """Messages that buckets return to packed rows; with a fan these are routed ones."""
+    if fan == 1:
+        return sent.groupBy("b").applyInArrow(answer, MESSAGE)
+
+    def to_buckets(table: pa.Table) -> pa.Table:
+        return _routed(_sorted_out(_disclosed(table), lambda r: (r[0], 0)))
+
+    def answered(table: pa.Table) -> pa.Table:
+        b, g, n, payload = zip(*_disclosed(table), strict=True)
+        found = answer(pa.table([pa.array(b, pa.int32()), pa.array(g, pa.int32()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], schema=PACKED_SCHEMA))
+        rows = zip(*(found.column(c).to_pylist() for c in ("g", "kind", "b", "n", "payload")), strict=True)
+        return _routed(_sorted_out(rows, lambda r: (r[0] // fan, r[2] // fan)))
+
+    def to_groups(table: pa.Table) -> pa.Table:
+        parts = _sorted_out(_disclosed(table), lambda r: (r[0],))
+        return answer_table(RELAYED, [(g, rows[0][2], len(rows), enclose(rows)) for (g,), rows in parts.items()])
+
+    turned = sent.groupBy("x", "y").applyInArrow(to_buckets, ROUTED)
+    return turned.groupBy("x").applyInArrow(answered, ROUTED).groupBy("x", "y").applyInArrow(to_groups, MESSAGE)
+
+
+def _taken_out(messages: pa.Table) -> pa.Table:
+    """Messages with relayed ones in the place of what held them."""
+    kinds = messages.column("kind").to_pylist()
+    if RELAYED not in kinds:
+        return messages
+    held = [r for kind, payload in zip(kinds, messages.column("payload").to_pylist(), strict=True) if kind == RELAYED for r in disclose(payload)]
+    g, kind, b, n, payload = zip(*held, strict=True)
+    own = messages.filter(pa.array([k != RELAYED for k in kinds])).select(["kind", "b", "n", "payload", "ids"])
+    more = pa.table([pa.array(kind, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(len(g), pa.list_(pa.int64()))], schema=pa.schema(list(MESSAGE_SCHEMA)[1:]))
+    return pa.concat_tables([own.cast(more.schema), more])
+
+
 def _addressed(messages: DataFrame):
     return messages.withColumnRenamed("g", "to").groupBy("to")
 
 
-def ask(texts: DataFrame, messages: DataFrame, send: Callable[[pa.Table, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def ask(texts: DataFrame, messages: DataFrame, send: Callable[[pa.Table, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], fan: int = 1) -> DataFrame:
     """Messages that buckets return to what groups sent."""
-    sent = texts.groupBy("g").cogroup(_addressed(messages)).applyInArrow(send, PACKED)
-    return sent.groupBy("b").applyInArrow(answer, MESSAGE)
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        sent = send(table, _taken_out(told))
+        return sent if fan == 1 else route(sent, fan)
+
+    sent = texts.groupBy("g").cogroup(_addressed(messages)).applyInArrow(run, PACKED if fan == 1 else ROUTED)
+    return exchange(sent, answer, fan)
 
 
 def conclude(texts: DataFrame, messages: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return texts.groupBy("g").cogroup(_addressed(messages)).applyInArrow(finish, schema)
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        return finish(table, _taken_out(told))
+
+    return texts.groupBy("g").cogroup(_addressed(messages)).applyInArrow(run, schema)

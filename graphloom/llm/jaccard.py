@@ -135,13 +135,14 @@ def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint64), np.array([len(r) // 8 for r in raw], np.int64)
 
 
-def _send_tokens(buckets: int):
+def _send_tokens(buckets: int, fan: int):
     def run(table: pa.Table) -> pa.Table:
         keys, counts = np.unique(G.packed_keys(_joined(table)[0], buckets), return_counts=True)
         rows = []
         for b, at in G.by_bucket(keys >> np.uint64(32)):
             rows.append((b, at.stop - at.start, keys[at].astype(np.uint32).tobytes() + np.minimum(counts[at], 2**16 - 1).astype(np.uint16).tobytes()))
-        return G.packed_table(table.column("g")[0].as_py() if table.num_rows else -1, rows)
+        sent = G.packed_table(table.column("g")[0].as_py() if table.num_rows else -1, rows)
+        return sent if fan == 1 else G.route(sent, fan)
 
     return run
 
@@ -365,9 +366,10 @@ def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     ``id`` is NULL_ID where the input has none, ``vertex`` the same number for all rows of a
     component and for no others, ``component`` the least id of these.
     """
-    texts, buckets = G.grouped(docs)
+    texts, plan = G.grouped(docs)
+    buckets = plan.buckets
     copies = G.copies(texts)
-    shared = G.ask(texts, copies, _send_prefixes(size, percent, buckets), G.answer_repeated(SHARED))
+    shared = G.ask(texts, copies, _send_prefixes(size, percent, buckets), G.answer_repeated(SHARED), plan.fan)
     base = materialize(G.conclude(texts, copies.unionByName(shared), _keep_sets(size, percent, buckets), BASE), "sets")
 
     # rows of equal sets are one vertex, named by the first that has the set with it
@@ -376,8 +378,8 @@ def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
     same = materialize(same, "classes")
     own = base.where("tokens IS NOT NULL").select(F.col("row_id").alias("doc_id"), "g", "n", "tokens")
     sets = own.join(same.select(F.col("rep").alias("doc_id"), "k"), "doc_id")
-    sent = sets.groupBy("g").applyInArrow(_send_tokens(buckets), G.PACKED)
-    classes = sent.groupBy("b").applyInArrow(_answer_classes, G.MESSAGE)
+    sent = sets.groupBy("g").applyInArrow(_send_tokens(buckets, plan.fan), G.PACKED if plan.fan == 1 else G.ROUTED)
+    classes = G.exchange(sent, _answer_classes, plan.fan)
     suspects = materialize(G.conclude(sets, classes, _order_sets(percent, buckets), SUSPECTS), "suspects")
     postings = suspects.mapInArrow(_send_postings(buckets), G.PACKED)
     coarse = components(postings.groupBy("b").applyInArrow(_coarse_edges, EDGES))

@@ -12,17 +12,22 @@ from . import corpus
 EMPTY = []
 
 
-@pytest.fixture(params=[(1 << 19, 2 << 20), (400, 600)], ids=["one group", "many groups"])
+@pytest.fixture(params=[(1 << 19, 2 << 20, 1, 1 << 40), (400, 600, 1, 1 << 40), (400, 600, 1 << 40, 900)], ids=["one group", "many groups", "relayed"])
 def sizes(request, monkeypatch):
-    monkeypatch.setattr(groups, "GROUP_BYTES", request.param[0])
-    monkeypatch.setattr(groups, "BUCKET_BYTES", request.param[1])
-    monkeypatch.setattr(groups, "MESSAGE_BYTES", 1)
+    for name, value in zip(("GROUP_BYTES", "BUCKET_BYTES", "MESSAGE_BYTES", "MOST_BYTES"), request.param, strict=True):
+        monkeypatch.setattr(groups, name, value)
 
 
-def test_messages_grow_with_the_input():
-    for size in (10**9, 10**11, 10**13, 10**14):
-        n, b = groups.layout(size)
-        assert n * b <= 1.1 * size / groups.MESSAGE_BYTES + 1 and size / n < 4e8
+def test_groups_and_messages_are_bounded_at_any_size():
+    for size in (10**5, 10**9, 3 * 10**10, 10**11, 10**13, 10**15):
+        n, b, fan = groups.layout(size)
+        assert size / n <= groups.MOST_BYTES and size / b <= groups.MOST_BYTES
+        assert n * (b // fan) <= 2 * size / groups.MESSAGE_BYTES + 1 and (fan > 1) == (size > 2 * 10**11)
+
+
+def test_rows_travel_in_one_payload():
+    rows = [(1, -(2**40), b""), (2, 3, b"abc"), (1, 1, b"x" * 1000)]
+    assert list(groups.disclose(groups.enclose(rows))) == rows
 
 
 def stored(spark, tmp_path, data):
