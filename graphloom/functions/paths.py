@@ -6,8 +6,10 @@ import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE_CAP_BYTES = 512 * 1024
 BINARY_SNIFF_BYTES = 8 * 1024
@@ -24,15 +26,21 @@ HARD_IGNORE = (
 
 #: Language of each extension.
 LANGUAGES = {
-    "typescript": (".ts", ".tsx", ".mts", ".cts"), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "python": (".py",), "go": (".go",), "rust": (".rs",), "ruby": (".rb",),
-    "java": (".java",), "kotlin": (".kt", ".kts"), "c": (".c", ".h"), "cpp": (".cc", ".cpp", ".cxx", ".hpp"), "csharp": (".cs",), "php": (".php",), "swift": (".swift",),
-    "scala": (".scala",), "shell": (".sh", ".bash", ".zsh"), "sql": (".sql",), "css": (".css",), "scss": (".scss",), "less": (".less",), "html": (".html", ".htm"),
-    "vue": (".vue",), "svelte": (".svelte",), "json": (".json",), "yaml": (".yaml", ".yml"), "toml": (".toml",), "markdown": (".md", ".mdx"), "protobuf": (".proto",),
-    "graphql": (".graphql", ".gql"),
+    ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".py": "python", ".go": "go", ".rs": "rust", ".rb": "ruby", ".java": "java", ".kt": "kotlin", ".kts": "kotlin",
+    ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".cs": "csharp", ".php": "php",
+    ".swift": "swift", ".scala": "scala", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".sql": "sql",
+    ".css": "css", ".scss": "scss", ".less": "less", ".html": "html", ".htm": "html", ".vue": "vue", ".svelte": "svelte",
+    ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".md": "markdown", ".mdx": "markdown",
+    ".proto": "protobuf", ".graphql": "graphql", ".gql": "graphql",
 }
 
 #: Grammar of each parsed extension.
-GRAMMARS = {"typescript": (".ts", ".mts", ".cts"), "tsx": (".tsx",), "javascript": (".js", ".jsx", ".mjs", ".cjs")}
+GRAMMARS = {
+    ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+}
 
 #: File name and extension rules of the classification, and path conventions.
 LOCK_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "composer.lock", "Gemfile.lock")
@@ -93,10 +101,9 @@ def is_hard_ignored_directory(path: Column) -> Column:
     return is_hard_ignored(F.concat(path, F.lit("/probe")))
 
 
-def _lookup(key: Column, groups: dict[str, tuple[str, ...]]) -> Column:
+def _lookup(key: Column, values: dict[str, str]) -> Column:
     """One map literal, folded once, instead of a branch for each member."""
-    pairs = [F.lit(x) for name, members in groups.items() for member in members for x in (member, name)]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
 
 
 def language(path: Column) -> Column:
@@ -219,10 +226,25 @@ def parse_gitattributes(content: str) -> list[AttributeRule]:
     return rules
 
 
-def attribute_flag(path: Column, rules: Sequence[AttributeRule]) -> Column:
-    """GENERATED, VENDORED or null: the last matching rule of each attribute counts."""
+RULES = T.ArrayType(T.StructType([T.StructField("regex", T.StringType()), T.StructField("flag", T.StringType()), T.StructField("value", T.BooleanType())]))
+
+
+@F.pandas_udf(RULES)
+def attribute_rules(content: pd.Series) -> pd.Series:
+    """The rules of ``.gitattributes`` texts, one array each."""
+    return content.map(lambda text: [r._asdict() for r in parse_gitattributes(text)] if text else [])
+
+
+def attribute_flag(path: Column, rules: Sequence[AttributeRule] | Column) -> Column:
+    """GENERATED, VENDORED or null: the last matching rule of each attribute counts.
+
+    ``rules``: the same for all rows, or a column of RULES.
+    """
 
     def state(flag: str) -> Column:
+        if isinstance(rules, Column):
+            fits = F.filter(rules, lambda r: (r.flag == flag) & F.regexp_like(path, r.regex))
+            return F.coalesce(F.try_element_at(fits, F.lit(-1)).value, F.lit(False))
         value = F.lit(False)
         for rule in rules:
             if rule.flag == flag:
@@ -232,7 +254,7 @@ def attribute_flag(path: Column, rules: Sequence[AttributeRule]) -> Column:
     return F.when(state("GENERATED"), F.lit("GENERATED")).when(state("VENDORED"), F.lit("VENDORED"))
 
 
-def ignore_decision(path: Column, rules: Sequence[AttributeRule] = ()) -> Column:
+def ignore_decision(path: Column, rules: Sequence[AttributeRule] | Column = ()) -> Column:
     """HARD_IGNORE, SKIPPED_GENERATED, SKIPPED_VENDORED or KEEP."""
     flag = attribute_flag(path, rules)
     return F.when(is_hard_ignored(path), F.lit("HARD_IGNORE")).when(flag.isNotNull(), F.concat(F.lit("SKIPPED_"), flag)).otherwise(F.lit("KEEP"))

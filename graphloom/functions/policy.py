@@ -16,8 +16,9 @@ MOST_WAIT_SECONDS, MOST_RETRIES = 30, 2
 SIZE_CAP_KIB = 512_000
 ARCHIVE_HOST = "codeload.github.com"
 REDACTED, MOST_DEPTH = "[REDACTED]", 10
-#: Normalised names, and name endings, whose values are never logged.
-SECRET_NAMES = frozenset(("authorization", "cookie", "setcookie", "credentials", "pem", "databaseurl"))
+#: Exact names, normalised names, and name endings, whose values are never logged.
+SECRET_EXACT = frozenset(("DATABASE_URL",))
+SECRET_NAMES = frozenset(("authorization", "cookie", "setcookie", "credentials", "pem"))
 SECRET_ENDINGS = ("token", "secret", "password", "passphrase", "privatekey", "apikey")
 
 
@@ -47,7 +48,7 @@ def index_refusal(mode: Column, allowed_by_rate: Column, status: Column) -> Colu
 
 def _is_secret(key: str) -> bool:
     plain = re.sub(r"[^a-z0-9]", "", key.lower())
-    return plain in SECRET_NAMES or plain.endswith(SECRET_ENDINGS) or key.endswith(("_KEY", "_SECRET", "_TOKEN"))
+    return key in SECRET_EXACT or plain in SECRET_NAMES or plain.endswith(SECRET_ENDINGS) or key.endswith(("_KEY", "_SECRET", "_TOKEN"))
 
 
 def redact(value, depth: int = 0):

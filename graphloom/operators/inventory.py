@@ -11,14 +11,27 @@ from ..functions import paths as P
 from .graph import ratio
 
 
-def inventory(entries: DataFrame, rules: Sequence[P.AttributeRule] = ()) -> DataFrame:
+ATTRIBUTES = ".gitattributes"
+
+
+def with_rules(entries: DataFrame) -> DataFrame:
+    """Adds _rules, the attribute rules of each repository's root file; a repository has one row of them."""
+    own = entries.where((F.col("path") == ATTRIBUTES) & F.col("content").isNotNull())
+    rules = own.groupBy("repositoryId").agg(F.max(F.decode("content", "UTF-8")).alias("_text")).select("repositoryId", P.attribute_rules("_text").alias("_rules"))
+    return entries.join(rules, "repositoryId", "left").withColumn("_rules", F.coalesce("_rules", F.array().cast(P.RULES)))
+
+
+def inventory(entries: DataFrame, rules: Sequence[P.AttributeRule] | None = None) -> DataFrame:
     """One row a path that is not hard-ignored of (repositoryId, path, size, content).
 
-    Tests run in the order path, attributes, size, binary, minified; content is looked at only
+    Attribute rules come from each repository's own root file, or are ``rules`` for all.  Tests run in the order path, attributes, size, binary, minified; content is looked at only
     where the earlier ones let it pass.  A null content is a file that could not be read.
     """
     path, text = F.col("path"), F.decode("content", "UTF-8")
-    rows = entries.where(~P.is_hard_ignored(path)).withColumn("_decision", P.ignore_decision(path, rules))
+    rows = entries.where(~P.is_hard_ignored(path))
+    if rules is None:
+        rows = with_rules(rows)
+    rows = rows.withColumn("_decision", P.ignore_decision(path, F.col("_rules") if rules is None else rules))
     unread = F.col("content").isNull()
     reason = F.when(F.col("_decision") != "KEEP", F.col("_decision")).when(~unread, P.content_skip_reason(F.col("size"), F.col("content"), F.decode("content", "UTF-8")))
     rows = rows.withColumn("skipReason", reason)

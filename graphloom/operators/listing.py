@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import strings as S
 from ..schemas import DOMAINS
 
@@ -79,3 +82,33 @@ def free_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     used = whole.withColumn("_same", F.lit(1)).unionByName(numbered.withColumn("_same", F.lit(0))).groupBy("userId", "base").agg(F.max("_n").alias("_n"), F.max("_same").alias("_same"))
     found = wanted.join(used, ["userId", "base"], "left")
     return found.select("key", F.when(F.col("_same") == 1, S.next_slug(F.col("base"), F.col("_n"))).otherwise(F.col("base")).alias("slug"))
+
+
+def find_by(rows: DataFrame, columns: Sequence[str] | None = None, **values) -> DataFrame:
+    """Rows with the given values, a null meeting nulls: a point lookup that reaches the scan as a filter."""
+    for name, value in values.items():
+        rows = rows.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return rows if columns is None else rows.select(*columns)
+
+
+def files_at_commit(files: DataFrame, repository_id: str, sha: str) -> DataFrame:
+    """What the graph needs of a repository's files at a commit."""
+    return find_by(files, ("id", "path", "indexState", "isTest"), repositoryId=repository_id, commitSha=sha)
+
+
+def parse_eligible(files: DataFrame) -> DataFrame:
+    """Indexed files that a grammar reads, with the grammar."""
+    return files.where(F.col("indexState") == "INDEXED").withColumn("grammar", P.grammar(F.col("path"))).where(F.col("grammar").isNotNull())
+
+
+def latency_percentiles(rows: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """The nearest-rank percentiles of each group: the least value that reaches the share.
+
+    Values are counted before they are ranked, so a task holds a group's distinct values at most.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(column))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    ranked = counts.select(*keys, column, upto.alias("_upto"), total.alias("_total"))
+    at = lambda share: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * F.lit(share)), F.col(column)))
+    return ranked.groupBy(*keys).agg(*(at(s).alias(f"p{round(100 * s)}") for s in shares))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
+#: Confidences of the ladder's steps, the most candidates that are kept, and kinds of symbols.
 SAME_FILE, NAMED_IMPORT, UNIQUE_MATCH, AMBIGUOUS, MOST_CANDIDATES = 0.95, 0.9, 0.7, 0.4, 3
 BARE_KINDS = ("FUNCTION", "ARROW_FUNCTION", "HOOK", "REACT_COMPONENT")
 CALLABLE_KINDS = (*BARE_KINDS, "METHOD")
@@ -99,29 +100,56 @@ def resolve_names(sites: DataFrame, symbols: DataFrame, imports: DataFrame, per_
     rest = rest.join(named.select("siteId"), "siteId", "left_anti")
 
     # 3: the repository (or package) index
-    mode = per_package
-    rest = rest.join(mode, "repositoryId", "left").withColumn("_bucket", F.when(F.col("perPackage"), F.coalesce("packageName", F.lit(""))).otherwise(F.lit("")))
-    index = s.join(mode, "repositoryId", "left").withColumn("_bucket", F.when(F.col("perPackage"), F.coalesce("toPackage", F.lit(""))).otherwise(F.lit(""))).drop("perPackage")
-    pool = rest.join(index, ["repositoryId", "_bucket", "name"])
-    in_scope = by_name.select("repositoryId", "filePath", F.explode(F.array_compact(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.array("default")))).alias("parentSymbol")).distinct().withColumn("_scoped", F.lit(True))
-    pool = pool.join(in_scope, ["repositoryId", "filePath", "parentSymbol"], "left")
-    fits = F.when(plain, F.col("kind").isin(*bare)).otherwise((F.col("kind") == "METHOD") & ((F.col("receiver") == "this") | F.coalesce("_scoped", F.lit(False))))
-    pool = pool.where(fits)
-    site = Window.partitionBy("siteId")
-    pool = pool.withColumn("_n", F.count("*").over(site))
-    same_package = F.coalesce(F.col("toPackage") == F.col("packageName"), F.lit(False))
-    same_top = P.top_segment(F.col("toFile")) == P.top_segment(F.col("filePath"))
-    pool = pool.withColumn("_level", F.when(same_package, 0).when(same_top, 1).otherwise(2))
-    pool = pool.withColumn("_some", F.max(F.when(same_top, 1).otherwise(0)).over(site)).withColumn("_pack", F.max(F.when(same_package, 1).otherwise(0)).over(site))
-    survives = F.when(F.col("_n") == 1, True).when(F.col("_pack") == 1, same_package).when(F.col("_some") == 1, same_top).otherwise(True)
-    pool = pool.where(survives).withColumn("_left", F.count("*").over(site))
+    bucket = lambda package: F.when(F.col("perPackage"), F.coalesce(package, F.lit(""))).otherwise(F.lit(""))
+    kind = F.when(F.col("kind").isin(*bare), "bare").when(F.col("kind") == "METHOD", "method")
+    rest = rest.join(per_package, "repositoryId", "left").withColumns({"_bucket": bucket(F.col("packageName")), "_top": P.top_segment(F.col("filePath")), "_kind": F.when(plain, "bare").otherwise("method")})
+    index = s.join(per_package, "repositoryId", "left").withColumns({"_bucket": bucket(F.col("toPackage")), "_top": P.top_segment(F.col("toFile")), "_kind": kind}).where("_kind IS NOT NULL").drop("perPackage")
+    open_sites = plain | (F.col("receiver") == "this")
+    by_count = _by_count(rest.where(open_sites), index)
+    in_scope = by_name.select("repositoryId", "filePath", F.explode(F.array_compact(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.array("default")))).alias("parentSymbol")).distinct()
+    scoped = rest.where(~open_sites).join(in_scope, ["repositoryId", "filePath"]).join(index.drop("_top"), ["repositoryId", "_bucket", "name", "_kind", "parentSymbol"])
+    by_scope = _narrowed(scoped.withColumn("_near", P.top_segment(F.col("toFile")) == F.col("_top")))
+    return same_file.unionByName(named).unionByName(by_count).unionByName(by_scope).join(sites.select("siteId", "fromSymbolId"), "siteId")
+
+
+def _outcome(rows: DataFrame) -> DataFrame:
+    """(siteId, toSymbolId, rule, confidence) of (siteId, _n, _left, _ids): candidates in all, those left, which they are if few."""
     unique = F.col("_n") == 1
     few = F.col("_left") <= MOST_CANDIDATES
-    found = pool.where(unique | few).select(
-        "siteId", "toSymbolId", F.when(unique, "UNIQUE_REPO_MATCH").otherwise("AMBIGUOUS_TIEBREAK").alias("rule"), F.when(unique, F.lit(UNIQUE_MATCH)).otherwise(F.lit(AMBIGUOUS) / F.col("_left")).alias("confidence")
-    )
-    skipped = pool.where(~unique & ~few).select("siteId").distinct().select("siteId", F.lit(None).cast(s.schema["toSymbolId"].dataType).alias("toSymbolId"), F.lit("SKIPPED").alias("rule"), F.lit(None).cast("double").alias("confidence"))
-    return same_file.unionByName(named).unionByName(found).unionByName(skipped).join(sites.select("siteId", "fromSymbolId"), "siteId")
+    rule = F.when(unique, "UNIQUE_REPO_MATCH").when(few, "AMBIGUOUS_TIEBREAK").otherwise("SKIPPED")
+    confidence = F.when(unique, F.lit(UNIQUE_MATCH)).when(few, F.lit(AMBIGUOUS) / F.col("_left"))
+    return rows.select("siteId", F.explode_outer(F.when(few, F.col("_ids"))).alias("toSymbolId"), rule.alias("rule"), confidence.alias("confidence"))
+
+
+def _by_count(sites: DataFrame, index: DataFrame) -> DataFrame:
+    """Candidates that hang on a name alone, narrowed to the site's package, else to its top directory.
+
+    The index is counted by name, by name and package, and by name and directory, and only lists
+    of at most MOST_CANDIDATES are kept, so a common name costs a site three small rows and
+    never meets all its symbols.
+    """
+    name = ["repositoryId", "_bucket", "name", "_kind"]
+
+    def counted(tag: str, *extra: str) -> DataFrame:
+        keys = [*name, *extra]
+        n = index.groupBy(*keys).agg(F.count("*").alias(f"_n{tag}"))
+        few = index.join(n.where(F.col(f"_n{tag}") <= MOST_CANDIDATES), keys).groupBy(*keys).agg(F.collect_list("toSymbolId").alias(f"_ids{tag}"))
+        return n.join(few, keys, "left")
+
+    found = sites.join(counted("_all"), name)
+    found = found.join(counted("_pack", "toPackage").withColumnRenamed("toPackage", "packageName"), [*name, "packageName"], "left")
+    found = found.join(counted("_top", "_top"), [*name, "_top"], "left")
+    pick = lambda c: F.when((F.col("_n_all") > 1) & F.col("_n_pack").isNotNull(), F.col(f"{c}_pack")).when((F.col("_n_all") > 1) & F.col("_n_top").isNotNull(), F.col(f"{c}_top")).otherwise(F.col(f"{c}_all"))
+    return _outcome(found.select("siteId", F.col("_n_all").alias("_n"), pick("_n").alias("_left"), pick("_ids").alias("_ids")))
+
+
+def _narrowed(pool: DataFrame) -> DataFrame:
+    """Candidates that also hang on the class of the receiver, one row each; few, as the class is in scope."""
+    packed = F.coalesce(F.col("toPackage") == F.col("packageName"), F.lit(False))
+    counts = pool.groupBy("siteId").agg(F.count("*").alias("_n"), F.max(packed).alias("_pack"), F.max("_near").alias("_some"))
+    survives = F.when(F.col("_n") == 1, True).when(F.col("_pack"), packed).when(F.col("_some"), F.col("_near")).otherwise(True)
+    left = pool.join(counts, "siteId").where(survives)
+    return _outcome(left.groupBy("siteId").agg(F.first("_n").alias("_n"), F.count("*").alias("_left"), F.collect_list("toSymbolId").alias("_ids")))
 
 
 EDGE_COLUMNS = ("repositoryId", "kind", "fromFileId", "toFileId", "fromSymbolId", "toSymbolId", "externalPackage", "rawSpecifier", "resolution", "confidence", "ordinal")

@@ -122,6 +122,12 @@ def insert_unique(current: DataFrame, new: DataFrame, keys: Sequence[str], confl
     return new.join(known, list(keys), "left_anti"), new.join(known, list(keys), "left_semi").withColumn("conflict", F.lit(conflict))
 
 
+def insert_symbols(current: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot, one row with the count of inserted symbols); ids that are there already are left alone."""
+    fresh = symbols.dropDuplicates(["id"]).join(current.select("id"), "id", "left_anti").select(*current.columns)
+    return current.unionByName(fresh), fresh.agg(F.count("*").alias("inserted"))
+
+
 def update_if_exists(current: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(next snapshot, changes without a row as NOT_FOUND)."""
     known = changes.join(current.select(*keys), list(keys), "left_semi")

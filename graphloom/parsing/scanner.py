@@ -415,7 +415,7 @@ class Scanner:
                         self.add(name, "METHOD", begin, last, body, (angle, last), False, False, owner)
                     i = last + 1
                 else:
-                    last = self.statement_end(after)
+                    last = self.statement_end(after + 1)
                     if name and not any(s["name"] == name and s["parentSymbol"] == owner for s in self.symbols):
                         self.add(name, "METHOD", begin, last, last + (self.text(last) != ";"), None, False, False, owner, _overload=True)
                     i = last + 1

@@ -41,14 +41,16 @@ def _id(*parts) -> F.Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def build_index(entries: DataFrame, commit_sha: str, rules=(), strict_identity: bool = False, cut=lambda df, name: df) -> Index:
+def build_index(entries: DataFrame, commit_sha: str, rules=None, strict_identity: bool = False, cut=lambda df, name: df) -> Index:
     """Files, symbols and edges of (repositoryId, path, size, content).
 
-    Ids are digests of what they name, so a repeated run gives the same rows.  ``cut`` may
-    write a frame and read it back: parsing is then done once, and lineage ends there.
+    Attribute rules are each repository's own unless ``rules`` gives some for all.  Ids are
+    digests of what they name, so a repeated run gives the same rows.  ``cut`` may write a frame
+    and read it back: parsing is then done once, and lineage ends there.
     """
     found = inventory.inventory(entries, rules).withColumn("id", _id("repositoryId", "path"))
-    parsed = cut(parse_files(found), "parsed")
+    # of the texts only those of manifests are needed once the files are parsed
+    parsed = cut(parse_files(found).withColumn("text", F.when(manifests.is_manifest(F.col("path")), F.col("text"))), "parsed")
     context = cut(manifests.contexts(parsed), "context")
     placed = cut(imports.place_files(parsed.select("repositoryId", "path", "id"), context), "placed")
 

@@ -201,21 +201,23 @@ def _paths(spark, sf_dir):
     return _view(spark, sf_dir, PATHS_SQL, "paths", ("documents",))
 
 
-def _sql_list(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
-_EXT = r"regexp_extract(regexp_replace(path, '^.*/', ''), '^.+(\.[^.]*)$', 1)"
+_EXT = r"lower(regexp_extract(regexp_replace(path, '^.*/', ''), '^.+(\.[^.]*)$', 1))"
 _NAME = "regexp_replace(path, '^.*/', '')"
-_LANGUAGE = "CASE " + " ".join(f"WHEN lower({_EXT}) IN {_sql_list(x)} THEN '{k}'" for k, x in P.LANGUAGES.items()) + " END"
-_TEST = f"(regexp_matches(path, '{P.TEST_SEGMENT}') OR regexp_matches(path, '{P.TEST_NAME}'))"
-_GENERATED = f"(regexp_matches(path, '{P.GENERATED_SEGMENT}') OR regexp_matches(path, '{P.GENERATED_NAME}'))"
+_LANGUAGE = f"""CASE {_EXT} WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.md' THEN 'markdown'
+  WHEN '.json' THEN 'json' WHEN '.c' THEN 'c' WHEN '.cs' THEN 'csharp' WHEN '.sh' THEN 'shell' END"""
+_TEST = r"(regexp_matches(path, '(?i)(^|/)(__tests__|test|tests|spec)/') OR regexp_matches(path, '(?i)[-._](test|spec)\.[^./]+$'))"
+_GENERATED = r"(regexp_matches(path, '(?i)(^|/)\.?generated/') OR regexp_matches(path, '(?i)\.(generated|gen|pb)\.[^./]+$'))"
+#: Which of the paths here are never indexed: by directory at the root, by ending anywhere, by name at the root.
+_HARD = r"""(regexp_matches(path, '^(node_modules|\.git|vendor|dist|build|out|\.next|target|__pycache__|coverage|\.venv)(/|$)')
+  OR regexp_matches(path, '\.(min\.js|min\.css|map|bundle\.js|lock|snap|png|jpg|jpeg|gif|svg|ico|pdf|zip|woff|woff2|ttf|mp4|wasm)$')
+  OR path IN ('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'go.sum', 'Cargo.lock', 'poetry.lock', 'composer.lock') OR contains('/' || path, '/__snapshots__/'))"""
 
 
 @query(f"""WITH {PATHS_SQL} SELECT doc_id, path, {_LANGUAGE} AS language, {_TEST} AS "isTest", {_GENERATED} AS "isGenerated",
-  CASE WHEN {_NAME} IN {_sql_list(P.LOCK_NAMES)} THEN 'DEPENDENCY_LOCK' WHEN {_TEST} THEN 'TEST' WHEN {_GENERATED} THEN 'GENERATED'
-    WHEN lower({_EXT}) IN {_sql_list(P.DOCUMENT_EXTENSIONS)} THEN 'DOCUMENTATION' WHEN lower({_EXT}) IN {_sql_list(P.ASSET_EXTENSIONS)} THEN 'ASSET'
-    WHEN regexp_matches({_NAME}, '{P.CONFIG_NAME}') OR lower({_EXT}) IN {_sql_list(P.CONFIG_EXTENSIONS)} THEN 'CONFIG' WHEN {_LANGUAGE} IS NOT NULL THEN 'SOURCE' ELSE 'UNKNOWN' END AS classification
+  CASE WHEN {_NAME} IN ('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'go.sum', 'Cargo.lock', 'poetry.lock', 'composer.lock', 'Gemfile.lock') THEN 'DEPENDENCY_LOCK' WHEN {_TEST} THEN 'TEST' WHEN {_GENERATED} THEN 'GENERATED'
+    WHEN {_EXT} IN ('.md', '.mdx', '.rst', '.txt') THEN 'DOCUMENTATION'
+    WHEN {_EXT} IN ('.png', '.jpg', '.jpeg', '.gif', '.svg', '.ico', '.pdf', '.zip', '.woff', '.woff2', '.ttf', '.mp4', '.wasm') THEN 'ASSET'
+    WHEN {_NAME} IN ('package.json', 'Dockerfile') OR starts_with({_NAME}, '.eslintrc') OR {_EXT} IN ('.yaml', '.yml', '.toml', '.ini', '.cfg') THEN 'CONFIG' WHEN {_LANGUAGE} IS NOT NULL THEN 'SOURCE' ELSE 'UNKNOWN' END AS classification
 FROM paths""")
 def file_classification(spark, sf_dir):
     p = F.col("path")
@@ -225,7 +227,7 @@ def file_classification(spark, sf_dir):
 ATTRIBUTES = "*.md linguist-generated\ndocs/* -linguist-generated\nlib/** linguist-vendored=true\n# comment\nx/** linguist-vendored linguist-generated\n"
 
 
-@query(f"""WITH {PATHS_SQL}, i AS (SELECT doc_id, path, regexp_matches(path, '{"|".join(P.glob_regex(g) for g in P.HARD_IGNORE)}') AS hard FROM paths)
+@query(f"""WITH {PATHS_SQL}, i AS (SELECT doc_id, path, {_HARD} AS hard FROM paths)
 SELECT doc_id, CASE WHEN hard THEN 'HARD_IGNORE' WHEN path LIKE 'x/%' THEN 'SKIPPED_GENERATED' WHEN path LIKE 'lib/%' THEN 'SKIPPED_VENDORED'
   WHEN path LIKE '%.md' AND NOT regexp_matches(path, '^docs/[^/]*$') THEN 'SKIPPED_GENERATED' ELSE 'KEEP' END AS decision FROM i""")
 def ignore_decision(spark, sf_dir):
@@ -347,7 +349,7 @@ def _deliveries(spark, sf_dir):
     rows = _view(spark, sf_dir, DELIVERIES_SQL, "deliveries", ("events",))
     i = F.col("deliveryId")
     payload = F.to_json(F.struct(
-        "action", (i % 50).alias("number"), F.struct(F.lit(1).alias("id")).alias("installation"), F.struct(F.col("repo").alias("id")).alias("repository"),
+        "action", (i % 50).alias("number"), F.struct(F.lit(1).alias("id")).alias("installation"), F.struct(F.col("repo").alias("id"), F.lit("o/r").alias("full_name"), F.lit("r").alias("name"), F.struct(F.lit("o").alias("login")).alias("owner"), F.lit("u").alias("html_url")).alias("repository"),
         F.struct(
             i.alias("id"), (i % 50).alias("number"), F.when(F.col("broken"), "odd").otherwise("open").alias("state"), "draft",
             F.struct(F.concat(F.lit("h"), i % 11).alias("sha")).alias("head"), F.struct(F.lit("b").alias("sha")).alias("base"),
@@ -364,7 +366,7 @@ j AS (SELECT d.deliveryId, any_value(d.action) AS action, any_value(d.broken) AS
 r AS (SELECT *, CASE WHEN broken THEN 'MALFORMED_PAYLOAD' WHEN n = 0 THEN 'NO_CONNECTED_REPOSITORY' WHEN action = 'edited' THEN 'EDITED_METADATA_ONLY'
   WHEN action IN ('closed', 'labeled') THEN 'ACTION_NOT_TRIGGERING' WHEN events = 0 THEN 'DRAFT_SKIPPED' END AS reason FROM j)
 SELECT deliveryId AS "deliveryId", CASE WHEN reason = 'MALFORMED_PAYLOAD' THEN 'FAIL' WHEN reason = 'NO_CONNECTED_REPOSITORY' THEN 'IGNORE' WHEN reason IS NOT NULL THEN 'PERSIST_ONLY' ELSE 'DISPATCH' END AS decision,
-  reason, CAST(events AS INTEGER) AS events, CAST(n AS INTEGER) AS upserts FROM r""")
+  reason, CAST(CASE WHEN broken THEN 0 ELSE events END AS INTEGER) AS events, CAST(CASE WHEN broken THEN 0 ELSE n END AS INTEGER) AS upserts FROM r""")
 def pr_router(spark, sf_dir):
     targets = ledger.tenants(repositories(spark, sf_dir), projects(spark, sf_dir))
     found = ledger.route_pull_requests(_deliveries(spark, sf_dir), targets)
@@ -464,10 +466,10 @@ UNION ALL SELECT 'CALLS', 'RESOLVED', 2 * n FROM n""")
 def index_generated(spark, sf_dir):
     from .plans.index import build_index
 
-    return build_index(generated_entries(spark, sf_dir), "sha", cut=_cut).edges.groupBy("kind", "resolution").agg(F.count("*").alias("edges"))
+    return build_index(generated_entries(spark, sf_dir), "sha", cut=cut).edges.groupBy("kind", "resolution").agg(F.count("*").alias("edges"))
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write and read back in the shared folder; a private one only where the session names none."""
     import uuid
 
@@ -482,30 +484,6 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query(None)
-def archive_entries(spark, sf_dir):
-    """Tars of generated sources, written and exploded again."""
-    import io
-    import tarfile
-
-    from .sources.archives import explode_archives
-
-    def pack(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = io.BytesIO()
-            with tarfile.open(fileobj=out, mode="w:gz") as tar:
-                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    info = tarfile.TarInfo(f"top/{path}")
-                    info.size = len(content)
-                    tar.addfile(info, io.BytesIO(content))
-            yield pa.RecordBatch.from_arrays([pa.array([f"{batch.num_rows}.tar.gz"]), pa.array([out.getvalue()], pa.binary())], ["path", "content"])
-
-    packed = generated_entries(spark, sf_dir).select("path", "content").mapInArrow(pack, "path string, content binary")
-    return explode_archives(packed).select("path", "kind", "size", F.sha2("content", 256).alias("contentHash"), "skipReason")
-
-
 @query("""WITH d AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN 'installation' WHEN 1 THEN 'repository' WHEN 2 THEN 'installation_repositories' ELSE 'push' END AS e,
   CASE event_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'renamed' WHEN 2 THEN 'removed' WHEN 3 THEN 'suspend' ELSE 'unarchived' END AS a FROM events)
 SELECT event_id AS "deliveryId", CASE WHEN (e = 'installation' AND a IN ('deleted', 'suspend')) OR (e = 'repository' AND a = 'deleted') OR (e = 'installation_repositories' AND a = 'removed') THEN 'ACCESS_LOST'
@@ -548,8 +526,7 @@ def knowledge_aggregates(spark, sf_dir):
     )
 
 
-_HARD = "|".join(P.glob_regex(g) for g in P.HARD_IGNORE)
-ENTRIES_SQL = f"""{PATHS_SQL}, e AS (SELECT d.doc_id, 'r' || (d.doc_id % 2) AS repositoryId, p.path, d.text, regexp_matches(p.path, '{_HARD}') AS hard,
+ENTRIES_SQL = f"""{PATHS_SQL}, e AS (SELECT d.doc_id, 'r' || (d.doc_id % 2) AS repositoryId, p.path, d.text, {_HARD} AS hard,
   length(replace(d.text, chr(10), '')) AS plain, length(d.text) - length(replace(d.text, chr(10), '')) + CASE WHEN ends_with(d.text, chr(10)) THEN 0 ELSE 1 END AS lines
   FROM documents d JOIN paths p ON p.doc_id = d.doc_id),
 i AS (SELECT repositoryId, hard, CASE WHEN strlen(text) > 524288 THEN 'SKIPPED_TOO_LARGE' WHEN length(text) > 0 AND plain > 500 * greatest(lines, 1) THEN 'SKIPPED_MINIFIED' END AS reason FROM e)"""
@@ -642,7 +619,7 @@ def ledger_transitions(spark, sf_dir):
 
 
 @query(f"""WITH {REPOSITORIES_SQL}, {DELIVERIES_SQL}, t AS (SELECT r.id, r.githubRepoId FROM repositories r JOIN projects p ON p.id = r.projectId WHERE r.connectionStatus <> 'DISCONNECTED' AND p.deletedAt IS NULL),
-c AS (SELECT t.id AS repositoryId, d.deliveryId % 50 AS number, arg_max(d.deliveryId, (d.receivedAt, d.deliveryId)) AS last FROM deliveries d JOIN t ON t.githubRepoId = d.repo GROUP BY ALL),
+c AS (SELECT t.id AS repositoryId, d.deliveryId % 50 AS number, arg_max(d.deliveryId, (d.receivedAt, d.deliveryId)) AS last FROM deliveries d JOIN t ON t.githubRepoId = d.repo WHERE NOT d.broken GROUP BY ALL),
 o AS (SELECT id AS repositoryId, 7 AS number FROM repositories WHERE id % 3 = 0)
 SELECT coalesce(c.repositoryId, o.repositoryId) AS "repositoryId", CAST(coalesce(c.number, o.number) AS BIGINT) AS number, coalesce(c.last, -1) AS "githubPrId",
   coalesce('h' || (c.last % 11), 'old') AS "headSha", coalesce(c.last % 5 = 0, false) AS "isDraft" FROM c FULL JOIN o ON o.repositoryId = c.repositoryId AND o.number = c.number""")
@@ -651,7 +628,7 @@ def pull_request_upsert(spark, sf_dir):
     deliveries = _deliveries(spark, sf_dir)
     routed = ledger.route_pull_requests(deliveries, ledger.tenants(repos, projects(spark, sf_dir)))
     current = repos.where("id % 3 = 0").select(F.col("id").alias("repositoryId"), F.lit(7).cast("long").alias("number"), F.lit(-1).cast("long").alias("githubPrId"), F.lit("old").alias("headSha"), F.lit("open").alias("state"), F.lit(False).alias("isDraft"))
-    return state.upsert_pull_requests(current, ledger.latest_pull_requests(routed, deliveries)).select("repositoryId", "number", "githubPrId", "headSha", "isDraft")
+    return state.upsert_pull_requests(current, ledger.latest_pull_requests(routed, deliveries).drop("receivedAt", "deliveryId")).select("repositoryId", "number", "githubPrId", "headSha", "isDraft")
 
 
 ACCOUNTS_SQL = """

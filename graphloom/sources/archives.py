@@ -117,10 +117,10 @@ def explode_archives(archives: DataFrame, most_bytes: int = MOST_BYTES, most_fil
     return archives.select("path", "content").mapInArrow(run, ENTRIES)
 
 
-def accepted(entries: DataFrame) -> DataFrame:
-    """Files of archives that were not refused."""
+def accepted(entries: DataFrame, kinds: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Entries of some kinds, files unless told otherwise, of archives that were not refused."""
     refused = entries.where("kind = 'refused'").select("archive").distinct()
-    return entries.where("kind = 'file'").join(refused, "archive", "left_anti")
+    return entries.where(F.col("kind").isin(*kinds)).join(refused, "archive", "left_anti")
 
 
 def skip_histogram(entries: DataFrame) -> DataFrame:

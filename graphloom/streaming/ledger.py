@@ -1,7 +1,9 @@
 """The webhook ledger: admission, rate limit, dedup, fan-out, routing, sweeping.
 
 All steps are batch transformations; ``ingest_stream`` runs them for each micro-batch of a
-stream and appends to Parquet tables, so a replayed batch finds its deliveries in the ledger.
+stream.  Its tables are Parquet folders with one part a batch (``part=<batch>``): a batch reads
+the parts of earlier batches and replaces its own, so one that failed between two writes, or
+is repeated, leaves what a single run leaves.
 """
 
 from __future__ import annotations
@@ -46,6 +48,21 @@ SYNC_EFFECTS = (
     ("repository", "unarchived", "RESTORE", "REPOSITORY_UNARCHIVED"),
 )
 
+#: The members that each event's payload must have, by name and JSON type.
+EVENT_FIELDS = {
+    "pull_request": (
+        ("$.action", "string"), ("$.number", "number"), ("$.pull_request.id", "number"), ("$.pull_request.number", "number"), ("$.pull_request.draft", "boolean"), ("$.pull_request.state", "string"),
+        ("$.pull_request.head.sha", "string"), ("$.pull_request.base.sha", "string"), ("$.installation.id", "number"), ("$.repository.id", "number"), ("$.repository.full_name", "string"),
+        ("$.repository.name", "string"), ("$.repository.owner.login", "string"), ("$.repository.html_url", "string"),
+    ),
+    "installation": (("$.action", "string"), ("$.installation.id", "number"), ("$.installation.account.login", "string"), ("$.installation.account.type", "string")),
+    "installation_repositories": (("$.action", "string"), ("$.installation.id", "number")),
+    "repository": (
+        ("$.action", "string"), ("$.repository.id", "number"), ("$.repository.full_name", "string"), ("$.repository.name", "string"), ("$.repository.owner.login", "string"), ("$.repository.html_url", "string"),
+    ),
+    "ping": (),
+}
+
 PULL_REQUEST = (
     "action string, number bigint, pull_request struct<id:bigint, number:bigint, state:string, draft:boolean, head:struct<sha:string>, base:struct<sha:string>>, "
     "repository struct<id:bigint, full_name:string, name:string, owner:struct<login:string>, html_url:string>, installation struct<id:bigint>"
@@ -83,27 +100,33 @@ def action_group(event: Column, action: Column) -> Column:
     return found
 
 
-def fixed_window(rows: DataFrame, keys: list[str], ts: str, order: list[str], seconds: int, limit: int) -> DataFrame:
+def fixed_window(rows: DataFrame, keys: list[str], ts: str, order: list[str], seconds: int, limit: int, counted: DataFrame | None = None) -> DataFrame:
     """Adds bucket, nth, allowed and retryAfter: the first ``limit`` rows of a key in each epoch-aligned window pass.
 
     Ranks are per (key, window): a busy key is dealt over as many tasks as it has windows.
+    ``counted``: (keys, bucket, n) of rows that came before, null keys being equal.
     """
     epoch = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
     rows = rows.withColumn("bucket", F.floor(epoch / seconds).cast("long"))
     nth = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(ts, *order))
-    rows = rows.withColumn("nth", nth.cast("long")).withColumn("allowed", F.col("nth") <= limit)
+    rows = rows.withColumn("nth", nth.cast("long"))
+    if counted is not None:
+        before = counted.select(*(F.col(k).alias(f"_{k}") for k in (*keys, "bucket")), F.col("n").alias("_n"))
+        joined = rows.join(before, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "bucket")], "left")
+        rows = joined.withColumn("nth", F.col("nth") + F.coalesce("_n", F.lit(0))).select(*rows.columns)
+    rows = rows.withColumn("allowed", F.col("nth") <= limit)
     left = (F.col("bucket") + 1) * seconds - F.floor(epoch)
     return rows.withColumn("retryAfter", F.when(F.col("allowed"), F.lit(0)).otherwise(left).cast("long"))
 
 
-def admit(deliveries: DataFrame, secret: str) -> DataFrame:
+def admit(deliveries: DataFrame, secret: str, counted: DataFrame | None = None) -> DataFrame:
     """Adds outcome and reason to (deliveryId, eventType, signature, body, receivedAt).
 
-    The order of the tests is headers, signature, allow-list, ping, JSON, rate limit; what
-    passes is SYNC or DISPATCH.
+    The order of the tests is headers, size, signature, allow-list, ping, JSON, rate limit; what
+    passes is SYNC or DISPATCH.  ``counted``: (installationId, bucket, n) of deliveries that
+    were counted before.  Only rows that pass all other tests meet in the windows of the rate limit.
     """
-    text = F.decode("body", "UTF-8")
-    rows = deliveries.withColumn("reason", verify_signature(secret)("body", "signature")).withColumn("payload", text)
+    rows = deliveries.withColumn("reason", verify_signature(secret)("body", "signature")).withColumn("payload", F.decode("body", "UTF-8"))
     parsed = F.try_parse_json("payload")
     rows = rows.withColumns({
         "installationId": S.typed_json(F.col("payload"), "$.installation.id", "bigint"),
@@ -118,11 +141,12 @@ def admit(deliveries: DataFrame, secret: str) -> DataFrame:
         .when(F.col("eventType") == "ping", "PING")
         .when(parsed.isNull(), "INVALID_JSON")
     )
-    rows = rows.withColumn("_early", early).withColumn("_counts", F.col("_early").isNull())
-    limited = fixed_window(rows, ["_counts", "installationId"], "receivedAt", ["deliveryId"], INSTALLATION_WINDOW, INSTALLATION_LIMIT)
+    rows = rows.withColumn("outcome", early)
+    limited = fixed_window(rows.where("outcome IS NULL"), ["installationId"], "receivedAt", ["deliveryId"], INSTALLATION_WINDOW, INSTALLATION_LIMIT, counted)
     sync = F.col("eventType").isin("installation", "installation_repositories", "repository")
-    outcome = F.coalesce("_early", F.when(~F.col("allowed"), "RATE_LIMITED").when(sync, "SYNC").otherwise("DISPATCH"))
-    return limited.withColumn("outcome", outcome).drop("_early", "_counts", "bucket", "nth", "allowed")
+    limited = limited.withColumn("outcome", F.when(~F.col("allowed"), "RATE_LIMITED").when(sync, "SYNC").otherwise("DISPATCH")).drop("nth", "allowed")
+    rejected = rows.where("outcome IS NOT NULL").withColumns({"bucket": F.lit(None).cast("long"), "retryAfter": F.lit(0).cast("long")})
+    return limited.unionByName(rejected)
 
 
 def new_deliveries(deliveries: DataFrame, ledger: DataFrame | None, order: list[str]) -> DataFrame:
@@ -138,36 +162,46 @@ def tenants(repositories: DataFrame, projects: DataFrame) -> DataFrame:
     return connected.join(open_projects, "projectId")
 
 
+def is_valid(event: str, payload: Column) -> Column:
+    """Whether a payload has the members that its event needs, with their types."""
+    value = F.try_parse_json(payload)
+    tags = {"string": ["STRING"], "boolean": ["BOOLEAN"], "number": ["BIGINT", "DOUBLE", "FLOAT"]}
+    valid = F.schema_of_variant(value).startswith("OBJECT")
+    for path, kind in EVENT_FIELDS[event]:
+        found = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+        good = found.isin(*tags[kind])
+        valid &= F.coalesce(good | found.startswith("DECIMAL") if kind == "number" else good, F.lit(False))
+    if event == "pull_request":
+        valid &= F.coalesce(F.try_variant_get(value, "$.pull_request.state", "string").isin("open", "closed"), F.lit(False))
+    return F.coalesce(valid, F.lit(False))
+
+
 def route_pull_requests(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
-    """(deliveryId, decision, reason, status, events, upserts) of pull-request deliveries with a ``payload``."""
-    p = F.from_json("payload", PULL_REQUEST)
-    rows = deliveries.withColumn("p", p)
-    needed = ("p.action", "p.number", "p.pull_request.id", "p.pull_request.number", "p.pull_request.draft", "p.pull_request.head.sha", "p.pull_request.base.sha", "p.repository.id", "p.installation.id")
-    valid = F.lit(True)
-    for field in needed:
-        valid &= F.col(field).isNotNull()
-    valid &= F.coalesce(F.col("p.pull_request.state").isin("open", "closed"), F.lit(False))
-    rows = rows.withColumn("valid", valid)
-    joined = rows.join(targets.select("repositoryId", "projectId", "projectSettings", F.col("githubRepoId").alias("_repo"), F.col("installationId").alias("_installation")), F.col("p.repository.id") == F.col("_repo"), "left")
-    pr = F.col("p.pull_request")
-    action = F.col("p.action")
-    triggers = action.isin(*EVENT_MATRIX["pull_request"]["dispatch"])
-    reviewed = triggers & ((action == "ready_for_review") | ~pr.draft | S.review_drafts(F.col("projectSettings")))
-    event = F.struct(
-        "projectId", "repositoryId", F.col("_installation").cast("string").alias("installationId"), pr.number.alias("pullRequestNumber"),
-        pr.head.sha.alias("headSha"), pr.base.sha.alias("baseSha"), action.alias("trigger"), S.pr_key(F.col("repositoryId"), pr.number, pr.head.sha).alias("prKey"),
-    )
-    change = F.struct("repositoryId", pr.number.alias("number"), pr.id.alias("githubPrId"), pr.head.sha.alias("headSha"), pr.state.alias("state"), pr.draft.alias("isDraft"))
-    known = F.col("repositoryId").isNotNull()
-    routed = joined.groupBy("deliveryId").agg(
-        F.any_value("valid").alias("valid"), F.any_value(action).alias("action"), F.count_if(known).alias("n"),
-        F.sort_array(F.collect_list(F.when(known & reviewed, event))).alias("events"),
-        F.sort_array(F.collect_list(F.when(known, change))).alias("upserts"),
+    """(deliveryId, decision, reason, status, events, upserts) of pull-request deliveries with a ``payload``.
+
+    Targets are gathered by GitHub repository before they meet the deliveries, so a delivery
+    stays one row; a repository's tenants are few beside its deliveries.
+    """
+    rows = deliveries.withColumn("p", F.from_json("payload", PULL_REQUEST)).withColumn("valid", is_valid("pull_request", F.col("payload")))
+    tenant = F.struct("repositoryId", "projectId", "installationId", S.review_drafts(F.col("projectSettings")).alias("drafts"))
+    grouped = targets.groupBy(F.col("githubRepoId").alias("_repo")).agg(F.sort_array(F.collect_list(tenant)).alias("_tenants"))
+    rows = rows.join(grouped, F.col("p.repository.id") == F.col("_repo"), "left")
+    pr, action = F.col("p.pull_request"), F.col("p.action")
+    triggers = F.coalesce(action.isin(*EVENT_MATRIX["pull_request"]["dispatch"]), F.lit(False))
+    ready = F.coalesce((action == "ready_for_review") | ~pr.draft, F.lit(False))
+    none = F.array().cast(grouped.schema["_tenants"].dataType)
+    tenants_of = F.when(F.col("valid"), F.coalesce("_tenants", none)).otherwise(none)
+    reviewed = F.when(triggers, F.filter(tenants_of, lambda t: ready | t.drafts)).otherwise(none)
+    event = lambda t: F.struct(
+        t.projectId.alias("projectId"), t.repositoryId.alias("repositoryId"), t.installationId.cast("string").alias("installationId"), pr.number.alias("pullRequestNumber"),
+        pr.head.sha.alias("headSha"), pr.base.sha.alias("baseSha"), action.alias("trigger"), S.pr_key(t.repositoryId, pr.number, pr.head.sha).alias("prKey"),
     )
+    change = lambda t: F.struct(t.repositoryId.alias("repositoryId"), pr.number.alias("number"), pr.id.alias("githubPrId"), pr.head.sha.alias("headSha"), pr.state.alias("state"), pr.draft.alias("isDraft"))
+    routed = rows.select("deliveryId", "valid", action.alias("action"), F.transform(reviewed, event).alias("events"), F.transform(tenants_of, change).alias("upserts"))
     a = F.col("action")
     reason = (
         F.when(~F.col("valid"), "MALFORMED_PAYLOAD")
-        .when(F.col("n") == 0, "NO_CONNECTED_REPOSITORY")
+        .when(F.size("upserts") == 0, "NO_CONNECTED_REPOSITORY")
         .when(a.isin(*EVENT_MATRIX["pull_request"]["metadataOnly"]), "EDITED_METADATA_ONLY")
         .when(~a.isin(*EVENT_MATRIX["pull_request"]["dispatch"]), "ACTION_NOT_TRIGGERING")
         .when(F.size("events") == 0, "DRAFT_SKIPPED")
@@ -180,7 +214,8 @@ def route_pull_requests(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
 def latest_pull_requests(routed: DataFrame, order: DataFrame) -> DataFrame:
     """One row a (repositoryId, number): what the last delivery by (receivedAt, deliveryId) says."""
     rows = routed.join(order.select("deliveryId", "receivedAt"), "deliveryId").select("receivedAt", "deliveryId", F.explode("upserts").alias("u"))
-    return rows.groupBy("u.repositoryId", "u.number").agg(F.max_by("u", F.struct("receivedAt", "deliveryId")).alias("u")).select("u.*")
+    last = F.max_by(F.struct("u", "receivedAt", "deliveryId"), F.struct("receivedAt", "deliveryId"))
+    return rows.groupBy("u.repositoryId", "u.number").agg(last.alias("l")).select("l.u.*", "l.receivedAt", "l.deliveryId")
 
 
 def sync_effects(deliveries: DataFrame) -> DataFrame:
@@ -191,6 +226,44 @@ def sync_effects(deliveries: DataFrame) -> DataFrame:
     return found.select("deliveryId", F.coalesce("effect", F.lit("NONE")).alias("effect"), F.coalesce("reason", F.lit("UNHANDLED_ACTION")).alias("reason"))
 
 
+REPOSITORY_REF = "struct<id:bigint, full_name:string, name:string, owner:struct<login:string>, html_url:string>"
+SYNC_PAYLOAD = (
+    f"action string, repository {REPOSITORY_REF}, repositories_removed array<{REPOSITORY_REF}>, "
+    "installation struct<id:bigint, account:struct<login:string, type:string>, suspended_at:string>"
+)
+EFFECTS = "deliveryId string, receivedAt timestamp, effect string, installationId long, githubRepoId long, owner string, name string, fullName string, htmlUrl string, accountLogin string, accountType string, suspendedAt timestamp"
+
+
+def is_sync(event: Column, payload: Column) -> Column:
+    """Whether a delivery is one of the synchronising events, with a payload that it can be read from."""
+    found = F.lit(False)
+    for name in ("installation", "installation_repositories", "repository"):
+        found |= (event == name) & is_valid(name, payload)
+    return found
+
+
+def connection_changes(deliveries: DataFrame) -> DataFrame:
+    """What synchronising deliveries of (deliveryId, eventType, action, payload, receivedAt) do, one row an object.
+
+    An installation's effect names the installation; a repository's, and that on each of the
+    repositories that an installation lost, name the GitHub repository.  Malformed payloads do nothing.
+    """
+    rows = deliveries.where(is_sync(F.col("eventType"), F.col("payload"))).select("deliveryId", "receivedAt", "eventType", "action", F.from_json("payload", SYNC_PAYLOAD).alias("p"))
+    effects = sync_effects(rows).where(F.col("effect") != "NONE").select("deliveryId", "effect")
+    rows = rows.join(effects, "deliveryId")
+    whole = F.col("eventType") == "installation"
+    repos = F.when(F.col("eventType") == "repository", F.array("p.repository")).when(F.col("eventType") == "installation_repositories", F.coalesce("p.repositories_removed", F.array().cast(f"array<{REPOSITORY_REF}>")))
+    rows = rows.select("*", F.explode_outer(F.when(~whole, repos)).alias("r")).where(whole | F.col("r.id").isNotNull())
+    named = F.when(F.col("effect") == "RENAME", F.col("r"))
+    refreshed = F.col("effect") == "UPDATE_IF_EXISTS"
+    suspended = F.when(F.col("action") == "suspend", F.col("receivedAt")).when(refreshed, F.try_to_timestamp("p.installation.suspended_at"))
+    return rows.select(
+        "deliveryId", "receivedAt", "effect", F.when(whole, F.col("p.installation.id")).alias("installationId"), F.col("r.id").alias("githubRepoId"),
+        named.owner.login.alias("owner"), named.getField("name").alias("name"), named.full_name.alias("fullName"), named.html_url.alias("htmlUrl"),
+        F.when(refreshed, F.col("p.installation.account.login")).alias("accountLogin"), F.when(refreshed, F.col("p.installation.account.type")).alias("accountType"), suspended.alias("suspendedAt"),
+    )
+
+
 def sweep_pending(ledger: DataFrame, now: Column, limit: int = PENDING_BATCH) -> DataFrame:
     """Pending deliveries older than a minute, oldest first, and whether they can be sent again."""
     old = ledger.where((F.col("status") == "PENDING") & (F.col("createdAt") < now - F.make_dt_interval(secs=F.lit(float(PENDING_AGE)))))
@@ -228,60 +301,145 @@ def apply_transitions(ledger: DataFrame, transitions: DataFrame) -> DataFrame:
     return rows.select(*ledger.columns)
 
 
+def project_deleted_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(projectId, userId) of the projects that one snapshot has and the next has deleted."""
+    gone = after.where(F.col("deletedAt").isNotNull()).select("id")
+    return before.where(F.col("deletedAt").isNull()).join(gone, "id").select(F.col("id").alias("projectId"), "userId")
+
+
+def index_requested_events(before: DataFrame | None, after: DataFrame, stale: DataFrame | None = None) -> DataFrame:
+    """(repositoryId, projectId, installationId, reason): connected since the last snapshot, or found stale by the sweep."""
+    fresh = after.where(F.col("indexStatus") == "PENDING")
+    fresh = fresh if before is None else fresh.join(before.select("id"), "id", "left_anti")
+    columns = lambda rows, reason: rows.select(F.col("id").alias("repositoryId"), "projectId", "installationId", F.lit(reason).alias("reason"))
+    events = columns(fresh, "connected")
+    return events if stale is None else events.unionByName(columns(stale.join(fresh.select("id"), "id", "left_anti"), "sweep"))
+
+
 def new_events(events: DataFrame, outbox: DataFrame | None) -> DataFrame:
     """Events that were not sent yet, one of each prKey: sending them again is harmless."""
     once = events.groupBy("prKey").agg(F.min(F.struct(*(c for c in events.columns if c != "prKey"))).alias("e")).select("prKey", "e.*").select(*events.columns)
     return once if outbox is None else once.join(outbox.select("prKey"), "prKey", "left_anti").select(*events.columns)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+LEDGER_SHARDS = 64
+
+
+def stored(spark: SparkSession, folder: str, table: str, before: int | None = None) -> DataFrame | None:
+    """A table's parts, of earlier batches than ``before`` if given; None where there is none yet."""
     try:
-        return spark.read.parquet(path)
+        rows = spark.read.parquet(f"{folder}/{table}")
     except Exception as e:  # noqa: BLE001 - only a table that is not there yet is fine
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
+    return rows if before is None else rows.where(F.col("part") < before)
+
+
+def _write(rows: DataFrame, folder: str, table: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{table}/part={batch_id}")
 
 
-def ingest_batch(batch: DataFrame, targets: DataFrame, secret: str, folder: str) -> None:
-    """Admit, dedup against the ledger, route and append one micro-batch.
+def _known(spark: SparkSession, folder: str, batch_id: int, shards: list[int]) -> DataFrame | None:
+    """The ids of earlier batches' deliveries in some shards: a pruned scan of one column."""
+    known = stored(spark, folder, "ledger", batch_id)
+    return None if known is None else known.where(F.col("shard").isin(shards)).select("deliveryId")
 
-    The ledger row is written last: a batch that fails before is done again as a whole, and one
-    that is repeated after finds its deliveries there.
+
+def ingest_batch(batch: DataFrame, repositories: DataFrame, projects: DataFrame, secret: str, folder: str, batch_id: int) -> None:
+    """Admit, dedup against the ledger, apply, route and write one micro-batch.
+
+    Tables below ``folder``: rates (counted deliveries by installation and minute), effects (on
+    connections), pull_requests (the last change of each in the batch), outbox, ledger.  The
+    rate limit counts on from earlier batches; routing sees connections as all effects so far,
+    this batch's included, leave them.
     """
     spark = batch.sparkSession
-    admitted = admit(batch, secret).where(F.col("outcome").isin("SYNC", "DISPATCH"))
-    fresh = new_deliveries(admitted, _stored(spark, f"{folder}/ledger"), ["receivedAt", "signature"]).persist()
+    rates = stored(spark, folder, "rates", batch_id)
+    if rates is not None:
+        minutes = batch.agg(*(f(F.floor(F.unix_timestamp(F.col("receivedAt").cast("timestamp")) / INSTALLATION_WINDOW)) for f in (F.min, F.max))).first()
+        rates = rates.where(F.col("bucket").between(*minutes)).groupBy("installationId", "bucket").agg(F.sum("n").alias("n"))
+    admitted = admit(batch, secret, rates).persist()
+    shard = F.pmod(F.xxhash64("deliveryId"), F.lit(LEDGER_SHARDS)).cast("int")
     try:
+        counted = admitted.where(F.col("outcome").isin("SYNC", "DISPATCH", "RATE_LIMITED"))
+        passed = admitted.where(F.col("outcome").isin("SYNC", "DISPATCH")).withColumn("shard", shard)
+        shards = [r.shard for r in passed.select("shard").distinct().collect()]  # LEDGER_SHARDS at most
+        fresh = new_deliveries(passed, _known(spark, folder, batch_id, shards), ["receivedAt", "signature"]).persist()
+        _write(connection_changes(fresh.where(F.col("outcome") == "SYNC")), folder, "effects", batch_id)
+        targets = tenants(apply_connection_effects(repositories, stored(spark, folder, "effects", batch_id + 1)), projects)
         routed = route_pull_requests(fresh.where(F.col("eventType") == "pull_request"), targets)
-        latest_pull_requests(routed, fresh).write.mode("append").parquet(f"{folder}/pull_requests")
-        routed.where(F.size("events") > 0).select("deliveryId", F.explode("events").alias("e")).select("deliveryId", "e.*").write.mode("append").parquet(f"{folder}/outbox")
-        effects = sync_effects(fresh.where(F.col("outcome") == "SYNC")).select("deliveryId", F.col("reason").alias("syncReason"))
+        _write(latest_pull_requests(routed, fresh), folder, "pull_requests", batch_id)
+        _write(routed.where(F.size("events") > 0).select("deliveryId", F.explode("events").alias("e")).select("deliveryId", "e.*"), folder, "outbox", batch_id)
+        synced = fresh.where(F.col("outcome") == "SYNC").withColumn("readable", is_sync(F.col("eventType"), F.col("payload")))
+        effects = sync_effects(synced).join(synced.select("deliveryId", "readable"), "deliveryId").select("deliveryId", "readable", F.when(F.col("readable"), F.col("reason")).otherwise("MALFORMED_PAYLOAD").alias("syncReason"))
         rows = fresh.join(routed.select("deliveryId", "status", F.col("reason").alias("routeReason"), F.to_json("events").alias("dispatchPayload")), "deliveryId", "left").join(effects, "deliveryId", "left")
-        rows.select(
+        rows = rows.select(
             "deliveryId", "eventType", "action", "installationId", "repositoryFullName", "dispatchPayload",
-            F.coalesce("status", F.lit("IGNORED")).alias("status"), F.coalesce("routeReason", "syncReason").alias("error"), F.col("receivedAt").alias("createdAt"),
-        ).write.mode("append").parquet(f"{folder}/ledger")
-    finally:
+            F.coalesce("status", F.when(F.col("readable"), "IGNORED").otherwise("FAILED")).alias("status"), F.coalesce("routeReason", "syncReason").alias("error"), F.col("receivedAt").alias("createdAt"), "shard",
+        )
+        _write(rows, folder, "ledger", batch_id, ("shard",))
+        _write(counted.groupBy("installationId", "bucket").agg(F.count("*").alias("n")), folder, "rates", batch_id)
         fresh.unpersist()
+    finally:
+        admitted.unpersist()
+
 
+def ingest_stream(stream: DataFrame, repositories: DataFrame, projects: DataFrame, secret: str, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Run ``ingest_batch`` on each micro-batch of a streaming frame of deliveries.
 
-def ingest_stream(stream: DataFrame, targets: DataFrame, secret: str, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Run ``ingest_batch`` on each micro-batch of a streaming frame of deliveries."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, targets, secret, folder)).option("checkpointLocation", checkpoint)
+    A folder belongs to one checkpoint: batch numbers name its parts.
+    """
+    writer = stream.writeStream.foreachBatch(lambda batch, n: ingest_batch(batch, repositories, projects, secret, folder, n)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def apply_connection_effects(repositories: DataFrame, effects: DataFrame) -> DataFrame:
-    """Next snapshot of the connection status after effects on installations or single repositories.
+def current_pull_requests(changes: DataFrame) -> DataFrame:
+    """The last change of each pull request over all batches, as a snapshot."""
+    rest = [c for c in changes.columns if c not in ("repositoryId", "number", "part")]
+    return changes.groupBy("repositoryId", "number").agg(F.max_by(F.struct(*rest), F.struct("receivedAt", "deliveryId")).alias("r")).select("repositoryId", "number", "r.*").drop("receivedAt", "deliveryId")
+
+
+def apply_connection_effects(repositories: DataFrame, effects: DataFrame | None) -> DataFrame:
+    """Next snapshot of repositories after effects on installations or single GitHub repositories.
 
-    effects: installationId or githubRepoId (the other null), effect, receivedAt, deliveryId.
-    Losing and regaining access only move ACTIVE and ACCESS_LOST into each other, so the last
-    effect that meets a repository decides, and a DISCONNECTED one stays as it is.
+    effects: installationId or githubRepoId (the other null), effect, receivedAt, deliveryId, and
+    for renames the new names.  Losing and regaining access only move ACTIVE and ACCESS_LOST into
+    each other, so the last effect that meets a repository decides, and a DISCONNECTED one stays
+    as it is; the last renaming gives the names.
     """
+    if effects is None:
+        return repositories
+    at = ("receivedAt", "deliveryId")
     moved = effects.where(F.col("effect").isin("ACCESS_LOST", "RESTORE"))
-    last = lambda key: moved.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("receivedAt", "deliveryId", "effect")).alias(f"_{key}"))
+    last = lambda key: moved.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*at, "effect")).alias(f"_{key}"))
     rows = repositories.join(last("installationId"), "installationId", "left").join(last("githubRepoId"), "githubRepoId", "left")
     effect = F.greatest("_installationId", "_githubRepoId").getField("effect")
     status = F.when(F.col("connectionStatus") == "DISCONNECTED", F.col("connectionStatus")).when(effect == "ACCESS_LOST", "ACCESS_LOST").when(effect == "RESTORE", "ACTIVE").otherwise(F.col("connectionStatus"))
-    return rows.withColumn("connectionStatus", status).select(*repositories.columns)
+    names = [c for c in ("owner", "name", "fullName", "htmlUrl") if c in effects.columns and c in repositories.columns]
+    changed = {"connectionStatus": status}
+    if names:
+        renamed = effects.where(F.col("effect") == "RENAME").groupBy("githubRepoId").agg(F.max_by(F.struct(*names), F.struct(*at)).alias("_named"))
+        rows = rows.join(renamed, "githubRepoId", "left")
+        changed |= {c: F.coalesce(F.col(f"_named.{c}"), F.col(c)) for c in names}
+    return rows.withColumns(changed).select(*repositories.columns)
+
+
+def apply_installation_effects(installations: DataFrame, effects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot of installations, deliveries on installations without a row).
+
+    ``created`` refreshes a row that exists and never makes one; suspending and unsuspending set
+    and clear the time, deleting leaves it; the last effect on an installation decides.
+    """
+    rank = F.struct("receivedAt", "deliveryId")
+    own = effects.where(F.col("installationId").isNotNull())
+    last = own.groupBy("installationId").agg(
+        F.max_by(F.struct("accountLogin", "accountType"), F.when(F.col("effect") == "UPDATE_IF_EXISTS", rank)).alias("_account"),
+        F.max_by(F.struct("suspendedAt"), F.when(F.col("effect").isin("UPDATE_IF_EXISTS", "RESTORE") | F.col("suspendedAt").isNotNull(), rank)).alias("_suspended"),
+    )
+    rows = installations.join(last, "installationId", "left").withColumns({
+        "accountLogin": F.coalesce("_account.accountLogin", "accountLogin"), "accountType": F.coalesce("_account.accountType", "accountType"),
+        "suspendedAt": F.when(F.col("_suspended").isNotNull(), F.col("_suspended.suspendedAt")).otherwise(F.col("suspendedAt")),
+    })
+    created = own.where(F.col("effect") == "UPDATE_IF_EXISTS").join(installations.select("installationId"), "installationId", "left_anti")
+    return rows.select(*installations.columns), created.select("deliveryId", F.lit("INSTALLATION_CREATED_NO_EXISTING_ROW").alias("reason"))

@@ -25,10 +25,15 @@ def delivery(id, event="pull_request", body=None, signature=None, at=0):
 
 
 @pytest.fixture
-def targets(spark):
+def tables(spark):
     repos = spark.createDataFrame([("r1", "p1", 3, 7, "ACTIVE"), ("r2", "p2", 3, 7, "ACTIVE"), ("r3", "p3", 3, 7, "ACTIVE"), ("r4", "p1", 3, 8, "DISCONNECTED")], "id string, projectId string, installationId long, githubRepoId long, connectionStatus string")
     projects = spark.createDataFrame([("p1", None, "{}"), ("p2", None, '{"reviewDraftPullRequests": true}'), ("p3", NOW, "{}")], "id string, deletedAt timestamp, settings string")
-    return ledger.tenants(repos, projects)
+    return repos, projects
+
+
+@pytest.fixture
+def targets(tables):
+    return ledger.tenants(*tables)
 
 
 def test_admission(spark):
@@ -66,6 +71,8 @@ def test_fixed_windows_are_aligned_to_the_epoch(spark):
         (payload("labeled"), "PERSIST_ONLY", "ACTION_NOT_TRIGGERING", [], 2),
         (payload(repo=8), "IGNORE", "NO_CONNECTED_REPOSITORY", [], 0),
         ({"action": "opened"}, "FAIL", "MALFORMED_PAYLOAD", [], 0),
+        (payload(number="5"), "FAIL", "MALFORMED_PAYLOAD", [], 0),
+        (payload(repository={"id": 7}), "FAIL", "MALFORMED_PAYLOAD", [], 0),
     ],
 )
 def test_router(spark, targets, body, decision, reason, events, upserts):
@@ -97,18 +104,96 @@ def test_sweeper(spark):
     assert ledger.sweep_pending(df, F.lit(NOW), limit=1).count() == 1
 
 
-def test_stream_is_exactly_once_over_replays(spark, targets, tmp_path):
+def part(spark, folder, table):
+    return spark.read.parquet(f"{folder}/{table}")
+
+
+def test_stream_counts_and_dedups_over_batches(spark, tables, tmp_path):
     source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     frame = lambda *rows: spark.createDataFrame(list(rows), DELIVERY)
     frame(delivery("a"), delivery("b", body=payload("closed", sha="h2"), at=5), delivery("x", event="issues")).coalesce(1).write.mode("append").parquet(source)
-    run = lambda n: ledger.ingest_stream(spark.readStream.schema(frame(delivery("a")).schema).parquet(source), targets, SECRET, folder, f"file://{tmp_path}/ck{n}").awaitTermination()
-    run(1)
+    run = lambda: ledger.ingest_stream(spark.readStream.schema(frame(delivery("a")).schema).parquet(source), *tables, SECRET, folder, f"file://{tmp_path}/ck").awaitTermination()
+    run()
     frame(delivery("a"), delivery("c", event="repository", body=payload("renamed"), at=9)).coalesce(1).write.mode("append").parquet(source)
-    run(1)
-    run(2)  # all files again, from a fresh checkpoint
-    rows = {r.deliveryId: r for r in spark.read.parquet(f"{folder}/ledger").collect()}
-    assert spark.read.parquet(f"{folder}/ledger").count() == 3 == len(rows)
+    run()
+    rows = {r.deliveryId: r for r in part(spark, folder, "ledger").collect()}
+    assert part(spark, folder, "ledger").count() == 3 == len(rows)
     assert {k: (r.status, r.error) for k, r in rows.items()} == {"a": ("PENDING", None), "b": ("IGNORED", "ACTION_NOT_TRIGGERING"), "c": ("IGNORED", "REPOSITORY_RENAMED")}
-    assert spark.read.parquet(f"{folder}/outbox").count() == 2
-    latest = {(r.repositoryId, r.headSha) for r in spark.read.parquet(f"{folder}/pull_requests").collect()}
+    assert part(spark, folder, "outbox").count() == 2
+    latest = {(r.repositoryId, r.headSha) for r in ledger.current_pull_requests(part(spark, folder, "pull_requests")).collect()}
     assert latest == {("r1", "h2"), ("r2", "h2")}
+    assert {(r.part, r.n) for r in part(spark, folder, "rates").collect()} == {(0, 2), (1, 2)}
+
+
+def test_rate_limit_counts_on_over_batches(spark, tables, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    batch = lambda k: spark.createDataFrame([delivery(f"d{k}-{i:03}", at=10 * k + i * 0.1) for i in range(60)] + [delivery(f"late{k}", at=60 + k)], DELIVERY)
+    for k in range(3):
+        ledger.ingest_batch(batch(k), *tables, SECRET, folder, k)
+    passed = [r.deliveryId for r in part(spark, folder, "ledger").collect()]
+    assert len(passed) == 103 and sum(i.startswith("late") for i in passed) == 3
+    assert sum(i.startswith("d1") for i in passed) == 40 and not any(i.startswith("d2") for i in passed)
+
+
+def test_a_batch_that_failed_between_writes_is_repeated(spark, tables, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/out"
+    batch = spark.createDataFrame([delivery("a"), delivery("b", body=payload(sha="h2"), at=5), delivery("s", event="installation_repositories", body=removed(7), at=1)], DELIVERY)
+    whole = ledger._write
+
+    for failing in ("pull_requests", "outbox", "ledger", "rates"):
+
+        def broken(rows, folder, table, *more, failing=failing):
+            if table == failing:
+                raise RuntimeError("lost")
+            whole(rows, folder, table, *more)
+
+        monkeypatch.setattr(ledger, "_write", broken)
+        with pytest.raises(RuntimeError):
+            ledger.ingest_batch(batch, *tables, SECRET, folder, 0)
+    monkeypatch.setattr(ledger, "_write", whole)
+    for _ in range(2):
+        ledger.ingest_batch(batch, *tables, SECRET, folder, 0)
+    assert [part(spark, folder, t).count() for t in ("ledger", "outbox", "pull_requests", "rates", "effects")] == [3, 4, 2, 1, 1]
+
+
+def removed(*ids):
+    repos = [{"id": i, "full_name": "o/r", "name": "r", "owner": {"login": "o"}, "html_url": "u"} for i in ids]
+    return {"action": "removed", "installation": {"id": 3}, "repositories_removed": repos}
+
+
+def test_effects_reach_connections(spark, tables, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    account = {"id": 3, "account": {"login": "new", "type": "User"}, "suspended_at": None}
+    rows = [
+        delivery("1", "installation_repositories", removed(7, 9), at=1), delivery("2", "repository", payload("renamed") | {"repository": {"id": 8, "full_name": "x/y", "name": "y", "owner": {"login": "x"}, "html_url": "v"}}, at=2),
+        delivery("3", "installation", {"action": "suspend", "installation": account}, at=3), delivery("4", "installation", {"action": "created", "installation": account | {"id": 99}}, at=4),
+        delivery("5", "repository", {"action": "deleted", "repository": {"id": 8}}, at=5), delivery("6", "installation_repositories", {"action": "added", "installation": {"id": 3}}, at=6),
+    ]
+    repos = tables[0].withColumns({"owner": F.lit("o"), "name": F.lit("r"), "fullName": F.lit("o/r"), "htmlUrl": F.lit("u")})
+    ledger.ingest_batch(spark.createDataFrame(rows, DELIVERY), repos, tables[1], SECRET, folder, 0)
+    effects = part(spark, folder, "effects")
+    assert {r.deliveryId: (r.status, r.error) for r in part(spark, folder, "ledger").where("deliveryId IN (4, 5, 6)").collect()} == {
+        "4": ("IGNORED", "INSTALLATION_CREATED_UPDATED"), "5": ("FAILED", "MALFORMED_PAYLOAD"), "6": ("IGNORED", "INSTALLATION_REPOSITORIES_ADDED"),
+    }
+    assert sorted((r.deliveryId, r.installationId, r.githubRepoId) for r in effects.collect()) == [("1", None, 7), ("1", None, 9), ("2", None, 8), ("3", 3, None), ("4", 99, None)]
+    after = {r.id: r for r in ledger.apply_connection_effects(repos, effects).collect()}
+    assert {k: r.connectionStatus for k, r in after.items()} == {"r1": "ACCESS_LOST", "r2": "ACCESS_LOST", "r3": "ACCESS_LOST", "r4": "DISCONNECTED"}
+    assert after["r4"].fullName == "x/y" and after["r1"].fullName == "o/r"
+    held = spark.createDataFrame([(3, "old", "User", None)], "installationId long, accountLogin string, accountType string, suspendedAt timestamp")
+    snapshot, missing = ledger.apply_installation_effects(held, effects)
+    assert snapshot.first().suspendedAt == NOW + timedelta(seconds=3) and snapshot.first().accountLogin == "old"
+    assert [tuple(r) for r in missing.collect()] == [("4", "INSTALLATION_CREATED_NO_EXISTING_ROW")]
+
+
+@pytest.mark.parametrize(
+    ("event", "body", "valid"),
+    [
+        ("installation", {"action": "x", "installation": {"id": 1, "account": {"login": "a", "type": "b"}}}, True), ("installation", {"action": "x", "installation": {"id": 1}}, False),
+        ("installation_repositories", {"action": "x", "installation": {"id": 1.5}}, True), ("installation_repositories", {"action": 3, "installation": {"id": 1}}, False),
+        ("repository", payload(), True), ("repository", {"action": "x"}, False), ("ping", {}, True), ("ping", [1], False), ("pull_request", payload(), True),
+        ("pull_request", payload(pull_request=payload()["pull_request"] | {"state": "merged"}), False),
+    ],
+)
+def test_payload_schemas(spark, event, body, valid):
+    rows = spark.createDataFrame([(json.dumps(body),)], "payload string")
+    assert rows.select(ledger.is_valid(event, F.col("payload"))).first()[0] is valid
