@@ -6,44 +6,187 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of the stored tables and of a walked file.
+User = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("githubUserId", T.LongType(), False),
+    T.StructField("githubLogin", T.StringType(), False),
+    T.StructField("email", T.StringType(), True),
+    T.StructField("avatarUrl", T.StringType(), True),
+    T.StructField("plan", T.StringType(), False),
+    T.StructField("createdAt", T.TimestampType(), False),
+    T.StructField("updatedAt", T.TimestampType(), False),
+    T.StructField("name", T.StringType(), True),
+    T.StructField("image", T.StringType(), True),
+    T.StructField("emailVerified", T.TimestampType(), True),
+])
 
-def _schema(text: str) -> T.StructType:
-    """``name:type`` joined by commas; a trailing ? allows null."""
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampType(), "x": T.BinaryType()}
-    fields = []
-    for part in text.split(","):
-        name, kind = part.strip().split(":")
-        fields.append(T.StructField(name, kinds[kind.rstrip("?")], kind.endswith("?")))
-    return T.StructType(fields)
-
-
-User = _schema("id:s, githubUserId:l, githubLogin:s, email:s?, avatarUrl:s?, plan:s, createdAt:t, updatedAt:t, name:s?, image:s?, emailVerified:t?")
-Project = _schema("id:s, userId:s, name:s, slug:s, settings:s, deletedAt:t?, createdAt:t, updatedAt:t")
-GithubInstallation = _schema("id:s, installationId:l, accountLogin:s, accountType:s, userId:s, suspendedAt:t?, createdAt:t, updatedAt:t")
-Repository = _schema(
-    "id:s, projectId:s, installationId:l, githubRepoId:l, owner:s, name:s, fullName:s, defaultBranch:s, isPrivate:b, htmlUrl:s, sizeBytes:i?, webhookId:l?, connectionStatus:s, "
-    "indexStatus:s, indexedCommitSha:s?, indexVersion:i, indexedFileCount:i, skippedFileCount:i, reviewProfile:s?, lastIndexedAt:t?, indexError:s?, settings:s, createdAt:t, updatedAt:t"
-)
-RepositoryFile = _schema(
-    "id:s, repositoryId:s, path:s, commitSha:s, language:s?, contentHash:s, sizeBytes:i, lineCount:i, packageName:s?, classification:s, indexState:s, skipReason:s?, parseState:s, "
-    "symbolCount:i, inboundEdgeCount:i, isTest:b, isGenerated:b, updatedAt:t"
-)
-CodeSymbol = _schema(
-    "id:s, repositoryId:s, fileId:s, name:s, kind:s, startLine:i, endLine:i, isExported:b, isDefault:b, signature:s?, docComment:s?, parentSymbolId:s?, complexity:i, commitSha:s"
-)
-CodeDependency = _schema(
-    "id:s, repositoryId:s, kind:s, fromFileId:s?, toFileId:s?, fromSymbolId:s?, toSymbolId:s?, externalPackage:s?, rawSpecifier:s?, resolution:s, confidence:d, commitSha:s"
-)
-IndexJob = _schema(
-    "id:s, repositoryId:s, mode:s, status:s, targetCommitSha:s?, previousCommitSha:s?, inngestRunId:s?, filesTotal:i, filesProcessed:i, filesSkipped:i, symbolsCreated:i, edgesCreated:i, "
-    "chunksEmbedded:i, embeddingCacheHits:i, currentStep:s?, progressPercent:i, startedAt:t?, completedAt:t?, error:s?, attempts:i, createdAt:t"
-)
-WebhookEvent = _schema(
-    "id:s, deliveryId:s, eventType:s, action:s?, installationId:l?, repositoryFullName:s?, payloadRef:s?, dispatchPayload:s?, status:s, dispatchedAt:t?, error:s?, createdAt:t"
-)
-PullRequest = _schema("id:s, repositoryId:s, number:i, githubPrId:l, headSha:s, state:s, isDraft:b, createdAt:t, updatedAt:t")
+Project = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("userId", T.StringType(), False),
+    T.StructField("name", T.StringType(), False),
+    T.StructField("slug", T.StringType(), False),
+    T.StructField("settings", T.StringType(), False),
+    T.StructField("deletedAt", T.TimestampType(), True),
+    T.StructField("createdAt", T.TimestampType(), False),
+    T.StructField("updatedAt", T.TimestampType(), False),
+])
+
+GithubInstallation = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("installationId", T.LongType(), False),
+    T.StructField("accountLogin", T.StringType(), False),
+    T.StructField("accountType", T.StringType(), False),
+    T.StructField("userId", T.StringType(), False),
+    T.StructField("suspendedAt", T.TimestampType(), True),
+    T.StructField("createdAt", T.TimestampType(), False),
+    T.StructField("updatedAt", T.TimestampType(), False),
+])
+
+Repository = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("projectId", T.StringType(), False),
+    T.StructField("installationId", T.LongType(), False),
+    T.StructField("githubRepoId", T.LongType(), False),
+    T.StructField("owner", T.StringType(), False),
+    T.StructField("name", T.StringType(), False),
+    T.StructField("fullName", T.StringType(), False),
+    T.StructField("defaultBranch", T.StringType(), False),
+    T.StructField("isPrivate", T.BooleanType(), False),
+    T.StructField("htmlUrl", T.StringType(), False),
+    T.StructField("sizeBytes", T.IntegerType(), True),
+    T.StructField("webhookId", T.LongType(), True),
+    T.StructField("connectionStatus", T.StringType(), False),
+    T.StructField("indexStatus", T.StringType(), False),
+    T.StructField("indexedCommitSha", T.StringType(), True),
+    T.StructField("indexVersion", T.IntegerType(), False),
+    T.StructField("indexedFileCount", T.IntegerType(), False),
+    T.StructField("skippedFileCount", T.IntegerType(), False),
+    T.StructField("reviewProfile", T.StringType(), True),
+    T.StructField("lastIndexedAt", T.TimestampType(), True),
+    T.StructField("indexError", T.StringType(), True),
+    T.StructField("settings", T.StringType(), False),
+    T.StructField("createdAt", T.TimestampType(), False),
+    T.StructField("updatedAt", T.TimestampType(), False),
+])
+
+RepositoryFile = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("repositoryId", T.StringType(), False),
+    T.StructField("path", T.StringType(), False),
+    T.StructField("commitSha", T.StringType(), False),
+    T.StructField("language", T.StringType(), True),
+    T.StructField("contentHash", T.StringType(), False),
+    T.StructField("sizeBytes", T.IntegerType(), False),
+    T.StructField("lineCount", T.IntegerType(), False),
+    T.StructField("packageName", T.StringType(), True),
+    T.StructField("classification", T.StringType(), False),
+    T.StructField("indexState", T.StringType(), False),
+    T.StructField("skipReason", T.StringType(), True),
+    T.StructField("parseState", T.StringType(), False),
+    T.StructField("symbolCount", T.IntegerType(), False),
+    T.StructField("inboundEdgeCount", T.IntegerType(), False),
+    T.StructField("isTest", T.BooleanType(), False),
+    T.StructField("isGenerated", T.BooleanType(), False),
+    T.StructField("updatedAt", T.TimestampType(), False),
+])
+
+CodeSymbol = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("repositoryId", T.StringType(), False),
+    T.StructField("fileId", T.StringType(), False),
+    T.StructField("name", T.StringType(), False),
+    T.StructField("kind", T.StringType(), False),
+    T.StructField("startLine", T.IntegerType(), False),
+    T.StructField("endLine", T.IntegerType(), False),
+    T.StructField("isExported", T.BooleanType(), False),
+    T.StructField("isDefault", T.BooleanType(), False),
+    T.StructField("signature", T.StringType(), True),
+    T.StructField("docComment", T.StringType(), True),
+    T.StructField("parentSymbolId", T.StringType(), True),
+    T.StructField("complexity", T.IntegerType(), False),
+    T.StructField("commitSha", T.StringType(), False),
+])
+
+CodeDependency = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("repositoryId", T.StringType(), False),
+    T.StructField("kind", T.StringType(), False),
+    T.StructField("fromFileId", T.StringType(), True),
+    T.StructField("toFileId", T.StringType(), True),
+    T.StructField("fromSymbolId", T.StringType(), True),
+    T.StructField("toSymbolId", T.StringType(), True),
+    T.StructField("externalPackage", T.StringType(), True),
+    T.StructField("rawSpecifier", T.StringType(), True),
+    T.StructField("resolution", T.StringType(), False),
+    T.StructField("confidence", T.DoubleType(), False),
+    T.StructField("commitSha", T.StringType(), False),
+])
+
+IndexJob = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("repositoryId", T.StringType(), False),
+    T.StructField("mode", T.StringType(), False),
+    T.StructField("status", T.StringType(), False),
+    T.StructField("targetCommitSha", T.StringType(), True),
+    T.StructField("previousCommitSha", T.StringType(), True),
+    T.StructField("inngestRunId", T.StringType(), True),
+    T.StructField("filesTotal", T.IntegerType(), False),
+    T.StructField("filesProcessed", T.IntegerType(), False),
+    T.StructField("filesSkipped", T.IntegerType(), False),
+    T.StructField("symbolsCreated", T.IntegerType(), False),
+    T.StructField("edgesCreated", T.IntegerType(), False),
+    T.StructField("chunksEmbedded", T.IntegerType(), False),
+    T.StructField("embeddingCacheHits", T.IntegerType(), False),
+    T.StructField("currentStep", T.StringType(), True),
+    T.StructField("progressPercent", T.IntegerType(), False),
+    T.StructField("startedAt", T.TimestampType(), True),
+    T.StructField("completedAt", T.TimestampType(), True),
+    T.StructField("error", T.StringType(), True),
+    T.StructField("attempts", T.IntegerType(), False),
+    T.StructField("createdAt", T.TimestampType(), False),
+])
+
+WebhookEvent = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("deliveryId", T.StringType(), False),
+    T.StructField("eventType", T.StringType(), False),
+    T.StructField("action", T.StringType(), True),
+    T.StructField("installationId", T.LongType(), True),
+    T.StructField("repositoryFullName", T.StringType(), True),
+    T.StructField("payloadRef", T.StringType(), True),
+    T.StructField("dispatchPayload", T.StringType(), True),
+    T.StructField("status", T.StringType(), False),
+    T.StructField("dispatchedAt", T.TimestampType(), True),
+    T.StructField("error", T.StringType(), True),
+    T.StructField("createdAt", T.TimestampType(), False),
+])
+
+PullRequest = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("repositoryId", T.StringType(), False),
+    T.StructField("number", T.IntegerType(), False),
+    T.StructField("githubPrId", T.LongType(), False),
+    T.StructField("headSha", T.StringType(), False),
+    T.StructField("state", T.StringType(), False),
+    T.StructField("isDraft", T.BooleanType(), False),
+    T.StructField("createdAt", T.TimestampType(), False),
+    T.StructField("updatedAt", T.TimestampType(), False),
+])
 
-WalkedFile = _schema("path:s, contentHash:s, sizeBytes:i, lineCount:i, packageName:s?, classification:s, language:s?, indexState:s, skipReason:s?, isTest:b, isGenerated:b")
+WalkedFile = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("contentHash", T.StringType(), False),
+    T.StructField("sizeBytes", T.IntegerType(), False),
+    T.StructField("lineCount", T.IntegerType(), False),
+    T.StructField("packageName", T.StringType(), True),
+    T.StructField("classification", T.StringType(), False),
+    T.StructField("language", T.StringType(), True),
+    T.StructField("indexState", T.StringType(), False),
+    T.StructField("skipReason", T.StringType(), True),
+    T.StructField("isTest", T.BooleanType(), False),
+    T.StructField("isGenerated", T.BooleanType(), False),
+])
 
 #: DDL of the parse result; StructType.fromDDL needs a running session.
 PARSED_FILE = (

@@ -330,3 +330,136 @@ def file_packages(spark, sf_dir):
     files = workspaces(spark, sf_dir, WORKSPACE)
     wanted = files.where(F.col("path").isin("apps/web/src/main.ts", "libs/lib/deep/a.ts", "libs/plain/x.tsx", "package.json", "pnpm-workspace.yaml", "bad/package.json")).select("repositoryId", "path")
     return imports.place_files(wanted, cut(manifests.contexts(files), "context")).select("repositoryId", "path", "packageName", "configDir")
+
+
+# The whole index: two kinds of repositories, one for each 20 documents; odd ones have no workspace
+
+INDEXED = {
+    "package.json": '{"name": "root", "devDependencies": {"vitest": "1"}}',
+    "pnpm-workspace.yaml": "packages:\n  - 'libs/*'\n",
+    ".gitattributes": "gen/* linguist-generated\n",
+    "gen/made.ts": "export function made() { return only() }\n",
+    "libs/one/package.json": '{"name": "@x/one", "main": "index.ts"}',
+    "libs/one/index.ts": 'import { helper } from "./helper";\nexport class Base { run() { return this.step() } step() { return helper() } }\nexport interface Shape { area(): number }\n',
+    "libs/one/helper.ts": "export function helper() { return helper() }\nfunction only() {}\n",
+    "src/main.ts": (
+        'import { Base, Shape } from "@x/one";\nimport * as tools from "./tools";\nimport React from "react";\nimport "./gone";\n'
+        "export class Main extends Base implements Shape { area() { return tools.pick() } go() { return this.run() } }\nexport function page() { return render() + twice() + lots() + base() }\n"
+    ),
+    "src/tools.ts": "export function pick() {}\nexport function twice() {}\n",
+    "src/main.test.ts": 'import { page } from "./main";\nimport { it } from "vitest";\nexport function check() { page() }\n',
+    "a/render.ts": "export function render() {}\nexport function lots() {}\n",
+    "b/render.ts": "export function render() {}\nexport function lots() {}\n",
+    "c/lots.ts": "export function lots() {}\n",
+    "d/lots.ts": "export function lots() {}\n",
+    "e/base.ts": "export function base(k) { return k.run() }\n",
+}
+_MAIN, _TOOLS, _TEST, _ONE, _HELP = "src/main.ts", "src/tools.ts", "src/main.test.ts", "libs/one/index.ts", "libs/one/helper.ts"
+#: which repositories (0 even: a workspace, 1 odd: none, null both), kind, from, to, resolution, confidence; a symbol is file#name
+INDEX_EDGES = [
+    *((None, "CONTAINS", f, f"{f}#{s}", "RESOLVED", 1.0) for f, names in (
+        (_ONE, ("Base", "run", "step", "Shape")), (_HELP, ("helper", "only")), (_MAIN, ("Main", "area", "go", "page")), (_TOOLS, ("pick", "twice")), (_TEST, ("check",)),
+        ("a/render.ts", ("render", "lots")), ("b/render.ts", ("render", "lots")), ("c/lots.ts", ("lots",)), ("d/lots.ts", ("lots",)), ("e/base.ts", ("base",)),
+    ) for s in names),
+    *((None, "EXPORTS", f, f"{f}#{s}", "RESOLVED", 1.0) for f, names in (
+        (_ONE, ("Base", "Shape")), (_HELP, ("helper",)), (_MAIN, ("Main", "page")), (_TOOLS, ("pick", "twice")), (_TEST, ("check",)), ("a/render.ts", ("render", "lots")), ("b/render.ts", ("render", "lots")),
+        ("c/lots.ts", ("lots",)), ("d/lots.ts", ("lots",)), ("e/base.ts", ("base",)),
+    ) for s in names),
+    (1, "CONTAINS", "gen/made.ts", "gen/made.ts#made", "RESOLVED", 1.0), (1, "EXPORTS", "gen/made.ts", "gen/made.ts#made", "RESOLVED", 1.0), (1, "CALLS", "gen/made.ts#made", f"{_HELP}#only", "RESOLVED", 0.7),
+    (None, "IMPORTS", _ONE, _HELP, "RESOLVED", 1.0), (None, "IMPORTS", _MAIN, _TOOLS, "RESOLVED", 1.0), (None, "IMPORTS", _TEST, _MAIN, "RESOLVED", 1.0), (0, "IMPORTS", _MAIN, _ONE, "RESOLVED", 1.0),
+    (None, "TESTS", _TEST, _MAIN, "RESOLVED", 1.0),
+    # imports without a target have one identity a file: the first stays
+    (0, "IMPORTS", _MAIN, "react", "EXTERNAL", 1.0), (1, "IMPORTS", _MAIN, "@x/one", "EXTERNAL", 1.0), (None, "IMPORTS", _TEST, "vitest", "EXTERNAL", 1.0),
+    (0, "EXTENDS", f"{_MAIN}#Main", f"{_ONE}#Base", "RESOLVED", 0.9), (0, "IMPLEMENTS", f"{_MAIN}#Main", f"{_ONE}#Shape", "RESOLVED", 0.9),
+    (1, "EXTENDS", f"{_MAIN}#Main", f"{_ONE}#Base", "RESOLVED", 0.7), (1, "IMPLEMENTS", f"{_MAIN}#Main", f"{_ONE}#Shape", "RESOLVED", 0.7),
+    (None, "CALLS", f"{_ONE}#run", f"{_ONE}#step", "RESOLVED", 0.95), (None, "CALLS", f"{_ONE}#step", f"{_HELP}#helper", "RESOLVED", 0.9), (None, "CALLS", f"{_HELP}#helper", f"{_HELP}#helper", "RESOLVED", 0.95),
+    (None, "CALLS", f"{_MAIN}#area", f"{_TOOLS}#pick", "RESOLVED", 0.9), (1, "CALLS", f"{_MAIN}#go", f"{_ONE}#run", "RESOLVED", 0.7),
+    (None, "CALLS", f"{_MAIN}#page", "a/render.ts#render", "RESOLVED", 0.2), (None, "CALLS", f"{_MAIN}#page", "b/render.ts#render", "RESOLVED", 0.2),
+    (None, "CALLS", f"{_MAIN}#page", f"{_TOOLS}#twice", "RESOLVED", 0.7), (None, "CALLS", f"{_MAIN}#page", "e/base.ts#base", "RESOLVED", 0.7),
+    (None, "CALLS", f"{_TEST}#check", f"{_MAIN}#page", "RESOLVED", 0.9),
+]
+
+
+def index_of(spark, sf_dir):
+    from .plans.index import build_index
+
+    rows = workspaces(spark, sf_dir, INDEXED)
+    odd = F.substring("repositoryId", 2, 20).cast("long") % 2 == 1
+    rows = rows.where(~odd | ~F.col("path").isin("pnpm-workspace.yaml", ".gitattributes")).withColumn("content", F.col("text").cast("binary"))
+    return build_index(rows.select("repositoryId", "path", F.octet_length("content").cast("long").alias("size"), "content"), "sha", cut=cut)
+
+
+@query(f"""WITH {REPOS_SQL}, {values_sql("v", "odd, kind, source, target, resolution, confidence", INDEX_EDGES)}
+SELECT repo AS "repositoryId", kind, source, target, resolution, CAST(confidence AS DOUBLE) AS confidence FROM repos, v WHERE odd IS NULL OR odd = doc_id % 2""")
+def index_edges(spark, sf_dir):
+    index = index_of(spark, sf_dir)
+    files = index.files.select("id", "path")
+    symbols = index.symbols.select("id", F.concat_ws("#", "filePath", "name").alias("symbol"))
+    rows = index.edges
+    for side in ("from", "to"):
+        rows = rows.join(files.select(F.col("id").alias(f"{side}FileId"), F.col("path").alias(f"_{side}f")), f"{side}FileId", "left").join(symbols.select(F.col("id").alias(f"{side}SymbolId"), F.col("symbol").alias(f"_{side}s")), f"{side}SymbolId", "left")
+    return rows.select("repositoryId", "kind", F.coalesce("_froms", "_fromf").alias("source"), F.coalesce("_tos", "_tof", "externalPackage", "rawSpecifier").alias("target"), "resolution", "confidence")
+
+
+@query(f"""WITH {REPOS_SQL}, {values_sql("v", "odd, kind, source, target, resolution, confidence", INDEX_EDGES)}, {values_sql("f", "path", [(p,) for p in INDEXED])},
+n AS (SELECT repo, split_part(target, '#', 1) AS path, count(*) AS n FROM repos, v WHERE (odd IS NULL OR odd = doc_id % 2) AND resolution = 'RESOLVED' GROUP BY ALL)
+SELECT repos.repo AS "repositoryId", f.path, CASE WHEN doc_id % 2 = 0 AND f.path = 'gen/made.ts' THEN 'SKIPPED_GENERATED' END AS "skipReason", CAST(coalesce(n.n, 0) AS INTEGER) AS "inboundEdgeCount", f.path = 'src/main.test.ts' AS "isTest",
+  CASE WHEN f.path LIKE '%.ts' AND (doc_id % 2 = 1 OR f.path <> 'gen/made.ts') THEN 'OK' ELSE 'NOT_PARSED' END AS "parseState", CASE WHEN f.path LIKE 'libs/%' THEN '@x/one' ELSE 'root' END AS "packageName"
+FROM repos, f LEFT JOIN n ON n.repo = repos.repo AND n.path = f.path WHERE doc_id % 2 = 0 OR f.path NOT IN ('pnpm-workspace.yaml', '.gitattributes')""")
+def index_files(spark, sf_dir):
+    return index_of(spark, sf_dir).files.select("repositoryId", "path", "skipReason", "inboundEdgeCount", "isTest", "parseState", "packageName")
+
+
+@query(f"""WITH {REPOS_SQL} SELECT repo AS "repositoryId", kind, resolution, n AS attempted FROM repos, (VALUES ('IMPORTS', 'RESOLVED', 4, 3), ('IMPORTS', 'EXTERNAL', 2, 3), ('IMPORTS', 'UNRESOLVED', 1, 1)) t(kind, resolution, even, odd),
+  LATERAL (SELECT CAST(CASE WHEN doc_id % 2 = 0 THEN even ELSE odd END AS BIGINT) AS n)""")
+def index_attempted_imports(spark, sf_dir):
+    """Edges before their identity collapses them."""
+    return index_of(spark, sf_dir).attempted.where("kind = 'IMPORTS'").groupBy("repositoryId", "kind", "resolution").agg(F.count("*").alias("attempted"))
+
+
+# Names with receivers: the caller's own class, a namespace, a class in scope, buckets by package
+
+LADDER = """
+symbols AS (SELECT p_partkey AS id, p_partkey AS ordinal, 'm' || (p_partkey % 40) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'FUNCTION' ELSE 'METHOD' END AS kind, CASE WHEN p_partkey % 3 > 0 THEN 'C' || (p_partkey % 30) END AS parentSymbol,
+  'd' || (p_partkey % 7) || '/f' || (p_partkey % 90) || '.ts' AS filePath, 'pk' || (p_partkey % 4) AS packageName FROM part),
+sites AS (SELECT o_orderkey AS siteId, o_orderkey AS fromSymbolId, 'd' || (o_orderkey % 7) || '/f' || (o_custkey % 90) || '.ts' AS filePath, 'pk' || (o_orderkey % 4) AS packageName, 'm' || (o_custkey % 40) AS name,
+  CASE o_orderkey % 4 WHEN 0 THEN 'this' WHEN 1 THEN 'ns' WHEN 2 THEN 'o' END AS receiver, CASE WHEN o_orderkey % 4 = 0 THEN 'C' || (o_custkey % 30) END AS callerClass FROM orders),
+imports AS (SELECT filePath, row_number() OVER (ORDER BY filePath) AS ordinal, 'C' || (length(filePath) * 7 % 30) AS cls, replace(filePath, '/f', '/f1') AS targetFilePath FROM (SELECT DISTINCT filePath FROM sites))"""
+
+
+@query(f"""WITH {LADDER},
+near AS (SELECT s.siteId, arg_min(c.id, (CASE WHEN s.receiver = 'this' AND c.parentSymbol = s.callerClass THEN 0 ELSE 1 END, c.ordinal)) AS t FROM sites s JOIN symbols c ON c.filePath = s.filePath AND c.name = s.name
+  AND c.kind = CASE WHEN s.receiver IS NULL THEN 'FUNCTION' ELSE 'METHOD' END GROUP BY s.siteId),
+named AS (SELECT s.siteId, arg_min(c.id, c.ordinal) AS t FROM sites s JOIN imports i ON i.filePath = s.filePath JOIN symbols c ON c.filePath = i.targetFilePath AND c.name = s.name
+  WHERE s.receiver = 'ns' AND s.siteId NOT IN (SELECT siteId FROM near) GROUP BY s.siteId),
+pool AS (SELECT s.siteId, c.id, count(*) OVER w AS n, split_part(c.filePath, '/', 1) = split_part(s.filePath, '/', 1) AS st, c.packageName = s.packageName AS sp FROM sites s
+  JOIN symbols c ON c.name = s.name AND c.packageName = s.packageName AND c.kind = CASE WHEN s.receiver IS NULL THEN 'FUNCTION' ELSE 'METHOD' END
+  LEFT JOIN imports i ON i.filePath = s.filePath AND i.cls = c.parentSymbol
+  WHERE s.siteId NOT IN (SELECT siteId FROM near) AND s.siteId NOT IN (SELECT siteId FROM named) AND (s.receiver IS NULL OR s.receiver = 'this' OR i.cls IS NOT NULL) WINDOW w AS (PARTITION BY s.siteId))
+SELECT siteId AS "siteId", t AS "toSymbolId", 'SAME_FILE' AS rule, CAST(0.95 AS DOUBLE) AS confidence FROM near UNION ALL SELECT siteId, t, 'NAMED_IMPORT', 0.9 FROM named
+UNION ALL SELECT siteId, id, CASE WHEN n = 1 THEN 'UNIQUE_REPO_MATCH' ELSE 'AMBIGUOUS_TIEBREAK' END, CASE WHEN n = 1 THEN 0.7 ELSE 0.4 / n END FROM pool WHERE n <= 3
+UNION ALL SELECT DISTINCT siteId, NULL, 'SKIPPED', CAST(NULL AS DOUBLE) FROM pool WHERE n > 3""")
+def receiver_ladder(spark, sf_dir):
+    """Names are looked up package by package, so all candidates are of the site's own."""
+    from .operators.resolve import resolve_names
+    from .queries import _view
+
+    sql = LADDER.replace("FROM sites)", "FROM sites) x")
+    views = [_view(spark, sf_dir, sql, name, ("part", "orders")).withColumn("repositoryId", F.lit("r")) for name in ("symbols", "sites", "imports")]
+    imports = views[2].withColumns({"named": F.array("cls"), "default": F.lit(None).cast("string"), "namespace": F.lit("ns"), "isTypeOnly": F.lit(False)})
+    mode = spark.range(1).select(F.lit("r").alias("repositoryId"), F.lit(True).alias("perPackage"))
+    return resolve_names(views[1], views[0], imports, mode).select("siteId", "toSymbolId", "rule", "confidence")
+
+
+# Walks over cycles: every file imports the next of its ring of five
+
+@query("""WITH f AS (SELECT doc_id, doc_id // 5 AS ring, doc_id % 5 AS nth, count(*) OVER (PARTITION BY doc_id // 5) AS size FROM documents)
+SELECT s.doc_id AS seed, CAST(((s.nth - d) % s.size + s.size) % s.size + 5 * s.ring AS BIGINT) AS "fileId", CAST(d AS INTEGER) AS depth FROM f s, range(1, 6) t(d) WHERE d <= s.size""")
+def importer_cycles(spark, sf_dir):
+    """A ring returns its seed at the ring's length, and the walk ends there."""
+    from .operators import graph
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 5).alias("ring"), (F.col("doc_id") % 5).alias("nth"))
+    sized = docs.join(docs.groupBy("ring").agg(F.count("*").alias("size")), "ring")
+    edges = sized.select(F.lit("r").alias("repositoryId"), F.lit("IMPORTS").alias("kind"), F.col("doc_id").alias("fromFileId"), ((F.col("nth") + 1) % F.col("size") + 5 * F.col("ring")).alias("toFileId"))
+    return graph.importing_files(edges, "r", docs.select("doc_id"), 5)
