@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, text_batches
+from .bpe import codec, parse_ranks, text_batches
+from .hashing import column_bytes
 from .store import plan_bytes
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -92,7 +93,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tupl
     return bins, offsets, [capacities[bisect_left(capacities, u)] for u in used]
 
 
-PIECES = "doc_id long, salt int, piece int, token_offset long, n_tokens int, ids array<int>"
+PIECES = "doc_id long, salt int, piece int, token_offset long, n_tokens int, ids binary"  # ids: packed, two bytes each where the vocabulary allows
 SCHEMA = (
     "bin_id string, capacity int, n_tokens int, doc_ids array<long>, "
     "pieces array<struct<doc_id:long,piece:int,token_offset:long,n_tokens:int,bin_offset:int>>, input_ids array<int>"
@@ -110,7 +111,12 @@ def repeats(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tokenise(shared, pattern: str, capacity: int, separator: int):
+def id_kind(data: bytes, separator: int) -> np.dtype:
+    """The narrowest type of the ids of a vocabulary and a separator."""
+    return np.dtype(np.uint16 if max(separator, max(parse_ranks(data).values())) < 1 << 16 else np.int32)
+
+
+def _tokenise(shared, pattern: str, capacity: int, separator: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
@@ -118,7 +124,7 @@ def _tokenise(shared, pattern: str, capacity: int, separator: int):
                 ids, offsets = own.encode_batch(texts)
                 count = np.diff(offsets)
                 size = count + (count > 0)
-                flat = np.insert(ids, offsets[1:][count > 0], np.int32(separator))
+                flat = np.insert(ids.astype(kind), offsets[1:][count > 0], kind.type(separator))
                 n = -(-size // capacity)
                 at = np.repeat(np.arange(len(size)), n)
                 nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
@@ -127,19 +133,19 @@ def _tokenise(shared, pattern: str, capacity: int, separator: int):
                 salt = repeats(part.fill_null(0).to_numpy(zero_copy_only=False))[at]
                 length = np.minimum(size[at] - nth * capacity, capacity)
                 numbers = ((salt, np.int32), (nth, np.int32), (nth * capacity, np.int64), (length, np.int32))
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, len(flat)).astype(np.int32)), pa.array(flat))
+                cuts = (np.append(begin, len(flat)) * kind.itemsize).astype(np.int32)
+                tokens = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
                 columns = [part.take(pa.array(at)), *(pa.array(x.astype(k)) for x, k in numbers), tokens]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
 
     return run
 
 
-def _pack_shard(capacities: Sequence[int]):
+def _pack_shard(capacities: Sequence[int], kind: np.dtype):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        ids = table.column("ids").combine_chunks()
-        start = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[:-1]
-        values = ids.values.to_numpy()
+        raw, cuts = column_bytes(table.column("ids"))
+        start, values = cuts[:-1] // kind.itemsize, raw.view(kind)
         size = table.column("n_tokens").to_numpy().astype(np.int64)
         doc, piece = table.column("doc_id"), table.column("piece").to_numpy()
         known, number = doc.is_valid().to_numpy(), doc.fill_null(0).to_numpy()
@@ -165,7 +171,7 @@ def _pack_shard(capacities: Sequence[int]):
         lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
         return pa.table({
             "bin_id": pa.array([f"{shard}-{b}" for b in range(len(final))], pa.string()), "capacity": pa.array(final, pa.int32()), "n_tokens": pa.array(np.diff(tokens).astype(np.int32)),
-            "doc_ids": lists(parts[0], edge), "pieces": lists(pa.StructArray.from_arrays(parts, fields=list(_PIECE)), edge), "input_ids": lists(pa.array(joined), tokens),
+            "doc_ids": lists(parts[0], edge), "pieces": lists(pa.StructArray.from_arrays(parts, fields=list(_PIECE)), edge), "input_ids": lists(pa.array(joined.astype(np.int32)), tokens),
         })
 
     return run
@@ -182,8 +188,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacities: S
     null or repeated id, spread as well.
     """
     with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    kind = id_kind(data, separator)
+    shared = docs.sparkSession.sparkContext.broadcast(data)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, -(-plan_bytes(source) // shard_bytes))
-    sizes = source.mapInArrow(_tokenise(shared, pattern, max(capacities), separator), PIECES)
-    return sizes.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)).alias("shard")).applyInArrow(_pack_shard(tuple(sorted(capacities))), SCHEMA)
+    sizes = source.mapInArrow(_tokenise(shared, pattern, max(capacities), separator, kind), PIECES)
+    return sizes.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)).alias("shard")).applyInArrow(_pack_shard(tuple(sorted(capacities)), kind), SCHEMA)
