@@ -31,7 +31,7 @@ from .store import fresh_path
 
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 16 << 20, 4 << 20
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 48 << 20, 4 << 20  # an archive is one range, its directory read once
 MANIFEST = "_manifest.json"
 
 

@@ -47,6 +47,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Remove everything that was written here; frames not yet read are lost with it.
+
+    Results are lazy, so only the caller knows when the last of them has been read.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 #: Estimates above this are checked by a count: joins and local rows are estimated wildly.
 TRUSTED_BYTES = 1 << 40
 

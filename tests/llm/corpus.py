@@ -115,6 +115,32 @@ def jaccard(data, percent=75):
     return [(i, len(sets[a]), min(least[find(a)], key=order)) for a, (i, _) in enumerate(data)]
 
 
+def covered(w, n):
+    """Which words lie in an n-word window that occurs twice or more."""
+    count = collections.Counter(tuple(w[s : s + n]) for s in range(len(w) - n + 1))
+    hit = [False] * len(w)
+    for s in range(len(w) - n + 1):
+        if count[tuple(w[s : s + n])] > 1:
+            hit[s : s + n] = [True] * n
+    return hit
+
+
+def quality_kept(text):
+    """The verdict of the quality rules."""
+    w = words(text)
+    size = [len(x.decode()) for x in w]
+    if len(w) < 50 or 100 * sum(covered(w, 3)) > 50 * len(w):
+        return False
+    seen, dup = set(), 0
+    for line in (text or "").encode().split(b"\n"):
+        inside = WORD.findall(line)
+        if inside and line in seen:
+            dup += sum(len(x.decode()) for x in inside)
+        seen.add(line)
+    limits = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+    return 100 * dup <= 20 * sum(size) and all(100 * sum(s for s, h in zip(size, covered(w, n), strict=True) if h) <= most * sum(size) for n, most in limits.items())
+
+
 def same(found, expected):
     key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
     return sorted((tuple(r) for r in found), key=key) == sorted((tuple(r) for r in expected), key=key)

@@ -128,6 +128,18 @@ def test_urls_equal_sql(spark):
     assert urls.filter_urls(pages.limit(0), queries.URL_RULES).collect() == []
 
 
+def test_url_rules_as_a_table_ties_and_long_urls(spark):
+    rules = [urls.Rule("block", "com", "/a"), urls.Rule("allow", "com", "/a"), urls.Rule("allow", "x.com", "/"), urls.Rule("block", "com", "/" + "p" * 3000), *queries.URL_RULES]
+    made = ["http://com/abc", "http://x.com/abc", "http://y.com/" + "p" * 100_000, "http://example.com/en/7", None, "http://" + "a." * 5000 + "com/a"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made)] * 2, "page_id long, url string")
+    table = urls.rule_table(spark, rules)
+    found = urls.filter_urls(pages, table).collect()
+    assert corpus.same(found, urls.filter_urls(pages, rules).collect())
+    assert {r.page_id: r.verdict for r in found} == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+    assert {r.page_id: r.rule for r in found if r.page_id < 2} == {0: "com/a", 1: "x.com/"}
+    assert urls.filter_urls(pages, table.limit(0)).where("rule IS NOT NULL").count() == 0
+
+
 def test_url_rule_text_is_quoted(spark):
     rule = urls.Rule("block", "a'b\\.com", "/x'\\")
     pages = spark.createDataFrame([(1, "http://a'b\\.com/x'\\y")], "page_id long, url string")
