@@ -15,7 +15,11 @@ from graphloom.llm.store import materialize
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found (no text, or no letter), also where no label can be learned from."""
+    """Drop documents in which no language is found (no text, or no letter), also where no label can be learned from.
+
+    Null and empty texts go; rows of null or repeated ids are judged one by one; an empty table
+    stays empty; a text of any length is judged whole; all columns come along, whatever their names.
+    """
     model = langid.train(docs, F.coalesce(langid.fold() != 0, F.lit(False)))
     if not model.languages:
         return docs.where(langid.lettered())
@@ -23,14 +27,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality rules reject."""
+    """Drop documents that the quality rules reject.
+
+    Null, empty and short texts fail the base rules and go; rows of null or repeated ids are
+    judged one by one; an empty table stays empty; a text of any length is judged whole; all
+    columns come along, whatever their names.
+    """
     return quality.quality_rules(docs, carry=True).where("kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each group of linked documents, one row of it.
 
-    A document is an id with a text: rows of a null or repeated id stay if their texts are not linked.
+    A document is an id with a text: rows of a null or repeated id stay if their texts are not
+    linked, and of equal rows one stays, any of them; texts without words are linked with nothing,
+    so each null or empty one stays, once an id.  The least id decides, a null id first, then the
+    least text digest.  An empty table stays empty; all columns come along, whatever their names.
     """
     rows = jaccard.linked_rows(docs).groupBy("id", "text_md5").agg(F.count("*").alias("copies"), F.min("vertex").alias("vertex"))
     kept = rows.groupBy("vertex").agg(F.min(F.struct("id", "text_md5", "copies")).alias("least")).select("least.*")
@@ -47,7 +59,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def shared_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut from each text the 50-byte strings that a document of smaller id has; characters stay whole."""
+    """Cut from each text the 50-byte strings that a document of smaller id has; characters stay whole.
+
+    ``text`` is what is left and ``n_chars`` its length; a null text becomes empty; a null id is
+    the smallest; rows of one id do not cut each other; an empty table stays empty; a text of any
+    length is cut as a whole; all other columns come along, whatever their names.
+    """
     cut = suffix.dedup_bytes(docs, keep_text=True, carry=True)
     made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return cut.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
