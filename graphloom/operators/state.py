@@ -100,6 +100,15 @@ def can_lock(status: Column) -> Column:
     return status.isin(*LOCKABLE)
 
 
+def acquire_lock(repositories: DataFrame, guard: Column) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot with the lockable of some repositories INDEXING, one row with how many were).
+
+    Nothing was affected where another run holds the lock.  Two writers of one snapshot are kept
+    apart by the store that publishes it, not here.
+    """
+    return guarded_update(repositories, guard & can_lock(F.col("indexStatus")), {"indexStatus": F.lit("INDEXING")})
+
+
 def mark_indexed(repositories: DataFrame, repository_id: str, sha: str, now: Column) -> DataFrame:
     own = F.col("id") == repository_id
     values = {"indexStatus": F.lit("INDEXED"), "indexedCommitSha": F.lit(sha), "lastIndexedAt": now, "indexError": F.lit(None).cast("string")}

@@ -12,6 +12,7 @@ from .. import schemas
 from ..functions import paths as P
 from ..operators import graph, imports, inventory, resolve
 from ..parsing.scanner import parse
+from ..partitions import spread
 from ..sources import manifests
 
 
@@ -48,7 +49,7 @@ def build_index(entries: DataFrame, commit_sha: str, rules=None, strict_identity
     digests of what they name, so a repeated run gives the same rows.  ``cut`` may write a frame
     and read it back: parsing is then done once, and lineage ends there.
     """
-    found = inventory.inventory(entries, rules).withColumn("id", _id("repositoryId", "path"))
+    found = inventory.inventory(spread(entries), rules).withColumn("id", _id("repositoryId", "path"))
     # of the texts only those of manifests are needed once the files are parsed
     parsed = cut(parse_files(found).withColumn("text", F.when(manifests.is_manifest(F.col("path")), F.col("text"))), "parsed")
     context = cut(manifests.contexts(parsed), "context")

@@ -5,6 +5,7 @@ Nothing here touches the network or keeps state of its own; ``store`` is any map
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, MutableMapping
 from typing import Any, NamedTuple
@@ -91,3 +92,59 @@ def until_final(read: Callable[[], str], pause: float = 2.0, sleep: Callable[[fl
 def healthy(spark: SparkSession) -> bool:
     """Whether the session answers."""
     return spark.sql("SELECT 1 AS one").first().one == 1
+
+
+def _failure(answer: Answer) -> str:
+    """The reasons of ``policy.failure_reason`` for one answer."""
+    limited = bool({k.lower() for k in answer.headers} & {"x-ratelimit-remaining", "retry-after"})
+    if answer.status == 401:
+        return "UNAUTHENTICATED"
+    return "NOT_ACCESSIBLE" if answer.status == 404 or (answer.status == 403 and not limited) else "UNAVAILABLE"
+
+
+def _read(get: Callable[[str, dict[str, str]], Answer], url: str) -> tuple[dict[str, Any] | None, str | None]:
+    answer = get(url, {})
+    if answer.status != 200:
+        return None, _failure(answer)
+    try:
+        body = json.loads(answer.body)
+    except ValueError:
+        body = None
+    return (body, None) if isinstance(body, dict) else (None, "UNAVAILABLE")
+
+
+def repository_metadata(get: Callable[[str, dict[str, str]], Answer], owner: str, name: str) -> tuple[dict[str, Any] | None, str | None]:
+    """(metadata, None) or (None, reason); a body without id, name or owner is not understood: UNAVAILABLE.
+
+    What the host leaves out is private, not archived, not disabled, of size 0 and under its usual
+    name and address; an empty default branch is none.
+    """
+    body, reason = _read(get, f"/repos/{owner}/{name}")
+    if body is None:
+        return None, reason
+    login = body["owner"].get("login") if isinstance(body.get("owner"), dict) else None
+    known = body.get("name")
+    if not isinstance(body.get("id"), int) or not isinstance(login, str) or not isinstance(known, str):
+        return None, "UNAVAILABLE"
+    usual = {"full_name": f"{login}/{known}", "html_url": f"https://github.com/{login}/{known}", "private": True, "archived": False, "disabled": False}
+    given = usual | {k: v for k, v in body.items() if v is not None}
+    size = given.get("size")
+    return {
+        "githubRepoId": given["id"], "owner": login, "name": known, "fullName": given["full_name"], "defaultBranch": given.get("default_branch") or None, "isPrivate": given["private"],
+        "htmlUrl": given["html_url"], "sizeKib": size if isinstance(size, (int, float)) else 0, "archived": given["archived"], "disabled": given["disabled"],
+    }, None
+
+
+def head_commit(get: Callable[[str, dict[str, str]], Answer], owner: str, name: str, branch: str) -> tuple[str | None, str | None]:
+    """(sha, None) or (None, reason); NOT_ACCESSIBLE means that the branch is gone."""
+    body, reason = _read(get, f"/repos/{owner}/{name}/commits/{branch}")
+    if body is None:
+        return None, reason
+    sha = body.get("sha")
+    return (sha, None) if isinstance(sha, str) and sha else (None, "UNAVAILABLE")
+
+
+def probe_branch(get: Callable[[str, dict[str, str]], Answer], owner: str, name: str, branch: str) -> str:
+    """HAS_COMMITS, EMPTY where the branch is not there, UNKNOWN for any other answer."""
+    status = get(f"/repos/{owner}/{name}/branches/{branch}", {}).status
+    return "HAS_COMMITS" if status == 200 else "EMPTY" if status == 404 else "UNKNOWN"

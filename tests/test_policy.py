@@ -52,3 +52,32 @@ def test_connection_effects(spark):
     )
     found = {r.id: r.connectionStatus for r in ledger.apply_connection_effects(repos, effects).collect()}
     assert found == {"a": "ACCESS_LOST", "b": "DISCONNECTED", "c": "ACTIVE", "d": "ACTIVE"}
+
+
+def test_repository_reads():
+    import json
+
+    from graphloom.functions.policy import Answer
+    from graphloom.sources import connector
+
+    seen = []
+
+    def answering(status, body=b"", headers=None):
+        def get(url, _):
+            seen.append(url)
+            return Answer(status, headers or {}, body if isinstance(body, bytes) else json.dumps(body).encode())
+
+        return get
+
+    good = {"id": 7, "owner": {"login": "o"}, "name": "r", "full_name": "o/r", "default_branch": "main", "private": False, "html_url": "u", "size": 12}
+    found, reason = connector.repository_metadata(answering(200, good), "o", "r")
+    assert reason is None and (found["githubRepoId"], found["owner"], found["sizeKib"], found["defaultBranch"]) == (7, "o", 12, "main") and seen == ["/repos/o/r"]
+    bare, _ = connector.repository_metadata(answering(200, {"id": 7, "owner": {"login": "o"}, "name": "r", "default_branch": ""}), "o", "r")
+    assert (bare["fullName"], bare["defaultBranch"], bare["isPrivate"], bare["sizeKib"], bare["archived"]) == ("o/r", None, True, 0, False)
+    reads = [lambda g: connector.repository_metadata(g, "o", "r"), lambda g: connector.head_commit(g, "o", "r", "b")]
+    for read in reads:
+        assert [read(g)[1] for g in (answering(401), answering(404), answering(403), answering(403, headers={"Retry-After": "1"}), answering(500), answering(200, b"{"), answering(200, [1]), answering(200, {}))] == [
+            "UNAUTHENTICATED", "NOT_ACCESSIBLE", "NOT_ACCESSIBLE", "UNAVAILABLE", "UNAVAILABLE", "UNAVAILABLE", "UNAVAILABLE", "UNAVAILABLE",
+        ]
+    assert connector.head_commit(answering(200, {"sha": "s"}), "o", "r", "b") == ("s", None)
+    assert [connector.probe_branch(answering(s), "o", "r", "b") for s in (200, 404, 500)] == ["HAS_COMMITS", "EMPTY", "UNKNOWN"]
