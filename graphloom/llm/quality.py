@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .hashing import WORD_POWERS, Words, column_bytes, mix, ngrams, pieces, prefix_sums, slice_hashes, slices, within
 from .store import carried_schema, whole_row
 
@@ -91,7 +92,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(buf == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(buf)]
-    ends = np.concatenate([starts[1:], [len(buf)]])
+    ends = np.append(starts[1:], len(buf)) if len(starts) else starts
     ends = ends - (buf[ends - 1] == 10) if len(ends) else ends
     lo, hi = np.searchsorted(words.start, starts), np.searchsorted(words.start, ends)
     real = hi > lo
@@ -121,7 +122,7 @@ def quality_rules(docs: DataFrame, carry: bool = False) -> DataFrame:
     With ``carry`` the whole input row comes along as a struct ``row``.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([whole_row(docs)] if carry else []))
-    counts = source.mapInArrow(_measured, carried_schema(SCHEMA, source) if carry else SCHEMA)
+    counts = spread(source).mapInArrow(_measured, carried_schema(SCHEMA, source) if carry else SCHEMA)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within_limits = 100 * F.col("dup_line_chars") <= MAX_DUP_LINE_PERCENT * F.col("word_chars")
     for n, most in MAX_GRAM_PERCENT.items():
