@@ -119,6 +119,27 @@ def test_inventory_summary(spark):
     assert {r.skipReason: r.files for r in inventory.skip_reasons(attributed).collect()} == {"SKIPPED_GENERATED": 1, "SKIPPED_TOO_LARGE": 1, "SKIPPED_BINARY": 1}
 
 
+def test_attributes_are_each_repositorys_own(spark):
+    files = {"a.md": "x\n", "gen/b.ts": "b\n", "lib/c.ts": "c\n"}
+    one = files | {".gitattributes": "gen/* linguist-generated\nlib/** linguist-vendored\n*.md linguist-generated\n*.md -linguist-generated\n"}
+    two = files | {".gitattributes": "*.md linguist-generated\n", "lib/.gitattributes": "c.ts linguist-generated\n"}
+    rows = entries(spark, ("r1",), one).unionByName(entries(spark, ("r2",), two)).unionByName(entries(spark, ("r3",), files))
+    found = {(r.repositoryId, r.path): r.skipReason for r in inventory.inventory(rows).where("skipReason IS NOT NULL").collect()}
+    assert found == {("r1", "gen/b.ts"): "SKIPPED_GENERATED", ("r1", "lib/c.ts"): "SKIPPED_VENDORED", ("r2", "a.md"): "SKIPPED_GENERATED"}
+
+
+def test_spread_deals_one_file_over_the_cores(spark, tmp_path, monkeypatch):
+    from graphloom import partitions
+
+    spark.range(1000).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    scan = spark.read.parquet(f"file://{tmp_path}/one")
+    assert partitions.spread(scan).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(partitions, "LEAST_BYTES", 0)
+    assert partitions.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert partitions.spread(scan.repartition(2)).rdd.getNumPartitions() == 2
+    assert sorted(r.id for r in partitions.spread(scan).collect()) == list(range(1000))
+
+
 # Manifests
 
 
