@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .hashing import column_bytes, pieces
 from .store import carried_schema, whole_row
 
@@ -257,7 +258,7 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, made)
 
     source = lowered(docs, carry)
-    return source.mapInArrow(run, carried_schema(SCHEMA, source) if carry else SCHEMA)
+    return spread(source).mapInArrow(run, carried_schema(SCHEMA, source) if carry else SCHEMA)
 
 
 def fold() -> Column:

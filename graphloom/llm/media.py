@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..partitions import spread
 from .store import fresh_path
 
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 48 << 20, 4 << 20  # an archive is one range, its directory read once
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 128 << 20, 4 << 20  # an archive has two ranges, so its directory is read twice
 MANIFEST = "_manifest.json"
 
 
@@ -137,7 +138,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["archive", "members", "bytes"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = source.mapInArrow(run, "archive string, members long, bytes long").collect()
+    rows = spread(source).mapInArrow(run, "archive string, members long, bytes long").collect()
     system, base = filesystem(folder)
     system.create_dir(base, recursive=True)
     names = sorted(r.archive for r in rows)

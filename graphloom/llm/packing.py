@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .bpe import codec, parse_ranks, text_batches
 from .hashing import column_bytes
 from .store import plan_bytes
@@ -193,5 +194,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacities: S
     shared = docs.sparkSession.sparkContext.broadcast(data)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, -(-plan_bytes(source) // shard_bytes))
-    sizes = source.mapInArrow(_tokenise(shared, pattern, max(capacities), separator, kind), PIECES)
+    sizes = spread(source).mapInArrow(_tokenise(shared, pattern, max(capacities), separator, kind), PIECES)
     return sizes.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)).alias("shard")).applyInArrow(_pack_shard(tuple(sorted(capacities)), kind), SCHEMA)
