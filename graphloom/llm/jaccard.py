@@ -40,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import groups as G
-from .components import components
+from .components import components, follow
 from .hashing import Words, ngrams, within
 from .store import materialize
 from .trie import PrefixTree, Sets, spread
 
 SHINGLE, PERCENT = 5, 75
-BLOCK_SETS = 512
+BLOCK_SETS = 256
 SHARED, CLASSES = 1, 2  # kinds of answers
 
 
@@ -334,12 +334,12 @@ def _dealt(sets: DataFrame, block_sets: int) -> DataFrame:
 
 def _links(suspects: DataFrame, coarse: DataFrame, percent: int, block_sets: int) -> DataFrame:
     """(a, b, links) of all sets that have a link, a row for each task that found some."""
-    placed = suspects.join(coarse.select(F.col("id").alias("doc_id"), F.col("label").alias("part")), "doc_id")
     sizes = coarse.groupBy("label").agg(F.count("*").alias("size")).select(F.col("label").alias("part"), "size")
+    parts = follow(coarse.select(F.col("id").alias("doc_id"), F.col("label").alias("part")), "part", sizes)
     # linked sets' lengths differ by a factor of 100 / percent at most, so by one class at most
     width = max(-math.log(percent / 100), 0.01) + 1e-9
     large = F.col("size") > block_sets
-    placed = placed.join(sizes, "part").withColumn("c", F.when(large, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("int"))
+    placed = suspects.join(parts, "doc_id").withColumn("c", F.when(large, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("int"))
     held = ("doc_id", "n", "k", "tokens", "grades")
     placed = materialize(placed.withColumn("large", large).select("part", "c", "large", "prefix", *held), "placed")
     columns = ("part", "c", "i", "c2", "j", "side", "paired", *held)
@@ -387,10 +387,13 @@ def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bl
 
     counts = found.groupBy(F.col("b").alias("rep")).agg(F.sum("links").alias("links"))
     linked = same.select("rep", "least").join(components(found).select(F.col("id").alias("rep"), "label"), "rep").join(counts, "rep")
+    linked = materialize(linked, "linked")
     leasts = linked.groupBy("label").agg(F.min("least").alias("component"))
-    known = same.select("digest", "rep", "least", "k").join(linked.join(leasts, "label").select("rep", "label", "component", "links"), "rep", "left")
+    known = same.select("digest", "rep", "least", "k").join(follow(linked, "label", leasts).select("rep", "label", "component", "links"), "rep", "left")
     known = known.select("digest", F.coalesce("label", "rep").alias("vertex"), F.coalesce("component", "least").alias("component"), (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    return base.select("row_id", "doc_id", "text_md5", "n", "digest").join(known, "digest", "left").select(
+    # rows meet their class by digest and group: one that a third of all rows are in is one row a group before
+    known = base.where("n > 0").select("digest", "g").distinct().join(known, "digest")
+    return base.select("row_id", "doc_id", "text_md5", "g", "n", "digest").join(known, ["digest", "g"], "left").select(
         F.col("doc_id").alias("id"), "text_md5", "n", F.coalesce("vertex", "row_id").alias("vertex"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
     )
 

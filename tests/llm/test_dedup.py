@@ -127,7 +127,9 @@ def test_column_wise_transform(block):
         assert np.concatenate([b for _, b in parts]).tolist() == common
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("small", [8 << 20, -1], ids=["broadcast", "salted"])
+def test_components_of_paths_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr("graphloom.llm.components.BROADCAST_BYTES", small)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(500, 400), (7, 7)]
     found = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[k] == 0 for k in range(41)) and all(found[k] == 100 for k in range(100, 130)) and found[500] == found[400] == 400
