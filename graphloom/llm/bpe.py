@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
+
 NONE = np.int32(2**31 - 1)
 LOCKSTEP_BYTES = 64  # longer pre-tokens get a tree of their own
 LOCKSTEP_ROWS = 1 << 15
-CACHE_PIECES = 1 << 19  # distinct pre-tokens that a worker remembers before it starts anew
-BATCH_CHARS = 2 << 20
+CACHE_PIECES = 400_000  # distinct pre-tokens that a worker remembers before it starts anew
+BATCH_CHARS = 1 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -181,32 +183,41 @@ class Codec:
         while k > 1:
             tree[:, k // 2 : k] = np.minimum(tree[:, k : 2 * k : 2], tree[:, k + 1 : 2 * k : 2])
             k //= 2
-        root = 1 if width > 1 else 0
-        r = np.arange(rows) if width > 1 else np.empty(0, np.int64)
-        while len(r):
-            best = tree[r, root]
-            r = r[best != NONE]
-            if not len(r):
-                break
-            best = best[best != NONE]
-            i = best % width
-            j = after[r, i]
-            nxt, prv = after[r, j], before[r, i]
-            ids[r, i] = best // width
-            live[r, j] = False
-            after[r, i] = nxt
-            before[r, np.minimum(nxt, width)] = i
-            tree[r, width + j] = NONE
-            right = np.where(nxt < length[r], self.table.ranks(ids[r, i], ids[r, np.minimum(nxt, width)]), NONE)
-            tree[r, width + i] = np.where(right == NONE, NONE, right * np.int32(width) + i)
-            has = prv >= 0
-            rp, pp = r[has], prv[has]
-            left = self.table.ranks(ids[rp, pp], ids[rp, i[has]])
-            tree[rp, width + pp] = np.where(left == NONE, NONE, left * np.int32(width) + pp)
-            rr, kk = np.concatenate([r, r, rp]), np.concatenate([width + j, width + i, width + pp])
-            while kk[0] > 1:
-                kk = kk >> 1
-                tree[rr, kk] = np.minimum(tree[rr, 2 * kk], tree[rr, 2 * kk + 1])
+        shift, low = width.bit_length() - 1, np.int32(width - 1)
+        # flat views: a row's positions begin at ``own``, its tree at ``top``
+        ids_at, after_at, before_at, live_at, tree_at = (x.ravel() for x in (ids, after, before, live, tree))
+        rows_left = np.arange(rows if width > 1 else 0)
+        own, top, size = rows_left * (width + 1), rows_left * (2 * width), length[rows_left]
+        while len(own):
+            best = tree_at.take(top + 1)
+            going = best != NONE
+            if not going.all():
+                own, top, size, best = own[going], top[going], size[going], best[going]
+                if not len(own):
+                    break
+            i = best & low
+            j = after_at.take(own + i)
+            nxt, prv = after_at.take(own + j), before_at.take(own + i)
+            edge = np.minimum(nxt, width)
+            ids_at[own + i] = best >> shift
+            live_at[own + j] = False
+            after_at[own + i] = nxt
+            before_at[own + edge] = i
+            # new pairs: the merged one with its right neighbour, and its left neighbour with it
+            has = np.flatnonzero(prv >= 0)
+            first = np.concatenate([ids_at.take(own + i), ids_at.take(own[has] + prv[has])])
+            second = np.concatenate([ids_at.take(own + edge), ids_at.take(own[has] + i[has])])
+            rank = self.table.ranks(first, second)
+            rank[: len(own)][nxt >= size] = NONE
+            place = np.concatenate([i, prv[has]])
+            leaf = np.where(rank == NONE, NONE, (rank << np.int32(shift)) + place)
+            base = np.concatenate([top, top[has], top])
+            node = np.concatenate([width + place, width + j])
+            tree_at[base + node] = np.concatenate([leaf, np.full(len(own), NONE)])
+            for _ in range(shift):
+                node >>= 1
+                pair = base + 2 * node
+                tree_at[base + node] = np.minimum(tree_at.take(pair), tree_at.take(pair + 1))
         return ids[live], live.sum(axis=1)
 
     def learn(self, found: Sequence[str]) -> None:
@@ -233,9 +244,12 @@ class Codec:
         split = [self.split(t) for t in texts]
         if len(self.index) > CACHE_PIECES:
             self.forget()
-        self.learn(list(set(chain.from_iterable(split)).difference(self.index)))
         pieces = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(pieces.sum()))
+        flat = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(at < 0).tolist()
+        self.learn(list({flat[k] for k in new}))
+        at[new] = [self.index[flat[k]] for k in new]
         begin = self.begin[at]
         count = self.begin[at + 1] - begin
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -301,4 +315,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
