@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, media, packing, quality, sql, substring, suffix, urls
+from . import bpe, chat, histpack, jaccard, langid, media, packing, quality, sql, substring, suffix, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(read(spark, sf_dir, "documents"))
 
 
+def op11_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = histpack.pack_texts(read(spark, sf_dir, "documents"), histpack.vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` at the top of the repository."""
     import corpus_pipeline
@@ -65,5 +71,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_substring, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat, op9_jaccard, op10_suffix, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_quality, op3_substring, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat, op9_jaccard, op10_suffix,
+        op11_histogram_packing, pipeline,
+    )
+}
 ORACLE_SQL = {"op2_quality": sql.op2(), "op5_url_filters": sql.OP5, "op8_chat": sql.OP8}
