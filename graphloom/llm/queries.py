@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, histpack, jaccard, langid, media, packing, quality, sql, substring, suffix, urls
+from . import bpe, chat, histpack, jaccard, langid, media, packing, phrases, quality, sql, substring, suffix, urls, whiten
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op11_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` at the top of the repository."""
     import corpus_pipeline
@@ -75,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_quality, op3_substring, op4_packing, op5_url_filters, op6_language, op7_media, op8_chat, op9_jaccard, op10_suffix,
-        op11_histogram_packing, pipeline,
+        op11_histogram_packing, op12_collocations, op13_whitening, pipeline,
     )
 }
-ORACLE_SQL = {"op2_quality": sql.op2(), "op5_url_filters": sql.OP5, "op8_chat": sql.OP8}
+ORACLE_SQL = {"op2_quality": sql.op2(), "op5_url_filters": sql.OP5, "op8_chat": sql.OP8, "op12_collocations": sql.OP12}

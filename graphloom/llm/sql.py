@@ -45,6 +45,41 @@ SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, min(seq) AS first_tur
 FROM s GROUP BY conv_id, perspective, part
 """
 
+OP12 = r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS pid, piece
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+s AS (SELECT lang, pid, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT lang, pid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+g AS (
+  SELECT lang, w AS w1, w || ' ' || lead(w, 1) OVER d AS w2, w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d AS w3,
+    w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d AS w4,
+    w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' ' || lead(w, 4) OVER d AS w5
+  FROM w WINDOW d AS (PARTITION BY pid ORDER BY i)),
+u AS (
+  SELECT lang, w1 AS phrase, 1 AS k FROM g UNION ALL SELECT lang, w2, 2 FROM g WHERE w2 IS NOT NULL UNION ALL SELECT lang, w3, 3 FROM g WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, w4, 4 FROM g WHERE w4 IS NOT NULL UNION ALL SELECT lang, w5, 5 FROM g WHERE w5 IS NOT NULL),
+f AS (SELECT lang, phrase, k, count(*) AS a, string_split(phrase, ' ') AS ws FROM u GROUP BY lang, phrase, k HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+j AS (
+  SELECT c.lang, c.phrase, c.cut, c.a, l.a AS l, r.a AS r, n.n,
+    (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM c JOIN n ON n.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.cut + 1:], ' ')),
+m AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT DISTINCT lang, a, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, a, k, ws, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT lang, a, k, ws, unnest(range(2, k)) AS size FROM f WHERE k > 2)))
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM m WHERE NOT EXISTS (SELECT 1 FROM inner_phrases x WHERE x.lang = m.lang AND x.phrase = m.phrase AND x.a >= m.a)
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY rank <= 2000
+"""
+
 
 def op2() -> str:
     """Quality rules: each n-gram length has its own window pass."""
