@@ -11,14 +11,14 @@ ended, beside its first walk, until both are in one state (a few phrases), which
 counts of one unbroken parse of the whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
-every text when no labelled row exists; more than MOST_LANGUAGES labels raise an error, as the
-broadcast model must stay bounded; a text of any length is parsed whole; ties go to the language that sorts first; repeated
+every text when no labelled row exists; more than MOST_LANGUAGES labels are learned and
+compared in blocks of so many, each with a bounded model of its own; a text of any length is parsed whole; ties go to the language that sorts first; repeated
 rows are judged one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -31,8 +31,9 @@ from .hashing import column_bytes, pieces
 from .store import carried_schema, whole_row
 
 BLOCK = 512
-#: Bounds of the labelled sample: rows of a language, symbols of a row, symbols of a language,
-#: rows and symbols of all languages together (shared alike once there are many), languages.
+#: Bounds of the labelled sample: rows of a language, symbols of a row (a stretch from a place
+#: that a hash of the id chooses), symbols of a language, rows and symbols of all languages of a
+#: block together (shared alike once there are many), languages of a block.
 SAMPLE_ROWS, ROW_SYMBOLS, SAMPLE_SYMBOLS = 64, 1024, 20_000
 ALL_ROWS, ALL_SYMBOLS, MOST_LANGUAGES = 2048, 160_000, 1024
 UNKNOWN = "und"
@@ -190,26 +191,35 @@ def lowered(docs: DataFrame, carry: bool = False) -> DataFrame:
     return docs.select(*own, *([whole_row(docs)] if carry else []))
 
 
-def train(docs: DataFrame, eligible: Column) -> Model:
-    """A model from at most SAMPLE_ROWS rows of each language, the first by a hash of the id.
+def train(docs: DataFrame, eligible: Column, most_languages: int = MOST_LANGUAGES) -> list[Model]:
+    """Models, one for each ``most_languages`` labels in their order, of at most SAMPLE_ROWS rows of each language.
 
-    Only ids and labels are ranked, and the ranking keeps its rows of a task and language
-    before it shuffles; texts are read for the chosen ids alone.  With many labels each has an
-    equal share of ALL_ROWS and ALL_SYMBOLS, so neither what the driver gets nor the model grows.
+    Rows are the first by a hash of the id.  Only ids and labels are ranked, and the ranking keeps
+    its rows of a task and language before it shuffles; texts are read for the chosen ids alone.
+    With many labels each has an equal share of ALL_ROWS and ALL_SYMBOLS, so neither what the
+    driver gets at a time nor a model grows.
     """
     labelled = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labels = len(labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if labels > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
-    if not labels:
-        return build({})
-    share = min(SAMPLE_ROWS, ALL_ROWS // labels)
+    models, after = [], None
+    while True:
+        rest = labelled if after is None else labelled.where(F.col("lang") > after)
+        labels = [r.lang for r in rest.select("lang").distinct().orderBy("lang").limit(most_languages).collect()]
+        if not labels:
+            return models
+        models.append(_model(rest.where(F.col("lang") <= labels[-1]), len(labels)))
+        after = labels[-1]
+
+
+def _model(labelled: DataFrame, labels: int) -> Model:
+    share = min(SAMPLE_ROWS, max(1, ALL_ROWS // labels))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= share)
     chosen = sorted({r.doc_id for r in ids.select("doc_id").collect()})
     most = 16 * ROW_SYMBOLS  # enough raw text for a row's symbols; it bounds what the driver gets
-    # one text an id, the least: rows that repeat an id add nothing to what the driver gets
-    rows = labelled.where(F.col("doc_id").isin(chosen)).groupBy("lang", "doc_id", F.xxhash64("doc_id").alias("h")).agg(F.min(F.substring(F.lower("text"), 1, most)).alias("t")).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - ROW_SYMBOLS + 1, F.lit(1))).cast("int")
+    stretch = F.substring(F.lower("text"), place + 1, F.lit(most))
+    # one stretch an id, the least: rows that repeat an id add nothing to what the driver gets
+    rows = labelled.where(F.col("doc_id").isin(chosen)).groupBy("lang", "doc_id", F.xxhash64("doc_id").alias("h")).agg(F.min(stretch).alias("t")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.t)):
         raw = np.frombuffer(r.t.encode(), np.uint8)
@@ -220,14 +230,11 @@ def train(docs: DataFrame, eligible: Column) -> Model:
 SCHEMA = "doc_id long, lang_pred string, score double, n_symbols long, n_phrases long"
 
 
-def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score, n_symbols, n_phrases) from the text alone; a map without a shuffle.
+NONE = np.iinfo(np.int64).max  # no language yet
 
-    score: by how much the winner undercuts the next language, 1 - fewest / next fewest
-    phrases; with one language, 1 - phrases / symbols.  With ``carry`` the whole input row
-    comes along as a struct ``row``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
+
+def _parsed(shared, known: bool, last: bool, carry: bool):
+    """Compares texts with one model's languages; ``known``: with what earlier models found, ``last``: for the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
@@ -236,29 +243,47 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
             buf, offsets = column_bytes(batch.column(1))
             letters = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
             for lo, hi in pieces(offsets, 4 << 20):
+                part = batch.slice(lo, hi - lo)
                 norm, off = normalise(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 size = np.diff(off)
-                known = letters[lo:hi] & (size > 0) & bool(own.languages)
-                if own.languages:
-                    found = phrases(own, norm, off)
-                    best = found.argmin(axis=0)
-                    ranked = np.sort(found, axis=0)
-                    least, other = ranked[0], ranked[1] if len(ranked) > 1 else size
-                    score = np.where(known, 1 - least / np.maximum(other, 1), 0.0)
+                found = phrases(own, norm, off)
+                ranked = np.sort(found, axis=0)
+                name, least = names[found.argmin(axis=0)], ranked[0]
+                other = ranked[1] if len(ranked) > 1 else np.full(hi - lo, NONE)
+                if known:  # labels of earlier models sort first, so these keep ties
+                    before, one, two = (part.column(c).to_numpy(zero_copy_only=False) for c in ("best", "least", "other"))
+                    name = np.where(least < one, name, before)
+                    other = np.where(least < one, np.minimum(one, other), np.minimum(two, least))
+                    least = np.minimum(least, one)
+                columns = {"doc_id": part.column(0)}
+                if last:
+                    judged = letters[lo:hi] & (size > 0)
+                    score = np.where(judged, 1 - least / np.maximum(np.where(other == NONE, size, other), 1), 0.0)
+                    columns |= {"lang_pred": pa.array(np.where(judged, name, UNKNOWN), pa.string()), "score": pa.array(np.clip(score, 0, 1)), "n_symbols": pa.array(size), "n_phrases": pa.array(np.where(judged, least, 0))}
                 else:
-                    best, least, score = np.zeros(hi - lo, int), np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
-                columns = [
-                    batch.column(0).slice(lo, hi - lo), pa.array(names[np.where(known, best, len(own.languages))], pa.string()),
-                    pa.array(np.clip(score, 0, 1)), pa.array(size), pa.array(np.where(known, least, 0)),
-                ]
-                made = ["doc_id", "lang_pred", "score", "n_symbols", "n_phrases"]
+                    columns |= {"text": part.column(1), "letters": part.column(2), "best": pa.array(name, pa.string()), "least": pa.array(least), "other": pa.array(other)}
                 if carry:
-                    columns.append(batch.column(3).slice(lo, hi - lo))
-                    made.append("row")
-                yield pa.RecordBatch.from_arrays(columns, made)
+                    columns["row"] = part.column("row")
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
 
-    source = lowered(docs, carry)
-    return spread(source).mapInArrow(run, carried_schema(SCHEMA, source) if carry else SCHEMA)
+
+def predict(docs: DataFrame, models: Sequence[Model], carry: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, n_symbols, n_phrases) from the text alone; a map for each model, without a shuffle.
+
+    score: by how much the winner undercuts the next language, 1 - fewest / next fewest
+    phrases; with one language, 1 - phrases / symbols.  With ``carry`` the whole input row
+    comes along as a struct ``row``.
+    """
+    models = models or [build({UNKNOWN: b""})]
+    rows = source = spread(lowered(docs, carry))
+    for k, model in enumerate(models):
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
+        last = k == len(models) - 1
+        schema = SCHEMA if last else "doc_id long, text string, letters boolean, best string, least long, other long"
+        rows = rows.mapInArrow(_parsed(shared, k > 0, last, carry), carried_schema(schema, source) if carry else schema)
+    return rows if models[0].languages != [UNKNOWN] else rows.withColumns({"score": F.lit(0.0), "n_phrases": F.lit(0).cast("long")})
 
 
 def fold() -> Column:
@@ -268,5 +293,5 @@ def fold() -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the folds that are not 0 and predict every row."""
-    model = train(docs, F.coalesce(fold() != 0, F.lit(False)))
-    return predict(docs, model).withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "n_symbols", "n_phrases")
+    models = train(docs, F.coalesce(fold() != 0, F.lit(False)))
+    return predict(docs, models).withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "n_symbols", "n_phrases")

@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns, whatever their names, are i
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
@@ -94,7 +95,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tupl
     return bins, offsets, [capacities[bisect_left(capacities, u)] for u in used]
 
 
-PIECES = "doc_id long, salt int, piece int, token_offset long, n_tokens int, ids binary"  # ids: packed, two bytes each where the vocabulary allows
+PIECES = "doc_id long, salt long, piece int, token_offset long, n_tokens int, ids binary"  # ids: packed, two bytes each where the vocabulary allows
 SCHEMA = (
     "bin_id string, capacity int, n_tokens int, doc_ids array<long>, "
     "pieces array<struct<doc_id:long,piece:int,token_offset:long,n_tokens:int,bin_offset:int>>, input_ids array<int>"
@@ -102,14 +103,22 @@ SCHEMA = (
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("token_offset", pa.int64()), ("n_tokens", pa.int32()), ("bin_offset", pa.int32())])
 
 
-def repeats(ids: np.ndarray) -> np.ndarray:
-    """How many earlier rows have the same id."""
-    order = np.argsort(ids, kind="stable")
-    begins = np.append(True, ids[order][1:] != ids[order][:-1])[: len(ids)]
-    first = np.flatnonzero(begins)
-    out = np.empty(len(ids), np.int64)
-    out[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    return out
+class Salts:
+    """A number for each row of a task that depends on its id, its text and how many equal rows came before.
+
+    Equal rows are interchangeable, so which rows get which number, taken together, does not hang
+    on the order or the batches in which a task reads them: a repeated task deals alike.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple[int | None, bytes], int] = {}
+
+    def __call__(self, doc_id: int | None, text: str) -> int:
+        digest = hashlib.md5(text.encode(), usedforsecurity=False)
+        key = doc_id, digest.digest()
+        n = self.seen[key] = self.seen.get(key, -1) + 1
+        digest.update(n.to_bytes(8, "little"))
+        return int.from_bytes(digest.digest()[:8], "little", signed=True)
 
 
 def id_kind(data: bytes, separator: int) -> np.dtype:
@@ -119,7 +128,7 @@ def id_kind(data: bytes, separator: int) -> np.dtype:
 
 def _tokenise(shared, pattern: str, capacity: int, separator: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
+        own, salts = codec(shared.value, pattern), Salts()
         for batch in batches:
             for lo, texts in text_batches(batch.column(1)):
                 ids, offsets = own.encode_batch(texts)
@@ -131,9 +140,9 @@ def _tokenise(shared, pattern: str, capacity: int, separator: int, kind: np.dtyp
                 nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 begin = (np.cumsum(size) - size)[at] + nth * capacity
                 part = batch.column(0).slice(lo, len(texts))
-                salt = repeats(part.fill_null(0).to_numpy(zero_copy_only=False))[at]
+                salt = np.fromiter(map(salts, part.to_pylist(), texts), np.int64, len(texts))[at]
                 length = np.minimum(size[at] - nth * capacity, capacity)
-                numbers = ((salt, np.int32), (nth, np.int32), (nth * capacity, np.int64), (length, np.int32))
+                numbers = ((salt, np.int64), (nth, np.int32), (nth * capacity, np.int64), (length, np.int32))
                 cuts = (np.append(begin, len(flat)) * kind.itemsize).astype(np.int32)
                 tokens = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
                 columns = [part.take(pa.array(at)), *(pa.array(x.astype(k)) for x, k in numbers), tokens]
@@ -184,9 +193,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacities: S
     ``pieces`` tells where each piece lies in its text's tokens and in the bin; ``input_ids``
     are the bin's tokens, n_tokens of them, to be padded to ``capacity``.  A shard holds about
     ``shard_bytes`` of input, so packing memory is bounded and the share of half-filled bins (a
-    few a shard) does not grow with the data.  Pieces are dealt by a hash of id, piece and the
-    number of earlier rows of that id in the batch: pieces of one very long text, and rows of a
-    null or repeated id, spread as well.
+    few a shard) does not grow with the data.  Pieces are dealt by a hash of id, piece, text and
+    the number of earlier equal rows of the task: pieces of one very long text, and rows of a null or
+    repeated id, spread as well, and alike when a task is repeated.
     """
     with open(vocabulary, "rb") as f:
         data = f.read()

@@ -140,6 +140,24 @@ def test_url_rules_as_a_table_ties_and_long_urls(spark):
     assert urls.filter_urls(pages, table.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
+def test_more_shapes_than_are_listed(spark):
+    rules = [urls.Rule("block", ".".join(["a"] * n), "/" + "p" * k) for n in range(1, 6) for k in range(1000)] + list(queries.URL_RULES)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    made = ["http://x.a.a/ppp", "http://a/" + "p" * 5000, "http://a.a.a.a.a.a/p?q", "http://b/p", "http://a", None, "nothing", "http://example.com/en/7", "http:///p"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made)] * 2, "page_id long, url string")
+    found = urls.filter_urls(pages, table).collect()
+    assert {r.page_id: r.rule for r in found} == {0: "a.a/ppp", 1: "a/" + "p" * 999, 2: "a.a.a.a.a/p", 3: None, 4: None, 5: None, 6: None, 7: "example.com/en/7", 8: None}
+    assert len(found) == 2 * len(made)
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_listed_and_met_shapes_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MOST_SHAPES", most)
+    pages = spark.createDataFrame([(i, f"http://{h}/{p}") for i, (h, p) in enumerate((h, p) for h in ("example.com", "a.example.net", "org", "") for p in ("en/", "en/7", "de/8x", "es/", ""))], "page_id long, url string")
+    expected = urls.filter_urls(pages, queries.URL_RULES).collect()
+    assert corpus.same(urls.filter_urls(pages, urls.rule_table(spark, queries.URL_RULES)).collect(), expected)
+
+
 def test_url_rule_text_is_quoted(spark):
     rule = urls.Rule("block", "a'b\\.com", "/x'\\")
     pages = spark.createDataFrame([(1, "http://a'b\\.com/x'\\y")], "page_id long, url string")
@@ -216,10 +234,41 @@ def test_phrases_equal_one_unbroken_greedy_parse(monkeypatch, block):
 def test_many_languages_share_one_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text number {i} of many words", f"l{i % 6}") for i in range(60)], "doc_id long, text string, lang string")
     monkeypatch.setattr(langid, "ALL_SYMBOLS", 60)
-    assert len(langid.train(docs, F.lit(True)).table) <= 2 * 60 * 30
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
-    with pytest.raises(ValueError, match="more than 5"):
-        langid.train(docs, F.lit(True))
+    models = langid.train(docs, F.lit(True))
+    assert len(models) == 1 and len(models[0].table) <= 2 * 60 * 30
+    assert [m.languages for m in langid.train(docs, F.lit(True), 5)] == [[f"l{k}" for k in range(5)], ["l5"]]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_blocks_of_languages_decide_as_one_model(spark, block):
+    """Models of blocks with the same samples: the least phrases over all blocks, ties to the first label."""
+    samples = {f"l{k}": normalised(t) for k, t in enumerate([b"the cat sat on the mat", b"der hund und die katze", b"the cat sat on the mat", b"le chat est dans la maison", b"el gato"])}
+    docs = corpus.frame(spark, [(1, "the cat"), (2, "die katze"), (3, "la maison"), (4, None), (5, ""), (6, "12"), (7, "gato el cat"), (8, "zzz"), (None, "chat und hund")])
+    names = sorted(samples)
+    parts = [langid.build({k: samples[k] for k in names[lo : lo + block]}) for lo in range(0, len(names), block)]
+    whole = langid.predict(docs, [langid.build(samples)]).collect()
+    assert corpus.same(langid.predict(docs, parts).collect(), whole)
+    assert corpus.same([r.asDict()["lang_pred"] for r in langid.predict(docs, parts, carry=True).collect()], [r.lang_pred for r in whole])
+    assert {r.doc_id: r.lang_pred for r in whole}[1] == "l0"
+
+
+def normalised(text):
+    return langid.normalise(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
+
+
+def test_more_labels_than_a_model_holds(spark):
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(1100)]
+    docs = spark.createDataFrame([(k, f"{w}{w} {w} q{w}", f"l{k:04}") for k, w in enumerate(words)], "doc_id long, text string, lang string")
+    models = langid.train(docs, F.lit(True))
+    assert [len(m.languages) for m in models] == [1024, 76]
+    asked = docs.where("doc_id IN (3, 1030, 1099)")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, models).collect()} == {3: "l0003", 1030: "l1030", 1099: "l1099"}
+
+
+def test_the_sample_is_not_a_prefix(spark):
+    docs = spark.createDataFrame([(k, "x" * 40_000 + "y" * 40_000, "l") for k in range(40)], "doc_id long, text string, lang string")
+    (model,) = langid.train(docs, F.lit(True))
+    assert model.symbol[ord("x")] and model.symbol[ord("y")]
 
 
 # Media

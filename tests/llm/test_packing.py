@@ -1,6 +1,9 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import bpe, packing
@@ -77,9 +80,26 @@ def test_pack_takes_the_tightest_bin():
     assert packing.pack([], [8]) == ([], [], [])
 
 
-def test_repeats_count_earlier_rows():
-    assert packing.repeats(np.array([5, 7, 5, 5, 7, 1])).tolist() == [0, 0, 1, 2, 1, 0]
-    assert packing.repeats(np.empty(0, np.int64)).tolist() == []
+def dealt(rows, cuts):
+    """(id, salt, piece) of rows that come in batches cut at some places."""
+    path, pattern = bpe.vocabulary()
+    data = open(path, "rb").read()
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    batches = [b for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True) for b in table.slice(lo, hi - lo).combine_chunks().to_batches()]
+    run = packing._tokenise(SimpleNamespace(value=data), pattern, 16, packing.SEPARATOR, packing.id_kind(data, packing.SEPARATOR))
+    return Counter((i, s, p, x) for b in run(iter(batches)) for i, s, p, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "salt", "piece", "ids")), strict=True))
+
+
+def test_a_repeated_task_deals_alike(monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2]), rng.choice(["same words", "others", "many " * 40, "", None])) for _ in range(60)]
+    first = dealt(rows, [])
+    for cuts in ([10, 33], [1, 2, 3]):
+        rng.shuffle(rows)
+        monkeypatch.setattr(bpe, "BATCH_CHARS", rng.choice([30, 1000]))
+        assert dealt(rows, cuts) == first
+    same = {s for i, s, p, _ in first if i is None and p == 0}
+    assert len(same) == sum(i is None and bool(t) for i, t in rows)  # equal rows spread
 
 
 def test_sequences_hold_every_token(spark, monkeypatch):
