@@ -20,10 +20,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts go; rows of null or repeated ids are judged one by one; an empty table
     stays empty; a text of any length is judged whole; all columns come along, whatever their names.
     """
-    model = langid.train(docs, F.coalesce(langid.fold() != 0, F.lit(False)))
-    if not model.languages:
+    models = langid.train(docs, F.coalesce(langid.fold() != 0, F.lit(False)))
+    if not models:
         return docs.where(langid.lettered())
-    return langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    return langid.predict(docs, models, carry=True).where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
