@@ -1,7 +1,8 @@
 """From parsed facts to edges: roots, import targets, the call and heritage ladders, producers.
 
-Every ladder is a set of candidate frames with a step number and an order within the step; the
-least of them decides.  Frames carry ``repositoryId``, and all joins have it in their key.
+Calls and heritage climb one ladder: a site asks places for its name, one join answers all of
+them, and the first rule with an answer decides.  Frames carry ``repositoryId``, and all joins
+have it in their key.
 """
 
 from __future__ import annotations
@@ -60,14 +61,104 @@ def probe(rows: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(hits, list(keys), "left")
 
 
-def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The least row of each key."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+#: What a site asks of a name, in the order in which answers count.
+OWN_CLASS, FILE, BROUGHT, ALL, PACKAGE, TOP = range(6)
+
+
+def _place(kind: str, *parts: Column) -> Column:
+    """A key of a place; null where a part of it is."""
+    return F.concat(F.lit(kind), *(x for p in parts for x in (F.lit("\x1f"), p)))
+
+
+def _bucket(package: str) -> Column:
+    return F.when(F.col("perPackage"), F.coalesce(package, F.lit(""))).otherwise(F.lit(""))
+
+
+def _cards(symbols: DataFrame) -> DataFrame:
+    """(repositoryId, name, sort, place, n, few): how many symbols of a name each place has, and the first of them.
+
+    A symbol counts in its file, its class there, its package, its top directory and everywhere; a
+    method with these once more for its class.  Counting combines before it shuffles and the
+    ranking keeps MOST_CANDIDATES of a task, so a common name is no task's burden.
+    """
+    top, bucket = P.top_segment(F.col("filePath")), _bucket("packageName")
+    owner = F.when(F.col("sort") == "method", F.col("parentSymbol"))
+    places = [
+        _place("f", F.col("filePath")), _place("o", F.col("filePath"), owner), _place("a", bucket), _place("p", bucket, F.col("packageName")), _place("t", bucket, top),
+        _place("c", bucket, owner), _place("cp", bucket, owner, F.col("packageName")), _place("ct", bucket, owner, top),
+    ]
+    keys = ["repositoryId", "name", "sort", "place"]
+    rows = symbols.select("repositoryId", "name", "sort", F.explode(F.array_compact(F.array(*places))).alias("place"), "ordinal", "id")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", "id"))).where(F.col("_nth") <= MOST_CANDIDATES)
+    few = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ordinal", "id"))).alias("few"))
+    return counted.join(few, keys)
+
+
+def _asked(sites: DataFrame, imports: DataFrame) -> DataFrame:
+    """The places that each site asks, one row a place: its own file, the file that an import names, the index."""
+    by_file = imports.where(~F.col("isTypeOnly")).groupBy("repositoryId", "filePath").agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "targetFilePath", "named", "default", "namespace"))).alias("_imports")  # of one file
+    )
+    rows = sites.join(by_file, ["repositoryId", "filePath"], "left").withColumns({"_bucket": _bucket("packageName"), "_top": P.top_segment(F.col("filePath"))})
+    plain, want, name = F.col("receiver").isNull(), F.col("want"), F.col("name")
+    brings = lambda i: F.when(plain, F.array_contains(i.named, name)).otherwise(i.namespace == F.col("receiver"))
+    rows = rows.withColumn("_target", F.get(F.filter("_imports", brings), F.lit(0)).targetFilePath)
+    ask = lambda level, sort, place: F.struct(F.lit(level).alias("level"), sort.alias("sort"), place.alias("place"))
+    here = [
+        ask(OWN_CLASS, want, F.when(F.col("receiver") == "this", _place("o", F.col("filePath"), F.col("callerClass")))), ask(FILE, want, _place("f", F.col("filePath"))),
+    ]
+    told = F.transform("brings", lambda sort: ask(BROUGHT, sort, _place("f", F.col("_target"))))
+    index = F.array(ask(ALL, want, _place("a", F.col("_bucket"))), ask(PACKAGE, want, _place("p", F.col("_bucket"), F.col("packageName"))), ask(TOP, want, _place("t", F.col("_bucket"), F.col("_top"))))
+    scope = F.array_distinct(F.array_compact(F.flatten(F.transform("_imports", lambda i: F.concat(F.coalesce(i.named, F.array().cast("array<string>")), F.array(i.default))))))
+    within = F.flatten(F.transform(scope, lambda c: F.array(
+        ask(ALL, want, _place("c", F.col("_bucket"), c)), ask(PACKAGE, want, _place("cp", F.col("_bucket"), c, F.col("packageName"))), ask(TOP, want, _place("ct", F.col("_bucket"), c, F.col("_top")))
+    )))
+    indexed = F.when(plain | (F.col("receiver") == "this"), index).otherwise(F.coalesce(within, F.array().cast(sites.sparkSession.createDataFrame([], "a array<struct<level:int,sort:string,place:string>>").schema["a"].dataType)))
+    asked = F.filter(F.concat(F.array(*here), told, indexed), lambda a: a.place.isNotNull())
+    return rows.select("repositoryId", "name", "siteId", "site", F.explode(asked).alias("a")).select("repositoryId", "name", "siteId", "site", "a.*")
+
+
+def decide(sites: DataFrame, symbols: DataFrame, imports: DataFrame, per_package: DataFrame) -> DataFrame:
+    """(siteId, toSymbolId, rule, confidence, site): all rules of the ladder in one pass.
+
+    sites: repositoryId, siteId, filePath, packageName, name, receiver, callerClass, want (the sort
+    of symbol), brings (sorts that an import may bring), site (a struct to carry along).
+    symbols: repositoryId, id, ordinal, name, sort, parentSymbol, filePath, packageName.
+    Every place that a site asks is a row with the name's key, whatever rule it is for; all meet
+    the counted symbols in one join, and one aggregation a site lets the first rule that has an
+    answer decide.
+    """
+    cards = _cards(symbols.join(per_package, "repositoryId", "left"))
+    hits = _asked(sites.join(per_package, "repositoryId", "left"), imports).join(cards, ["repositoryId", "name", "sort", "place"])
+    at = lambda level, value: F.when(F.col("level") == level, value)
+    found = hits.groupBy("siteId").agg(
+        F.first("site").alias("site"), *(F.min(at(k, F.get("few", F.lit(0)))).alias(f"_first{k}") for k in (OWN_CLASS, FILE, BROUGHT)),
+        *(F.sum(at(k, F.col("n"))).alias(f"_n{k}") for k in (ALL, PACKAGE, TOP)), *(F.flatten(F.collect_list(at(k, F.col("few")))).alias(f"_few{k}") for k in (ALL, PACKAGE, TOP)),
+    )
+    near, told, n = F.coalesce(f"_first{OWN_CLASS}", f"_first{FILE}"), F.col(f"_first{BROUGHT}"), F.col(f"_n{ALL}")
+    narrowed = lambda c: F.when((n > 1) & F.col(f"_n{PACKAGE}").isNotNull(), F.col(f"{c}{PACKAGE}")).when((n > 1) & F.col(f"_n{TOP}").isNotNull(), F.col(f"{c}{TOP}")).otherwise(F.col(f"{c}{ALL}"))
+    left = narrowed("_n")
+    few = left <= MOST_CANDIDATES
+    rule = F.when(near.isNotNull(), "SAME_FILE").when(told.isNotNull(), "NAMED_IMPORT").when(n == 1, "UNIQUE_REPO_MATCH").when(few, "AMBIGUOUS_TIEBREAK").otherwise("SKIPPED")
+    confidence = F.when(near.isNotNull(), F.lit(SAME_FILE)).when(told.isNotNull(), F.lit(NAMED_IMPORT)).when(n == 1, F.lit(UNIQUE_MATCH)).when(few, F.lit(AMBIGUOUS) / left)
+    targets = F.when(near.isNotNull(), F.array(near)).when(told.isNotNull(), F.array(told)).when(few, narrowed("_few"))
+    return found.select("siteId", "site", rule.alias("rule"), confidence.alias("confidence"), F.explode_outer(targets).alias("_t")).select("siteId", F.col("_t.id").alias("toSymbolId"), "rule", "confidence", "site")
+
+
+def sorted_symbols(symbols: DataFrame, kinds: Sequence[str], bare: Sequence[str], sort: str = "bare") -> DataFrame:
+    """Symbols of ``kinds`` with their ``sort``: what a plain name asks for, a method, or neither."""
+    return symbols.where(F.col("kind").isin(*kinds)).withColumn("sort", F.when(F.col("kind").isin(*bare), sort).when(F.col("kind") == "METHOD", "method").otherwise("other"))
+
+
+def asking(sites: DataFrame, sort: str = "bare", brings: Sequence[str] = ("bare", "method", "other"), carry: Sequence[str] = ("fromSymbolId",)) -> DataFrame:
+    """Sites with what they want; of columns that the ladder does not need only ``carry`` comes along."""
+    want = F.when(F.col("receiver").isNull(), sort).otherwise("method")
+    return sites.select("repositoryId", "siteId", "filePath", "packageName", "name", "receiver", "callerClass", want.alias("want"), F.array(*map(F.lit, brings)).alias("brings"), F.struct(*carry).alias("site"))
 
 
 def resolve_names(sites: DataFrame, symbols: DataFrame, imports: DataFrame, per_package: DataFrame, kinds: Sequence[str] = CALLABLE_KINDS, bare: Sequence[str] = BARE_KINDS) -> DataFrame:
-    """(siteId, fromSymbolId, toSymbolId, rule, confidence): the ladder for calls and heritage.
+    """(siteId, toSymbolId, rule, confidence, fromSymbolId): the ladder for calls or heritage.
 
     sites: repositoryId, siteId, fromSymbolId, filePath, packageName, name, receiver, callerClass.
     symbols: repositoryId, id, ordinal, name, kind, parentSymbol, filePath, packageName.
@@ -75,81 +166,8 @@ def resolve_names(sites: DataFrame, symbols: DataFrame, imports: DataFrame, per_
     per_package: repositoryId, perPackage - whether names are looked up package by package.
     A site with more than three equal candidates gives a row without target, rule SKIPPED.
     """
-    symbols = symbols.where(F.col("kind").isin(*kinds))
-    plain = F.col("receiver").isNull()
-    s = symbols.select("repositoryId", F.col("id").alias("toSymbolId"), "ordinal", "name", "kind", "parentSymbol", F.col("filePath").alias("toFile"), F.col("packageName").alias("toPackage"))
-
-    # 1: the same file; a method of the caller's own class before any other
-    near = sites.join(s, (sites.repositoryId == s.repositoryId) & (sites.filePath == s.toFile) & (sites["name"] == s["name"])).drop(s.repositoryId).drop(s["name"])
-    own_class = F.when((F.col("receiver") == "this") & (F.col("parentSymbol") == F.col("callerClass")), 0).otherwise(1)
-    near = near.where(F.when(plain, F.col("kind").isin(*bare)).otherwise(F.col("kind") == "METHOD"))
-    same_file = _first(near.select("siteId", own_class.alias("_own"), "ordinal", "toSymbolId"), ["siteId"], ["_own", "ordinal"])
-    same_file = same_file.select("siteId", "toSymbolId", F.lit("SAME_FILE").alias("rule"), F.lit(SAME_FILE).alias("confidence"))
-    rest = sites.join(same_file.select("siteId"), "siteId", "left_anti")
-
-    # 2: the first import that brings the name, or the receiver's namespace
-    by_name = imports.where(~F.col("isTypeOnly"))
-    names = by_name.select("repositoryId", "filePath", F.col("ordinal").alias("_import"), "targetFilePath", F.explode("named").alias("_key"), F.lit(False).alias("_space"))
-    spaces = by_name.where(F.col("namespace").isNotNull()).select("repositoryId", "filePath", F.col("ordinal").alias("_import"), "targetFilePath", F.col("namespace").alias("_key"), F.lit(True).alias("_space"))
-    keyed = rest.withColumn("_key", F.coalesce("receiver", "name")).withColumn("_space", ~plain)
-    brought = keyed.join(names.unionByName(spaces), ["repositoryId", "filePath", "_key", "_space"])
-    brought = _first(brought.select("siteId", "repositoryId", "name", "_import", "targetFilePath"), ["siteId", "repositoryId", "name"], ["_import"]).where(F.col("targetFilePath").isNotNull())
-    told = brought.join(s, (brought.repositoryId == s.repositoryId) & (brought.targetFilePath == s.toFile) & (brought["name"] == s["name"])).drop(s.repositoryId).drop(s["name"])
-    named = _first(told.select("siteId", "ordinal", "toSymbolId"), ["siteId"], ["ordinal"])
-    named = named.select("siteId", "toSymbolId", F.lit("NAMED_IMPORT").alias("rule"), F.lit(NAMED_IMPORT).alias("confidence"))
-    rest = rest.join(named.select("siteId"), "siteId", "left_anti")
-
-    # 3: the repository (or package) index
-    bucket = lambda package: F.when(F.col("perPackage"), F.coalesce(package, F.lit(""))).otherwise(F.lit(""))
-    kind = F.when(F.col("kind").isin(*bare), "bare").when(F.col("kind") == "METHOD", "method")
-    rest = rest.join(per_package, "repositoryId", "left").withColumns({"_bucket": bucket(F.col("packageName")), "_top": P.top_segment(F.col("filePath")), "_kind": F.when(plain, "bare").otherwise("method")})
-    index = s.join(per_package, "repositoryId", "left").withColumns({"_bucket": bucket(F.col("toPackage")), "_top": P.top_segment(F.col("toFile")), "_kind": kind}).where("_kind IS NOT NULL").drop("perPackage")
-    open_sites = plain | (F.col("receiver") == "this")
-    by_count = _by_count(rest.where(open_sites), index)
-    in_scope = by_name.select("repositoryId", "filePath", F.explode(F.array_compact(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.array("default")))).alias("parentSymbol")).distinct()
-    scoped = rest.where(~open_sites).join(in_scope, ["repositoryId", "filePath"]).join(index.drop("_top"), ["repositoryId", "_bucket", "name", "_kind", "parentSymbol"])
-    by_scope = _narrowed(scoped.withColumn("_near", P.top_segment(F.col("toFile")) == F.col("_top")))
-    return same_file.unionByName(named).unionByName(by_count).unionByName(by_scope).join(sites.select("siteId", "fromSymbolId"), "siteId")
-
-
-def _outcome(rows: DataFrame) -> DataFrame:
-    """(siteId, toSymbolId, rule, confidence) of (siteId, _n, _left, _ids): candidates in all, those left, which they are if few."""
-    unique = F.col("_n") == 1
-    few = F.col("_left") <= MOST_CANDIDATES
-    rule = F.when(unique, "UNIQUE_REPO_MATCH").when(few, "AMBIGUOUS_TIEBREAK").otherwise("SKIPPED")
-    confidence = F.when(unique, F.lit(UNIQUE_MATCH)).when(few, F.lit(AMBIGUOUS) / F.col("_left"))
-    return rows.select("siteId", F.explode_outer(F.when(few, F.col("_ids"))).alias("toSymbolId"), rule.alias("rule"), confidence.alias("confidence"))
-
-
-def _by_count(sites: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidates that hang on a name alone, narrowed to the site's package, else to its top directory.
-
-    The index is counted by name, by name and package, and by name and directory, and only lists
-    of at most MOST_CANDIDATES are kept, so a common name costs a site three small rows and
-    never meets all its symbols.
-    """
-    name = ["repositoryId", "_bucket", "name", "_kind"]
-
-    def counted(tag: str, *extra: str) -> DataFrame:
-        keys = [*name, *extra]
-        n = index.groupBy(*keys).agg(F.count("*").alias(f"_n{tag}"))
-        few = index.join(n.where(F.col(f"_n{tag}") <= MOST_CANDIDATES), keys).groupBy(*keys).agg(F.collect_list("toSymbolId").alias(f"_ids{tag}"))
-        return n.join(few, keys, "left")
-
-    found = sites.join(counted("_all"), name)
-    found = found.join(counted("_pack", "toPackage").withColumnRenamed("toPackage", "packageName"), [*name, "packageName"], "left")
-    found = found.join(counted("_top", "_top"), [*name, "_top"], "left")
-    pick = lambda c: F.when((F.col("_n_all") > 1) & F.col("_n_pack").isNotNull(), F.col(f"{c}_pack")).when((F.col("_n_all") > 1) & F.col("_n_top").isNotNull(), F.col(f"{c}_top")).otherwise(F.col(f"{c}_all"))
-    return _outcome(found.select("siteId", F.col("_n_all").alias("_n"), pick("_n").alias("_left"), pick("_ids").alias("_ids")))
-
-
-def _narrowed(pool: DataFrame) -> DataFrame:
-    """Candidates that also hang on the class of the receiver, one row each; few, as the class is in scope."""
-    packed = F.coalesce(F.col("toPackage") == F.col("packageName"), F.lit(False))
-    counts = pool.groupBy("siteId").agg(F.count("*").alias("_n"), F.max(packed).alias("_pack"), F.max("_near").alias("_some"))
-    survives = F.when(F.col("_n") == 1, True).when(F.col("_pack"), packed).when(F.col("_some"), F.col("_near")).otherwise(True)
-    left = pool.join(counts, "siteId").where(survives)
-    return _outcome(left.groupBy("siteId").agg(F.first("_n").alias("_n"), F.count("*").alias("_left"), F.collect_list("toSymbolId").alias("_ids")))
+    found = decide(asking(sites), sorted_symbols(symbols, kinds, bare), imports, per_package)
+    return found.select("siteId", "toSymbolId", "rule", "confidence", "site.fromSymbolId")
 
 
 EDGE_COLUMNS = ("repositoryId", "kind", "fromFileId", "toFileId", "fromSymbolId", "toSymbolId", "externalPackage", "rawSpecifier", "resolution", "confidence", "ordinal")
@@ -165,7 +183,7 @@ def build_edges(files: DataFrame, symbols: DataFrame, exports: DataFrame, import
     """All edges before dedup, with an ordinal that puts producers and their rows in one order.
 
     imports: one row a file and distinct specifier with status, targetFilePath, packageName.
-    calls, heritage: results of ``resolve_names`` with repositoryId (heritage also with relation).
+    calls, heritage: results of the ladder with repositoryId and fromSymbolId (heritage also with relation).
     """
     step = lambda n, *by: F.concat_ws("|", F.lit(str(n)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c for c in by))
     ids = files.select("repositoryId", F.col("path").alias("targetFilePath"), F.col("id").alias("toFileId"), F.col("isTest").alias("targetIsTest"))

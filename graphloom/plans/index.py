@@ -73,15 +73,18 @@ def build_index(entries: DataFrame, commit_sha: str, rules=None, strict_identity
     sites = symbols.select(*site, "kind", "parentSymbol", "ordinal", F.posexplode("calls").alias("_nth", "c"))
     order = F.concat_ws("|", "repositoryId", "filePath", F.lpad(F.col("ordinal").cast("string"), 8, "0"), F.lpad(F.col("_nth").cast("string"), 8, "0"))
     sites = sites.select("repositoryId", "filePath", "packageName", "fromSymbolId", order.alias("siteId"), F.col("c.name").alias("name"), F.col("c.receiver").alias("receiver"), F.when(F.col("kind") == "METHOD", F.col("parentSymbol")).alias("callerClass"))
-    calls = resolve.resolve_names(sites, symbols, resolved, per_package).join(sites.select("siteId", "repositoryId"), "siteId")
-
     parents = None
     for relation, column in (("EXTENDS", "extends"), ("IMPLEMENTS", "implements")):
         rows = symbols.select(*site, "ordinal", F.posexplode(column).alias("_nth", "name")).withColumn("relation", F.lit(relation))
         parents = rows if parents is None else parents.unionByName(rows)
     parents = parents.select("repositoryId", "filePath", "packageName", "fromSymbolId", F.concat_ws("|", order, "relation").alias("siteId"), "name", F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("callerClass"), "relation")
     # a heritage name is a type: a namespace import never brings it
-    heritage = resolve.resolve_names(parents.drop("relation"), symbols, resolved, per_package, resolve.HERITAGE_KINDS, resolve.HERITAGE_KINDS).join(parents.select("siteId", "repositoryId", "relation"), "siteId")
+    carry = ("repositoryId", "fromSymbolId", "relation")
+    asked = resolve.asking(sites.withColumn("relation", F.lit(None).cast("string")), carry=carry).unionByName(resolve.asking(parents, "type", ("type",), carry))
+    sort = F.when(F.col("kind").isin(*resolve.HERITAGE_KINDS), "type").when(F.col("kind") == "METHOD", "method").otherwise("bare")
+    known = symbols.where(F.col("kind").isin(*resolve.CALLABLE_KINDS, *resolve.HERITAGE_KINDS)).withColumn("sort", sort)
+    decided = cut(resolve.decide(asked, known, resolved, per_package).select("siteId", "toSymbolId", "rule", "confidence", "site.*"), "decided")
+    calls, heritage = decided.where("relation IS NULL"), decided.where("relation IS NOT NULL")
 
     exports = parsed.select("repositoryId", F.col("id").alias("fileId"), F.col("path").alias("filePath"), F.posexplode("facts.exports").alias("ordinal", "e")).select("repositoryId", "fileId", "filePath", "ordinal", "e.*")
     attempted = resolve.build_edges(files, symbols, exports, once, calls, heritage)
