@@ -471,17 +471,22 @@ def index_generated(spark, sf_dir):
     return build_index(generated_entries(spark, sf_dir), "sha", cut=cut).edges.groupBy("kind", "resolution").agg(F.count("*").alias("edges"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back in the shared folder; a private one only where the session names none."""
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, in this session's part of it; in a private one only where the session names none."""
     import uuid
 
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    path = f"{folder.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back in the shared folder."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,9 +1,10 @@
 """The webhook ledger: admission, rate limit, dedup, fan-out, routing, sweeping.
 
 All steps are batch transformations; ``ingest_stream`` runs them for each micro-batch of a
-stream.  Its tables are Parquet folders with one part a batch (``part=<batch>``): a batch reads
-the parts of earlier batches and replaces its own, so one that failed between two writes, or
-is repeated, leaves what a single run leaves.
+stream.  What it appends are Parquet folders with one part a batch (``part=<batch>``), and what it
+looks up are keyed tables of segments by batch: a batch reads what earlier batches left and
+replaces its own, so one that failed between two writes, or is repeated, leaves what a single
+run leaves.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import strings as S
+from ..operators.keyed import KeyedTable
+from ..sources.versions import Folder
 
 MAX_BODY_BYTES = 5 * 1024 * 1024
 INSTALLATION_LIMIT, INSTALLATION_WINDOW = 100, 60
@@ -100,6 +103,15 @@ def action_group(event: Column, action: Column) -> Column:
     return found
 
 
+def bucket_of(ts: str, seconds: int) -> Column:
+    """The number of the epoch-aligned window."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000) / seconds).cast("long")
+
+
+def installation_of(payload: Column) -> Column:
+    return S.typed_json(payload, "$.installation.id", "bigint")
+
+
 def fixed_window(rows: DataFrame, keys: list[str], ts: str, order: list[str], seconds: int, limit: int, counted: DataFrame | None = None) -> DataFrame:
     """Adds bucket, nth, allowed and retryAfter: the first ``limit`` rows of a key in each epoch-aligned window pass.
 
@@ -107,7 +119,7 @@ def fixed_window(rows: DataFrame, keys: list[str], ts: str, order: list[str], se
     ``counted``: (keys, bucket, n) of rows that came before, null keys being equal.
     """
     epoch = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
-    rows = rows.withColumn("bucket", F.floor(epoch / seconds).cast("long"))
+    rows = rows.withColumn("bucket", bucket_of(ts, seconds))
     nth = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(ts, *order))
     rows = rows.withColumn("nth", nth.cast("long"))
     if counted is not None:
@@ -129,7 +141,7 @@ def admit(deliveries: DataFrame, secret: str, counted: DataFrame | None = None)
     rows = deliveries.withColumn("reason", verify_signature(secret)("body", "signature")).withColumn("payload", F.decode("body", "UTF-8"))
     parsed = F.try_parse_json("payload")
     rows = rows.withColumns({
-        "installationId": S.typed_json(F.col("payload"), "$.installation.id", "bigint"),
+        "installationId": installation_of(F.col("payload")),
         "repositoryFullName": S.typed_json(F.col("payload"), "$.repository.full_name", "string"),
         "action": S.typed_json(F.col("payload"), "$.action", "string"),
     })
@@ -322,52 +334,65 @@ def new_events(events: DataFrame, outbox: DataFrame | None) -> DataFrame:
     return once if outbox is None else once.join(outbox.select("prKey"), "prKey", "left_anti").select(*events.columns)
 
 
-LEDGER_SHARDS = 64
+def stored(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
+    """A table's parts; None where there is none yet."""
+    return spark.read.parquet(f"{folder}/{table}") if Folder(spark, f"{folder}/{table}").names() else None
 
 
-def stored(spark: SparkSession, folder: str, table: str, before: int | None = None) -> DataFrame | None:
-    """A table's parts, of earlier batches than ``before`` if given; None where there is none yet."""
-    try:
-        rows = spark.read.parquet(f"{folder}/{table}")
-    except Exception as e:  # noqa: BLE001 - only a table that is not there yet is fine
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    return rows if before is None else rows.where(F.col("part") < before)
+def _write(rows: DataFrame, folder: str, table: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{folder}/{table}/part={batch_id}")
+
+
+def known_deliveries(spark: SparkSession, folder: str) -> KeyedTable:
+    """The ids of all deliveries so far, in segments: a look-up opens those that may hold one of its ids."""
+    return KeyedTable(spark, f"{folder}/deliveries", "deliveryId string", ["deliveryId"])
+
+
+def rate_counts(spark: SparkSession, folder: str) -> KeyedTable:
+    """How many deliveries of an installation counted in each minute so far."""
+    return KeyedTable(spark, f"{folder}/rates", "installationId long, bucket long, n long", ["installationId", "bucket"])
 
 
-def _write(rows: DataFrame, folder: str, table: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
-    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{table}/part={batch_id}")
+def connections(spark: SparkSession, folder: str) -> KeyedTable:
+    """The effects folded: the last of each sort on each installation or repository."""
+    return KeyedTable(spark, f"{folder}/connections", f"{EFFECTS}, sort string", ["installationId", "githubRepoId", "sort"])
 
 
-def _known(spark: SparkSession, folder: str, batch_id: int, shards: list[int]) -> DataFrame | None:
-    """The ids of earlier batches' deliveries in some shards: a pruned scan of one column."""
-    known = stored(spark, folder, "ledger", batch_id)
-    return None if known is None else known.where(F.col("shard").isin(shards)).select("deliveryId")
+def fold_effects(effects: DataFrame) -> DataFrame:
+    """The last effect of each sort on an object: renaming, refreshing, or losing and regaining access."""
+    sort = F.when(F.col("effect").isin("ACCESS_LOST", "RESTORE"), "ACCESS").otherwise(F.col("effect"))
+    rows = effects.withColumn("sort", sort)
+    keys = ["installationId", "githubRepoId", "sort"]
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("receivedAt", "deliveryId")).alias("_r")).select(*keys, "_r.*")
 
 
 def ingest_batch(batch: DataFrame, repositories: DataFrame, projects: DataFrame, secret: str, folder: str, batch_id: int) -> None:
     """Admit, dedup against the ledger, apply, route and write one micro-batch.
 
-    Tables below ``folder``: rates (counted deliveries by installation and minute), effects (on
-    connections), pull_requests (the last change of each in the batch), outbox, ledger.  The
+    Parts by batch below ``folder``: effects (on connections), pull_requests (the last change of each
+    in the batch), outbox, ledger.  Tables by key: deliveries, rates, connections.  Of these a batch
+    reads what its own keys may be in, whatever the history; only earlier batches' rows count.  The
     rate limit counts on from earlier batches; routing sees connections as all effects so far,
     this batch's included, leave them.
     """
     spark = batch.sparkSession
-    rates = stored(spark, folder, "rates", batch_id)
-    if rates is not None:
-        minutes = batch.agg(*(f(F.floor(F.unix_timestamp(F.col("receivedAt").cast("timestamp")) / INSTALLATION_WINDOW)) for f in (F.min, F.max))).first()
-        rates = rates.where(F.col("bucket").between(*minutes)).groupBy("installationId", "bucket").agg(F.sum("n").alias("n"))
-    admitted = admit(batch, secret, rates).persist()
-    shard = F.pmod(F.xxhash64("deliveryId"), F.lit(LEDGER_SHARDS)).cast("int")
+    deliveries, rates, folded = known_deliveries(spark, folder), rate_counts(spark, folder), connections(spark, folder)
+    named = batch.select(installation_of(F.decode("body", "UTF-8")).alias("installationId"), bucket_of("receivedAt", INSTALLATION_WINDOW).alias("bucket"))
+    before = rates.segments(batch_id)
+    counts = rates.rows_of(named, before).persist() if before else None
+    admitted = admit(batch, secret, counts).persist()
     try:
         counted = admitted.where(F.col("outcome").isin("SYNC", "DISPATCH", "RATE_LIMITED"))
-        passed = admitted.where(F.col("outcome").isin("SYNC", "DISPATCH")).withColumn("shard", shard)
-        shards = [r.shard for r in passed.select("shard").distinct().collect()]  # LEDGER_SHARDS at most
-        fresh = new_deliveries(passed, _known(spark, folder, batch_id, shards), ["receivedAt", "signature"]).persist()
-        _write(connection_changes(fresh.where(F.col("outcome") == "SYNC")), folder, "effects", batch_id)
-        targets = tenants(apply_connection_effects(repositories, stored(spark, folder, "effects", batch_id + 1)), projects)
+        passed = admitted.where(F.col("outcome").isin("SYNC", "DISPATCH"))
+        earlier = deliveries.segments(batch_id)
+        fresh = new_deliveries(passed, deliveries.rows_of(passed, earlier) if earlier else None, ["receivedAt", "signature"]).persist()
+        changed = connection_changes(fresh.where(F.col("outcome") == "SYNC"))
+        _write(changed, folder, "effects", batch_id)
+        own = fold_effects(spark.read.schema(EFFECTS).parquet(f"{folder}/effects/part={batch_id}"))
+        held = folded.rows_of(own, folded.segments(batch_id))
+        folded.put(fold_effects(held.unionByName(own).drop("sort")), batch_id)
+        targets = tenants(apply_connection_effects(repositories, folded.snapshot()), projects)
         routed = route_pull_requests(fresh.where(F.col("eventType") == "pull_request"), targets)
         _write(latest_pull_requests(routed, fresh), folder, "pull_requests", batch_id)
         _write(routed.where(F.size("events") > 0).select("deliveryId", F.explode("events").alias("e")).select("deliveryId", "e.*"), folder, "outbox", batch_id)
@@ -376,13 +401,17 @@ def ingest_batch(batch: DataFrame, repositories: DataFrame, projects: DataFrame,
         rows = fresh.join(routed.select("deliveryId", "status", F.col("reason").alias("routeReason"), F.to_json("events").alias("dispatchPayload")), "deliveryId", "left").join(effects, "deliveryId", "left")
         rows = rows.select(
             "deliveryId", "eventType", "action", "installationId", "repositoryFullName", "dispatchPayload",
-            F.coalesce("status", F.when(F.col("readable"), "IGNORED").otherwise("FAILED")).alias("status"), F.coalesce("routeReason", "syncReason").alias("error"), F.col("receivedAt").alias("createdAt"), "shard",
+            F.coalesce("status", F.when(F.col("readable"), "IGNORED").otherwise("FAILED")).alias("status"), F.coalesce("routeReason", "syncReason").alias("error"), F.col("receivedAt").alias("createdAt"),
         )
-        _write(rows, folder, "ledger", batch_id, ("shard",))
-        _write(counted.groupBy("installationId", "bucket").agg(F.count("*").alias("n")), folder, "rates", batch_id)
+        _write(rows, folder, "ledger", batch_id)
+        deliveries.put(spark.read.parquet(f"{folder}/ledger/part={batch_id}").select("deliveryId"), batch_id)
+        now = counted.groupBy("installationId", "bucket").agg(F.count("*").alias("n"))
+        rates.put(now if counts is None else now.unionByName(counts).groupBy("installationId", "bucket").agg(F.sum("n").alias("n")), batch_id)
         fresh.unpersist()
     finally:
         admitted.unpersist()
+        if counts is not None:
+            counts.unpersist()
 
 
 def ingest_stream(stream: DataFrame, repositories: DataFrame, projects: DataFrame, secret: str, folder: str, checkpoint: str, **trigger) -> StreamingQuery:

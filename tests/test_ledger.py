@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators.keyed import KeyedTable
 from graphloom.streaming import ledger
 
 SECRET = "s3"
@@ -122,7 +123,7 @@ def test_stream_counts_and_dedups_over_batches(spark, tables, tmp_path):
     assert part(spark, folder, "outbox").count() == 2
     latest = {(r.repositoryId, r.headSha) for r in ledger.current_pull_requests(part(spark, folder, "pull_requests")).collect()}
     assert latest == {("r1", "h2"), ("r2", "h2")}
-    assert {(r.part, r.n) for r in part(spark, folder, "rates").collect()} == {(0, 2), (1, 2)}
+    assert [(r.installationId, r.n) for r in ledger.rate_counts(spark, folder).snapshot().collect()] == [(3, 4)]
 
 
 def test_rate_limit_counts_on_over_batches(spark, tables, tmp_path):
@@ -140,7 +141,7 @@ def test_a_batch_that_failed_between_writes_is_repeated(spark, tables, tmp_path,
     batch = spark.createDataFrame([delivery("a"), delivery("b", body=payload(sha="h2"), at=5), delivery("s", event="installation_repositories", body=removed(7), at=1)], DELIVERY)
     whole = ledger._write
 
-    for failing in ("pull_requests", "outbox", "ledger", "rates"):
+    for failing in ("pull_requests", "ledger"):
 
         def broken(rows, folder, table, *more, failing=failing):
             if table == failing:
@@ -151,9 +152,33 @@ def test_a_batch_that_failed_between_writes_is_repeated(spark, tables, tmp_path,
         with pytest.raises(RuntimeError):
             ledger.ingest_batch(batch, *tables, SECRET, folder, 0)
     monkeypatch.setattr(ledger, "_write", whole)
+    put = KeyedTable.put
+    for failing in ("connections", "rates"):
+
+        def lost(self, *more, failing=failing):
+            if self.root.endswith(failing):
+                raise RuntimeError("lost")
+            return put(self, *more)
+
+        monkeypatch.setattr(KeyedTable, "put", lost)
+        with pytest.raises(RuntimeError):
+            ledger.ingest_batch(batch, *tables, SECRET, folder, 0)
+    monkeypatch.setattr(KeyedTable, "put", put)
     for _ in range(2):
         ledger.ingest_batch(batch, *tables, SECRET, folder, 0)
-    assert [part(spark, folder, t).count() for t in ("ledger", "outbox", "pull_requests", "rates", "effects")] == [3, 4, 2, 1, 1]
+    assert [part(spark, folder, t).count() for t in ("ledger", "outbox", "pull_requests", "effects")] == [3, 4, 2, 1]
+    assert [t(spark, folder).snapshot().count() for t in (ledger.known_deliveries, ledger.rate_counts, ledger.connections)] == [3, 1, 1]
+
+
+def test_effects_fold_to_the_last_of_each_object(spark, tables, tmp_path):
+    """A late effect of a later batch does not undo what came after it."""
+    folder = f"file://{tmp_path}/out"
+    one = lambda i, action, at: spark.createDataFrame([delivery(i, "repository", payload(action) | {"repository": {"id": 7, "full_name": "x/y", "name": "y", "owner": {"login": "x"}, "html_url": "v"}}, at=at)], DELIVERY)
+    for k, (action, at) in enumerate([("unarchived", 9), ("deleted", 5), ("renamed", 7)]):
+        ledger.ingest_batch(one(f"d{k}", action, at), *tables, SECRET, folder, k)
+    held = {r["sort"]: r for r in ledger.connections(spark, folder).snapshot().collect()}
+    assert {k: (r.effect, r.deliveryId) for k, r in held.items()} == {"ACCESS": ("RESTORE", "d0"), "RENAME": ("RENAME", "d2")}
+    assert part(spark, folder, "effects").count() == 3
 
 
 def removed(*ids):
