@@ -73,7 +73,9 @@ def shared_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left and pack the tokens into sequences.
 
-    Texts without a token are in no sequence; rows of null or repeated ids are packed one by one.
+    Texts without a token are in no sequence; rows of null or repeated ids are packed one by one;
+    an empty table gives no sequence; a text of any length is packed in pieces; other columns,
+    whatever their names, are ignored.
     """
     return packing.pack_documents(docs, *bpe.vocabulary())
 

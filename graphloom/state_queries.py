@@ -62,3 +62,19 @@ def repository_replaced_segments(spark, sf_dir):
     own = F.col("repositoryId") == "r1"
     held.replace(own, rows.where(own & (F.col("id") % 3 != 0)).withColumns({"id": F.col("id") + 5000000, "commitSha": F.lit("new")}))
     return held.snapshot()
+
+
+@query("""WITH RECURSIVE n AS (SELECT max(doc_id) AS top FROM documents),
+e AS (SELECT doc_id AS source, doc_id + 1 AS target FROM documents UNION SELECT doc_id, doc_id + 2 FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id, doc_id - 40 FROM documents WHERE doc_id % 50 = 41),
+w(seed, node, depth) AS (SELECT top - k * 150, top - k * 150, 0 FROM n, range(3) t(k) UNION SELECT seed, source, depth + 1 FROM w JOIN e ON e.target = w.node WHERE depth < 400)
+SELECT seed, node AS "fileId", CAST(min(depth) AS INTEGER) AS depth FROM w WHERE depth > 0 GROUP BY seed, node""")
+def importers_deep(spark, sf_dir):
+    """Depth 400 over a chain of all files with shortcuts and cycles."""
+    from .operators.walks import walk_importers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    step = lambda rows, by: rows.select(F.lit("r").alias("repositoryId"), F.lit("IMPORTS").alias("kind"), i.alias("fromFileId"), (i + by).alias("toFileId"))
+    edges = step(docs, 1).unionByName(step(docs.where(i % 3 == 0), 2)).unionByName(step(docs.where(i % 50 == 41), -40))
+    seeds = docs.agg(F.max("doc_id").alias("top")).select(F.explode(F.array(*(F.col("top") - 150 * k for k in range(3)))).alias("seed"))
+    return walk_importers(edges, "r", seeds, 400, cut)
