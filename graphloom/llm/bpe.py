@@ -6,7 +6,8 @@ least rank.  A merge rewrites the leaves of the merged pair and of its two live
 their ancestors: a logarithmic number of nodes.  Short pre-tokens are merged in lockstep,
 one tree a row of a matrix; a long one has a tree of its own.
 
-Defined results: a null text counts as empty and has no tokens; repeated rows are encoded as
+Defined results: a null text counts as empty and has no tokens; of equal ranks the leftmost pair is
+merged first; repeated rows are encoded as
 rows of their own; a text of any length is encoded whole; an empty table gives an empty
 result; other columns are ignored.
 """
