@@ -6,8 +6,8 @@ byte ranges over the archives of a folder, finds a range's members in the archiv
 directory, streams them in Arrow batches, and retries each member by its offset.
 
 Defined results: a null text is an empty one, whose payload is one row of blanks; repeated
-rows are members of their own; an empty table gives an empty result; other columns are
-ignored.
+rows are members of their own; a text of any length is one member, stored whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
