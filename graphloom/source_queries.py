@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .functions import strings as S
-from .queries import cut, query, table
+from .queries import cut, fresh_path, query, table
 
 
 def _literal(value) -> str:
@@ -152,6 +152,57 @@ def archive_limits(spark, sf_dir):
     return found.where("kind = 'refused' AND error LIKE 'REPO_TOO_LARGE%'").select("archive", F.substring_index("error", ":", 1).alias("code"))
 
 
+# Archives on disk of whole texts, an archive for each 20 documents; those over a limit of bytes are refused before any row
+
+STREAM_LIMIT = 80_000
+STORED_SQL = f"""d AS (SELECT doc_id, doc_id // 20 AS a, coalesce(text, '') AS body FROM documents),
+s AS (SELECT *, octet_length(encode(body)) AS size FROM d),
+t AS (SELECT a, (CAST(sum(512 + (size + 511) // 512 * 512) AS BIGINT) + 1024 + 10239) // 10240 * 10240 > {STREAM_LIMIT} AS refused FROM s GROUP BY a)"""
+
+
+def stored_archives(spark, sf_dir) -> str:
+    """The folder of the archives, written by tasks; a repeated task puts the same archive in its place."""
+    import io
+    import tarfile
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    folder = fresh_path(spark, "tarballs")
+
+    def write(entries: pa.Table) -> pa.Table:
+        import uuid
+
+        entries = entries.sort_by("doc_id")
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        name = f"a{entries.column('a')[0].as_py()}.tar.gz"
+        aside = f"{base}/{uuid.uuid4().hex}.part"
+        with system.open_output_stream(aside, compression=None) as out, tarfile.open(fileobj=out, mode="w|gz") as tar:
+            for doc_id, text in zip(entries.column("doc_id"), entries.column("text"), strict=True):
+                body = (text.as_py() or "").encode()
+                info = tarfile.TarInfo(f"top/{doc_id}.txt")
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+        system.move(aside, f"{base}/{name}")
+        return pa.table({"name": [name]})
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 20).alias("a"))
+    docs.groupBy("a").applyInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(f"""WITH {STORED_SQL} SELECT 'a' || a || '.tar.gz' AS archive, doc_id || '.txt' AS path, size, sha256(body) AS hash, CAST(greatest(1, (size + 1023) // 1024) AS BIGINT) AS chunks, NULL AS code
+FROM s JOIN t USING (a) WHERE NOT refused UNION ALL SELECT 'a' || a || '.tar.gz', NULL, NULL, NULL, CAST(0 AS BIGINT), 'REPO_TOO_LARGE' FROM t WHERE refused""")
+def archive_stream(spark, sf_dir):
+    """Whole texts out of archives by path, in chunks of 1 KB; digests told by the first reading."""
+    from .sources.tarballs import stream_archives
+
+    found = stream_archives(spark, stored_archives(spark, sf_dir), most_bytes=STREAM_LIMIT, chunk_bytes=1024)
+    keys = ["archive", "path", "size", "hash", F.substring_index("error", ":", 1).alias("code")]
+    return found.groupBy(*keys).agg(F.count("chunk").alias("chunks"))
+
+
 # Parsing: path and text of each source, and the facts that each must give
 
 SOURCES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import tarfile
@@ -62,12 +63,16 @@ def escapes(path: str) -> bool:
 
 
 def explode_archive(data, most_bytes: int = MOST_BYTES, most_files: int = MOST_FILES) -> Iterator[tuple]:
-    """(path, kind, size, content, skipReason) of each entry, as it is read; raises Refused."""
-    import gzip
+    """(path, kind, size, body, skipReason) of each entry, as it is read; raises Refused.
 
+    The body of a file is a stream that must be read before the next entry is asked for.
+    """
     stream = io.BufferedReader(_Counted(gzip.GzipFile(fileobj=data), most_bytes))
     with tarfile.open(fileobj=stream, mode="r|") as tar:
-        for n, entry in enumerate(tar, 1):
+        n = 0
+        while (entry := tar.next()) is not None:
+            n += 1
+            tar.members.clear()  # else the headers of all entries stay
             if n > most_files:
                 raise Refused("REPO_TOO_LARGE: the archive exceeds its file limit")
             if entry.size > most_bytes:
@@ -88,14 +93,17 @@ def explode_archive(data, most_bytes: int = MOST_BYTES, most_files: int = MOST_F
             if reason:
                 yield path if path is not None else entry.name, "skipped", entry.size, None, reason
             elif entry.isreg():
-                yield path, "file", entry.size, tar.extractfile(entry).read(), None
+                yield path, "file", entry.size, tar.extractfile(entry), None
+    while stream.read(BATCH_BYTES):  # what follows the last entry counts as well
+        pass
 
 
 def explode_archives(archives: DataFrame, most_bytes: int = MOST_BYTES, most_files: int = MOST_FILES) -> DataFrame:
     """Entries of each archive of (path, content); a refused archive is one row with its error.
 
     Entries are streamed in batches of a few MB.  An archive is refused as a whole: its
-    entries before the fault are dropped by ``accepted``.
+    entries before the fault are dropped by ``accepted``.  Archives that are too large for a
+    row are read by ``stream_archives``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +111,9 @@ def explode_archives(archives: DataFrame, most_bytes: int = MOST_BYTES, most_fil
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
                 try:
-                    for path, kind, n, data, reason in explode_archive(io.BytesIO(content.as_py()), most_bytes, most_files):
-                        rows.append((name, path, kind, n, data, reason, None))
-                        size += n if data else 0
+                    for path, kind, n, body, reason in explode_archive(pa.BufferReader(content.as_buffer()), most_bytes, most_files):
+                        rows.append((name, path, kind, n, body and body.read(), reason, None))
+                        size += n if body else 0
                         if size > BATCH_BYTES:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], FIELDS)
                             rows, size = [], 0
