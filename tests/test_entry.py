@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from graphloom import event_queries, queries, source_queries, state_queries  # noqa: F401
+from graphloom import event_queries, queries, source_queries, state_queries, stream_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
