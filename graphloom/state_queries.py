@@ -78,3 +78,28 @@ def importers_deep(spark, sf_dir):
     edges = step(docs, 1).unionByName(step(docs.where(i % 3 == 0), 2)).unionByName(step(docs.where(i % 50 == 41), -40))
     seeds = docs.agg(F.max("doc_id").alias("top")).select(F.explode(F.array(*(F.col("top") - 150 * k for k in range(3)))).alias("seed"))
     return walk_importers(edges, "r", seeds, 400, cut)
+
+
+@query("""WITH p AS (SELECT p_partkey AS "patternId", CASE p_partkey % 4 WHEN 0 THEN upper(substr(p_name, 2, 5)) WHEN 1 THEN substr(p_name, 4, 9) WHEN 2 THEN substr(p_name, 1, 2) ELSE 'zzq' || p_partkey END AS pattern FROM part WHERE p_partkey % 20 = 0 OR p_partkey < 12)
+SELECT "patternId", p_partkey AS id FROM p JOIN part ON contains(lower(p_name), lower(pattern))""")
+def search_postings(spark, sf_dir):
+    """Parts of the names of every twentieth part and the first ones, in other cases, against all names."""
+    from .operators.search import SearchIndex
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    k = F.col("id") % 4
+    pattern = F.when(k == 0, F.upper(F.substring("name", 2, 5))).when(k == 1, F.substring("name", 4, 9)).when(k == 2, F.substring("name", 1, 2)).otherwise(F.concat(F.lit("zzq"), "id"))
+    index = SearchIndex(spark, fresh_path(spark, "postings"), "id", "name")
+    index.build(rows)
+    return index.search(rows, rows.where("id % 20 = 0 OR id < 12").select(F.col("id").alias("patternId"), pattern.alias("pattern")))
+
+
+@query(ORACLE_SQL["keyset_page"])
+def keyset_page_files(spark, sf_dir):
+    """The page out of the two or so files of 32 that it can be in."""
+    from .operators.pages import read_page, write_pages
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("createdAt"))
+    folder = fresh_path(spark, "pages")
+    write_pages(rows, folder)
+    return read_page(spark, folder, rows.schema, 20, (F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00")), F.lit(5000)))
