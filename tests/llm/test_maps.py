@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, chat, langid, media, quality, queries, sql, urls
@@ -60,6 +61,18 @@ def test_bpe_cache_starts_anew(codec, monkeypatch):
     assert codec.encode_batch([])[0].tolist() == [] and codec.encode_batch(["", ""])[1].tolist() == [0, 0, 0]
 
 
+@pytest.mark.parametrize("pattern", [None, r" ?[^\s\p{L}]+|\p{Lu}\p{L}*(?=\s)|\S", r"[^\S\n]+|x", r"(?i:'s)|\p{L}++|\d", "[]a]+"])
+def test_split_equals_regex(pattern):
+    pattern = pattern or bpe.vocabulary()[1]
+    split, rng = bpe.splitter(pattern), random.Random(5)
+    odd = [chr(c) for c in (*range(256), 0x300, 0x660, 0x2028, 0x2160, 0x3000, 0x4E00, 0x180E, 0x200B, 0xFEFF, 0xFFFF)]
+    texts = ["", *("".join(rng.choices(odd, k=rng.randrange(40))) for _ in range(2000))]
+    texts += [t + chr(0x1F600) + "\U00010400 \U0001d7d8" for t in texts[:200]]
+    texts.append("".join(f" {chr(c)}{chr(c)} x{chr(c)}7" for c in range(0x10000) if not 0xD800 <= c < 0xE000))
+    for text in texts:
+        assert split(text) == regex.findall(pattern, text)
+
+
 def test_bpe_query_columns(spark, codec):
     docs = corpus.frame(spark)
     found = bpe.encode_documents(docs, *bpe.vocabulary(), keep_ids=True).collect()
