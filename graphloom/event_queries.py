@@ -92,6 +92,19 @@ def webhook_payloads(spark, sf_dir):
     return rows.select("event_id", *valid, S.typed_json(F.col("payload"), "$.action", "string").alias("action"), S.typed_json(F.col("payload"), "$.installation.id", "bigint").alias("installationId"))
 
 
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'UNAUTHENTICATED' WHEN 1 THEN 'NOT_ACCESSIBLE' WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 'UNAVAILABLE' ELSE 'NOT_ACCESSIBLE' END ELSE 'UNAVAILABLE' END AS reason,
+  event_id % 41 <= 30 AND event_id % 4 < 2 AS retried, CAST(CASE WHEN event_id % 41 <= 30 AND event_id % 4 < 2 THEN event_id % 41 END AS BIGINT) AS wait FROM events""")
+def call_retries(spark, sf_dir):
+    """Why each call failed, and whether and after which wait it is made again."""
+    from .functions import policy
+
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, (401, 404, 403, 429, 503))), (i % 5 + 1).cast("int"))
+    calls = table(spark, sf_dir, "events").select("event_id", status.alias("status"), (i % 2 == 0).alias("limited"), (i % 41).alias("wait"), (i % 4).alias("retries"))
+    again = policy.may_retry(F.col("wait"), F.col("retries"))
+    return calls.select("event_id", policy.failure_reason(F.col("status"), F.col("limited")).alias("reason"), again.alias("retried"), F.when(again, F.col("wait")).alias("wait"))
+
+
 SYNCS_SQL = """s AS (SELECT event_id, ts, CAST(event_id % 8 AS INTEGER) AS k, event_id % 90 AS inst, event_id % 700 AS repo FROM events WHERE event_id % 4 < 3),
 x AS (SELECT event_id, ts, k, CASE WHEN k IN (0, 1, 4) THEN inst END AS inst, repo AS repo, CASE WHEN k IN (0, 2, 5) THEN 'ACCESS_LOST' WHEN k IN (1, 6) THEN 'RESTORE' ELSE 'UPDATE' END AS effect FROM s
   UNION ALL SELECT event_id, ts, k, NULL, repo + 1, 'ACCESS_LOST' FROM s WHERE k = 2),

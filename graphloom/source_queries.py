@@ -383,6 +383,72 @@ def file_packages(spark, sf_dir):
     return imports.place_files(wanted, cut(manifests.contexts(files), "context")).select("repositoryId", "path", "packageName", "configDir")
 
 
+# A checkout on disk: whole texts as files, some of them ignored by their folder or by their name
+
+TREE_SQL = """t AS (SELECT doc_id, coalesce(text, '') AS body, doc_id % 4 IN (1, 2) AS ignored,
+  CASE doc_id % 4 WHEN 0 THEN 'src/d' || (doc_id // 30) || '/f' || doc_id || '.ts' WHEN 1 THEN 'node_modules/d' || (doc_id // 30) || '/f' || doc_id || '.js'
+    WHEN 2 THEN 'lib/dist/f' || doc_id || '.min.js' ELSE 'f' || doc_id || '.md' END AS path FROM documents)"""
+
+
+def stored_tree(spark, sf_dir) -> str:
+    """The folder of the files, written by tasks; a repeated task writes the same files again."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    folder = fresh_path(spark, "tree")
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(text.as_buffer())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    i, at = F.col("doc_id"), F.floor(F.col("doc_id") / 30)
+    name = F.concat(F.lit("f"), i)
+    path = (
+        F.when(i % 4 == 0, F.concat(F.lit("src/d"), at, F.lit("/"), name, F.lit(".ts"))).when(i % 4 == 1, F.concat(F.lit("node_modules/d"), at, F.lit("/"), name, F.lit(".js")))
+        .when(i % 4 == 2, F.concat(F.lit("lib/dist/"), name, F.lit(".min.js"))).otherwise(F.concat(name, F.lit(".md")))
+    )
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    files.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(f"""WITH {TREE_SQL} SELECT path, octet_length(encode(body)) AS size, CASE WHEN NOT ignored THEN sha256(body) END AS hash, ignored AS "hardIgnored" FROM t""")
+def tree_files(spark, sf_dir):
+    """Every regular file below a folder; ignored ones are listed without their content."""
+    from .sources.archives import read_kept
+
+    return read_kept(spark, stored_tree(spark, sf_dir)).select("path", "size", F.sha2("content", 256).alias("hash"), "hardIgnored")
+
+
+# Workspaces named by the root manifest: as a list, as an object of a list, with members of other types, as neither
+
+NPM = [
+    ('["packages/*", 7, "!packages/b"]', True, True, False, False), ('{"packages": ["apps/**", null]}', True, False, False, True), ('{"nohoist": ["packages/*"]}', False, False, False, False),
+    ('"packages/*"', False, False, False, False), ('["./packages/b/"]', True, False, True, False), ("[]", False, False, False, False),
+]
+
+
+@query(f"""WITH {REPOS_SQL}, {values_sql("v", "k, marked, a, b, c", [(k, *r[1:]) for k, r in enumerate(NPM)])}
+SELECT repo AS "repositoryId", t.dir, CASE t.dir WHEN '' THEN false WHEN 'packages/a' THEN v.a WHEN 'packages/b' THEN v.b ELSE v.c END AS workspace, v.marked
+FROM repos JOIN v ON doc_id % {len(NPM)} = k, (VALUES (''), ('packages/a'), ('packages/b'), ('apps/c/d')) t(dir)""")
+def npm_workspaces(spark, sf_dir):
+    """Which packages each root manifest takes into its workspace."""
+    from .sources import manifests
+
+    files = workspaces(spark, sf_dir, {f"{d}/package.json".lstrip("/"): f'{{"name": "n{k}"}}' for k, d in enumerate(("", "packages/a", "packages/b", "apps/c/d"))})
+    nth = F.substring("repositoryId", 2, 20).cast("long") % len(NPM) + 1
+    field = F.element_at(F.array(*(F.lit(r[0]) for r in NPM)), nth.cast("int"))
+    rows = files.withColumn("text", F.when(F.col("path") == "package.json", F.concat(F.lit('{"name": "root", "workspaces": '), field, F.lit("}"))).otherwise(F.col("text")))
+    found = cut(manifests.contexts(rows), "npm")
+    marked = found.where("kind = 'markers'").select("repositoryId", F.coalesce(F.get_json_object("body", "$.npmWorkspaces") == "true", F.lit(False)).alias("marked"))
+    return found.where("kind = 'package'").join(marked, "repositoryId").select("repositoryId", "dir", "workspace", "marked")
+
+
 # The whole index: two kinds of repositories, one for each 20 documents; odd ones have no workspace
 
 INDEXED = {

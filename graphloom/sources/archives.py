@@ -9,7 +9,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -144,7 +144,34 @@ def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame
 
     Without ``content`` only the listing is read, which is enough to count what is ignored.
     """
-    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return rows.select(_below(root), F.col("length").alias("size"), *(["content"] if content else []))
+
+
+def _below(root: str) -> Column:
+    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
     at = F.instr("path", place) + len(place)
-    return rows.select(F.substring(F.col("path"), at, F.length("path")).alias("path"), F.col("length").alias("size"), *(["content"] if content else []))
+    return F.substring(F.col("path"), at, F.length("path")).alias("path")
+
+
+def read_kept(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file below a folder as (path, size, hardIgnored, content), without the content of ignored ones.
+
+    Folders at the top that are ignored as a whole are listed but not opened, which is where
+    most bytes of a checkout lie.  Only the names of the folders at the top are collected.
+    """
+    listed = read_tree(spark, root, content=False)
+    top = P.top_segment(F.col("path"))
+    nested = F.contains("path", F.lit("/"))
+    ignored = P.is_hard_ignored_directory(top)
+    names = [r.top for r in listed.where(nested & ~ignored).select(top.alias("top")).distinct().orderBy("top").collect()]
+    binary = spark.read.format("binaryFile")
+    rows = binary.load(root).select(_below(root), F.col("length").alias("size"), "content").where(~nested)
+    if names:
+        folders = [f"{root.rstrip('/')}/{name}" for name in names]
+        deep = binary.option("recursiveFileLookup", "true").load(folders)
+        rows = rows.unionByName(deep.select(_below(root), F.col("length").alias("size"), "content"))
+    flag = P.is_hard_ignored(F.col("path"))
+    kept = rows.select("path", "size", flag.alias("hardIgnored"), F.when(~flag, F.col("content")).alias("content"))
+    pruned = listed.where(nested & ignored).select("path", "size", F.lit(True).alias("hardIgnored"), F.lit(None).cast("binary").alias("content"))
+    return kept.unionByName(pruned)

@@ -1,3 +1,4 @@
+import shutil
 import datetime
 
 import pytest
@@ -100,6 +101,11 @@ def test_tree(spark, tmp_path):
     for root in (str(tmp_path), f"file://{tmp_path}/"):
         assert sorted((r.path, r.size, bytes(r.content).decode()) for r in archives.read_tree(spark, root).collect()) == [("a.ts", 4, "a.ts"), ("b/c.ts", 6, "b/c.ts"), ("node_modules/x.js", 17, "node_modules/x.js")]
     assert archives.read_tree(spark, str(tmp_path), content=False).columns == ["path", "size"]
+    (tmp_path / "b" / "d.lock").write_text("")
+    kept = {r.path: (r.size, r.hardIgnored, r.content) for r in archives.read_kept(spark, f"file://{tmp_path}").collect()}
+    assert kept == {"a.ts": (4, False, b"a.ts"), "b/c.ts": (6, False, b"b/c.ts"), "b/d.lock": (0, True, None), "node_modules/x.js": (17, True, None)}
+    shutil.rmtree(tmp_path / "b")
+    assert sorted(r.path for r in archives.read_kept(spark, str(tmp_path)).collect()) == ["a.ts", "node_modules/x.js"]
 
 
 def test_pages_stop_at_a_short_one():
