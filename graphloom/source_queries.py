@@ -386,7 +386,7 @@ def file_packages(spark, sf_dir):
 # A checkout on disk: whole texts as files, some of them ignored by their folder or by their name
 
 TREE_SQL = """t AS (SELECT doc_id, coalesce(text, '') AS body, doc_id % 4 IN (1, 2) AS ignored,
-  CASE doc_id % 4 WHEN 0 THEN 'src/d' || (doc_id // 30) || '/f' || doc_id || '.ts' WHEN 1 THEN 'node_modules/d' || (doc_id // 30) || '/f' || doc_id || '.js'
+  CASE doc_id % 4 WHEN 0 THEN 'src/__d' || (doc_id // 30) || '/_f' || doc_id || '.ts' WHEN 1 THEN 'node_modules/d' || (doc_id // 30) || '/f' || doc_id || '.js'
     WHEN 2 THEN 'lib/dist/f' || doc_id || '.min.js' ELSE 'f' || doc_id || '.md' END AS path FROM documents)"""
 
 
@@ -409,7 +409,7 @@ def stored_tree(spark, sf_dir) -> str:
     i, at = F.col("doc_id"), F.floor(F.col("doc_id") / 30)
     name = F.concat(F.lit("f"), i)
     path = (
-        F.when(i % 4 == 0, F.concat(F.lit("src/d"), at, F.lit("/"), name, F.lit(".ts"))).when(i % 4 == 1, F.concat(F.lit("node_modules/d"), at, F.lit("/"), name, F.lit(".js")))
+        F.when(i % 4 == 0, F.concat(F.lit("src/__d"), at, F.lit("/_"), name, F.lit(".ts"))).when(i % 4 == 1, F.concat(F.lit("node_modules/d"), at, F.lit("/"), name, F.lit(".js")))
         .when(i % 4 == 2, F.concat(F.lit("lib/dist/"), name, F.lit(".min.js"))).otherwise(F.concat(name, F.lit(".md")))
     )
     files = table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))

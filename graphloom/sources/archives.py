@@ -139,39 +139,86 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
 
 
-def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """Regular files below a folder as (path, size[, content]), paths relative to it.
+def _system(root: str):
+    """The file system of a folder and the folder's path in it."""
+    from pyarrow import fs
 
-    Without ``content`` only the listing is read, which is enough to count what is ignored.
+    system, base = fs.FileSystem.from_uri(root) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", root) else (fs.LocalFileSystem(), root)
+    return system, base.rstrip("/")
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file below a folder as (path, size), paths relative to it.
+
+    Spark's own file sources leave out empty files and names that begin with a dot or an
+    underscore.  The driver lists the folder itself; tasks list the folders in it, and then those in
+    these to any depth, so no one lists a whole tree.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return rows.select(_below(root), F.col("length").alias("size"), *(["content"] if content else []))
+    from pyarrow import fs
 
+    listing = "path string, size long, folder boolean"
 
-def _below(root: str) -> Column:
-    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
-    at = F.instr("path", place) + len(place)
-    return F.substring(F.col("path"), at, F.length("path")).alias("path")
+    def entries(folder: str, recursive: bool) -> list[tuple[str, int | None, bool]]:
+        system, base = _system(root)
+        found = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=recursive))
+        found = [f for f in found if f.type == fs.FileType.File or (f.type == fs.FileType.Directory and not recursive)]
+        return [(f.path[len(base) + 1 :], f.size, f.type == fs.FileType.Directory) for f in found]
 
+    def below(recursive: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for folder in batch.column(0).to_pylist():
+                    columns = list(zip(*entries(folder, recursive), strict=True)) or [(), (), ()]
+                    arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["path", "size", "folder"])
+
+        return run
+
+    top = spark.createDataFrame(entries("", False), listing)
+    width = spark.sparkContext.defaultParallelism
+    second = top.where("folder").select("path").repartition(width).mapInArrow(below(False), listing)
+    deep = second.where("folder").select("path").repartition(width).mapInArrow(below(True), listing)
+    return top.unionByName(second).unionByName(deep).where("NOT folder").select("path", "size")
 
-def read_kept(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below a folder as (path, size, hardIgnored, content), without the content of ignored ones.
 
-    Folders at the top that are ignored as a whole are listed but not opened, which is where
-    most bytes of a checkout lie.  Only the names of the folders at the top are collected.
+def with_content(files: DataFrame, root: str, wanted: Column) -> DataFrame:
+    """Adds the content of those files of (path, size) below ``root`` that are ``wanted``; others are not opened.
+
+    Files are dealt over all cores and read in batches of a few MB; one of 2 GB or more does not fit in a row.
     """
-    listed = read_tree(spark, root, content=False)
-    top = P.top_segment(F.col("path"))
-    nested = F.contains("path", F.lit("/"))
-    ignored = P.is_hard_ignored_directory(top)
-    names = [r.top for r in listed.where(nested & ~ignored).select(top.alias("top")).distinct().orderBy("top").collect()]
-    binary = spark.read.format("binaryFile")
-    rows = binary.load(root).select(_below(root), F.col("length").alias("size"), "content").where(~nested)
-    if names:
-        folders = [f"{root.rstrip('/')}/{name}" for name in names]
-        deep = binary.option("recursiveFileLookup", "true").load(folders)
-        rows = rows.unionByName(deep.select(_below(root), F.col("length").alias("size"), "content"))
-    flag = P.is_hard_ignored(F.col("path"))
-    kept = rows.select("path", "size", flag.alias("hardIgnored"), F.when(~flag, F.col("content")).alias("content"))
-    pruned = listed.where(nested & ignored).select("path", "size", F.lit(True).alias("hardIgnored"), F.lit(None).cast("binary").alias("content"))
-    return kept.unionByName(pruned)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _system(root)
+        names, types = ["path", "size", "_wanted", "content"], [pa.string(), pa.int64(), pa.bool_(), pa.binary()]
+        rows, held = [], 0
+        for batch in batches:
+            for path, size, open_it in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = None
+                if open_it:
+                    with system.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                        body = stream.read()
+                    held += len(body)
+                rows.append((path, size, open_it, body))
+                if held > BATCH_BYTES or len(rows) >= 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    dealt = files.select("path", "size", wanted.alias("_wanted")).repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, "path string, size long, _wanted boolean, content binary").drop("_wanted")
+
+
+def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """Regular files below a folder as (path, size[, content]), paths relative to it.
+
+    Without ``content`` only the listing is read, which is enough to count what is ignored.
+    """
+    listed = list_tree(spark, root)
+    return with_content(listed, root, F.lit(True)) if content else listed
+
+
+def read_kept(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file below a folder as (path, size, hardIgnored, content); ignored ones are listed but not opened."""
+    ignored = P.is_hard_ignored(F.col("path"))
+    return with_content(list_tree(spark, root), root, ~ignored).select("path", "size", ignored.alias("hardIgnored"), "content")

@@ -1,5 +1,5 @@
-import shutil
 import datetime
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,10 +102,16 @@ def test_tree(spark, tmp_path):
         assert sorted((r.path, r.size, bytes(r.content).decode()) for r in archives.read_tree(spark, root).collect()) == [("a.ts", 4, "a.ts"), ("b/c.ts", 6, "b/c.ts"), ("node_modules/x.js", 17, "node_modules/x.js")]
     assert archives.read_tree(spark, str(tmp_path), content=False).columns == ["path", "size"]
     (tmp_path / "b" / "d.lock").write_text("")
+    (tmp_path / "b" / "e" / "f").mkdir(parents=True)
+    (tmp_path / "b" / "e" / "f" / "empty.ts").write_text("")
     kept = {r.path: (r.size, r.hardIgnored, r.content) for r in archives.read_kept(spark, f"file://{tmp_path}").collect()}
-    assert kept == {"a.ts": (4, False, b"a.ts"), "b/c.ts": (6, False, b"b/c.ts"), "b/d.lock": (0, True, None), "node_modules/x.js": (17, True, None)}
+    assert kept == {"a.ts": (4, False, b"a.ts"), "b/c.ts": (6, False, b"b/c.ts"), "b/d.lock": (0, True, None), "b/e/f/empty.ts": (0, False, b""), "node_modules/x.js": (17, True, None)}
+    assert sorted((r.path, len(r.content)) for r in archives.read_tree(spark, str(tmp_path)).collect()) == [("a.ts", 4), ("b/c.ts", 6), ("b/d.lock", 0), ("b/e/f/empty.ts", 0), ("node_modules/x.js", 17)]
+    for name in (".gitattributes", "_app.ts", "__tests__/a.ts"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
     shutil.rmtree(tmp_path / "b")
-    assert sorted(r.path for r in archives.read_kept(spark, str(tmp_path)).collect()) == ["a.ts", "node_modules/x.js"]
+    assert sorted(r.path for r in archives.read_kept(spark, str(tmp_path)).where("content IS NOT NULL").collect()) == [".gitattributes", "__tests__/a.ts", "_app.ts", "a.ts"]
 
 
 def test_pages_stop_at_a_short_one():
