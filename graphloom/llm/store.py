@@ -31,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _private[key]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which others may share as well."""
+    return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,11 +53,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Remove everything that was written here; frames not yet read are lost with it.
+    """Remove everything that this application wrote below the shared folder; frames not yet read are lost with it.
 
     Results are lazy, so only the caller knows when the last of them has been read.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
