@@ -177,6 +177,20 @@ def test_url_rule_text_is_quoted(spark):
     assert urls.filter_urls(pages, [rule]).first().verdict == "block"
 
 
+def test_url_query_follows_each_rule_of_its_contract(spark, tmp_path):
+    """Block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/; else the default."""
+    made = {
+        "http://com/en/": ("com/en/", "block"), "http://a.com/en/7": ("com/en/", "block"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"), "http://a.Example.com/en/71": ("example.com/en/7", "allow"),
+        "http://net/de/": ("net/de/", "allow"), "http://a.net/de/8": ("net/de/", "allow"), "http://a.example.net/de/7?q": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://a.EXAMPLE.NET/de/80": ("example.net/de/8", "block"), "http://xexample.net/de/8": ("net/de/", "allow"),
+        "http://org/es/": ("org/es/", "block"), "http://a.org/es/7": ("org/es/", "block"), "http://a.org/de/": (None, "allow"), "http://a.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(made)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.op5_url_filters(spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in found} == dict(enumerate(made.values()))
+
+
 # Languages
 
 
