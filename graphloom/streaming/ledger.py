@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -188,19 +190,42 @@ def is_valid(event: str, payload: Column) -> Column:
     return F.coalesce(valid, F.lit(False))
 
 
+def _triggers(action: Column) -> Column:
+    return F.coalesce(action.isin(*EVENT_MATRIX["pull_request"]["dispatch"]), F.lit(False))
+
+
+def _ready(action: Column, pr: Column) -> Column:
+    """Whether tenants that do not review drafts review it."""
+    return F.coalesce((action == "ready_for_review") | ~pr.draft, F.lit(False))
+
+
+def _verdict(events: Column, upserts: Column) -> tuple[Column, Column, Column]:
+    """(decision, reason, status) of rows of valid and action, by the numbers of their events and upserts."""
+    a = F.col("action")
+    reason = (
+        F.when(~F.col("valid"), "MALFORMED_PAYLOAD")
+        .when(upserts == 0, "NO_CONNECTED_REPOSITORY")
+        .when(a.isin(*EVENT_MATRIX["pull_request"]["metadataOnly"]), "EDITED_METADATA_ONLY")
+        .when(~a.isin(*EVENT_MATRIX["pull_request"]["dispatch"]), "ACTION_NOT_TRIGGERING")
+        .when(events == 0, "DRAFT_SKIPPED")
+    )
+    decision = F.when(reason == "MALFORMED_PAYLOAD", "FAIL").when(reason == "NO_CONNECTED_REPOSITORY", "IGNORE").when(reason.isNotNull(), "PERSIST_ONLY").otherwise("DISPATCH")
+    return decision, reason, F.when(decision == "FAIL", "FAILED").when(decision == "DISPATCH", "PENDING").otherwise("IGNORED")
+
+
 def route_pull_requests(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
     """(deliveryId, decision, reason, status, events, upserts) of pull-request deliveries with a ``payload``.
 
     Targets are gathered by GitHub repository before they meet the deliveries, so a delivery
-    stays one row; a repository's tenants are few beside its deliveries.
+    stays one row; a repository's tenants are few beside its deliveries.  Where only their
+    numbers are asked for, ``count_routes`` makes no lists.
     """
     rows = deliveries.withColumn("p", F.from_json("payload", PULL_REQUEST)).withColumn("valid", is_valid("pull_request", F.col("payload")))
     tenant = F.struct("repositoryId", "projectId", "installationId", S.review_drafts(F.col("projectSettings")).alias("drafts"))
     grouped = targets.groupBy(F.col("githubRepoId").alias("_repo")).agg(F.sort_array(F.collect_list(tenant)).alias("_tenants"))
     rows = rows.join(grouped, F.col("p.repository.id") == F.col("_repo"), "left")
     pr, action = F.col("p.pull_request"), F.col("p.action")
-    triggers = F.coalesce(action.isin(*EVENT_MATRIX["pull_request"]["dispatch"]), F.lit(False))
-    ready = F.coalesce((action == "ready_for_review") | ~pr.draft, F.lit(False))
+    triggers, ready = _triggers(action), _ready(action, pr)
     none = F.array().cast(grouped.schema["_tenants"].dataType)
     tenants_of = F.when(F.col("valid"), F.coalesce("_tenants", none)).otherwise(none)
     reviewed = F.when(triggers, F.filter(tenants_of, lambda t: ready | t.drafts)).otherwise(none)
@@ -210,19 +235,27 @@ def route_pull_requests(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
     )
     change = lambda t: F.struct(t.repositoryId.alias("repositoryId"), pr.number.alias("number"), pr.id.alias("githubPrId"), pr.head.sha.alias("headSha"), pr.state.alias("state"), pr.draft.alias("isDraft"))
     routed = rows.select("deliveryId", "valid", action.alias("action"), F.transform(reviewed, event).alias("events"), F.transform(tenants_of, change).alias("upserts"))
-    a = F.col("action")
-    reason = (
-        F.when(~F.col("valid"), "MALFORMED_PAYLOAD")
-        .when(F.size("upserts") == 0, "NO_CONNECTED_REPOSITORY")
-        .when(a.isin(*EVENT_MATRIX["pull_request"]["metadataOnly"]), "EDITED_METADATA_ONLY")
-        .when(~a.isin(*EVENT_MATRIX["pull_request"]["dispatch"]), "ACTION_NOT_TRIGGERING")
-        .when(F.size("events") == 0, "DRAFT_SKIPPED")
-    )
-    decision = F.when(reason == "MALFORMED_PAYLOAD", "FAIL").when(reason == "NO_CONNECTED_REPOSITORY", "IGNORE").when(reason.isNotNull(), "PERSIST_ONLY").otherwise("DISPATCH")
-    status = F.when(decision == "FAIL", "FAILED").when(decision == "DISPATCH", "PENDING").otherwise("IGNORED")
+    decision, reason, status = _verdict(F.size("events"), F.size("upserts"))
     return routed.select("deliveryId", decision.alias("decision"), reason.alias("reason"), status.alias("status"), "events", "upserts")
 
 
+def count_routes(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``route_pull_requests`` with the numbers of events and upserts instead of their lists.
+
+    Tenants are counted by GitHub repository, so the work does not grow with deliveries times tenants.
+    """
+    pr, action = F.col("p.pull_request"), F.col("p.action")
+    rows = deliveries.select("deliveryId", F.from_json("payload", PULL_REQUEST).alias("p"), is_valid("pull_request", F.col("payload")).alias("valid"))
+    rows = rows.select("deliveryId", "valid", action.alias("action"), F.col("p.repository.id").alias("_repo"), _triggers(action).alias("_triggers"), _ready(action, pr).alias("_ready"))
+    counted = targets.groupBy(F.col("githubRepoId").alias("_repo")).agg(F.count("*").alias("_n"), F.count_if(S.review_drafts(F.col("projectSettings"))).alias("_drafts"))
+    rows = rows.join(counted, "_repo", "left")
+    number = lambda n, *conditions: F.when(reduce(and_, conditions, F.col("valid")), F.coalesce(n, F.lit(0))).otherwise(0).cast("int")
+    events = number(F.when(F.col("_ready"), F.col("_n")).otherwise(F.col("_drafts")), F.col("_triggers"))
+    rows = rows.select("deliveryId", "valid", "action", events.alias("events"), number(F.col("_n")).alias("upserts"))
+    decision, reason, status = _verdict(F.col("events"), F.col("upserts"))
+    return rows.select("deliveryId", decision.alias("decision"), reason.alias("reason"), status.alias("status"), "events", "upserts")
+
+
 def latest_pull_requests(routed: DataFrame, order: DataFrame) -> DataFrame:
     """One row a (repositoryId, number): what the last delivery by (receivedAt, deliveryId) says."""
     rows = routed.join(order.select("deliveryId", "receivedAt"), "deliveryId").select("receivedAt", "deliveryId", F.explode("upserts").alias("u"))
