@@ -256,11 +256,20 @@ def count_routes(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("deliveryId", decision.alias("decision"), reason.alias("reason"), status.alias("status"), "events", "upserts")
 
 
-def latest_pull_requests(routed: DataFrame, order: DataFrame) -> DataFrame:
-    """One row a (repositoryId, number): what the last delivery by (receivedAt, deliveryId) says."""
-    rows = routed.join(order.select("deliveryId", "receivedAt"), "deliveryId").select("receivedAt", "deliveryId", F.explode("upserts").alias("u"))
-    last = F.max_by(F.struct("u", "receivedAt", "deliveryId"), F.struct("receivedAt", "deliveryId"))
-    return rows.groupBy("u.repositoryId", "u.number").agg(last.alias("l")).select("l.u.*", "l.receivedAt", "l.deliveryId")
+def latest_pull_requests(deliveries: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row a (repositoryId, number): what the last delivery by (receivedAt, deliveryId) says.
+
+    These are the upserts of ``route_pull_requests``, of which the last of each GitHub repository and
+    number is found before it meets the tenants: no row a delivery and tenant is made.
+    """
+    pr, at = F.col("p.pull_request"), F.struct("receivedAt", "deliveryId")
+    said = F.struct(pr.id.alias("githubPrId"), pr.head.sha.alias("headSha"), pr.state.alias("state"), pr.draft.alias("isDraft"), "receivedAt", "deliveryId")
+    rows = deliveries.where(is_valid("pull_request", F.col("payload"))).select("deliveryId", "receivedAt", F.from_json("payload", PULL_REQUEST).alias("p"))
+    last = rows.groupBy(F.col("p.repository.id").alias("githubRepoId"), pr.number.alias("number")).agg(F.max_by(said, at).alias("l"))
+    met = targets.select("repositoryId", "githubRepoId").join(last, "githubRepoId")
+    # a repository that is listed under several GitHub ids takes the last of them
+    found = met.groupBy("repositoryId", "number").agg(F.max_by("l", F.struct("l.receivedAt", "l.deliveryId")).alias("l"))
+    return found.select("repositoryId", "number", "l.*")
 
 
 def sync_effects(deliveries: DataFrame) -> DataFrame:
@@ -426,8 +435,9 @@ def ingest_batch(batch: DataFrame, repositories: DataFrame, projects: DataFrame,
         held = folded.rows_of(own, folded.segments(batch_id))
         folded.put(fold_effects(held.unionByName(own).drop("sort")), batch_id)
         targets = tenants(apply_connection_effects(repositories, folded.snapshot()), projects)
-        routed = route_pull_requests(fresh.where(F.col("eventType") == "pull_request"), targets)
-        _write(latest_pull_requests(routed, fresh), folder, "pull_requests", batch_id)
+        pulls = fresh.where(F.col("eventType") == "pull_request")
+        routed = route_pull_requests(pulls, targets)
+        _write(latest_pull_requests(pulls, targets), folder, "pull_requests", batch_id)
         _write(routed.where(F.size("events") > 0).select("deliveryId", F.explode("events").alias("e")).select("deliveryId", "e.*"), folder, "outbox", batch_id)
         synced = fresh.where(F.col("outcome") == "SYNC").withColumn("readable", is_sync(F.col("eventType"), F.col("payload")))
         effects = sync_effects(synced).join(synced.select("deliveryId", "readable"), "deliveryId").select("deliveryId", "readable", F.when(F.col("readable"), F.col("reason")).otherwise("MALFORMED_PAYLOAD").alias("syncReason"))

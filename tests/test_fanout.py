@@ -27,3 +27,21 @@ def test_router_counts_equal_its_lists(spark, targets):  # noqa: F811
 
 def test_pr_router_makes_no_lists_of_tenants(spark):
     assert "collect_list" not in plan(queries.QUERIES["pr_router"](spark, "/root/testdata/sf0.001"))
+
+
+def test_latest_pull_requests_equal_the_upserts_of_all_routes(spark, targets):  # noqa: F811
+    made = [payload(number=n, sha=f"h{k}", repo=7 + (k % 5 == 4)) for k, n in enumerate((5, 5, 6, 5, 6, 7, 5, None))] + [{"action": "opened"}]
+    rows = [(f"d{k}", json.dumps(b), 100 - k % 4) for k, b in enumerate(made)] + [("none", None, 999)]
+    rows = spark.createDataFrame(rows, "deliveryId string, payload string, receivedAt long")
+    # r1 is listed under a second GitHub repository as well
+    several = targets.unionByName(targets.where("repositoryId = 'r1'").withColumn("githubRepoId", F.lit(8).cast("long")))
+    routed = ledger.route_pull_requests(rows, several).join(rows.select("deliveryId", "receivedAt"), "deliveryId")
+    last = {}
+    for r in sorted(routed.collect(), key=lambda r: (r.receivedAt, r.deliveryId)):
+        last |= {(u.repositoryId, u.number): (*u, r.receivedAt, r.deliveryId) for u in r.upserts}
+    found = ledger.latest_pull_requests(rows, several).select("repositoryId", "number", "githubPrId", "headSha", "state", "isDraft", "receivedAt", "deliveryId")
+    assert sorted(map(tuple, found.collect())) == sorted(last.values()) and len(last) == 6
+
+
+def test_pull_request_upsert_makes_no_row_a_delivery_and_tenant(spark):
+    assert "Generate" not in plan(queries.QUERIES["pull_request_upsert"](spark, "/root/testdata/sf0.001"))
