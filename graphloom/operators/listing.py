@@ -56,16 +56,19 @@ def connect_targets(requests: DataFrame, installations: DataFrame, visible: Data
     installations in any case of letters, or the id of a repository that one of them sees
     (visible: installationId, githubRepoId, owner, name).  The first installation by account wins.
     """
-    asked = requests.withColumn("_url", S.parse_repository_url(F.col("repoUrl")))
-    both = F.col("repoUrl").isNotNull() == F.col("githubRepoId").isNotNull()
-    asked = asked.withColumn("_error", F.when(both, "EXACTLY_ONE_TARGET").when(F.col("repoUrl").isNotNull() & F.col("_url.error").isNotNull(), "INVALID_URL"))
-    open_requests = asked.where(F.col("_error").isNull())
+    one_url, one_id = F.col("repoUrl").isNotNull() & F.col("githubRepoId").isNull(), F.col("repoUrl").isNull() & F.col("githubRepoId").isNotNull()
+    # only a URL that counts is parsed, and where it is invalid it has no owner
+    asked = requests.withColumn("_url", F.when(one_url, S.parse_repository_url(F.col("repoUrl"))))
+    asked = asked.withColumn("_error", F.when(~(one_url | one_id), "EXACTLY_ONE_TARGET").when(F.col("_url.error").isNotNull(), "INVALID_URL"))
     own = installations.select("userId", "installationId", "accountLogin")
-    by_url = open_requests.where(F.col("repoUrl").isNotNull()).select("requestId", "userId", F.lower("_url.owner").alias("_account"), F.col("_url.owner").alias("owner"), F.col("_url.name").alias("name"))
-    by_url = by_url.join(own.withColumn("_account", F.lower("accountLogin")), ["userId", "_account"]).drop("_account")
-    by_id = open_requests.where(F.col("repoUrl").isNull()).select("requestId", "userId", "githubRepoId").join(own, "userId")
-    by_id = by_id.join(visible.select("installationId", "githubRepoId", "owner", "name"), ["installationId", "githubRepoId"]).drop("githubRepoId")
-    hits = by_url.unionByName(by_id).groupBy("requestId").agg(F.min(F.struct("accountLogin", "installationId", "owner", "name")).alias("_hit"))
+    by_url = asked.where(one_url).select("requestId", "userId", F.lower("_url.owner").alias("_account"), F.col("_url.owner").alias("owner"), F.col("_url.name").alias("name"))
+    # the first installation of each account and of each repository that a user sees, before requests meet them
+    accounts = own.groupBy("userId", F.lower("accountLogin").alias("_account")).agg(F.min(F.struct("accountLogin", "installationId")).alias("_own"))
+    by_url = by_url.join(accounts, ["userId", "_account"]).select("requestId", F.struct("_own.accountLogin", "_own.installationId", "owner", "name").alias("_hit"))
+    seen = visible.select("installationId", "githubRepoId", "owner", "name").join(own, "installationId")
+    seen = seen.groupBy("userId", "githubRepoId").agg(F.min(F.struct("accountLogin", "installationId", "owner", "name")).alias("_hit"))
+    by_id = requests.where(one_id).select("requestId", "userId", "githubRepoId").join(seen, ["userId", "githubRepoId"]).select("requestId", "_hit")
+    hits = by_url.unionByName(by_id).groupBy("requestId").agg(F.min("_hit").alias("_hit"))
     found = asked.select("requestId", "_error").join(hits, "requestId", "left")
     error = F.coalesce("_error", F.when(F.col("_hit").isNull(), "NO_ACCESS"))
     return found.select("requestId", "_hit.installationId", "_hit.owner", "_hit.name", error.alias("error"))

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from graphloom import queries
+from graphloom.operators import listing
 from graphloom.streaming import ledger
 from tests.test_ledger import payload, tables, targets  # noqa: F401 - fixtures
 
@@ -45,3 +46,15 @@ def test_latest_pull_requests_equal_the_upserts_of_all_routes(spark, targets):
 
 def test_pull_request_upsert_makes_no_row_a_delivery_and_tenant(spark):
     assert "Generate" not in plan(queries.QUERIES["pull_request_upsert"](spark, "/root/testdata/sf0.001"))
+
+
+def test_connect_targets_meet_one_row_a_request(spark):
+    asked = spark.range(600).select(F.col("id").alias("requestId"), F.lit("u").alias("userId"), F.when(F.col("id") % 2 == 0, F.lit("https://github.com/Acme/x")).alias("repoUrl"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("githubRepoId"))
+    own = spark.range(900).select(F.lit("u").alias("userId"), F.col("id").alias("installationId"), F.lit("acme").alias("accountLogin"))
+    seen = spark.range(900).select((F.col("id") % 40).alias("installationId"), F.col("id").alias("githubRepoId"), F.lit("o").alias("owner"), F.lit("n").alias("name"))
+    found = listing.connect_targets(asked, own, seen)
+    # each account and each repository that a user sees is one row before requests meet it
+    assert sum("Aggregate [userId" in x or "Aggregate [u," in x for x in found._jdf.queryExecution().analyzed().toString().splitlines()) == 2
+    rows = found.collect()
+    assert {tuple(r)[1:] for r in rows if r.requestId % 2 == 0} == {(0, "Acme", "x", None)}
+    assert len(rows) == 600 and all(tuple(r)[1:] == (r.requestId % 40, "o", "n", None) for r in rows if r.requestId % 2)
