@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom import queries
 from graphloom.operators import listing
+from graphloom.operators.search import SearchIndex
 from graphloom.streaming import ledger
 from tests.test_ledger import payload, tables, targets  # noqa: F401 - fixtures
 
@@ -58,3 +59,16 @@ def test_connect_targets_meet_one_row_a_request(spark):
     rows = found.collect()
     assert {tuple(r)[1:] for r in rows if r.requestId % 2 == 0} == {(0, "Acme", "x", None)}
     assert len(rows) == 600 and all(tuple(r)[1:] == (r.requestId % 40, "o", "n", None) for r in rows if r.requestId % 2)
+
+
+def test_search_meets_distinct_texts(spark, tmp_path):
+    names = ["Red bolt", "red BOLT", "blue ring", None, "ab"]
+    rows = spark.createDataFrame([(k, names[k % 5]) for k in range(500)], "id long, name string")
+    patterns = [(k, p) for k in range(40) for p in ("BOLT", "e ri", "d", "none", "")]
+    index = SearchIndex(spark, f"file://{tmp_path}/s", "id", "name", folders=4)
+    index.build(rows)
+    # six trigrams of the one, seven of the other text, however many rows have them
+    assert spark.read.parquet(f"file://{tmp_path}/s/postings").count() == 13
+    found = index.search(rows, spark.createDataFrame(patterns, "patternId long, pattern string"))
+    expected = [(n, k) for n, p in patterns for k in range(500) if names[k % 5] is not None and p.lower() in names[k % 5].lower()]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
