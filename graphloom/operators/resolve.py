@@ -97,21 +97,30 @@ def _cards(symbols: DataFrame) -> DataFrame:
 
 def _asked(sites: DataFrame, imports: DataFrame) -> DataFrame:
     """The places that each site asks, one row a place: its own file, the file that an import names, the index."""
-    by_file = imports.where(~F.col("isTypeOnly")).groupBy("repositoryId", "filePath").agg(
+    valued = imports.where(~F.col("isTypeOnly"))
+    rows = sites.withColumns({"_bucket": _bucket("packageName"), "_top": P.top_segment(F.col("filePath"))})
+    plain, want, name = F.col("receiver").isNull(), F.col("want"), F.col("name")
+    # the first import of a file that brings each name, and the first of each namespace: a site meets one row, not the file's list
+    first = F.min(F.struct("ordinal", "targetFilePath")).alias("_first")
+    names = valued.select("repositoryId", "filePath", F.lit("name").alias("_how"), F.explode("named").alias("_brought"), "ordinal", "targetFilePath")
+    spaces = valued.select("repositoryId", "filePath", F.lit("space").alias("_how"), F.col("namespace").alias("_brought"), "ordinal", "targetFilePath")
+    brought = names.unionByName(spaces).where("_brought IS NOT NULL").groupBy("repositoryId", "filePath", "_how", "_brought").agg(first)
+    rows = rows.withColumns({"_how": F.when(plain, "name").otherwise("space"), "_brought": F.when(plain, name).otherwise(F.col("receiver"))})
+    rows = rows.join(brought, ["repositoryId", "filePath", "_how", "_brought"], "left").withColumn("_target", F.col("_first.targetFilePath"))
+    # the classes in scope are asked only by calls on an object
+    listed = valued.groupBy("repositoryId", "filePath").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "targetFilePath", "named", "default", "namespace"))).alias("_imports")  # of one file
     )
-    rows = sites.join(by_file, ["repositoryId", "filePath"], "left").withColumns({"_bucket": _bucket("packageName"), "_top": P.top_segment(F.col("filePath"))})
-    plain, want, name = F.col("receiver").isNull(), F.col("want"), F.col("name")
-    brings = lambda i: F.when(plain, F.array_contains(i.named, name)).otherwise(i.namespace == F.col("receiver"))
-    rows = rows.withColumn("_target", F.get(F.filter("_imports", brings), F.lit(0)).targetFilePath)
+    scope = F.array_distinct(F.array_compact(F.flatten(F.transform("_imports", lambda i: F.concat(F.coalesce(i.named, F.array().cast("array<string>")), F.array(i.default))))))
+    listed = listed.select("repositoryId", "filePath", scope.alias("_scope")).withColumn("_object", F.lit(True))
+    rows = rows.withColumn("_object", ~(plain | (F.col("receiver") == "this"))).join(listed, ["repositoryId", "filePath", "_object"], "left")
     ask = lambda level, sort, place: F.struct(F.lit(level).alias("level"), sort.alias("sort"), place.alias("place"))
     here = [
         ask(OWN_CLASS, want, F.when(F.col("receiver") == "this", _place("o", F.col("filePath"), F.col("callerClass")))), ask(FILE, want, _place("f", F.col("filePath"))),
     ]
     told = F.transform("brings", lambda sort: ask(BROUGHT, sort, _place("f", F.col("_target"))))
     index = F.array(ask(ALL, want, _place("a", F.col("_bucket"))), ask(PACKAGE, want, _place("p", F.col("_bucket"), F.col("packageName"))), ask(TOP, want, _place("t", F.col("_bucket"), F.col("_top"))))
-    scope = F.array_distinct(F.array_compact(F.flatten(F.transform("_imports", lambda i: F.concat(F.coalesce(i.named, F.array().cast("array<string>")), F.array(i.default))))))
-    within = F.flatten(F.transform(scope, lambda c: F.array(
+    within = F.flatten(F.transform("_scope", lambda c: F.array(
         ask(ALL, want, _place("c", F.col("_bucket"), c)), ask(PACKAGE, want, _place("cp", F.col("_bucket"), c, F.col("packageName"))), ask(TOP, want, _place("ct", F.col("_bucket"), c, F.col("_top")))
     )))
     indexed = F.when(plain | (F.col("receiver") == "this"), index).otherwise(F.coalesce(within, F.array().cast(sites.sparkSession.createDataFrame([], "a array<struct<level:int,sort:string,place:string>>").schema["a"].dataType)))

@@ -1,11 +1,13 @@
 """Fan-outs that must not be written out: as many deliveries as tenants of one repository, or requests as accounts."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from graphloom import queries
 from graphloom.operators import listing
+from graphloom.operators.resolve import resolve_names
 from graphloom.operators.search import SearchIndex
 from graphloom.streaming import ledger
 from tests.test_ledger import payload, tables, targets  # noqa: F401 - fixtures
@@ -72,3 +74,28 @@ def test_search_meets_distinct_texts(spark, tmp_path):
     found = index.search(rows, spark.createDataFrame(patterns, "patternId long, pattern string"))
     expected = [(n, k) for n, p in patterns for k in range(500) if names[k % 5] is not None and p.lower() in names[k % 5].lower()]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_sites_meet_the_first_import_of_their_name(spark):
+    made = random.Random(5)
+    symbols = [("r", k, k, f"n{k % 6}", "FUNCTION", None, f"d/f{k % 9}.ts", None) for k in range(40)]
+    imports = [("r", f"d/f{made.randrange(5)}.ts", k, [f"n{made.randrange(6)}", f"n{made.randrange(6)}"], None, None, made.random() < 0.2, f"d/f{made.randrange(9)}.ts") for k in range(60)]
+    sites = [("r", k, k, f"d/f{made.randrange(5)}.ts", None, f"n{made.randrange(6)}", None, None) for k in range(80)]
+    frames = (
+        spark.createDataFrame(sites, "repositoryId string, siteId long, fromSymbolId long, filePath string, packageName string, name string, receiver string, callerClass string"),
+        spark.createDataFrame(symbols, "repositoryId string, id long, ordinal long, name string, kind string, parentSymbol string, filePath string, packageName string"),
+        spark.createDataFrame(imports, "repositoryId string, filePath string, ordinal long, named array<string>, default string, namespace string, isTypeOnly boolean, targetFilePath string"),
+        spark.createDataFrame([("r", False)], "repositoryId string, perPackage boolean"),
+    )
+    found = resolve_names(*frames)
+    # no site looks through a list of all that its file imports
+    assert "array_contains" not in plan(found)
+    least = lambda file, name: min((s[2], s[1]) for s in symbols if s[6] == file and s[3] == name)[1] if any(s[6] == file and s[3] == name for s in symbols) else None
+    expected = {}
+    for _, site, _, file, _, name, _, _ in sites:
+        target = next((i[7] for i in imports if i[1] == file and name in i[3] and not i[6]), None)
+        near, told = least(file, name), least(target, name)
+        if near is not None or told is not None:
+            expected[site] = ("SAME_FILE", near) if near is not None else ("NAMED_IMPORT", told)
+    rows = {r.siteId: (r.rule, r.toSymbolId) for r in found.collect() if r.rule in ("SAME_FILE", "NAMED_IMPORT")}
+    assert rows == expected and {rule for rule, _ in rows.values()} == {"SAME_FILE", "NAMED_IMPORT"}
