@@ -99,3 +99,7 @@ def test_sites_meet_the_first_import_of_their_name(spark):
             expected[site] = ("SAME_FILE", near) if near is not None else ("NAMED_IMPORT", told)
     rows = {r.siteId: (r.rule, r.toSymbolId) for r in found.collect() if r.rule in ("SAME_FILE", "NAMED_IMPORT")}
     assert rows == expected and {rule for rule, _ in rows.values()} == {"SAME_FILE", "NAMED_IMPORT"}
+
+
+def test_heritage_ladder_searches_no_lists_of_imports(spark):
+    assert "array_contains" not in plan(queries.QUERIES["heritage_ladder"](spark, "/root/testdata/sf0.001"))
